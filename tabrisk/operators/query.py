@@ -114,7 +114,8 @@ def display_format(df: DataFrame, spec: TableSpec, digits: int = 2, missing: str
         rule = spec.rules.get(f.name)
         is_float = isinstance(f.dataType, (T.DoubleType, T.FloatType)) or (rule is not None and rule.type == "float")
         txt = fmt_decimals(c.try_cast("double"), digits) if is_float else c.cast("string")
-        cols.append(F.coalesce(txt, F.lit(missing)).alias(f.name))
+        # format_string renders NULL as the text 'null', so test the value, not the text
+        cols.append(F.when(c.isNull(), F.lit(missing)).otherwise(txt).alias(f.name))
     return df.select(*cols)
 
 

@@ -98,3 +98,188 @@ FROM customer_g
 def q_sort_list(spark, d):
     lst = Q.list_view(customer_with_gaps(spark, d), CUSTOMER)
     return Q.sort_list_ranked(lst, "c_acctbal", ascending=True, id_col="c_custkey")
+
+
+# ---------------------------------------------------------------------------------------------
+# Scans and lookups
+# ---------------------------------------------------------------------------------------------
+
+@register("scan_table", "SELECT * FROM orders")
+def q_scan_table(spark, d):
+    return read_table(spark, d, "orders")
+
+
+@register("key_lookup", """
+WITH keys AS (SELECT DISTINCT o_custkey * 2 AS c_custkey FROM orders)
+SELECT k.c_custkey, CASE WHEN c.c_custkey IS NULL THEN 0 ELSE 1 END AS found,
+       c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment
+FROM keys k LEFT JOIN customer c ON k.c_custkey = c.c_custkey
+""")
+def q_key_lookup(spark, d):
+    """Batch lookup: every doubled customer key of the orders (about half are not found)."""
+    keys = read_table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("key"))
+    from tabrisk.sources.tables import key_lookup
+    return key_lookup(read_table(spark, d, "customer"), keys, CUSTOMER)
+
+
+# ---------------------------------------------------------------------------------------------
+# Projections and filters
+# ---------------------------------------------------------------------------------------------
+
+@register("drop_columns", """
+SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem
+""")
+def q_drop_columns(spark, d):
+    from tabrisk.spec import LINEITEM
+    return Q.drop_columns(read_table(spark, d, "lineitem"), list(LINEITEM.drop_cols) + ["_c83"])
+
+
+@register("watermark_filter", """
+SELECT * FROM events WHERE event_id > (SELECT (MIN(event_id) + MAX(event_id)) / 2 FROM events)
+""")
+def q_watermark_filter(spark, d):
+    """Rows above a high-water mark taken from the data (the mid id)."""
+    ev = read_table(spark, d, "events")
+    return Q.watermark_filter(ev, "event_id", _mid_mark(ev))
+
+
+def _mid_mark(ev: DataFrame) -> float:
+    """The mark is state (one number), read once on the driver, as the stored last id would be."""
+    r = ev.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    return (r["lo"] + r["hi"]) / 2
+
+
+@register("class_filter", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'
+""")
+def q_class_filter(spark, d):
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return Q.class_filter(o, "o_orderstatus", "F")
+
+
+@register("display_format", f"""
+WITH {CUSTOMER_GAPS_SQL}
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+       COALESCE(printf('%.2f', c_acctbal / 7), 'N/A') AS c_acctbal, c_mktsegment
+FROM customer_g
+""")
+def q_display_format(spark, d):
+    c = customer_with_gaps(spark, d).withColumn("c_acctbal", F.col("c_acctbal") / 7)
+    return Q.display_format(c, CUSTOMER)
+
+
+@register("column_group", "SELECT l_extendedprice, l_discount, l_tax FROM lineitem")
+def q_column_group(spark, d):
+    from tabrisk.spec import LINEITEM
+    return Q.column_group(read_table(spark, d, "lineitem"), LINEITEM, "pricing")
+
+
+@register("threshold_label", """
+SELECT o_orderkey, CAST(o_totalprice / 500000.0 > 0.5 AS INTEGER) AS predicted FROM orders
+""")
+def q_threshold_label(spark, d):
+    o = read_table(spark, d, "orders")
+    return o.select("o_orderkey", Q.threshold_label(F.col("o_totalprice") / 500000.0).alias("predicted"))
+
+
+# ---------------------------------------------------------------------------------------------
+# Top-k and exact samples
+# ---------------------------------------------------------------------------------------------
+
+@register("topk", """
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey ASC LIMIT 10
+""")
+def q_topk(spark, d):
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return Q.topk(o, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], 10)
+
+
+@register("sample_n", """
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
+ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey LIMIT 50
+""")
+def q_sample_n(spark, d):
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return Q.sample_n(o, "o_orderkey", 50, seed=42)
+
+
+@register("sample_per_class", """
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderstatus
+                               ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey) AS rn
+  FROM orders) WHERE rn <= 2
+""")
+def q_sample_per_class(spark, d):
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return Q.sample_per_class(o, "o_orderkey", "o_orderstatus", 2, seed=42)
+
+
+# ---------------------------------------------------------------------------------------------
+# profile
+# ---------------------------------------------------------------------------------------------
+
+PART_PROFILE_COLS = [("p_partkey", True), ("p_name", False), ("p_brand", False), ("p_size", True),
+                     ("p_retailprice", True), ("p_flag", True), ("p_none", True), ("p_sizetext", False),
+                     ("p_mixed", False)]
+
+PART_PROFILE_SQL = """(SELECT p_partkey, p_name, p_brand,
+    CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END AS p_size, p_retailprice,
+    CAST(p_partkey % 2 AS INTEGER) AS p_flag, CAST(NULL AS DOUBLE) AS p_none,
+    CAST(p_size AS VARCHAR) AS p_sizetext,
+    CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS p_mixed
+  FROM part) AS pp"""
+
+
+def part_for_profile(spark, d) -> DataFrame:
+    p = read_table(spark, d, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        "p_partkey", "p_name", "p_brand",
+        F.when(k % 9 == 0, F.lit(None)).otherwise(F.col("p_size")).alias("p_size"),
+        "p_retailprice", (k % 2).cast("int").alias("p_flag"), F.lit(None).cast("double").alias("p_none"),
+        F.col("p_size").cast("string").alias("p_sizetext"),
+        F.when(k % 5 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string")).alias("p_mixed"))
+
+
+def _profile_sql(select: str) -> str:
+    from tabrisk.operators.profile import profile_oracle_sql
+    return f"SELECT {select} FROM ({profile_oracle_sql(PART_PROFILE_SQL, 'p_partkey', PART_PROFILE_COLS)}) r"
+
+
+@register("profile_report", _profile_sql("*"))
+def q_profile_report(spark, d):
+    from tabrisk.operators.profile import profile_report
+    return profile_report(part_for_profile(spark, d), "p_partkey", [c for c, _ in PART_PROFILE_COLS])
+
+
+@register("profile_type", _profile_sql(
+    "column_name, pos, suggested_type, n_non_null, min_value, max_value, has_decimals"))
+def q_profile_type(spark, d):
+    from tabrisk.operators import profile as P
+    cols = [c for c, _ in PART_PROFILE_COLS]
+    return P.profile_type(P.long_form(part_for_profile(spark, d), "p_partkey", cols), cols)
+
+
+@register("profile_distinct10", _profile_sql("column_name, distinct_values, more")
+          + " WHERE distinct_values IS NOT NULL")
+def q_profile_distinct10(spark, d):
+    from tabrisk.operators import profile as P
+    cols = [c for c, _ in PART_PROFILE_COLS]
+    return P.profile_distinct(P.long_form(part_for_profile(spark, d), "p_partkey", cols))
+
+
+@register("profile_sample5", _profile_sql("column_name, sample_values") + " WHERE sample_values IS NOT NULL")
+def q_profile_sample5(spark, d):
+    from tabrisk.operators import profile as P
+    cols = [c for c, _ in PART_PROFILE_COLS]
+    return P.profile_sample(P.long_form(part_for_profile(spark, d), "p_partkey", cols))
+
+
+LABELS_PROFILE_COLS = [("doc_id", True), ("quality", True), ("toxic", True)]
+
+
+@register("profile_labels", "SELECT * FROM (" + __import__("tabrisk.operators.profile", fromlist=["x"])
+          .profile_oracle_sql("labels", "doc_id", LABELS_PROFILE_COLS) + ") r")
+def q_profile_labels(spark, d):
+    from tabrisk.operators.profile import profile_report
+    return profile_report(read_table(spark, d, "labels"), "doc_id", ["doc_id", "quality", "toxic"])
