@@ -283,3 +283,218 @@ LABELS_PROFILE_COLS = [("doc_id", True), ("quality", True), ("toxic", True)]
 def q_profile_labels(spark, d):
     from tabrisk.operators.profile import profile_report
     return profile_report(read_table(spark, d, "labels"), "doc_id", ["doc_id", "quality", "toxic"])
+
+
+# ---------------------------------------------------------------------------------------------
+# Validation and coercion over edits derived from orders
+# ---------------------------------------------------------------------------------------------
+
+ORDER_FORM = ["o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"]
+
+ORDER_EDITS_SQL = """
+edits AS (
+  SELECT o_orderkey AS id, 'o_custkey' AS field,
+         CASE WHEN o_orderkey % 13 = 0 THEN 'x' || CAST(o_custkey AS VARCHAR)
+              WHEN o_orderkey % 17 = 0 THEN '-' || CAST(o_custkey + 1 AS VARCHAR)
+              WHEN o_orderkey % 19 = 0 THEN CAST(o_custkey AS VARCHAR) || '.5'
+              WHEN o_orderkey % 37 = 0 THEN ''
+              ELSE CAST(o_custkey AS VARCHAR) END AS value FROM orders
+  UNION ALL
+  SELECT o_orderkey, 'o_totalprice',
+         CASE WHEN o_orderkey % 23 = 0 THEN printf('%.2f', o_totalprice * 2)
+              WHEN o_orderkey % 29 = 0 THEN ''
+              WHEN o_orderkey % 41 = 0 THEN 'abc'
+              ELSE printf('%.2f', o_totalprice) END FROM orders
+  UNION ALL
+  SELECT o_orderkey, 'o_orderstatus',
+         CASE WHEN o_orderkey % 31 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END FROM orders
+  UNION ALL
+  SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders)
+"""
+
+
+def order_edits(spark, d) -> DataFrame:
+    """Long-form (id, field, value) edits of every order, with bad values made by key arithmetic."""
+    o = read_table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    ck = F.col("o_custkey").cast("string")
+    custkey = (F.when(k % 13 == 0, F.concat(F.lit("x"), ck))
+               .when(k % 17 == 0, F.concat(F.lit("-"), (F.col("o_custkey") + 1).cast("string")))
+               .when(k % 19 == 0, F.concat(ck, F.lit(".5")))
+               .when(k % 37 == 0, F.lit(""))
+               .otherwise(ck))
+    price = (F.when(k % 23 == 0, F.format_string("%.2f", F.col("o_totalprice") * 2))
+             .when(k % 29 == 0, F.lit(""))
+             .when(k % 41 == 0, F.lit("abc"))
+             .otherwise(F.format_string("%.2f", F.col("o_totalprice"))))
+    status = F.when(k % 31 == 0, F.lower(F.col("o_orderstatus"))).otherwise(F.col("o_orderstatus"))
+    entries = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in
+                        [("o_custkey", custkey), ("o_totalprice", price), ("o_orderstatus", status),
+                         ("o_orderpriority", F.col("o_orderpriority"))]])
+    return o.select(k.alias("id"), F.explode(entries).alias("e")).select("id", "e.field", "e.value")
+
+
+def _rules_sql(spec, order=None) -> str:
+    from tabrisk.operators.validate import rule_rows
+
+    def lit(x):
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return "true" if x else "false"
+        if isinstance(x, (int, float)):
+            return repr(float(x)) if isinstance(x, float) else str(x)
+        if isinstance(x, list):
+            return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in x) + "]"
+        return "'" + str(x).replace("'", "''") + "'"
+
+    rows = []
+    for r in rule_rows(spec, order):
+        f, t, mn, mx, an, dom, mnt, mxt, pos = r
+        rows.append(f"({lit(f)}, {lit(t)}, CAST({lit(mn)} AS DOUBLE), CAST({lit(mx)} AS DOUBLE), {lit(an)}, "
+                    f"CAST({lit(dom)} AS VARCHAR[]), CAST({lit(mnt)} AS VARCHAR), CAST({lit(mxt)} AS VARCHAR), {pos})")
+    return ("rules AS (SELECT * FROM (VALUES " + ", ".join(rows)
+            + ") t(field, rtype, rmin, rmax, allow_null, domain, min_text, max_text, fpos))")
+
+
+def _validate_rows_sql() -> str:
+    from tabrisk.spec import ORDERS
+    return f"""
+WITH {ORDER_EDITS_SQL}, {_rules_sql(ORDERS)},
+j AS (
+  SELECT e.id, e.field, e.value, r.rtype, r.rmin, r.rmax, r.allow_null, r.domain, r.min_text, r.max_text,
+         (e.value IS NULL OR e.value = '') AS blank, TRY_CAST(e.value AS DOUBLE) AS num,
+         regexp_matches(e.value, '^\\s*[+-]?[0-9]+\\s*$') AS int_text
+  FROM edits e LEFT JOIN rules r USING (field)),
+k AS (
+  SELECT *, CASE WHEN rtype = 'int' THEN CASE WHEN int_text THEN num END WHEN rtype = 'float' THEN num END AS parsed,
+         blank AND (allow_null OR rtype IN ('int', 'float')) AS null_ok
+  FROM j),
+m AS (
+  SELECT id, field, value, null_ok, parsed,
+    CASE WHEN rtype IS NULL THEN NULL
+         WHEN null_ok THEN NULL
+         WHEN (rtype = 'int' AND NOT int_text) OR (rtype = 'float' AND num IS NULL) THEN 'bad format'
+         WHEN rmin IS NOT NULL AND parsed < rmin THEN 'must be >= ' || min_text
+         WHEN rmax IS NOT NULL AND parsed > rmax THEN 'must be <= ' || max_text
+         WHEN rtype = 'str' AND domain IS NOT NULL AND NOT COALESCE(list_contains(domain, value), false)
+           THEN 'must be one of: ' || array_to_string(domain, ', ')
+    END AS message
+  FROM k)
+SELECT id, field, value, CAST(message IS NULL AS INTEGER) AS ok,
+       CASE WHEN null_ok THEN NULL ELSE parsed END AS parsed, message
+FROM m
+"""
+
+
+@register("validate_rows", _validate_rows_sql())
+def q_validate_rows(spark, d):
+    from tabrisk.operators.validate import validate_rows
+    from tabrisk.spec import ORDERS
+    return validate_rows(order_edits(spark, d), ORDERS)
+
+
+def _parse_edit_sql() -> str:
+    from tabrisk.spec import ORDERS
+    return f"""
+WITH {ORDER_EDITS_SQL}, {_rules_sql(ORDERS, ORDER_FORM)},
+j AS (
+  SELECT e.id, e.field, r.rtype, r.rmin, r.rmax, r.domain, r.min_text, r.max_text,
+         COALESCE(r.fpos, {len(ORDER_FORM)}) AS fpos,
+         CASE WHEN trim(e.value) = 'N/A' THEN NULL ELSE trim(e.value) END AS v
+  FROM edits e LEFT JOIN rules r USING (field)),
+k AS (SELECT *, TRY_CAST(v AS DOUBLE) AS d, (v IS NULL OR v = '') AS blank FROM j),
+m AS (
+  SELECT id, field, fpos, COALESCE(
+    CASE WHEN blank THEN NULL
+         WHEN rtype = 'int' AND (d IS NULL OR d <> floor(d)) THEN 'must be an integer'
+         WHEN rtype = 'bool' AND lower(v) NOT IN ('true', 'false') THEN 'must be true or false'
+         WHEN rtype = 'float' AND d IS NULL THEN 'bad format'
+         WHEN rmin IS NOT NULL AND d < rmin THEN 'must be >= ' || min_text
+         WHEN rmax IS NOT NULL AND d > rmax THEN 'must be <= ' || max_text END,
+    CASE WHEN rtype = 'str' AND domain IS NOT NULL AND NOT blank AND NOT COALESCE(list_contains(domain, v), false)
+         THEN 'must be one of: ' || array_to_string(domain, ', ') END) AS message
+  FROM k)
+SELECT id, CAST(SUM(CAST(message IS NOT NULL AS INTEGER)) = 0 AS INTEGER) AS ok,
+       arg_min(CASE WHEN message IS NOT NULL THEN field END, CASE WHEN message IS NOT NULL THEN fpos END)
+         AS first_bad_field,
+       arg_min(message, CASE WHEN message IS NOT NULL THEN fpos END) AS message,
+       CAST(SUM(CAST(message IS NOT NULL AS INTEGER)) AS BIGINT) AS n_bad
+FROM m GROUP BY id
+"""
+
+
+@register("parse_edit_row", _parse_edit_sql())
+def q_parse_edit_row(spark, d):
+    from tabrisk.operators.validate import parse_edit_rows
+    from tabrisk.spec import ORDERS
+    return parse_edit_rows(order_edits(spark, d), ORDERS, ORDER_FORM)
+
+
+ORDER_TEXT_SQL = """
+ot AS (
+  SELECT o_orderkey,
+         CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) || '.7'
+              WHEN o_orderkey % 3 = 1 THEN '-' || CAST(o_custkey AS VARCHAR) || '.7'
+              WHEN o_orderkey % 10 = 5 THEN ''
+              ELSE CAST(o_custkey AS VARCHAR) END AS o_custkey,
+         CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE printf('%.2f', o_totalprice) END AS o_totalprice,
+         CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderstatus END AS o_orderstatus,
+         o_orderpriority
+  FROM orders)
+"""
+
+
+def orders_as_text(spark, d) -> DataFrame:
+    o = read_table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    ck = F.col("o_custkey").cast("string")
+    return o.select(
+        "o_orderkey",
+        F.when(k % 3 == 0, F.concat(ck, F.lit(".7"))).when(k % 3 == 1, F.concat(F.lit("-"), ck, F.lit(".7")))
+         .when(k % 10 == 5, F.lit("")).otherwise(ck).alias("o_custkey"),
+        F.when(k % 7 == 0, F.lit("")).otherwise(F.format_string("%.2f", F.col("o_totalprice"))).alias("o_totalprice"),
+        F.when(k % 11 == 0, F.lit("")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+        "o_orderpriority")
+
+
+@register("coerce_typed", f"""
+WITH {ORDER_TEXT_SQL}
+SELECT o_orderkey, CAST(trunc(TRY_CAST(o_custkey AS DOUBLE)) AS INTEGER) AS o_custkey,
+       TRY_CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderstatus, o_orderpriority
+FROM ot
+""")
+def q_coerce_typed(spark, d):
+    from tabrisk.operators.validate import coerce_typed
+    from tabrisk.spec import ORDERS
+    return coerce_typed(orders_as_text(spark, d), ORDERS)
+
+
+@register("coerce_update", f"""
+WITH {ORDER_TEXT_SQL}
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey,
+       CASE WHEN o_custkey = '' THEN NULL ELSE CAST(trunc(TRY_CAST(o_custkey AS DOUBLE)) AS INTEGER) END AS o_custkey,
+       CASE WHEN o_totalprice = '' THEN NULL ELSE TRY_CAST(o_totalprice AS DOUBLE) END AS o_totalprice,
+       CASE WHEN o_orderstatus = '' THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderpriority = '' THEN NULL ELSE o_orderpriority END AS o_orderpriority
+FROM ot
+""")
+def q_coerce_update(spark, d):
+    from tabrisk.operators.validate import coerce_update
+    from tabrisk.spec import ORDERS
+    return coerce_update(orders_as_text(spark, d), ORDERS)
+
+
+@register("coerce_flags", """
+SELECT doc_id,
+       TRY_CAST(CASE WHEN doc_id % 6 = 0 THEN 'x' ELSE CAST(quality AS VARCHAR) END AS DOUBLE) AS quality,
+       TRY_CAST(CAST(toxic AS VARCHAR) AS DOUBLE) AS toxic
+FROM labels
+""")
+def q_coerce_flags(spark, d):
+    from tabrisk.operators.validate import coerce_flags
+    lab = read_table(spark, d, "labels")
+    txt = lab.select("doc_id",
+                     F.when(F.col("doc_id") % 6 == 0, F.lit("x")).otherwise(F.col("quality").cast("string"))
+                     .alias("quality"), F.col("toxic").cast("string").alias("toxic"))
+    return coerce_flags(txt, ["quality", "toxic"])
