@@ -498,3 +498,324 @@ def q_coerce_flags(spark, d):
                      F.when(F.col("doc_id") % 6 == 0, F.lit("x")).otherwise(F.col("quality").cast("string"))
                      .alias("quality"), F.col("toxic").cast("string").alias("toxic"))
     return coerce_flags(txt, ["quality", "toxic"])
+
+
+# ---------------------------------------------------------------------------------------------
+# Record changes on the customer table (change batches derived from customer / supplier)
+# ---------------------------------------------------------------------------------------------
+
+def suppliers_as_customers(spark, d) -> DataFrame:
+    s = read_table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("row_no"), F.col("s_name").alias("c_name"),
+                    F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))
+
+
+@register("next_id", """
+SELECT s_suppkey, (SELECT MAX(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_suppkey) AS c_custkey
+FROM supplier
+""")
+def q_next_id(spark, d):
+    from tabrisk.operators.changes import assign_ids
+    new = suppliers_as_customers(spark, d).select(F.col("row_no").alias("s_suppkey"))
+    return assign_ids(read_table(spark, d, "customer"), new, CUSTOMER, [F.col("s_suppkey").asc()])
+
+
+@register("insert_rows", """
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
+UNION ALL
+SELECT (SELECT MAX(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_suppkey), s_name, s_nationkey,
+       s_acctbal, 'BUILDING' FROM supplier
+""")
+def q_insert_rows(spark, d):
+    from tabrisk.operators.changes import insert_rows
+    new, _ = insert_rows(read_table(spark, d, "customer"), suppliers_as_customers(spark, d), CUSTOMER,
+                         [F.col("row_no").asc()])
+    return new
+
+
+INSERT_REQ_SQL = """
+req AS (
+  SELECT s_suppkey AS row_no,
+         CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey * 7
+              WHEN s_suppkey % 3 = 1 THEN NULL
+              ELSE 1000000 + (s_suppkey % 5) END AS c_custkey,
+         s_name AS c_name, s_nationkey AS c_nationkey, s_acctbal AS c_acctbal
+  FROM supplier),
+taken AS (SELECT row_no, 'id exists' AS why FROM req WHERE c_custkey IN (SELECT c_custkey FROM customer)),
+dup AS (SELECT row_no, 'id repeated in batch' AS why FROM (
+          SELECT row_no, row_number() OVER (PARTITION BY c_custkey ORDER BY row_no) AS n FROM req
+          WHERE c_custkey IS NOT NULL AND c_custkey NOT IN (SELECT c_custkey FROM customer)) WHERE n > 1),
+refused AS (SELECT * FROM taken UNION ALL SELECT * FROM dup),
+acc AS (SELECT * FROM req WHERE c_custkey IS NOT NULL AND row_no NOT IN (SELECT row_no FROM refused)),
+top AS (SELECT MAX(k) AS m FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT c_custkey FROM acc)),
+auto AS (SELECT row_no, (SELECT m FROM top) + row_number() OVER (ORDER BY row_no) AS c_custkey,
+                c_name, c_nationkey, c_acctbal FROM req WHERE c_custkey IS NULL),
+rows_ AS (SELECT row_no, c_custkey, c_name, c_nationkey, c_acctbal FROM acc UNION ALL SELECT * FROM auto)
+"""
+
+
+def insert_requests(spark, d) -> DataFrame:
+    s = suppliers_as_customers(spark, d)
+    k = F.col("row_no")
+    cid = F.when(k % 3 == 0, k * 7).when(k % 3 == 1, F.lit(None)).otherwise(1000000 + k % 5).cast("long")
+    return s.withColumn("c_custkey", cid)
+
+
+@register("insert_with_defaults", f"""
+WITH {INSERT_REQ_SQL}
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
+UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, 'BUILDING' FROM rows_
+""")
+def q_insert_with_defaults(spark, d):
+    from tabrisk.operators.changes import insert_with_defaults
+    new, _ = insert_with_defaults(read_table(spark, d, "customer"), insert_requests(spark, d), CUSTOMER)
+    return new
+
+
+@register("insert_status", f"""
+WITH {INSERT_REQ_SQL}
+SELECT row_no, c_custkey, 'ok' AS status, CAST(NULL AS VARCHAR) AS message FROM rows_
+UNION ALL
+SELECT r.row_no, r.c_custkey, 'refused', f.why FROM req r JOIN refused f USING (row_no)
+""")
+def q_insert_status(spark, d):
+    from tabrisk.operators.changes import insert_with_defaults
+    _, status = insert_with_defaults(read_table(spark, d, "customer"), insert_requests(spark, d), CUSTOMER)
+    return status
+
+
+@register("replace_rows", """
+WITH new AS (SELECT s_suppkey * 10 AS c_custkey, s_name AS c_name, s_nationkey AS c_nationkey,
+                    s_acctbal AS c_acctbal, 'MACHINERY' AS c_mktsegment FROM supplier)
+SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM new)
+UNION ALL SELECT * FROM new WHERE c_custkey IN (SELECT c_custkey FROM customer)
+""")
+def q_replace_rows(spark, d):
+    from tabrisk.operators.changes import replace_rows
+    s = read_table(spark, d, "supplier")
+    new = s.select((F.col("s_suppkey") * 10).alias("c_custkey"), F.col("s_name").alias("c_name"),
+                   F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"),
+                   F.lit("MACHINERY").alias("c_mktsegment"))
+    out, _ = replace_rows(read_table(spark, d, "customer"), new, CUSTOMER)
+    return out
+
+
+@register("delete_rows", """
+SELECT * FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey * 3)
+""")
+def q_delete_rows(spark, d):
+    """Delete every customer whose tripled key is an ordering customer (a derived id set)."""
+    from tabrisk.operators.changes import delete_rows
+    ids = read_table(spark, d, "orders").select((F.col("o_custkey") / 3).alias("k")) \
+        .filter(F.col("k") == F.floor("k")).select(F.col("k").cast("long").alias("c_custkey"))
+    out, _ = delete_rows(read_table(spark, d, "customer"), ids, CUSTOMER)
+    return out
+
+
+@register("delete_status", """
+WITH req AS (SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_custkey % 2 = 0)
+SELECT c_custkey + 750 AS c_custkey,
+       CASE WHEN c_custkey + 750 IN (SELECT c_custkey FROM customer) THEN 'ok' ELSE 'not found' END AS status
+FROM req
+""")
+def q_delete_status(spark, d):
+    from tabrisk.operators.changes import delete_rows
+    ids = read_table(spark, d, "orders").filter(F.col("o_custkey") % 2 == 0) \
+        .select((F.col("o_custkey") + 750).alias("c_custkey"))
+    _, status = delete_rows(read_table(spark, d, "customer"), ids, CUSTOMER)
+    return status
+
+
+UPDATE_CHANGES_SQL = """
+ch AS (
+  SELECT c_custkey AS id, 'c_acctbal' AS field, printf('%.2f', c_acctbal + 1) AS value FROM customer
+  WHERE c_custkey % 10 = 0
+  UNION ALL SELECT c_custkey, 'c_acctbal', 'abc' FROM customer WHERE c_custkey % 10 = 5
+  UNION ALL SELECT c_custkey, 'c_nationkey', '3' FROM customer WHERE c_custkey % 10 = 5
+  UNION ALL SELECT c_custkey, 'c_mktsegment', '' FROM customer WHERE c_custkey % 10 = 3
+  UNION ALL SELECT c_custkey, 'c_nationkey', '99' FROM customer WHERE c_custkey % 10 = 7
+  UNION ALL SELECT c_custkey, 'c_nationkey', ' 12 ' FROM customer WHERE c_custkey % 10 = 9
+  UNION ALL SELECT s_suppkey + 100000, 'c_acctbal', '1.00' FROM supplier),
+v AS (
+  SELECT *, CASE WHEN field = 'c_acctbal' THEN value = '' OR COALESCE(TRY_CAST(value AS DOUBLE) BETWEEN -1000 AND 10000, false)
+                 WHEN field = 'c_nationkey' THEN value = '' OR (regexp_matches(value, '^\\s*[+-]?[0-9]+\\s*$')
+                                                               AND TRY_CAST(value AS DOUBLE) BETWEEN 0 AND 24)
+                 ELSE true END AS valid
+  FROM ch),
+good AS (SELECT * FROM v WHERE id IN (SELECT id FROM v GROUP BY id HAVING bool_and(valid))
+                             AND id IN (SELECT c_custkey FROM customer)),
+p AS (SELECT id,
+        MAX(CASE WHEN field = 'c_name' THEN 1 END) AS s_name, MAX(CASE WHEN field = 'c_name' THEN value END) AS v_name,
+        MAX(CASE WHEN field = 'c_nationkey' THEN 1 END) AS s_nat,
+        MAX(CASE WHEN field = 'c_nationkey' THEN value END) AS v_nat,
+        MAX(CASE WHEN field = 'c_acctbal' THEN 1 END) AS s_bal, MAX(CASE WHEN field = 'c_acctbal' THEN value END) AS v_bal,
+        MAX(CASE WHEN field = 'c_mktsegment' THEN 1 END) AS s_seg,
+        MAX(CASE WHEN field = 'c_mktsegment' THEN value END) AS v_seg
+      FROM good GROUP BY id)
+"""
+
+APPLY_WIDE_SQL = """
+SELECT c_custkey,
+       CASE WHEN s_name = 1 THEN NULLIF(v_name, '') ELSE c_name END AS c_name,
+       CASE WHEN s_nat = 1 THEN CAST(trunc(TRY_CAST(NULLIF(v_nat, '') AS DOUBLE)) AS INTEGER) ELSE c_nationkey END
+         AS c_nationkey,
+       CASE WHEN s_bal = 1 THEN TRY_CAST(NULLIF(v_bal, '') AS DOUBLE) ELSE c_acctbal END AS c_acctbal,
+       CASE WHEN s_seg = 1 THEN NULLIF(v_seg, '') ELSE c_mktsegment END AS c_mktsegment
+FROM customer LEFT JOIN p ON c_custkey = p.id
+"""
+
+
+def customer_changes(spark, d) -> DataFrame:
+    c = read_table(spark, d, "customer")
+    k = F.col("c_custkey")
+    bal = F.format_string("%.2f", F.col("c_acctbal") + 1)
+    entries = F.array(
+        F.when(k % 10 == 0, F.struct(F.lit("c_acctbal").alias("field"), bal.alias("value"))),
+        F.when(k % 10 == 5, F.struct(F.lit("c_acctbal").alias("field"), F.lit("abc").alias("value"))),
+        F.when(k % 10 == 5, F.struct(F.lit("c_nationkey").alias("field"), F.lit("3").alias("value"))),
+        F.when(k % 10 == 3, F.struct(F.lit("c_mktsegment").alias("field"), F.lit("").alias("value"))),
+        F.when(k % 10 == 7, F.struct(F.lit("c_nationkey").alias("field"), F.lit("99").alias("value"))),
+        F.when(k % 10 == 9, F.struct(F.lit("c_nationkey").alias("field"), F.lit(" 12 ").alias("value"))))
+    ch = c.select(k.alias("id"), F.explode(entries).alias("e")).filter(F.col("e").isNotNull()) \
+        .select("id", "e.field", "e.value")
+    ghost = read_table(spark, d, "supplier").select((F.col("s_suppkey") + 100000).alias("id"),
+                                                    F.lit("c_acctbal").alias("field"), F.lit("1.00").alias("value"))
+    return ch.unionByName(ghost)
+
+
+@register("update_fields", f"WITH {UPDATE_CHANGES_SQL} {APPLY_WIDE_SQL}")
+def q_update_fields(spark, d):
+    from tabrisk.operators.changes import update_fields
+    new, _ = update_fields(read_table(spark, d, "customer"), customer_changes(spark, d), CUSTOMER)
+    return new
+
+
+@register("update_status", f"""
+WITH {UPDATE_CHANGES_SQL}
+SELECT id AS c_custkey,
+       CASE WHEN id NOT IN (SELECT c_custkey FROM customer) THEN 'not found'
+            WHEN bool_and(valid) THEN 'ok' ELSE 'refused' END AS status,
+       CASE WHEN id NOT IN (SELECT c_custkey FROM customer) OR bool_and(valid) THEN NULL
+            WHEN bool_or(field = 'c_acctbal' AND NOT valid) THEN 'bad format'
+            ELSE 'must be <= 24' END AS message
+FROM v GROUP BY id
+""")
+def q_update_status(spark, d):
+    from tabrisk.operators.changes import update_fields
+    _, status = update_fields(read_table(spark, d, "customer"), customer_changes(spark, d), CUSTOMER)
+    return status
+
+
+FEED_SQL = """
+feed AS (
+  SELECT c_custkey AS id, 1 AS seq, 'start' AS action, 'c_acctbal' AS field, NULL AS value FROM customer
+  WHERE c_custkey % 6 IN (0, 1, 2, 3)
+  UNION ALL SELECT c_custkey, 2, 'set', 'c_acctbal', printf('%.2f', c_acctbal + 1) FROM customer WHERE c_custkey % 6 IN (0, 2, 3)
+  UNION ALL SELECT c_custkey, 3, 'set', 'c_acctbal', printf('%.2f', c_acctbal + 2) FROM customer WHERE c_custkey % 6 = 0
+  UNION ALL SELECT c_custkey, 4, 'save', 'c_acctbal', NULL FROM customer WHERE c_custkey % 6 = 0
+  UNION ALL SELECT c_custkey, 2, 'set', 'c_acctbal', 'abc' FROM customer WHERE c_custkey % 6 = 1
+  UNION ALL SELECT c_custkey, 3, 'save', 'c_acctbal', NULL FROM customer WHERE c_custkey % 6 = 1
+  UNION ALL SELECT c_custkey, 3, 'cancel', NULL, NULL FROM customer WHERE c_custkey % 6 = 2
+  UNION ALL SELECT c_custkey, 3, 'save', 'c_acctbal', NULL FROM customer WHERE c_custkey % 6 = 3
+  UNION ALL SELECT c_custkey, 4, 'cancel', NULL, NULL FROM customer WHERE c_custkey % 6 = 3
+  UNION ALL SELECT c_custkey, 1, 'start', 'c_mktsegment', NULL FROM customer WHERE c_custkey % 6 = 4
+  UNION ALL SELECT c_custkey, 2, 'set', 'c_mktsegment', 'MACHINERY' FROM customer WHERE c_custkey % 6 = 4
+  UNION ALL SELECT c_custkey, 3, 'end', 'c_mktsegment', NULL FROM customer WHERE c_custkey % 6 = 4
+  UNION ALL SELECT c_custkey, 4, 'save', 'c_mktsegment', NULL FROM customer WHERE c_custkey % 6 = 4
+  UNION ALL SELECT c_custkey, 1, 'set', 'c_acctbal', '5.00' FROM customer WHERE c_custkey % 6 = 5
+  UNION ALL SELECT c_custkey, 2, 'start', 'c_name', NULL FROM customer WHERE c_custkey % 6 = 5
+  UNION ALL SELECT c_custkey, 3, 'set', 'c_name', 'renamed' FROM customer WHERE c_custkey % 6 = 5
+  UNION ALL SELECT c_custkey, 4, 'end', 'c_name', NULL FROM customer WHERE c_custkey % 6 = 5),
+fv AS (SELECT *, CASE WHEN field = 'c_acctbal' AND action = 'set'
+                      THEN value = '' OR COALESCE(TRY_CAST(value AS DOUBLE) BETWEEN -1000 AND 10000, false)
+                      ELSE true END AS valid FROM feed),
+fs AS (SELECT *, COALESCE(SUM(CASE WHEN action = 'cancel' THEN 1 ELSE 0 END) OVER (
+         PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS session FROM fv),
+fo AS (SELECT *, MAX(CASE WHEN action = 'start' THEN 1 ELSE 0 END) OVER (
+         PARTITION BY id, session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 AS open FROM fs),
+fc AS (SELECT *, last_value(CASE WHEN action = 'set' AND open AND valid THEN {'v': value} END IGNORE NULLS) OVER (
+         PARTITION BY id, session, field ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cached
+       FROM fo)
+"""
+
+
+def customer_feed(spark, d) -> DataFrame:
+    c = read_table(spark, d, "customer")
+    k = F.col("c_custkey")
+    m = k % 6
+    b1 = F.format_string("%.2f", F.col("c_acctbal") + 1)
+    b2 = F.format_string("%.2f", F.col("c_acctbal") + 2)
+
+    def ev(cond, seq, action, field, value=None):
+        return F.when(cond, F.struct(F.lit(seq).alias("seq"), F.lit(action).alias("action"),
+                                     F.lit(field).cast("string").alias("field"),
+                                     (value if value is not None else F.lit(None)).cast("string").alias("value")))
+
+    entries = F.array(
+        ev(m.isin(0, 1, 2, 3), 1, "start", "c_acctbal"),
+        ev(m.isin(0, 2, 3), 2, "set", "c_acctbal", b1),
+        ev(m == 0, 3, "set", "c_acctbal", b2), ev(m == 0, 4, "save", "c_acctbal"),
+        ev(m == 1, 2, "set", "c_acctbal", F.lit("abc")), ev(m == 1, 3, "save", "c_acctbal"),
+        ev(m == 2, 3, "cancel", None),
+        ev(m == 3, 3, "save", "c_acctbal"), ev(m == 3, 4, "cancel", None),
+        ev(m == 4, 1, "start", "c_mktsegment"), ev(m == 4, 2, "set", "c_mktsegment", F.lit("MACHINERY")),
+        ev(m == 4, 3, "end", "c_mktsegment"), ev(m == 4, 4, "save", "c_mktsegment"),
+        ev(m == 5, 1, "set", "c_acctbal", F.lit("5.00")), ev(m == 5, 2, "start", "c_name"),
+        ev(m == 5, 3, "set", "c_name", F.lit("renamed")), ev(m == 5, 4, "end", "c_name"))
+    return c.select(k.alias("id"), F.explode(entries).alias("e")).filter(F.col("e").isNotNull()) \
+        .select("id", "e.seq", "e.action", "e.field", "e.value")
+
+
+@register("apply_edit_feed", f"""
+WITH {FEED_SQL},
+good AS (SELECT id, field, arg_max(cached.v, seq) AS value FROM fc
+         WHERE action = 'save' AND open AND cached IS NOT NULL GROUP BY id, field),
+p AS (SELECT id,
+        MAX(CASE WHEN field = 'c_name' THEN 1 END) AS s_name, MAX(CASE WHEN field = 'c_name' THEN value END) AS v_name,
+        MAX(CASE WHEN field = 'c_nationkey' THEN 1 END) AS s_nat,
+        MAX(CASE WHEN field = 'c_nationkey' THEN value END) AS v_nat,
+        MAX(CASE WHEN field = 'c_acctbal' THEN 1 END) AS s_bal, MAX(CASE WHEN field = 'c_acctbal' THEN value END) AS v_bal,
+        MAX(CASE WHEN field = 'c_mktsegment' THEN 1 END) AS s_seg,
+        MAX(CASE WHEN field = 'c_mktsegment' THEN value END) AS v_seg
+      FROM good GROUP BY id)
+{APPLY_WIDE_SQL}
+""")
+def q_apply_edit_feed(spark, d):
+    from tabrisk.operators.changes import apply_edit_feed
+    new, _ = apply_edit_feed(read_table(spark, d, "customer"), customer_feed(spark, d), CUSTOMER)
+    return new
+
+
+@register("edit_feed_status", f"""
+WITH {FEED_SQL}
+SELECT id, seq, action, field,
+       CASE WHEN action IN ('cancel', 'start') THEN 'ok' WHEN NOT open THEN 'no open session'
+            WHEN action = 'set' AND NOT valid THEN 'bad format' ELSE 'ok' END AS status
+FROM fc
+""")
+def q_edit_feed_status(spark, d):
+    from tabrisk.operators.changes import edit_feed_changes
+    _, status = edit_feed_changes(customer_feed(spark, d), CUSTOMER)
+    return status
+
+
+@register("pending_edits", f"""
+WITH {FEED_SQL},
+cur_s AS (SELECT id, MAX(session) AS cur, arg_max(action, seq) AS last_action FROM fc GROUP BY id),
+cur AS (SELECT fc.* FROM fc JOIN cur_s USING (id) WHERE session = cur),
+marker AS (SELECT id, arg_max({{'action': action, 'field': field}}, seq) AS m FROM cur
+           WHERE action = 'start' OR (action IN ('end', 'save') AND open) GROUP BY id),
+sets AS (SELECT id, field, MAX(seq) AS set_seq FROM cur WHERE action = 'set' AND open AND valid GROUP BY id, field),
+saves AS (SELECT id, field, MAX(seq) AS save_seq FROM cur WHERE action = 'save' AND open GROUP BY id, field),
+unsaved AS (SELECT id, COUNT(*) AS n FROM sets LEFT JOIN saves USING (id, field)
+            WHERE save_seq IS NULL OR save_seq < set_seq GROUP BY id),
+opened AS (SELECT id FROM cur GROUP BY id HAVING MAX(CAST(open AS INTEGER)) = 1)
+SELECT o.id, CAST(COALESCE(m.m.action = 'start', false) AS INTEGER) AS is_editing,
+       CASE WHEN m.m.action = 'start' THEN m.m.field END AS editing_field,
+       CAST(COALESCE(u.n, 0) AS BIGINT) AS n_unsaved
+FROM opened o JOIN cur_s s USING (id) LEFT JOIN marker m USING (id) LEFT JOIN unsaved u USING (id)
+WHERE s.last_action <> 'cancel'
+""")
+def q_pending_edits(spark, d):
+    from tabrisk.operators.changes import pending_edits
+    return pending_edits(customer_feed(spark, d), CUSTOMER)

@@ -1,0 +1,22 @@
+"""Broadcast only behind a checked size.
+
+A side is broadcast when it provably has at most ``max_rows`` rows: ``limit(max_rows + 1).count()``
+stops reading as soon as the limit is passed, so the check costs at most ``max_rows + 1`` rows. Above
+the limit the DataFrame is returned without a hint, and Spark plans a shuffle join (AQE may still
+switch to a broadcast at run time from the real shuffle sizes).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 1_000_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
