@@ -819,3 +819,253 @@ WHERE s.last_action <> 'cancel'
 def q_pending_edits(spark, d):
     from tabrisk.operators.changes import pending_edits
     return pending_edits(customer_feed(spark, d), CUSTOMER)
+
+
+# ---------------------------------------------------------------------------------------------
+# Feature preparation
+# ---------------------------------------------------------------------------------------------
+
+@register("fill_unknown", """
+SELECT c_custkey, CASE WHEN c_custkey % 8 = 0 THEN 'Unknown' ELSE c_mktsegment END AS c_mktsegment FROM customer
+""")
+def q_fill_unknown(spark, d):
+    from tabrisk.operators.features import FillUnknown
+    c = read_table(spark, d, "customer")
+    c = c.select("c_custkey", F.when(F.col("c_custkey") % 8 == 0, F.lit(None)).otherwise(F.col("c_mktsegment"))
+                 .alias("c_mktsegment"))
+    return FillUnknown(inputCols=["c_mktsegment"]).transform(c)
+
+
+_PRIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@register("one_hot", "SELECT o_orderkey, o_totalprice, "
+          + ", ".join(f"CAST(o_orderstatus = '{v}' AS INTEGER) AS \"o_orderstatus_{v}\"" for v in "FOP") + ", "
+          + ", ".join(f"CAST(o_orderpriority = '{v}' AS INTEGER) AS \"o_orderpriority_{v}\"" for v in _PRIOS)
+          + " FROM orders")
+def q_one_hot(spark, d):
+    from tabrisk.operators.features import OneHot
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    model = OneHot(inputCols=["o_orderstatus", "o_orderpriority"]).fit(o)
+    return model.transform(o)
+
+
+@register("impute_simple", f"""
+WITH {CUSTOMER_GAPS_SQL}
+SELECT c_custkey, COALESCE(c_acctbal, 0.0) AS c_acctbal FROM customer_g
+""")
+def q_impute_simple(spark, d):
+    from tabrisk.operators.features import ZeroFill
+    return ZeroFill(inputCols=["c_acctbal"]).transform(customer_with_gaps(spark, d).select("c_custkey", "c_acctbal"))
+
+
+@register("impute_mean", f"""
+WITH {CUSTOMER_GAPS_SQL}
+SELECT c_custkey, ROUND(COALESCE(c_acctbal, (SELECT AVG(c_acctbal) FROM customer_g)), 6) AS c_acctbal FROM customer_g
+""")
+def q_impute_mean(spark, d):
+    from tabrisk.operators.features import MeanFill
+    c = customer_with_gaps(spark, d).select("c_custkey", "c_acctbal")
+    out = MeanFill(inputCols=["c_acctbal"]).fit(c).transform(c)
+    return out.select("c_custkey", F.round("c_acctbal", 6).alias("c_acctbal"))
+
+
+@register("standardize", """
+WITH s AS (SELECT AVG(o_totalprice) AS m1, STDDEV_POP(o_totalprice) AS s1,
+                  AVG(CAST(o_custkey AS DOUBLE)) AS m2, STDDEV_POP(CAST(o_custkey AS DOUBLE)) AS s2 FROM orders)
+SELECT o_orderkey, ROUND((o_totalprice - m1) / s1, 4) AS o_totalprice,
+       ROUND((CAST(o_custkey AS DOUBLE) - m2) / s2, 4) AS o_custkey, CAST(0.0 AS DOUBLE) AS const_col
+FROM orders, s
+""")
+def q_standardize(spark, d):
+    from tabrisk.operators.features import PopulationScaler
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey",
+                                              F.lit(7.0).alias("const_col"))
+    cols = ["o_totalprice", "o_custkey", "const_col"]
+    out = PopulationScaler(inputCols=cols).fit(o).transform(o)
+    return out.select("o_orderkey", *[F.round(c, 4).alias(c) for c in cols])
+
+
+@register("align_features", """
+SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, CAST(0.0 AS DOUBLE) AS missing_feature, o_totalprice
+FROM orders
+""")
+def q_align_features(spark, d):
+    from tabrisk.operators.features import AlignFeatures
+    o = read_table(spark, d, "orders")  # extra columns (status, date, priority) are dropped
+    return AlignFeatures(features=["o_custkey", "missing_feature", "o_totalprice"], keepCols=["o_orderkey"]) \
+        .transform(o)
+
+
+# ---------------------------------------------------------------------------------------------
+# A fixed linear score on lineitem with the planted label
+# ---------------------------------------------------------------------------------------------
+
+LINE_WEIGHTS = {"l_extendedprice": 1 / 9000.0, "l_tax": 5.0, "l_discount": -3.0}
+LINE_INTERCEPT = -42000 / 9000.0 - 0.2
+
+SCORED_SQL = f"""
+scored AS (
+  SELECT CAST(l_extendedprice * (1 - l_discount) > 40000 AS INTEGER) AS label,
+         ROUND(1.0 / (1.0 + exp(-(({LINE_INTERCEPT!r}) + l_extendedprice * ({LINE_WEIGHTS['l_extendedprice']!r})
+                           + l_tax * ({LINE_WEIGHTS['l_tax']!r}) + l_discount * ({LINE_WEIGHTS['l_discount']!r})))), 9)
+           AS score
+  FROM lineitem)
+"""
+
+
+def lineitem_scored(spark, d) -> DataFrame:
+    from tabrisk.operators.models import linear_score
+    li = read_table(spark, d, "lineitem")
+    label = ((F.col("l_extendedprice") * (1 - F.col("l_discount"))) > 40000).cast("int")
+    # the score is rounded to 9 decimals so that both engines group the same rows into one threshold
+    return li.select(label.alias("label"), F.round(linear_score(LINE_WEIGHTS, LINE_INTERCEPT), 9).alias("score"))
+
+
+@register("score_linear", f"WITH {SCORED_SQL} SELECT label, score FROM scored")
+def q_score_linear(spark, d):
+    return lineitem_scored(spark, d)
+
+
+@register("counts", f"""
+WITH {SCORED_SQL}
+SELECT COUNT(*) AS n_rows, CAST(SUM(label) AS BIGINT) AS n_pos, CAST(SUM(1 - label) AS BIGINT) AS n_neg, 2 AS n_cols
+FROM scored
+""")
+def q_counts(spark, d):
+    from tabrisk.operators.metrics import counts
+    return counts(lineitem_scored(spark, d))
+
+
+@register("accuracy", f"WITH {SCORED_SQL} SELECT ROUND(AVG(CAST((score > 0.5) = (label = 1) AS DOUBLE)), 6) "
+                      "AS accuracy FROM scored")
+def q_accuracy(spark, d):
+    from tabrisk.operators.metrics import accuracy
+    return accuracy(lineitem_scored(spark, d)).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+@register("log_loss", f"""
+WITH {SCORED_SQL}
+SELECT ROUND(-AVG(CASE WHEN label = 1 THEN ln(LEAST(GREATEST(score, 1e-15), 1 - 1e-15))
+                       ELSE ln(1 - LEAST(GREATEST(score, 1e-15), 1 - 1e-15)) END), 6) AS log_loss
+FROM scored
+""")
+def q_log_loss(spark, d):
+    from tabrisk.operators.metrics import log_loss
+    return log_loss(lineitem_scored(spark, d)).select(F.round("log_loss", 6).alias("log_loss"))
+
+
+ROC_SQL = """
+sc AS (SELECT score AS threshold, CAST(SUM(label) AS DOUBLE) AS pos, CAST(SUM(1 - label) AS DOUBLE) AS neg
+       FROM scored GROUP BY score),
+c AS (SELECT *, SUM(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS pc,
+                SUM(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS nc FROM sc)
+"""
+
+
+@register("roc_curve", f"""
+WITH {SCORED_SQL}, {ROC_SQL}
+SELECT threshold, ROUND(nc / (SELECT SUM(neg) FROM sc), 6) AS fpr,
+       ROUND(pc / (SELECT SUM(pos) FROM sc), 6) AS tpr FROM c
+""")
+def q_roc_curve(spark, d):
+    from tabrisk.operators.metrics import roc_curve
+    r = roc_curve(lineitem_scored(spark, d))
+    return r.select("threshold", *[F.round(c, 6).alias(c) for c in ("fpr", "tpr")])
+
+
+@register("auc", f"""
+WITH {SCORED_SQL}, {ROC_SQL}
+SELECT ROUND(SUM(neg * (pc - pos + pos / 2.0)) / (SUM(pos) * SUM(neg)), 6) AS auc FROM c
+""")
+def q_auc(spark, d):
+    from tabrisk.operators.metrics import auc
+    return auc(lineitem_scored(spark, d)).select(F.round("auc", 6).alias("auc"))
+
+
+@register("confusion_matrix", f"""
+WITH {SCORED_SQL}
+SELECT label AS actual, CAST(SUM(CASE WHEN score > 0.5 THEN 0 ELSE 1 END) AS BIGINT) AS pred_0,
+       CAST(SUM(CASE WHEN score > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS pred_1
+FROM scored GROUP BY label
+""")
+def q_confusion_matrix(spark, d):
+    from tabrisk.operators.metrics import confusion_matrix
+    return confusion_matrix(lineitem_scored(spark, d))
+
+
+@register("class_report", f"""
+WITH {SCORED_SQL},
+g AS (SELECT CAST(SUM(CASE WHEN label = 0 AND score <= 0.5 THEN 1 ELSE 0 END) AS DOUBLE) AS c00,
+             CAST(SUM(CASE WHEN label = 0 AND score > 0.5 THEN 1 ELSE 0 END) AS DOUBLE) AS c01,
+             CAST(SUM(CASE WHEN label = 1 AND score <= 0.5 THEN 1 ELSE 0 END) AS DOUBLE) AS c10,
+             CAST(SUM(CASE WHEN label = 1 AND score > 0.5 THEN 1 ELSE 0 END) AS DOUBLE) AS c11 FROM scored),
+k AS (SELECT '0' AS class, c00 AS tp, c10 AS fp, c01 AS fn FROM g
+      UNION ALL SELECT '1', c11, c01, c10 FROM g),
+p AS (SELECT class, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+             CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, tp + fn AS support FROM k),
+per AS (SELECT class, precision, recall,
+               CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+               support FROM p),
+n AS (SELECT SUM(support) AS n FROM per),
+a AS (SELECT (c00 + c11) / (c00 + c01 + c10 + c11) AS a FROM g),
+allrows AS (
+  SELECT class, precision, recall, f1, support FROM per
+  UNION ALL SELECT 'accuracy', a, a, a, n FROM a, n
+  UNION ALL SELECT 'macro avg', AVG(precision), AVG(recall), AVG(f1), (SELECT n FROM n) FROM per
+  UNION ALL SELECT 'weighted avg', SUM(precision * support) / (SELECT n FROM n), SUM(recall * support) / (SELECT n FROM n),
+                   SUM(f1 * support) / (SELECT n FROM n), (SELECT n FROM n) FROM per)
+SELECT class, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall, ROUND(f1, 6) AS f1, support FROM allrows
+""")
+def q_class_report(spark, d):
+    from tabrisk.operators.metrics import class_report
+    r = class_report(lineitem_scored(spark, d))
+    return r.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+# ---------------------------------------------------------------------------------------------
+# Stratified folds and cross-validated metrics of a fixed score on orders
+# ---------------------------------------------------------------------------------------------
+
+FOLDS_SQL = """
+lab AS (SELECT o_orderkey, o_totalprice, CAST(o_orderstatus = 'F' AS INTEGER) AS label FROM orders),
+folds AS (SELECT o_orderkey, o_totalprice, label,
+                 CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'),
+                                          o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM lab)
+"""
+
+
+def orders_labeled(spark, d) -> DataFrame:
+    o = read_table(spark, d, "orders")
+    return o.select("o_orderkey", "o_totalprice", (F.col("o_orderstatus") == "F").cast("int").alias("label"))
+
+
+@register("stratified_folds", f"WITH {FOLDS_SQL} SELECT o_orderkey, label, fold FROM folds")
+def q_stratified_folds(spark, d):
+    from tabrisk.operators.models import stratified_folds
+    return stratified_folds(orders_labeled(spark, d), "o_orderkey", "label", 5, 42).select("o_orderkey", "label", "fold")
+
+
+@register("cv_summary", f"""
+WITH {FOLDS_SQL},
+s AS (SELECT fold, label, 1.0 / (1.0 + exp(-((o_totalprice - 150000.0) / 50000.0))) AS score FROM folds),
+m AS (SELECT fold, AVG(CAST((score > 0.5) = (label = 1) AS DOUBLE)) AS accuracy,
+             -AVG(CASE WHEN label = 1 THEN ln(LEAST(GREATEST(score, 1e-15), 1 - 1e-15))
+                       ELSE ln(1 - LEAST(GREATEST(score, 1e-15), 1 - 1e-15)) END) AS log_loss
+      FROM s GROUP BY fold),
+sc AS (SELECT fold, score, CAST(SUM(label) AS DOUBLE) AS pos, CAST(SUM(1 - label) AS DOUBLE) AS neg
+       FROM s GROUP BY fold, score),
+c AS (SELECT *, SUM(pos) OVER (PARTITION BY fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS pc FROM sc),
+a AS (SELECT fold, SUM(neg * (pc - pos + pos / 2.0)) / (SUM(pos) * SUM(neg)) AS auc FROM c GROUP BY fold),
+pf AS (SELECT * FROM m JOIN a USING (fold)),
+long AS (SELECT 'accuracy' AS metric, accuracy AS value FROM pf UNION ALL SELECT 'log_loss', log_loss FROM pf
+         UNION ALL SELECT 'auc', auc FROM pf)
+SELECT metric, ROUND(AVG(value), 6) AS mean, ROUND(STDDEV_POP(value), 6) AS std FROM long GROUP BY metric
+""")
+def q_cv_summary(spark, d):
+    from tabrisk.operators.metrics import cv_summary, fold_metrics
+    from tabrisk.operators.models import stratified_folds
+    f = stratified_folds(orders_labeled(spark, d), "o_orderkey", "label", 5, 42)
+    s = f.select("fold", "label", (1.0 / (1.0 + F.exp(-((F.col("o_totalprice") - 150000.0) / 50000.0)))).alias("score"))
+    out = cv_summary(fold_metrics(s))
+    return out.select("metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))

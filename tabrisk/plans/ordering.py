@@ -30,14 +30,14 @@ def _target_partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _offsets(df: DataFrame, pid: str, value: str, out: str, spark) -> DataFrame:
+def _offsets(df: DataFrame, pid: str, value: str, out: str, spark, as_float: bool = False) -> DataFrame:
     totals = df.groupBy(pid).agg(F.sum(value).alias("_t")).collect()  # one row per partition
-    acc, rows = 0, []
+    acc, rows = (0.0 if as_float else 0), []
     for r in sorted(totals, key=lambda r: r[0]):
         rows.append((r[0], acc))
         acc += r[1] or 0
-    schema = T.StructType([T.StructField(pid, T.IntegerType()), T.StructField(out, T.LongType()
-                           if isinstance(acc, int) else T.DoubleType())])
+    schema = T.StructType([T.StructField(pid, T.IntegerType()),
+                           T.StructField(out, T.DoubleType() if as_float else T.LongType())])
     return spark.createDataFrame(rows, schema)
 
 
@@ -91,7 +91,8 @@ def cumulative(df: DataFrame, order: Sequence[Column], sum_cols: Sequence[str],
     local = sorted_df.mapInPandas(run, schema).checkpoint(eager=True)
     result = local
     for c in cols:
-        offs = _offsets(local.withColumn("_v", F.col(c).cast("double")), "_pid", "_v", "_off_" + c, spark)
+        offs = _offsets(local.withColumn("_v", F.col(c).cast("double")), "_pid", "_v", "_off_" + c, spark,
+                        as_float=True)
         result = result.join(F.broadcast(offs), "_pid")
         result = result.withColumn(c + suffix, F.col(c + suffix) + F.col("_off_" + c)).drop("_off_" + c)
     return result.drop("_pid")
