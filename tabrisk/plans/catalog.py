@@ -1069,3 +1069,59 @@ def q_cv_summary(spark, d):
     s = f.select("fold", "label", (1.0 / (1.0 + F.exp(-((F.col("o_totalprice") - 150000.0) / 50000.0)))).alias("score"))
     out = cv_summary(fold_metrics(s))
     return out.select("metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+# ---------------------------------------------------------------------------------------------
+# exact KNN imputation on part (derived gaps); the oracle is a brute-force comparison
+# ---------------------------------------------------------------------------------------------
+
+KNN_FEATURES = ["p_size", "p_retailprice", "p_wt", "p_len"]
+
+
+def part_with_gaps(spark, d) -> DataFrame:
+    p = read_table(spark, d, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        "p_partkey",
+        F.when(k % 9 == 0, F.lit(None)).otherwise(F.col("p_size").cast("double")).alias("p_size"),
+        F.when(k % 13 == 0, F.lit(None)).otherwise(F.col("p_retailprice")).alias("p_retailprice"),
+        ((k * 37) % 101).cast("double").alias("p_wt"),
+        F.length("p_name").cast("double").alias("p_len"))
+
+
+def _knn_sql() -> str:
+    feats = KNN_FEATURES
+    both = lambda c: f"(q.{c} IS NOT NULL AND d.{c} IS NOT NULL)"
+    nb = " + ".join(f"CASE WHEN {both(c)} THEN 1 ELSE 0 END" for c in feats)
+    ss = "CAST(0 AS DOUBLE) + " + " + ".join(
+        f"CASE WHEN {both(c)} THEN (q.{c} - d.{c}) * (q.{c} - d.{c}) ELSE CAST(0 AS DOUBLE) END" for c in feats)
+    pick = "CASE q.col " + " ".join(f"WHEN '{c}' THEN d.{c}" for c in feats) + " END"
+    missing = " OR ".join(f"(c.col = '{c}' AND pp.{c} IS NULL)" for c in feats)
+    cols = ", ".join(
+        f"ROUND(COALESCE(pp.{c}, i.{c}, (SELECT AVG({c}) FROM pp)), 6) AS {c}" for c in feats)
+    piv = ", ".join(f"MAX(CASE WHEN col = '{c}' THEN value END) AS {c}" for c in feats)
+    return f"""
+WITH pp AS (
+  SELECT p_partkey,
+         CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS p_size,
+         CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice,
+         CAST((p_partkey * 37) % 101 AS DOUBLE) AS p_wt, CAST(length(p_name) AS DOUBLE) AS p_len
+  FROM part),
+q AS (SELECT pp.*, c.col FROM pp, (VALUES {", ".join(f"('{c}')" for c in feats)}) c(col) WHERE {missing}),
+pairs AS (SELECT q.p_partkey AS qid, q.col, d.p_partkey AS pid, {pick} AS v, {nb} AS nb, {ss} AS ss FROM q, pp d),
+cand AS (SELECT *, sqrt(CAST({len(feats)} AS DOUBLE) / nb * ss) AS dist FROM pairs WHERE nb > 0 AND v IS NOT NULL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, col ORDER BY dist, pid) AS rn FROM cand)
+        WHERE rn <= 5),
+imp AS (SELECT qid, col, AVG(v) AS value FROM top GROUP BY qid, col),
+i AS (SELECT qid, {piv} FROM imp GROUP BY qid)
+SELECT pp.p_partkey, {cols} FROM pp LEFT JOIN i ON pp.p_partkey = i.qid
+"""
+
+
+@register("impute_knn", _knn_sql())
+def q_impute_knn(spark, d):
+    from tabrisk.operators.knn import KnnImputer
+    p = part_with_gaps(spark, d)
+    model = KnnImputer("p_partkey", KNN_FEATURES, k=5).fit(p)
+    out = model.transform(p)
+    return out.select("p_partkey", *[F.round(c, 6).alias(c) for c in KNN_FEATURES])
