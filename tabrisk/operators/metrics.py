@@ -142,3 +142,23 @@ def cv_summary(per_fold: DataFrame, metrics=("accuracy", "log_loss", "auc")) ->
                                                          .alias("value")) for m in metrics])).alias("e"))
     return long.groupBy(F.col("e.metric").alias("metric")).agg(
         F.avg("e.value").alias("mean"), F.stddev_pop("e.value").alias("std"))
+
+
+def case_report(df: DataFrame, prep, model, id_col: str, label: str = "label", n: int = 2,
+                seed: int = 42) -> DataFrame:
+    """N rows per class and n rows of any class (hash-ordered exact samples), scored; per row the
+    probability, predicted class, correct flag; per group the accuracy (window over the <= 3n rows)."""
+    from pyspark.sql import Window
+
+    from tabrisk.operators.models import score_batch
+    from tabrisk.operators.query import sample_n, sample_per_class
+
+    per_class = sample_per_class(df, id_col, label, n, seed).withColumn(
+        "grp", F.when(F.col(label) == 1, F.lit("positive")).otherwise(F.lit("negative")))
+    anyc = sample_n(df, id_col, n, seed + 1).withColumn("grp", F.lit("random"))
+    cases = per_class.unionByName(anyc)
+    scored = score_batch(prep, model, cases, keep=[id_col, label, "grp"])
+    pred = threshold_label("score")
+    out = scored.select("grp", id_col, F.col(label).alias("actual"), F.col("score").alias("probability"),
+                        pred.alias("predicted"), (pred == F.col(label)).cast("int").alias("correct"))
+    return out.withColumn("group_accuracy", F.avg("correct").over(Window.partitionBy("grp")))

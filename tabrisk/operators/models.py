@@ -51,3 +51,208 @@ def positive_probability(col: str = "probability") -> Column:
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
+
+
+# ---------------------------------------------------------------------------------------------
+# feature preparation fitted once (F1, F2, F4, F5, F6 + vector)
+# ---------------------------------------------------------------------------------------------
+
+def fit_feature_prep(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
+                     keep: Sequence[str] = (), missing: str = "mean", scale: bool = True):
+    """Fit the preparation chain on ``df`` and return a ``PipelineModel`` producing ``features``.
+
+    Stages: NULL category -> 'Unknown'; one-hot (values seen in fit); NULL numbers -> mean (or 0);
+    population z-score of the numeric columns; fixed feature order (missing -> 0); vector assembly.
+    The fitted feature order is ``numeric + one-hot columns`` and is stored in the ``AlignFeatures`` stage.
+    """
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+
+    from tabrisk.operators.features import (AlignFeatures, FillUnknown, MeanFill, OneHot, PopulationScaler,
+                                            ZeroFill)
+
+    cats, nums = list(categorical), list(numeric)
+    stages = []
+    cur = df
+    if cats:
+        fu = FillUnknown(inputCols=cats)
+        cur = fu.transform(cur)
+        oh = OneHot(inputCols=cats).fit(cur)
+        cur = oh.transform(cur)
+        stages += [fu, oh]
+        dummies = oh.outputCols()
+    else:
+        dummies = []
+    fill = ZeroFill(inputCols=nums) if missing == "zero" else MeanFill(inputCols=nums).fit(cur)
+    cur = fill.transform(cur)
+    stages.append(fill)
+    if scale and nums:
+        sc = PopulationScaler(inputCols=nums).fit(cur)
+        stages.append(sc)
+    feats = nums + dummies
+    # ``_keep`` carries caller columns (ids, labels, folds) through scoring untouched
+    stages.append(AlignFeatures(features=feats, keepCols=list(keep) + ["_keep"]))
+    stages.append(VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"))
+    return PipelineModel(stages)
+
+
+def feature_list(prep) -> list[str]:
+    from tabrisk.operators.features import AlignFeatures
+    for s in prep.stages:
+        if isinstance(s, AlignFeatures):
+            return list(s.getOrDefault(s.features))
+    return []
+
+
+# ---------------------------------------------------------------------------------------------
+# M1, M2: base learners
+# ---------------------------------------------------------------------------------------------
+
+def forest(num_trees: int = 200, max_depth: int = 30, min_leaf: int = 2, seed: int = 42, name: str = "rf",
+           label: str = "label"):
+    """M1: random forest without bootstrap, sqrt features per split, leaves of >= 2 rows.
+
+    The original grows trees without a depth limit; Spark caps depth at 30.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+    return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees, bootstrap=False,
+                                  featureSubsetStrategy="sqrt", minInstancesPerNode=min_leaf,
+                                  maxDepth=min(max_depth, 30), seed=seed, probabilityCol=f"prob_{name}",
+                                  rawPredictionCol=f"raw_{name}", predictionCol=f"pred_{name}")
+
+
+def boost(rounds: int = 200, rate: float = 0.05, max_depth: int = 5, subsample: float = 0.8, seed: int = 42,
+          name: str = "gbt", label: str = "label"):
+    """M2: gradient-boosted trees (Spark's level-wise GBT; no L1/L2 leaf penalties exist in it)."""
+    from pyspark.ml.classification import GBTClassifier
+    est = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=max_depth,
+                        subsamplingRate=subsample, seed=seed, predictionCol=f"pred_{name}")
+    return est.setProbabilityCol(f"prob_{name}").setRawPredictionCol(f"raw_{name}")
+
+
+def _prob_col(est) -> str:
+    return est.getOrDefault(est.probabilityCol)
+
+
+def _positive(col: str) -> Column:
+    from pyspark.ml.functions import vector_to_array
+    return vector_to_array(F.col(col))[1]
+
+
+# ---------------------------------------------------------------------------------------------
+# M3: stacking
+# ---------------------------------------------------------------------------------------------
+
+class StackingModel:
+    """Fitted stack: base models refitted on all rows + a logistic meta model on their probabilities."""
+
+    def __init__(self, bases: list, names: list[str], meta, label: str = "label"):
+        self.bases, self.names, self.meta, self.label = bases, names, meta, label
+
+    def base_scores(self, df: DataFrame) -> DataFrame:
+        out = df
+        for m, n in zip(self.bases, self.names):
+            out = m.transform(out).withColumn(f"p_{n}", _positive(_prob_col(m))) \
+                .drop(_prob_col(m), m.getOrDefault(m.rawPredictionCol), m.getOrDefault(m.predictionCol))
+        return out
+
+    def transform(self, df: DataFrame, score_col: str = "score") -> DataFrame:
+        from pyspark.ml.feature import VectorAssembler
+        s = self.base_scores(df)
+        s = VectorAssembler(inputCols=[f"p_{n}" for n in self.names], outputCol="_meta").transform(s)
+        s = self.meta.transform(s).withColumn(score_col, _positive("_meta_prob"))
+        return s.drop("_meta", "_meta_prob", "_meta_raw", "_meta_pred")
+
+    def save(self, path: str) -> None:
+        import json
+        for m, n in zip(self.bases, self.names):
+            m.write().overwrite().save(f"{path}/base_{n}")
+        self.meta.write().overwrite().save(f"{path}/meta")
+        from pyspark.sql import SparkSession
+        ss = SparkSession.getActiveSession()
+        kinds = [type(m).__name__ for m in self.bases]
+        ss.createDataFrame([(json.dumps({"names": self.names, "kinds": kinds, "label": self.label}),)], "meta string") \
+            .coalesce(1).write.mode("overwrite").text(f"{path}/layout")
+
+    @staticmethod
+    def load(path: str) -> "StackingModel":
+        import json
+
+        from pyspark.ml import classification as C
+        from pyspark.sql import SparkSession
+        ss = SparkSession.getActiveSession()
+        layout = json.loads(ss.read.text(f"{path}/layout").first()[0])
+        bases = [getattr(C, k).load(f"{path}/base_{n}") for k, n in zip(layout["kinds"], layout["names"])]
+        meta = C.LogisticRegressionModel.load(f"{path}/meta")
+        return StackingModel(bases, layout["names"], meta, layout["label"])
+
+
+class StackingClassifier:
+    """M3 (Wolpert 1992): out-of-fold base probabilities -> logistic regression; bases refitted on all rows.
+
+    Folds are stratified (M4) on ``id_col``; every base fit is a Spark ML job over the cached feature table.
+    """
+
+    def __init__(self, bases: Sequence, id_col: str, label: str = "label", inner_folds: int = 5, seed: int = 42):
+        self.bases, self.id_col, self.label, self.k, self.seed = list(bases), id_col, label, inner_folds, seed
+
+    def fit(self, df: DataFrame) -> StackingModel:
+        from pyspark import StorageLevel
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.feature import VectorAssembler
+
+        names = [_prob_col(b).replace("prob_", "") for b in self.bases]
+        folds = stratified_folds(df, self.id_col, self.label, self.k, self.seed, "_ifold") \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        oof = []
+        for f in range(self.k):
+            train = folds.filter(F.col("_ifold") != f)
+            part = folds.filter(F.col("_ifold") == f).select(self.id_col, self.label, "features")
+            for b, n in zip(self.bases, names):
+                m = b.fit(train)
+                part = m.transform(part).withColumn(f"p_{n}", _positive(_prob_col(m))) \
+                    .drop(_prob_col(m), m.getOrDefault(m.rawPredictionCol), m.getOrDefault(m.predictionCol))
+            oof.append(part.select(self.label, *[f"p_{n}" for n in names]))
+        meta_train = oof[0]
+        for o in oof[1:]:
+            meta_train = meta_train.unionByName(o)
+        meta_train = VectorAssembler(inputCols=[f"p_{n}" for n in names], outputCol="_meta").transform(meta_train)
+        meta = LogisticRegression(featuresCol="_meta", labelCol=self.label, probabilityCol="_meta_prob",
+                                  rawPredictionCol="_meta_raw", predictionCol="_meta_pred").fit(meta_train)
+        full = [b.fit(folds) for b in self.bases]
+        folds.unpersist()
+        return StackingModel(full, names, meta, self.label)
+
+
+# ---------------------------------------------------------------------------------------------
+# M5, M6: cross-validation and batch scoring
+# ---------------------------------------------------------------------------------------------
+
+def cross_validate(df: DataFrame, make_model, id_col: str, label: str = "label", k: int = 5, seed: int = 42):
+    """M5: outer stratified folds; per fold fit on the others (``make_model(train) -> scorer``) and score the
+    fold; returns (per-fold metrics, summary). Each fold is its own set of Spark jobs."""
+    from pyspark import StorageLevel
+
+    from tabrisk.operators.metrics import cv_summary, fold_metrics
+    folds = stratified_folds(df, id_col, label, k, seed, "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    scored = []
+    for f in range(k):
+        scorer = make_model(folds.filter(F.col("fold") != f))
+        s = scorer(folds.filter(F.col("fold") == f)).select("fold", F.col(label).alias("label"), "score")
+        scored.append(s.checkpoint(eager=True))
+    allp = scored[0]
+    for s in scored[1:]:
+        allp = allp.unionByName(s)
+    per = fold_metrics(allp)
+    folds.unpersist()
+    return per, cv_summary(per)
+
+
+def score_batch(prep, model, df: DataFrame, keep: Sequence[str] = (), score_col: str = "score") -> DataFrame:
+    """M6: P(label = 1) per record: fitted preparation + fitted model, a narrow map (batch or stream)."""
+    x = prep.transform(df.withColumn("_keep", F.struct(*[F.col(c) for c in keep])) if keep else df)
+    if isinstance(model, StackingModel):
+        out = model.transform(x, score_col)
+    else:
+        out = model.transform(x).withColumn(score_col, _positive(_prob_col(model)))
+    return out.select("_keep.*", score_col) if keep else out.select(score_col)

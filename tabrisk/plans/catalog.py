@@ -1125,3 +1125,92 @@ def q_impute_knn(spark, d):
     model = KnnImputer("p_partkey", KNN_FEATURES, k=5).fit(p)
     out = model.transform(p)
     return out.select("p_partkey", *[F.round(c, 6).alias(c) for c in KNN_FEATURES])
+
+
+# ---------------------------------------------------------------------------------------------
+# Trained models on lineitem with the planted label (rows-only checks)
+# ---------------------------------------------------------------------------------------------
+
+LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_CAT = ["l_returnflag", "l_linestatus"]
+# small settings for the registered queries; the library defaults are the original's
+SMALL_FOREST = dict(num_trees=10, max_depth=8)
+SMALL_BOOST = dict(rounds=10, max_depth=4, rate=0.3)
+
+
+def lineitem_labeled(spark, d) -> DataFrame:
+    """lineitem with the planted label and a row key (the whole row is the only unique key)."""
+    li = read_table(spark, d, "lineitem")
+    key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in li.columns]))
+    label = ((F.col("l_extendedprice") * (1 - F.col("l_discount"))) > 40000).cast("int")
+    return li.select(key.alias("row_key"), *LINE_NUM, *LINE_CAT, label.alias("label"))
+
+
+def _prepared(spark, d):
+    from tabrisk.operators.models import fit_feature_prep
+    df = lineitem_labeled(spark, d)
+    prep = fit_feature_prep(df, LINE_CAT, LINE_NUM, keep=["row_key", "label"])
+    return df, prep, prep.transform(df)
+
+
+@register("fit_forest")
+def q_fit_forest(spark, d):
+    from tabrisk.operators.models import forest, score_batch
+    df, prep, x = _prepared(spark, d)
+    model = forest(**SMALL_FOREST).fit(x)
+    return score_batch(prep, model, df, keep=["row_key", "label"])
+
+
+@register("fit_boost")
+def q_fit_boost(spark, d):
+    from tabrisk.operators.models import boost, score_batch
+    df, prep, x = _prepared(spark, d)
+    model = boost(**SMALL_BOOST).fit(x)
+    return score_batch(prep, model, df, keep=["row_key", "label"])
+
+
+@register("fit_stack")
+def q_fit_stack(spark, d):
+    from tabrisk.operators.models import StackingClassifier, boost, forest, score_batch
+    df, prep, x = _prepared(spark, d)
+    stack = StackingClassifier([forest(**SMALL_FOREST), boost(**SMALL_BOOST)], "row_key", inner_folds=3).fit(x)
+    return score_batch(prep, stack, df, keep=["row_key", "label"])
+
+
+@register("cross_validate")
+def q_cross_validate(spark, d):
+    """Outer 3-fold CV of prep + forest (prep fitted inside each fold: no leakage)."""
+    from tabrisk.operators.models import cross_validate, fit_feature_prep, forest, score_batch
+    df = lineitem_labeled(spark, d)
+
+    def make(train):
+        prep = fit_feature_prep(train, LINE_CAT, LINE_NUM, keep=["row_key", "label", "fold"])
+        model = forest(**SMALL_FOREST).fit(prep.transform(train))
+        return lambda part: score_batch(prep, model, part, keep=["fold", "label"])
+
+    per, summary = cross_validate(df, make, "row_key", k=3)
+    return summary
+
+
+@register("score_batch")
+def q_score_batch(spark, d):
+    """Fit, save (S9), reload and score: the serving path of a stored model."""
+    from tabrisk.operators.models import boost, score_batch
+    from tabrisk.sources.state import load_scorer, save_scorer
+    from tabrisk.session import scratch_path
+    df, prep, x = _prepared(spark, d)
+    model = boost(**SMALL_BOOST).fit(x)
+    path = scratch_path(spark, "models")
+    save_scorer(path, prep, model, spark)
+    prep2, model2 = load_scorer(path)
+    return score_batch(prep2, model2, df, keep=["row_key", "label"])
+
+
+@register("case_report")
+def q_case_report(spark, d):
+    """2 positive, 2 negative and 2 any-class rows, scored, with the correct flag and group accuracy."""
+    from tabrisk.operators.metrics import case_report
+    from tabrisk.operators.models import boost
+    df, prep, x = _prepared(spark, d)
+    model = boost(**SMALL_BOOST).fit(x)
+    return case_report(df, prep, model, "row_key", "label", n=2, seed=42)
