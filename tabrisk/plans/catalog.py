@@ -1214,3 +1214,123 @@ def q_case_report(spark, d):
     df, prep, x = _prepared(spark, d)
     model = boost(**SMALL_BOOST).fit(x)
     return case_report(df, prep, model, "row_key", "label", n=2, seed=42)
+
+
+# ---------------------------------------------------------------------------------------------
+# Snapshots and export
+# ---------------------------------------------------------------------------------------------
+
+@register("export_list", ORACLE["search_multi"])
+def q_export_list(spark, d):
+    """The displayed (searched + sorted) list written as header CSV and read back."""
+    from tabrisk.session import scratch_path
+    from tabrisk.sources.export import export_csv, read_export
+    shown = q_search_multi(spark, d)
+    path = scratch_path(spark, "exports")
+    export_csv(shown.orderBy("pos"), path)
+    return read_export(spark, path, shown.schema)
+
+
+@register("snapshot_commit", ORACLE["update_fields"])
+def q_snapshot_commit(spark, d):
+    """Update batch applied, committed as a new snapshot version, and the latest version read back."""
+    from tabrisk.operators.changes import update_fields
+    from tabrisk.session import scratch_path
+    from tabrisk.sources.snapshots import SnapshotStore
+    store = SnapshotStore(spark, scratch_path(spark, "tables"))
+    store.commit(read_table(spark, d, "customer"))
+    new, _ = update_fields(store.read(), customer_changes(spark, d), CUSTOMER)
+    store.commit(new)
+    return store.read()
+
+
+@register("append_rows", ORACLE["insert_rows"])
+def q_append_rows(spark, d):
+    """New rows get ids max+1.. and are appended as a new version that shares the old files."""
+    from tabrisk.operators.changes import _fill_missing, assign_ids
+    from tabrisk.session import scratch_path
+    from tabrisk.sources.snapshots import SnapshotStore
+    store = SnapshotStore(spark, scratch_path(spark, "tables"))
+    store.commit(read_table(spark, d, "customer"))
+    base = store.read()
+    rows = assign_ids(base, suppliers_as_customers(spark, d), CUSTOMER, [F.col("row_no").asc()])
+    store.append(_fill_missing(rows, base, CUSTOMER))
+    return store.read()
+
+
+# ---------------------------------------------------------------------------------------------
+# Incremental learning on events (label: event_type = 'error')
+# ---------------------------------------------------------------------------------------------
+
+def events_labeled(spark, d) -> DataFrame:
+    e = read_table(spark, d, "events")
+    return e.select("event_id", "value", F.hour("ts").cast("double").alias("hour"),
+                    (F.col("event_type") == "error").cast("int").alias("is_error"))
+
+
+def _online_cfg(rule: str = "sgd"):
+    from tabrisk.streaming.online import OnlineConfig
+    return OnlineConfig(id_col="event_id", label_col="is_error", numeric=["value", "hour"], rule=rule)
+
+
+@register("online_step", """
+WITH x AS (SELECT value AS f0, CAST(hour(ts) AS DOUBLE) AS f1, CAST(event_type = 'error' AS DOUBLE) AS y FROM events),
+s1 AS (SELECT AVG((0.5 - y) * f0) AS g0, AVG((0.5 - y) * f1) AS g1, AVG(0.5 - y) AS gb FROM x),
+p1 AS (SELECT 0.0 - 0.01 * g0 AS w0, 0.0 - 0.01 * g1 AS w1, 0.0 - 0.01 * gb AS b FROM s1),
+e2 AS (SELECT 1.0 / (1.0 + exp(-(p1.b + x.f0 * p1.w0 + x.f1 * p1.w1))) - x.y AS err, x.f0, x.f1 FROM x, p1),
+s2 AS (SELECT AVG(err * f0) AS g0, AVG(err * f1) AS g1, AVG(err) AS gb FROM e2)
+SELECT ROUND(p1.w0 - 0.01 * s2.g0, 6) AS w_value, ROUND(p1.w1 - 0.01 * s2.g1, 6) AS w_hour,
+       ROUND(p1.b - 0.01 * s2.gb, 6) AS intercept
+FROM p1, s2
+""")
+def q_online_step(spark, d):
+    """Two full-batch gradient steps of the log loss from zero weights on raw value and hour."""
+    from tabrisk.streaming.online import gradient_steps
+    x = events_labeled(spark, d).cache()
+    w, b = gradient_steps(x, ["value", "hour"], "is_error", [0.0, 0.0], 0.0, lr=0.01, steps=2)
+    x.unpersist()
+    return spark.createDataFrame([(round(w[0], 6), round(w[1], 6), round(b, 6))],
+                                 "w_value double, w_hour double, intercept double")
+
+
+def _run_batches(spark, d, sizes=(10, 50, 100)):
+    from tabrisk.session import scratch_path
+    from tabrisk.streaming.online import OnlineStore, incremental_batch
+    store = OnlineStore(spark, scratch_path(spark, "online"))
+    table = events_labeled(spark, d)
+    for n in sizes:
+        incremental_batch(spark, table, _online_cfg(), store, n=n)
+    return store
+
+
+@register("incremental_batch")
+def q_incremental_batch(spark, d):
+    """Three batches of 10, 50 and 100 new events (oldest ids first), one log row each."""
+    store = _run_batches(spark, d)
+    return store.log().select("batch_id", "samples_trained", "id_range", "last_trained_id",
+                              F.col("metrics.auc_score").alias("auc_score"), F.col("metrics.accuracy").alias("accuracy"),
+                              "auc_before", "status")
+
+
+@register("training_history")
+def q_training_history(spark, d):
+    from tabrisk.streaming.online import history_view
+    return history_view(_run_batches(spark, d, (50, 50)).log())
+
+
+@register("stream_incremental")
+def q_stream_incremental(spark, d):
+    """Structured Streaming over the events files: each micro-batch trains once (availableNow)."""
+    from tabrisk.session import scratch_path
+    from tabrisk.streaming.online import OnlineStore, run_stream
+    from tabrisk.sources.tables import table_path
+    src = spark.read.parquet(table_path(d, "events")).schema
+    store = OnlineStore(spark, scratch_path(spark, "online"))
+    cfg = _online_cfg()
+    # the stream reads raw events; label and hour are derived in each micro-batch
+    # a file stream source takes a folder or a glob; the driver's table is a single file, so glob it
+    path = table_path(d, "events")
+    glob = path[:-1] + "[" + path[-1] + "]"
+    return run_stream(spark, glob, src, cfg, store, scratch_path(spark, "stream-ckpt"),
+                      derive=lambda b: b.select("event_id", "value", F.hour("ts").cast("double").alias("hour"),
+                                                (F.col("event_type") == "error").cast("int").alias("is_error")))
