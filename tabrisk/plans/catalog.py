@@ -1334,3 +1334,73 @@ def q_stream_incremental(spark, d):
     return run_stream(spark, glob, src, cfg, store, scratch_path(spark, "stream-ckpt"),
                       derive=lambda b: b.select("event_id", "value", F.hour("ts").cast("double").alias("hour"),
                                                 (F.col("event_type") == "error").cast("int").alias("is_error")))
+
+
+# ---------------------------------------------------------------------------------------------
+# Unions, membership, domain / integral / boolean checks
+# ---------------------------------------------------------------------------------------------
+
+@register("union_rows", """
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
+UNION ALL
+SELECT s_suppkey AS c_custkey, s_name AS c_name, s_nationkey AS c_nationkey, s_acctbal AS c_acctbal,
+       CAST(NULL AS VARCHAR) AS c_mktsegment FROM supplier
+""")
+def q_union_rows(spark, d):
+    """Concatenation by name; duplicates (and colliding ids) are kept, as a plain concat does."""
+    s = read_table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"),
+        F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))
+    return read_table(spark, d, "customer").unionByName(s, allowMissingColumns=True)
+
+
+@register("key_exists", """
+SELECT DISTINCT o_custkey + 1000 AS c_custkey FROM orders WHERE o_custkey + 1000 IN (SELECT c_custkey FROM customer)
+""")
+def q_key_exists(spark, d):
+    keys = read_table(spark, d, "orders").select((F.col("o_custkey") + 1000).alias("c_custkey")).distinct()
+    return keys.join(read_table(spark, d, "customer").select("c_custkey"), "c_custkey", "left_semi")
+
+
+@register("validate_domain", """
+SELECT c_custkey, c_mktsegment,
+       CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD') AS INTEGER) AS ok FROM customer
+""")
+def q_validate_domain(spark, d):
+    from tabrisk.operators.validate import validate_domain
+    c = read_table(spark, d, "customer")
+    dom = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
+    return c.select("c_custkey", "c_mktsegment", validate_domain(c, "c_mktsegment", dom).cast("int").alias("ok"))
+
+
+@register("validate_integral", f"""
+WITH {ORDER_EDITS_SQL}
+SELECT id, value,
+       CAST(TRY_CAST(value AS DOUBLE) IS NOT NULL AND TRY_CAST(value AS DOUBLE) = floor(TRY_CAST(value AS DOUBLE))
+            AS INTEGER) AS ok,
+       CASE WHEN TRY_CAST(value AS DOUBLE) = floor(TRY_CAST(value AS DOUBLE)) THEN CAST(TRY_CAST(value AS DOUBLE) AS BIGINT) END
+         AS int_value
+FROM edits WHERE field = 'o_custkey'
+""")
+def q_validate_integral(spark, d):
+    from tabrisk.operators.validate import validate_integral
+    e = order_edits(spark, d).filter(F.col("field") == "o_custkey")
+    ok, val = validate_integral("value")
+    return e.select("id", "value", ok.cast("int").alias("ok"), val.alias("int_value"))
+
+
+@register("validate_bool", """
+WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN ' FALSE ' WHEN 2 THEN 'True'
+                                          ELSE CAST(quality AS VARCHAR) END AS value FROM labels)
+SELECT doc_id, value, CAST(lower(trim(value)) IN ('true', 'false') AS INTEGER) AS ok,
+       CASE WHEN lower(trim(value)) IN ('true', 'false') THEN lower(trim(value)) = 'true' END AS bool_value
+FROM t
+""")
+def q_validate_bool(spark, d):
+    from tabrisk.operators.validate import validate_bool
+    lab = read_table(spark, d, "labels")
+    m = F.col("doc_id") % 4
+    t = lab.select("doc_id", F.when(m == 0, "true").when(m == 1, " FALSE ").when(m == 2, "True")
+                   .otherwise(F.col("quality").cast("string")).alias("value"))
+    ok, val = validate_bool("value")
+    return t.select("doc_id", "value", ok.cast("int").alias("ok"), val.alias("bool_value"))
