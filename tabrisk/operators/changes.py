@@ -13,11 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabrisk.operators.validate import _check, coerce_update_value, rule_table
-from tabrisk.plans.ordering import ranked
+from tabrisk.plans.ordering import cumulative, ranked
 from tabrisk.plans.sizing import broadcast_if_small
 from tabrisk.spec import TableSpec
 
@@ -74,9 +74,11 @@ def insert_with_defaults(base: DataFrame, new: DataFrame, spec: TableSpec, row_c
     idc = spec.id_col
     given = new.filter(F.col(idc).isNotNull())
     taken = given.join(base.select(idc).distinct(), idc, "left_semi").select(row_col, F.lit("id exists").alias("_why"))
-    w = Window.partitionBy(idc).orderBy(row_col)
-    dup = (given.join(base.select(idc).distinct(), idc, "left_anti")
-           .withColumn("_n", F.row_number().over(w)).filter(F.col("_n") > 1)
+    # later requests for one free id: an aggregate (partial per map task), not a window per id, so a
+    # much-repeated id never lands in one task
+    free = given.join(base.select(idc).distinct(), idc, "left_anti")
+    first = free.groupBy(idc).agg(F.min(row_col).alias("_first"))
+    dup = (free.join(first, idc).filter(F.col(row_col) != F.col("_first"))
            .select(row_col, F.lit("id repeated in batch").alias("_why")))
     refused = taken.unionByName(dup)
     accepted_given = given.join(refused, row_col, "left_anti")
@@ -158,37 +160,50 @@ def update_fields(base: DataFrame, changes: DataFrame, spec: TableSpec) -> tuple
     return j.select(*cols), status
 
 
+def _sessions(feed: DataFrame, spec: TableSpec) -> DataFrame:
+    """Tag every feed event with validity, session number and whether its session is open.
+
+    session = cancels of the id before the event; open = a start of the id in that session at or before
+    the event. Both come from running counts over the global (id, seq) order (``plans.ordering.cumulative``:
+    range partitions, so one id with very many events is split over tasks) minus the count at the
+    beginning of the id / session (small per-key aggregates).
+    """
+    v = _validated(feed.select("id", "seq", "action", "field", "value"), spec)
+    v = v.withColumn("_c", (F.col("action") == "cancel").cast("double")) \
+         .withColumn("_s", (F.col("action") == "start").cast("double"))
+    cum = cumulative(v, [F.col("id").asc(), F.col("seq").asc()], ["_c", "_s"])
+    cum = cum.withColumn("_cx", F.col("_c_cum") - F.col("_c"))
+    id0 = cum.groupBy("id").agg(F.min("_cx").alias("_c0"))
+    cum = cum.join(id0, "id").withColumn("session", (F.col("_cx") - F.col("_c0")).cast("long"))
+    s0 = cum.groupBy("id", "session").agg(F.min(F.col("_s_cum") - F.col("_s")).alias("_s0"))
+    cum = cum.join(s0, ["id", "session"]).withColumn("open", (F.col("_s_cum") - F.col("_s0")) > 0)
+    return cum.drop("_c", "_s", "_c_cum", "_s_cum", "_cx", "_c0", "_s0")
+
+
 def edit_feed_changes(feed: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """Replay edit sessions ``(id, seq, action, field, value)`` into long-form changes for D5.
 
     Actions: ``start`` (opens the session cache), ``set`` (validated; refused without an open session
     or when invalid), ``end`` (clears the marker, value stays cached), ``save`` (end with save: writes
-    the cached value of that field), ``cancel`` (drops unsaved values). The session number of an event
-    is the number of cancels before it; a session is open once it has a start. A save writes the last
-    valid set of its field in its session; the result per (id, field) is the latest such save.
-    All windows are partitioned by id.
+    the cached value of that field), ``cancel`` (drops unsaved values). A save writes the last valid
+    set of its field in its session; the result per (id, field) is the latest save that wrote a value.
+    Everything after the session tagging is aggregates and equi-joins (no window per id).
     """
-    v = _validated(feed.withColumn("_v", F.col("value")).select("id", "seq", "action", "field",
-                                                               F.col("_v").alias("value")), spec)
-    wid = Window.partitionBy("id").orderBy("seq")
-    sess = F.coalesce(F.sum((F.col("action") == "cancel").cast("int"))
-                      .over(wid.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    v = v.withColumn("session", sess)
-    ws = Window.partitionBy("id", "session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("open", F.max((F.col("action") == "start").cast("int")).over(ws) == 1)
-    eff = (F.col("action") == "set") & F.col("open") & F.col("valid")
-    v = v.withColumn("effective", eff)
-    wf = Window.partitionBy("id", "session", "field").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("cached", F.last(F.when(F.col("effective"), F.struct(F.col("value").alias("v"))),
-                                      ignorenulls=True).over(wf))
+    v = _sessions(feed, spec)
+    eff = v.filter((F.col("action") == "set") & F.col("open") & F.col("valid")) \
+        .select("id", "session", "field", "seq", "value")
+    first_eff = eff.groupBy("id", "session", "field").agg(F.min("seq").alias("_first"))
+    saves = v.filter((F.col("action") == "save") & F.col("open")).select("id", "session", "field", "seq")
+    writing = saves.join(first_eff, ["id", "session", "field"]).filter(F.col("seq") > F.col("_first"))
+    last_save = writing.groupBy("id", "field").agg(F.max_by("session", "seq").alias("session"),
+                                                   F.max("seq").alias("_save"))
+    changes = (eff.join(last_save, ["id", "field", "session"]).filter(F.col("seq") < F.col("_save"))
+               .groupBy("id", "field").agg(F.max_by("value", "seq").alias("value"), F.max("_save").alias("seq")))
     status = v.select("id", "seq", "action", "field", F.when(
         F.col("action") == "cancel", F.lit(OK)).when(F.col("action") == "start", F.lit(OK))
         .when(~F.col("open"), F.lit("no open session"))
         .when((F.col("action") == "set") & ~F.col("valid"), F.col("message"))
         .otherwise(F.lit(OK)).alias("status"))
-    saves = v.filter((F.col("action") == "save") & F.col("open") & F.col("cached").isNotNull())
-    changes = saves.groupBy("id", "field").agg(F.max_by(F.col("cached.v"), F.col("seq")).alias("value"),
-                                               F.max("seq").alias("seq"))
     return changes, status
 
 
@@ -202,12 +217,7 @@ def apply_edit_feed(base: DataFrame, feed: DataFrame, spec: TableSpec) -> tuple[
 def pending_edits(feed: DataFrame, spec: TableSpec) -> DataFrame:
     """Per id, whether a field is being edited, which one, and how many valid unsaved values sit in
     the open session's cache (sets of the current session that no later save in it has written)."""
-    v = _validated(feed.select("id", "seq", "action", "field", "value"), spec)
-    wid = Window.partitionBy("id").orderBy("seq")
-    v = v.withColumn("session", F.coalesce(F.sum((F.col("action") == "cancel").cast("int"))
-                                           .over(wid.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ws = Window.partitionBy("id", "session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("open", F.max((F.col("action") == "start").cast("int")).over(ws) == 1)
+    v = _sessions(feed, spec)
     last_session = v.groupBy("id").agg(
         F.max("session").alias("cur"),
         F.max_by("action", "seq").alias("last_action"))
