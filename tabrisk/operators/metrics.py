@@ -49,12 +49,14 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> D
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """A4: (threshold, fpr, tpr) per distinct score, thresholds descending (a score >= threshold is positive)."""
     sc = score_counts(df, label, score)
-    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     cum = cumulative(sc, [F.col("threshold").desc()], ["pos", "neg"])
-    return cum.crossJoin(F.broadcast(tot)).select(
+    # class totals = the last running sums (read from the materialised running sums, one small job)
+    tot = cum.agg(F.max("pos_cum").alias("P"), F.max("neg_cum").alias("N")).first()
+    p_tot, n_tot = tot["P"] or 0.0, tot["N"] or 0.0
+    return cum.select(
         "threshold",
-        (F.col("neg_cum") / F.col("N")).alias("fpr"),
-        (F.col("pos_cum") / F.col("P")).alias("tpr"))
+        (F.col("neg_cum") / F.lit(n_tot) if n_tot else F.lit(None).cast("double")).alias("fpr"),
+        (F.col("pos_cum") / F.lit(p_tot) if p_tot else F.lit(None).cast("double")).alias("tpr"))
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -79,39 +81,30 @@ def confusion_matrix(df: DataFrame, label: str = "label", score: str = "score",
 
 
 def class_report(df: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5) -> DataFrame:
-    """Precision, recall, F1 and support per class, then accuracy, macro and weighted averages."""
+    """Precision, recall, F1 and support per class, then accuracy, macro and weighted averages.
+
+    One aggregation job yields the four confusion counts; the five report rows are arithmetic on them.
+    """
     pred = threshold_label(score, threshold)
-    cm = df.select(F.col(label).cast("int").alias("y"), pred.alias("p")).groupBy("y", "p").count()
-    g = cm.agg(*[F.sum(F.when((F.col("y") == a) & (F.col("p") == b), F.col("count")).otherwise(0))
-                 .cast("double").alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)])
+    y = F.col(label).cast("int")
+    g = df.agg(*[F.sum(F.when((y == a) & (pred == b), 1).otherwise(0)).cast("double").alias(f"c{a}{b}")
+                 for a in (0, 1) for b in (0, 1)]).first()
+    c = {k: (g[k] or 0.0) for k in ("c00", "c01", "c10", "c11")}
     rows = []
     for k in (0, 1):
         o = 1 - k
-        tp, fp, fn = F.col(f"c{k}{k}"), F.col(f"c{o}{k}"), F.col(f"c{k}{o}")
-        prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
-        rec = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)
-        f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
-        rows.append(F.struct(F.lit(str(k)).alias("class"), prec.alias("precision"), rec.alias("recall"),
-                             f1.alias("f1"), (tp + fn).alias("support")))
-    per = g.select(F.explode(F.array(*rows)).alias("r"), *[F.col(f"c{a}{b}") for a in (0, 1) for b in (0, 1)])
-    per = per.select("r.*")
-    n = per.agg(F.sum("support").alias("n"))
-    acc = g.select(((F.col("c00") + F.col("c11")) / (F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")))
-                   .alias("a"))
-    summary = per.crossJoin(n).agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.first("n")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.first("n")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.first("n")).alias("wf"),
-        F.first("n").alias("n"))
-    extra = summary.crossJoin(acc).select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("class"), F.col("a").alias("precision"), F.col("a").alias("recall"),
-                 F.col("a").alias("f1"), F.col("n").alias("support")),
-        F.struct(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                 F.col("mf").alias("f1"), F.col("n").alias("support")),
-        F.struct(F.lit("weighted avg").alias("class"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
-                 F.col("wf").alias("f1"), F.col("n").alias("support")))).alias("r")).select("r.*")
-    return per.unionByName(extra)
+        tp, fp, fn = c[f"c{k}{k}"], c[f"c{o}{k}"], c[f"c{k}{o}"]
+        prec = tp / (tp + fp) if tp + fp > 0 else 0.0
+        rec = tp / (tp + fn) if tp + fn > 0 else 0.0
+        f1 = 2 * prec * rec / (prec + rec) if prec + rec > 0 else 0.0
+        rows.append((str(k), prec, rec, f1, tp + fn))
+    n = sum(r[4] for r in rows)
+    acc = (c["c00"] + c["c11"]) / n if n else None
+    rows.append(("accuracy", acc, acc, acc, n))
+    rows.append(("macro avg", *[sum(r[i] for r in rows[:2]) / 2 for i in (1, 2, 3)], n))
+    rows.append(("weighted avg", *[(sum(r[i] * r[4] for r in rows[:2]) / n if n else None) for i in (1, 2, 3)], n))
+    return df.sparkSession.createDataFrame(
+        rows, "class string, precision double, recall double, f1 double, support double")
 
 
 def fold_metrics(df: DataFrame, fold: str = "fold", label: str = "label", score: str = "score",
