@@ -102,12 +102,21 @@ class OneHotModel(Model, _ColsParams, DefaultParamsReadable, DefaultParamsWritab
         return [(flat[i], flat[i + 1]) for i in range(0, len(flat), 2)]
 
     def outputCols(self) -> list[str]:
-        return [dummy_name(c, v) for c, v in self.pairs()]
+        """``<column>_<value>``; Spark resolves names case-insensitively, so a value that differs from an
+        earlier one only in case (e.g. 'Undefined Diagnoses' / 'Undefined diagnoses') gets a ``~2`` suffix."""
+        seen: dict[str, int] = {}
+        out = []
+        for c, v in self.pairs():
+            name = dummy_name(c, v)
+            k = name.lower()
+            seen[k] = seen.get(k, 0) + 1
+            out.append(name if seen[k] == 1 else f"{name}~{seen[k]}")
+        return out
 
     def _transform(self, df: DataFrame) -> DataFrame:
         cols = self.getInputCols()
-        dummies = [F.when(F.col(c) == F.lit(v), 1).otherwise(0).cast("int").alias(dummy_name(c, v))
-                   for c, v in self.pairs()]
+        dummies = [F.when(F.col(c) == F.lit(v), 1).otherwise(0).cast("int").alias(name)
+                   for (c, v), name in zip(self.pairs(), self.outputCols())]
         keep = [F.col(f"`{c}`") for c in df.columns if c not in cols]
         return df.select(*keep, *dummies)
 

@@ -143,3 +143,11 @@ def test_class_report_and_confusion(spark):
     rep = {r["class"]: r for r in M.class_report(df).collect()}
     assert rep["accuracy"].precision == pytest.approx(0.6)
     assert rep["1"].precision == pytest.approx(0.5) and rep["0"].recall == pytest.approx(2 / 3)
+
+
+def test_one_hot_case_only_values_get_distinct_columns(spark):
+    fit = spark.createDataFrame([("Undefined Diagnoses",), ("Undefined diagnoses",)], "b string")
+    m = FE.OneHot(inputCols=["b"]).fit(fit)
+    assert m.outputCols() == ["b_Undefined Diagnoses", "b_Undefined diagnoses~2"]
+    out = m.transform(fit).collect()
+    assert [tuple(r) for r in out] == [(1, 0), (0, 1)]
