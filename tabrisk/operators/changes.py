@@ -134,7 +134,7 @@ def update_fields(base: DataFrame, changes: DataFrame, spec: TableSpec) -> tuple
         changes = changes.withColumn("seq", F.lit(0))
     ch = _validated(changes.withColumnRenamed("id", idc) if "id" in changes.columns else changes, spec)
     per_id = ch.groupBy(idc).agg(F.min(F.col("valid").cast("int")).alias("_all_valid"),
-                                 F.min_by("message", F.when(~F.col("valid"), F.col("seq"))).alias("_msg"))
+                                 F.min_by("message", F.when(~F.col("valid"), F.struct("seq", "field"))).alias("_msg"))
     exists = base.select(idc).distinct().withColumn("_found", F.lit(1))
     st = per_id.join(exists, idc, "left")
     status = st.select(

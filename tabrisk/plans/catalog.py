@@ -696,8 +696,13 @@ SELECT id AS c_custkey,
        CASE WHEN id NOT IN (SELECT c_custkey FROM customer) THEN 'not found'
             WHEN bool_and(valid) THEN 'ok' ELSE 'refused' END AS status,
        CASE WHEN id NOT IN (SELECT c_custkey FROM customer) OR bool_and(valid) THEN NULL
-            WHEN bool_or(field = 'c_acctbal' AND NOT valid) THEN 'bad format'
-            ELSE 'must be <= 24' END AS message
+            ELSE MAX(CASE WHEN valid THEN NULL
+                          WHEN field = 'c_acctbal' AND TRY_CAST(value AS DOUBLE) IS NULL THEN 'bad format'
+                          WHEN field = 'c_acctbal' AND TRY_CAST(value AS DOUBLE) < -1000 THEN 'must be >= -1000'
+                          WHEN field = 'c_acctbal' THEN 'must be <= 10000'
+                          WHEN NOT regexp_matches(value, '^\s*[+-]?[0-9]+\s*$') THEN 'bad format'
+                          WHEN TRY_CAST(value AS DOUBLE) < 0 THEN 'must be >= 0'
+                          ELSE 'must be <= 24' END) END AS message
 FROM v GROUP BY id
 """)
 def q_update_status(spark, d):
@@ -790,7 +795,11 @@ def q_apply_edit_feed(spark, d):
 WITH {FEED_SQL}
 SELECT id, seq, action, field,
        CASE WHEN action IN ('cancel', 'start') THEN 'ok' WHEN NOT open THEN 'no open session'
-            WHEN action = 'set' AND NOT valid THEN 'bad format' ELSE 'ok' END AS status
+            WHEN action = 'set' AND NOT valid THEN
+              CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN 'bad format'
+                   WHEN TRY_CAST(value AS DOUBLE) < -1000 THEN 'must be >= -1000'
+                   ELSE 'must be <= 10000' END
+            ELSE 'ok' END AS status
 FROM fc
 """)
 def q_edit_feed_status(spark, d):

@@ -17,12 +17,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabrisk.plans.sizing import row_count_at_most
 from tabrisk.session import ensure_checkpoint_dir
 
+# Inputs proven (by a limited count) to hold at most this many rows are ordered in one task with a
+# plain window; anything larger takes the distributed two-pass path.
+SMALL_ROWS = 100_000
+
 
 def _target_partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -42,8 +47,10 @@ def _offsets(df: DataFrame, pid: str, value: str, out: str, spark, as_float: boo
 
 
 def ranked(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
-           partitions: int | None = None) -> DataFrame:
+           partitions: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Add a 1-based consecutive rank along ``order`` (which must be a total order)."""
+    if small_rows and row_count_at_most(df, small_rows):
+        return df.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = _target_partitions(df, partitions)
@@ -59,12 +66,18 @@ def ranked(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
 
 
 def cumulative(df: DataFrame, order: Sequence[Column], sum_cols: Sequence[str], suffix: str = "_cum",
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Add running sums (inclusive) of ``sum_cols`` along ``order`` (a total order).
 
     The in-partition running sum is a vectorised ``cumsum`` over Arrow batches (``mapInPandas``):
     the window form would need a second shuffle of the whole table to group rows by partition.
     """
+    if small_rows and row_count_at_most(df, small_rows):
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df
+        for c in sum_cols:
+            out = out.withColumn(c + suffix, F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(w))
+        return out
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = _target_partitions(df, partitions)

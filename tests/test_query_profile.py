@@ -58,9 +58,19 @@ def test_sort_nulls_and_ties(spark):
 def test_ranked_is_consecutive_over_many_partitions(spark):
     from tabrisk.plans.ordering import ranked
     df = spark.range(0, 5000).select((F.col("id") % 97).alias("k"), F.col("id"))
-    r = ranked(df, [F.col("k").asc(), F.col("id").asc()], "rk", partitions=13)
-    got = [x.rk for x in r.orderBy("k", "id").collect()]
-    assert got == list(range(1, 5001))
+    for small in (0, 100_000):  # distributed two-pass path, then the size-checked single-window path
+        r = ranked(df, [F.col("k").asc(), F.col("id").asc()], "rk", partitions=13, small_rows=small)
+        got = [x.rk for x in r.orderBy("k", "id").collect()]
+        assert got == list(range(1, 5001))
+
+
+def test_cumulative_paths_agree(spark):
+    from tabrisk.plans.ordering import cumulative
+    df = spark.range(0, 3000).select((F.col("id") % 11).alias("g"), F.col("id"), (F.col("id") % 7).alias("v"))
+    order = [F.col("g").asc(), F.col("id").desc()]
+    a = {r.id: r.v_cum for r in cumulative(df, order, ["v"], partitions=9, small_rows=0).collect()}
+    b = {r.id: r.v_cum for r in cumulative(df, order, ["v"]).collect()}
+    assert a == b and max(a.values()) == sum(i % 7 for i in range(3000))
 
 
 def test_sample_n_exact_and_large_path(spark):
