@@ -177,7 +177,8 @@ def _sessions(feed: DataFrame, spec: TableSpec) -> DataFrame:
     cum = cum.join(id0, "id").withColumn("session", (F.col("_cx") - F.col("_c0")).cast("long"))
     s0 = cum.groupBy("id", "session").agg(F.min(F.col("_s_cum") - F.col("_s")).alias("_s0"))
     cum = cum.join(s0, ["id", "session"]).withColumn("open", (F.col("_s_cum") - F.col("_s0")) > 0)
-    return cum.drop("_c", "_s", "_c_cum", "_s_cum", "_cx", "_c0", "_s0")
+    # several later branches read the tagged feed: materialise it once (lineage cut, survives executor loss)
+    return cum.drop("_c", "_s", "_c_cum", "_s_cum", "_cx", "_c0", "_s0").checkpoint(eager=True)
 
 
 def edit_feed_changes(feed: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:

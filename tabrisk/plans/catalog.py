@@ -700,7 +700,7 @@ SELECT id AS c_custkey,
                           WHEN field = 'c_acctbal' AND TRY_CAST(value AS DOUBLE) IS NULL THEN 'bad format'
                           WHEN field = 'c_acctbal' AND TRY_CAST(value AS DOUBLE) < -1000 THEN 'must be >= -1000'
                           WHEN field = 'c_acctbal' THEN 'must be <= 10000'
-                          WHEN NOT regexp_matches(value, '^\s*[+-]?[0-9]+\s*$') THEN 'bad format'
+                          WHEN NOT regexp_matches(value, '^\\s*[+-]?[0-9]+\\s*$') THEN 'bad format'
                           WHEN TRY_CAST(value AS DOUBLE) < 0 THEN 'must be >= 0'
                           ELSE 'must be <= 24' END) END AS message
 FROM v GROUP BY id
