@@ -241,3 +241,21 @@ def pending_edits(feed: DataFrame, spec: TableSpec) -> DataFrame:
     return out.select("id", F.coalesce(editing, F.lit(False)).cast("int").alias("is_editing"),
                       F.when(editing, F.col("m.field")).alias("editing_field"),
                       F.coalesce(F.col("n_unsaved"), F.lit(0)).cast("long").alias("n_unsaved"))
+
+
+def cached_records(base: DataFrame, feed: DataFrame, spec: TableSpec) -> DataFrame:
+    """D8 cached record: for every id with an open edit cache, its record overlaid with the latest valid
+    value set per field in the current session (saved or not) -- what an editor would show."""
+    idc = spec.id_col
+    v = _sessions(feed, spec)
+    last_session = v.groupBy("id").agg(F.max("session").alias("cur"), F.max_by("action", "seq").alias("last_action"))
+    cur = v.join(last_session, "id").filter(F.col("session") == F.col("cur"))
+    open_ids = (cur.groupBy("id").agg(F.max(F.col("open").cast("int")).alias("_open"),
+                                      F.first("last_action").alias("last_action"))
+                .filter((F.col("_open") == 1) & (F.col("last_action") != "cancel"))
+                .select(F.col("id").alias(idc)))
+    sets = cur.filter((F.col("action") == "set") & F.col("open") & F.col("valid")) \
+        .groupBy("id", "field").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+    rows = base.join(open_ids, idc, "left_semi")
+    new, _ = update_fields(rows, sets, spec)
+    return new

@@ -40,6 +40,22 @@ class KnnImputerModel:
         self.means, self.anchors, self.lows, self.spans = means, list(anchors), lows, spans
         self.radius0, self.k = radius0, k
 
+    def save(self, path: str) -> None:
+        """Donors (the fit rows) as Parquet plus the fitted parameters as one JSON line."""
+        import json
+        self.donors.write.mode("overwrite").parquet(f"{path}/donors")
+        meta = {"id_col": self.id_col, "features": self.features, "means": self.means, "anchors": self.anchors,
+                "lows": self.lows, "spans": self.spans, "radius0": self.radius0, "k": self.k}
+        self.donors.sparkSession.createDataFrame([(json.dumps(meta),)], "m string").coalesce(1) \
+            .write.mode("overwrite").text(f"{path}/params")
+
+    @staticmethod
+    def load(spark, path: str) -> "KnnImputerModel":
+        import json
+        m = json.loads(spark.read.text(f"{path}/params").first()[0])
+        return KnnImputerModel(spark.read.parquet(f"{path}/donors"), m["id_col"], m["features"], m["means"],
+                               m["anchors"], m["lows"], m["spans"], m["radius0"], m["k"])
+
     def _cell(self, value_col: str, anchor: str, r: float):
         return F.floor((F.col(value_col) - F.lit(self.lows[anchor])) / F.lit(r)).cast("long")
 

@@ -1413,3 +1413,26 @@ def q_validate_bool(spark, d):
                    .otherwise(F.col("quality").cast("string")).alias("value"))
     ok, val = validate_bool("value")
     return t.select("doc_id", "value", ok.cast("int").alias("ok"), val.alias("bool_value"))
+
+
+@register("cached_records", f"""
+WITH {FEED_SQL},
+cur_s AS (SELECT id, MAX(session) AS cur, arg_max(action, seq) AS last_action FROM fc GROUP BY id),
+cur AS (SELECT fc.* FROM fc JOIN cur_s USING (id) WHERE session = cur),
+ids AS (SELECT c.id FROM cur c JOIN cur_s s USING (id) WHERE s.last_action <> 'cancel'
+        GROUP BY c.id HAVING MAX(CAST(c.open AS INTEGER)) = 1),
+good AS (SELECT id, field, arg_max(value, seq) AS value FROM cur WHERE action = 'set' AND open AND valid
+         GROUP BY id, field),
+p AS (SELECT id,
+        MAX(CASE WHEN field = 'c_name' THEN 1 END) AS s_name, MAX(CASE WHEN field = 'c_name' THEN value END) AS v_name,
+        MAX(CASE WHEN field = 'c_nationkey' THEN 1 END) AS s_nat,
+        MAX(CASE WHEN field = 'c_nationkey' THEN value END) AS v_nat,
+        MAX(CASE WHEN field = 'c_acctbal' THEN 1 END) AS s_bal, MAX(CASE WHEN field = 'c_acctbal' THEN value END) AS v_bal,
+        MAX(CASE WHEN field = 'c_mktsegment' THEN 1 END) AS s_seg,
+        MAX(CASE WHEN field = 'c_mktsegment' THEN value END) AS v_seg
+      FROM good GROUP BY id)
+SELECT * FROM ({APPLY_WIDE_SQL}) w WHERE c_custkey IN (SELECT id FROM ids)
+""")
+def q_cached_records(spark, d):
+    from tabrisk.operators.changes import cached_records
+    return cached_records(read_table(spark, d, "customer"), customer_feed(spark, d), CUSTOMER)

@@ -151,3 +151,13 @@ def test_one_hot_case_only_values_get_distinct_columns(spark):
     assert m.outputCols() == ["b_Undefined Diagnoses", "b_Undefined diagnoses~2"]
     out = m.transform(fit).collect()
     assert [tuple(r) for r in out] == [(1, 0), (0, 1)]
+
+
+def test_knn_model_save_load(spark, tmp_path):
+    rows = [(1, 0.0, None), (2, 1.0, 10.0), (3, 2.0, 20.0), (4, 3.0, 30.0)]
+    df = spark.createDataFrame(rows, "id long, a double, v double")
+    m = KnnImputer("id", ["a", "v"], k=2).fit(df)
+    m.save(str(tmp_path / "knn"))
+    from tabrisk.operators.knn import KnnImputerModel
+    m2 = KnnImputerModel.load(spark, str(tmp_path / "knn"))
+    assert {r.id: r.v for r in m2.transform(df).collect()} == {r.id: r.v for r in m.transform(df).collect()}
