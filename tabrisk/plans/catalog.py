@@ -613,15 +613,14 @@ def q_delete_rows(spark, d):
 
 
 @register("delete_status", """
-WITH req AS (SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_custkey % 2 = 0)
+WITH req AS (SELECT DISTINCT o_custkey AS c_custkey FROM orders)
 SELECT c_custkey + 750 AS c_custkey,
        CASE WHEN c_custkey + 750 IN (SELECT c_custkey FROM customer) THEN 'ok' ELSE 'not found' END AS status
 FROM req
 """)
 def q_delete_status(spark, d):
     from tabrisk.operators.changes import delete_rows
-    ids = read_table(spark, d, "orders").filter(F.col("o_custkey") % 2 == 0) \
-        .select((F.col("o_custkey") + 750).alias("c_custkey"))
+    ids = read_table(spark, d, "orders").select((F.col("o_custkey") + 750).alias("c_custkey"))
     _, status = delete_rows(read_table(spark, d, "customer"), ids, CUSTOMER)
     return status
 
