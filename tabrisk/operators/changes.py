@@ -93,6 +93,36 @@ def insert_with_defaults(base: DataFrame, new: DataFrame, spec: TableSpec, row_c
     return base.unionByName(_fill_missing(rows, base, spec, fill)), status
 
 
+def insert_default_row(base: DataFrame, spec: TableSpec, id_value=None,
+                       fill: str = "null") -> tuple[DataFrame, DataFrame]:
+    """D3 without data: one default record. The id is the given one (refused if taken) or max + 1; other id
+    columns follow ``spec.new_row_ids`` ('next' = max + 1, 'first' = value of the first record by id);
+    categories get their default, ruled fields their rule default, the rest NULL (or 0 with ``fill='zero'``)."""
+    idc = spec.id_col
+    aggs = [F.max(idc).alias("_max_id"), F.min(idc).alias("_first_id")]
+    for c, how in spec.new_row_ids.items():
+        if how == "next":
+            aggs.append(F.max(c).alias(f"_n_{c}"))
+        else:
+            aggs.append(F.min_by(c, idc).alias(f"_n_{c}"))
+    st = base.agg(*aggs).first()
+    if id_value is not None and not base.filter(F.col(idc) == F.lit(id_value)).isEmpty():
+        status = base.sparkSession.createDataFrame([(id_value, REFUSED, "id exists")],
+                                                   f"{idc} {base.schema[idc].dataType.simpleString()}, "
+                                                   "status string, message string")
+        return base, status
+    new_id = id_value if id_value is not None else (st["_max_id"] + 1 if st["_max_id"] is not None else 0)
+    values = {idc: new_id}
+    for c, how in spec.new_row_ids.items():
+        v = st[f"_n_{c}"]
+        values[c] = (v + 1 if v is not None else 0) if how == "next" else v
+    one = base.sparkSession.range(1).select(*[F.lit(v).cast(base.schema[c].dataType).alias(c)
+                                              for c, v in values.items()])
+    row = _fill_missing(one, base, spec, fill)
+    status = row.select(idc, F.lit(OK).alias("status"), F.lit(None).cast("string").alias("message"))
+    return base.unionByName(row), status
+
+
 def replace_rows(base: DataFrame, new: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """Whole-record replacement by id; an unknown id is refused."""
     idc = spec.id_col

@@ -46,8 +46,21 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> D
         F.sum(F.when(F.col(label) == 1, 0.0).otherwise(1.0)).alias("neg"))
 
 
-def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """A4: (threshold, fpr, tpr) per distinct score, thresholds descending (a score >= threshold is positive)."""
+def roc_curve(df: DataFrame, label: str = "label", score: str = "score", bins: int | None = None) -> DataFrame:
+    """A4: (threshold, fpr, tpr) per distinct score, thresholds descending (a score >= threshold is positive).
+
+    ``bins``: thin the curve to at most ``bins + 1`` points, keeping in every fpr bucket the point with the
+    highest fpr (then tpr) -- for drawing; the AUC is always computed from the full curve."""
+    full = _roc_full(df, label, score)
+    if not bins:
+        return full
+    b = F.floor(F.col("fpr") * F.lit(bins))
+    return (full.groupBy(b.alias("_b"))
+            .agg(F.max_by(F.struct("threshold", "fpr", "tpr"), F.struct("fpr", "tpr")).alias("p"))
+            .select("p.threshold", "p.fpr", "p.tpr"))
+
+
+def _roc_full(df: DataFrame, label: str, score: str) -> DataFrame:
     sc = score_counts(df, label, score)
     cum = cumulative(sc, [F.col("threshold").desc()], ["pos", "neg"])
     # class totals = the last running sums (read from the materialised running sums, one small job)

@@ -42,6 +42,9 @@ class Criteria:
     category: str | None = None
     # strict=False keeps the original behaviour: a missing or zero value passes both bounds
     strict: bool = False
+    # map a search-box label to its stored code (the original compares the label itself, so a set
+    # gender never matches; use_labels=False reproduces that)
+    use_labels: bool = True
 
 
 def search_predicate(spec: TableSpec, crit: Criteria) -> Column:
@@ -57,8 +60,9 @@ def search_predicate(spec: TableSpec, crit: Criteria) -> Column:
     if crit.hi is not None:
         p = r <= F.lit(float(crit.hi))
         parts.append(p if crit.strict else (r.isNull() | (r == 0) | p))
-    if crit.category and crit.category != ALL:
-        parts.append(F.col(cat) == F.lit(crit.category))
+    if crit.category and crit.category not in (ALL, spec.all_label):
+        code = spec.category_labels.get(crit.category, crit.category) if crit.use_labels else crit.category
+        parts.append(F.col(cat) == F.lit(code))
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 

@@ -1209,7 +1209,7 @@ def q_score_batch(spark, d):
     df, prep, x = _prepared(spark, d)
     model = boost(**SMALL_BOOST).fit(x)
     path = scratch_path(spark, "models")
-    save_scorer(path, prep, model, spark)
+    save_scorer(path, prep, model, spark, check_df=df)  # smoke-scores one row after saving
     prep2, model2 = load_scorer(path)
     return score_batch(prep2, model2, df, keep=["row_key", "label"])
 

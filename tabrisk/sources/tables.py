@@ -28,6 +28,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, normalize: bool = Fa
     return normalize_nans(df) if normalize else df
 
 
+def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet"):
+    """S1 with the original's error contract: (DataFrame, message); a read error gives an empty
+    DataFrame of the schema and the error text instead of failing the caller."""
+    try:
+        df = spark.read.schema(schema).format(fmt).load(path)
+        df.schema  # noqa: B018 - resolve now so a missing path fails here
+        return df, "ok"
+    except Exception as e:  # noqa: BLE001
+        return spark.createDataFrame([], schema), f"read failed: {str(e).splitlines()[0][:200]}"
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Header CSV scan, UTF-8 with or without BOM (Spark strips the BOM).
 

@@ -48,6 +48,11 @@ class TableSpec:
     read_only: tuple[str, ...] = ()
     # numeric feature columns in fixed order (serving fills the missing ones with 0)
     numeric_features: tuple[str, ...] = ()
+    # how a default record fills other id columns: 'next' = max + 1, 'first' = value of the first record
+    new_row_ids: dict[str, str] = field(default_factory=dict)
+    # search-box labels of category values (label -> stored code) and the label meaning "no restriction"
+    category_labels: dict[str, str] = field(default_factory=dict)
+    all_label: str = "ALL"
 
     def group(self, name: str) -> list[str]:
         return list(self.groups[name])
@@ -172,6 +177,10 @@ ICU = TableSpec(
     list_defaults={"status": ICU_STATUS_DEFAULT, "patient_id": "", "age": "", "gender": ""},
     read_only=("patient_id", "encounter_id", "hospital_id"),
     numeric_features=_icu_numeric_features(),
+    new_row_ids={"encounter_id": "next", "hospital_id": "first"},
+    # the original search box offers these labels ("all", "male", "female")
+    category_labels={"男": "M", "女": "F"},
+    all_label="全部",
 )
 
 

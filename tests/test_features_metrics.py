@@ -161,3 +161,18 @@ def test_knn_model_save_load(spark, tmp_path):
     from tabrisk.operators.knn import KnnImputerModel
     m2 = KnnImputerModel.load(spark, str(tmp_path / "knn"))
     assert {r.id: r.v for r in m2.transform(df).collect()} == {r.id: r.v for r in m.transform(df).collect()}
+
+
+def test_roc_thinning(spark):
+    rnd = random.Random(11)
+    df = _scored(spark, [(int(rnd.random() < 0.3), rnd.random()) for _ in range(3000)])
+    full = M.roc_curve(df).collect()
+    thin = M.roc_curve(df, bins=10).collect()
+    assert len(thin) <= 11 < len(full)
+    assert max(r.fpr for r in thin) == 1.0 and max(r.tpr for r in thin) == 1.0
+
+
+def test_scan_or_empty(spark, tmp_path):
+    from tabrisk.sources.tables import scan_or_empty
+    df, msg = scan_or_empty(spark, str(tmp_path / "missing"), "a long")
+    assert df.count() == 0 and msg.startswith("read failed")

@@ -117,3 +117,23 @@ def test_icu_features_and_score(spark, icu):
     # serving a record that lacks numeric columns: they are filled, not an error
     one = df.limit(1).drop("d1_glucose_max")
     assert MD.score_batch(prep, model, one, keep=["patient_id"]).count() == 1
+
+
+def test_default_row(spark, icu):
+    base = icu.read()
+    new, status = C.insert_default_row(base, ICU)
+    r = new.orderBy(F.col("patient_id").desc()).first()
+    mx = base.agg(F.max("patient_id"), F.max("encounter_id")).first()
+    first_hosp = base.orderBy("patient_id").first().hospital_id
+    assert r.patient_id == mx[0] + 1 and r.encounter_id == mx[1] + 1 and r.hospital_id == first_hosp
+    assert r.gender == "Unknown" and r.icu_type == "MICU" and r.icu_stay_type == "admit" and r.age is None
+    _, st = C.insert_default_row(base, ICU, id_value=25312)
+    assert st.first().status == "refused"
+
+
+def test_search_labels(icu):
+    df = icu.read()
+    n_f = df.filter(F.col("gender") == "F").count()
+    assert Q.search_multi(df, ICU, Q.Criteria(category="女")).count() == n_f
+    assert Q.search_multi(df, ICU, Q.Criteria(category="女", use_labels=False)).count() == 0
+    assert Q.search_multi(df, ICU, Q.Criteria(category="全部")).count() == df.count()
