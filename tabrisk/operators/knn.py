@@ -94,8 +94,11 @@ class KnnImputerModel:
         offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=len(anchors))]
         r = self.radius0
         settled: list[DataFrame] = []
+        # (radius, open (row, column) pairs at the start of the round): how much the grid rounds settle
+        self.rounds: list[tuple[float, int]] = []
         while True:
             final = r > full_span
+            self.rounds.append((r if not final else float("inf"), todo.count()))
             if final:
                 # every donor lies within the radius on the anchors: compare the few rows left with all
                 # donors that have their column (an equi-join on the column name)

@@ -111,3 +111,20 @@ def test_partition_sgd_single_partition_is_sequential_sgd(spark):
         g = p - y
         ww, bb = ww - 0.01 * (g * a + 1e-4 * ww), bb - 0.01 * g
     assert w[0] == pytest.approx(ww) and b == pytest.approx(bb)
+
+
+def test_stream_trains_each_micro_batch_once(spark, tmp_path):
+    """Three files arrive in order; each micro-batch (one file) is one trained batch with its own id range."""
+    src = str(tmp_path / "landing")
+    ev = catalog.events_labeled(spark, SF001).select("event_id", "value", "hour", "is_error")
+    n = ev.count()
+    for i in range(3):  # separate jobs so the files are discovered in id order
+        ev.filter((F.col("event_id") >= i * n // 3) & (F.col("event_id") < (i + 1) * n // 3)) \
+            .coalesce(1).write.mode("append").parquet(src)
+    store = O.OnlineStore(spark, str(tmp_path / "st3"))
+    hist = O.run_stream(spark, src, ev.schema, catalog._online_cfg(), store, str(tmp_path / "ck3"))
+    rows = hist.orderBy("batch_id").collect()
+    assert [r.batch_id for r in rows] == [0, 1, 2]
+    assert sum(r.samples_trained for r in rows) == n
+    his = [int(r.id_range.split("-")[1]) for r in rows]
+    assert his == sorted(his)
