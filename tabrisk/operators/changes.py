@@ -24,17 +24,17 @@ from tabrisk.spec import TableSpec
 OK, REFUSED = "ok", "refused"
 
 
-def next_id(base: DataFrame, spec: TableSpec) -> Column:
-    """D1 base value: max id (0 for an empty table). Returned as a scalar subquery-like literal column."""
-    return F.coalesce(F.max(spec.id_col), F.lit(0))
+def next_id(base: DataFrame, spec: TableSpec) -> int:
+    """The next free id, max id + 1 (an empty table starts at 1). One aggregate job."""
+    top = base.agg(F.max(spec.id_col)).first()[0]
+    return (top or 0) + 1
 
 
 def assign_ids(base: DataFrame, new: DataFrame, spec: TableSpec, order: Sequence[Column],
                start_after: int | None = None) -> DataFrame:
     """Consecutive ids max+1, max+2, ... for the rows of ``new`` in ``order`` (distributed rank)."""
     if start_after is None:
-        start_after = base.agg(F.max(spec.id_col)).first()[0]
-        start_after = -1 if start_after is None else start_after
+        start_after = next_id(base, spec) - 1
     r = ranked(new, order, "_rank")
     return r.withColumn(spec.id_col, (F.lit(start_after) + F.col("_rank")).cast(base.schema[spec.id_col].dataType)) \
         .drop("_rank")
@@ -83,7 +83,7 @@ def insert_with_defaults(base: DataFrame, new: DataFrame, spec: TableSpec, row_c
     refused = taken.unionByName(dup)
     accepted_given = given.join(refused, row_col, "left_anti")
     top = base.select(idc).unionByName(accepted_given.select(idc)).agg(F.max(idc)).first()[0]
-    top = -1 if top is None else top
+    top = 0 if top is None else top
     no_id = new.filter(F.col(idc).isNull()).drop(idc)
     auto = assign_ids(base, no_id, spec, [F.col(row_col).asc()], start_after=top)
     rows = accepted_given.unionByName(auto)
@@ -111,11 +111,11 @@ def insert_default_row(base: DataFrame, spec: TableSpec, id_value=None,
                                                    f"{idc} {base.schema[idc].dataType.simpleString()}, "
                                                    "status string, message string")
         return base, status
-    new_id = id_value if id_value is not None else (st["_max_id"] + 1 if st["_max_id"] is not None else 0)
+    new_id = id_value if id_value is not None else (st["_max_id"] or 0) + 1
     values = {idc: new_id}
     for c, how in spec.new_row_ids.items():
         v = st[f"_n_{c}"]
-        values[c] = (v + 1 if v is not None else 0) if how == "next" else v
+        values[c] = ((v or 0) + 1) if how == "next" else v
     one = base.sparkSession.range(1).select(*[F.lit(v).cast(base.schema[c].dataType).alias(c)
                                               for c, v in values.items()])
     row = _fill_missing(one, base, spec, fill)

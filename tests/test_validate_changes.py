@@ -141,3 +141,10 @@ def test_icu_schema():
     assert len(s.fields) == 85
     assert s["age"].metadata["rule"]["max"] == 130 and s["gender"].metadata["values"] == ["F", "M", "Unknown"]
     assert len(ICU.numeric_features) == 72
+
+
+def test_ids_on_empty_table_start_at_one(spark):
+    empty = spark.createDataFrame([], "patient_id long, age int")
+    assert C.next_id(empty, ICU) == 1
+    out, _ = C.insert_rows(empty, spark.createDataFrame([(30,), (31,)], "age int"), ICU, [F.col("age").asc()])
+    assert sorted(r.patient_id for r in out.collect()) == [1, 2]
