@@ -6,7 +6,9 @@ The table is turned into a long form ``(column_name, pos, _id, txt, num)`` with
 * T1/T2: ``groupBy(column_name)`` with partial (map-side) aggregation -> one row per column shuffled;
 * T3: first 10 distinct values in ascending order: ``(column_name, txt)`` de-duplicated with map-side
   partial aggregation, then ``row_number <= 11`` per column (WindowGroupLimit cuts each map partition
-  to 11 rows per column before the shuffle); the 11th value only sets the ``more`` flag;
+  to 11 rows per column before the shuffle); the 11th value only sets the ``more`` flag. For
+  high-cardinality numeric columns only values below a low approximate quantile enter that shuffle
+  (exact; see ``profile_distinct``);
 * T4: first 5 values in record (id) order: ``row_number <= 5`` per column, same WindowGroupLimit.
 
 No whole column is ever collected into one array.
@@ -63,8 +65,8 @@ def profile_type(long: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def profile_distinct(long: DataFrame, k: int = 10) -> DataFrame:
-    """First k distinct values (numbers in numeric order, then text), plus a ``more`` flag."""
+def _top_distinct(long: DataFrame, k: int) -> DataFrame:
+    """(column_name, distinct_values, more, n_top) from the first k + 1 distinct values per column."""
     d = long.groupBy("column_name", "txt").agg(F.min("num").alias("num"))
     w = Window.partitionBy("column_name").orderBy(F.col("num").asc_nulls_last(), F.col("txt").asc())
     top = d.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k + 1)
@@ -72,7 +74,47 @@ def profile_distinct(long: DataFrame, k: int = 10) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= k, F.struct("rn", "txt")))),
                                  lambda s: s["txt"]), ", ").alias("distinct_values"),
         (F.max("rn") > k).cast("int").alias("more"),
-    )
+        F.max("rn").alias("n_top"))
+
+
+def profile_distinct(long: DataFrame, k: int = 10, numeric: Sequence[str] = (),
+                     quantiles: Sequence[float] = (1e-3, 1e-2, 1e-1), low_cardinality: int = 10_000) -> DataFrame:
+    """First k distinct values (numbers in numeric order, then text), plus a ``more`` flag.
+
+    For the ``numeric`` columns only values at or below a low approximate quantile of the column enter the
+    de-duplicating shuffle (one sketch aggregation with map-side partial sketches finds the quantiles).
+    That is exact whenever at least k + 1 distinct values lie below the threshold: every other value sorts
+    after them. Columns that fall short are retried with the next quantile, and finally without threshold.
+    """
+    spark = long.sparkSession
+    pending = list(numeric)
+    parts: list[DataFrame] = []
+    for q in quantiles:
+        if not pending:
+            break
+        cur = long.filter(F.col("column_name").isin(pending))
+        stats = cur.groupBy("column_name").agg(F.percentile_approx("num", q, 10000).alias("t"),
+                                                F.approx_count_distinct("num").alias("nd")).collect()  # 1 row/column
+        # few distinct values: map-side de-duplication already makes the plain path cheap
+        low = {r["column_name"] for r in stats if (r["nd"] or 0) <= low_cardinality}
+        pending = [c for c in pending if c not in low]
+        qs = [r for r in stats if r["t"] is not None and r["column_name"] in pending]
+        if not qs:
+            break
+        th = spark.createDataFrame([(r["column_name"], float(r["t"])) for r in qs], "column_name string, _t double")
+        res = _top_distinct(cur.join(F.broadcast(th), "column_name").filter(F.col("num") <= F.col("_t")), k) \
+            .checkpoint(eager=True)
+        ok = res.filter(F.col("n_top") > k)
+        parts.append(ok)
+        done = {r["column_name"] for r in ok.select("column_name").collect()}
+        pending = [c for c in pending if c not in done]
+    done_all = {c for part in parts for c in [r["column_name"] for r in part.select("column_name").collect()]}
+    rest = long.filter(~F.col("column_name").isin(sorted(done_all)))
+    parts.append(_top_distinct(rest, k))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out.drop("n_top")
 
 
 def profile_sample(long: DataFrame, k: int = 5) -> DataFrame:
@@ -90,7 +132,8 @@ def profile_report(df: DataFrame, id_col: str, columns: Sequence[str] | None = N
     cols = list(columns or df.columns)
     long = long_form(df, id_col, cols)
     t = profile_type(long, cols)
-    return (t.join(profile_distinct(long, k_distinct), "column_name", "left")
+    numeric = [c for c in cols if isinstance(df.schema[c].dataType, _NUMERIC)]
+    return (t.join(profile_distinct(long, k_distinct, numeric), "column_name", "left")
             .join(profile_sample(long, k_sample), "column_name", "left")
             .select("column_name", "pos", "suggested_type", "n_non_null", "min_value", "max_value", "has_decimals",
                     "distinct_values", F.coalesce(F.col("more"), F.lit(0)).alias("more"), "sample_values"))

@@ -122,3 +122,15 @@ def test_display_format(spark):
     r = Q.display_format(df, ICU).first()
     assert (r.patient_id, r.bmi, r.gender) == ("1", "N/A", "F")
     assert r.temp_apache in ("36.56", "36.55")
+
+
+def test_profile_distinct_threshold_path_is_exact(spark):
+    # high-cardinality numeric column with a hot minimum value (a third of the rows) and a text column
+    rows = [(i, 5.0 if i % 3 == 0 else float(i), f"t{i % 50}") for i in range(30000)]
+    df = spark.createDataFrame(rows, "id long, x double, s string")
+    long = P.long_form(df, "id", ["x", "s"])
+    fast = {r.column_name: (r.distinct_values, r.more)
+            for r in P.profile_distinct(long, 10, ["x"], low_cardinality=10).collect()}
+    plain = {r.column_name: (r.distinct_values, r.more) for r in P.profile_distinct(long, 10).collect()}
+    assert fast == plain
+    assert fast["x"][0].startswith("1.0, 2.0, 4.0, 5.0, 7.0")
