@@ -35,6 +35,9 @@ class SnapshotStore:
         return f"{self.root}/_manifest"
 
     def _manifest(self) -> DataFrame | None:
+        from tabrisk.sources.tables import path_exists
+        if not path_exists(self.spark, self.manifest_path):
+            return None
         try:
             return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
         except Exception:  # noqa: BLE001 - no manifest yet

@@ -72,3 +72,10 @@ def key_lookup(df: DataFrame, keys: DataFrame, spec: TableSpec, key_col: str = "
 def first_match(df: DataFrame, spec: TableSpec, key) -> DataFrame:
     """One key, early stop: ``filter(id == k).limit(1)`` (pushed to Parquet, stops at the first row)."""
     return df.filter(F.col(spec.id_col) == F.lit(key)).limit(1)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on its (Hadoop-compatible) file system, without a failing read."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -59,6 +59,9 @@ class OnlineStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def log(self) -> DataFrame:
+        from tabrisk.sources.tables import path_exists
+        if not path_exists(self.spark, f"{self.root}/log"):
+            return self.spark.createDataFrame([], LOG_SCHEMA)
         try:
             return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/log")
         except Exception:  # noqa: BLE001 - missing or unreadable: start empty
@@ -77,6 +80,10 @@ class OnlineStore:
 
     def prep(self):
         from pyspark.ml import PipelineModel
+
+        from tabrisk.sources.tables import path_exists
+        if not path_exists(self.spark, f"{self.root}/prep/metadata"):
+            return None
         try:
             return PipelineModel.load(f"{self.root}/prep")
         except Exception:  # noqa: BLE001 - not saved yet
