@@ -16,7 +16,7 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "Unknown"
@@ -72,14 +72,18 @@ class OneHot(Estimator, _ColsParams, DefaultParamsReadable, DefaultParamsWritabl
         limit = self.getOrDefault(self.maxCategories)
         long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
                                              for c in cols])).alias("e")).select("e.c", "e.v")
-        counts = long.filter(F.col("v").isNotNull()).groupBy("c").agg(F.count_distinct("v").alias("n")).collect()
-        too_big = [r["c"] for r in counts if r["n"] > limit]
-        if too_big:
-            raise ValueError(f"one-hot columns with more than {limit} values: {too_big}")
-        rows = long.filter(F.col("v").isNotNull()).distinct().collect()  # bounded by cols x maxCategories
+        # distinct (column, value) pairs (partial aggregation per map task), then at most limit + 1 values
+        # per column (a top-k window, planned as WindowGroupLimit): the driver never receives more than
+        # cols x (limit + 1) rows, and a column reaching limit + 1 values is refused
+        pairs = long.filter(F.col("v").isNotNull()).distinct()
+        w = Window.partitionBy("c").orderBy("v")
+        rows = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit + 1).drop("_r").collect()
         cats: dict[str, list[str]] = {c: [] for c in cols}
         for r in rows:
             cats[r["c"]].append(r["v"])
+        too_big = [c for c in cols if len(cats[c]) > limit]
+        if too_big:
+            raise ValueError(f"one-hot columns with more than {limit} values: {too_big}")
         flat = []
         for c in cols:
             for v in sorted(cats[c]):

@@ -68,8 +68,7 @@ def fit_feature_prep(df: DataFrame, categorical: Sequence[str], numeric: Sequenc
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import VectorAssembler
 
-    from tabrisk.operators.features import (AlignFeatures, FillUnknown, MeanFill, OneHot, PopulationScaler,
-                                            ZeroFill)
+    from tabrisk.operators.features import AlignFeatures, FillUnknown, MeanFill, OneHot, ZeroFill
 
     cats, nums = list(categorical), list(numeric)
     stages = []
@@ -83,12 +82,13 @@ def fit_feature_prep(df: DataFrame, categorical: Sequence[str], numeric: Sequenc
         dummies = oh.outputCols()
     else:
         dummies = []
-    fill = ZeroFill(inputCols=nums) if missing == "zero" else MeanFill(inputCols=nums).fit(cur)
-    cur = fill.transform(cur)
-    stages.append(fill)
     if scale and nums:
-        sc = PopulationScaler(inputCols=nums).fit(cur)
-        stages.append(sc)
+        # fill values and post-fill population statistics from one aggregation over the raw columns
+        fill, sc = _fill_and_scale(cur, nums, missing)
+        stages += [fill, sc]
+    else:
+        fill = ZeroFill(inputCols=nums) if missing == "zero" else MeanFill(inputCols=nums).fit(cur)
+        stages.append(fill)
     feats = nums + dummies
     # ``_keep`` carries caller columns (ids, labels, folds) through scoring untouched
     stages.append(AlignFeatures(features=feats, keepCols=list(keep) + ["_keep"]))
@@ -96,6 +96,30 @@ def fit_feature_prep(df: DataFrame, categorical: Sequence[str], numeric: Sequenc
     return PipelineModel(stages)
 
 
+def _fill_and_scale(df: DataFrame, nums: Sequence[str], missing: str):
+    """Fitted fill stage + population scaler of the filled columns, in one pass.
+
+    Mean fill leaves the mean unchanged and adds zero deviations: the filled population variance is
+    the variance of the present values times (present / all). Zero fill is aggregated on the filled values.
+    """
+    from tabrisk.operators.features import FillModel, ScalerModel, ZeroFill
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(nums):
+        x = F.col(c).cast("double")
+        if missing == "zero":
+            x = F.coalesce(x, F.lit(0.0))
+        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), F.count(x).alias(f"k{i}")]
+    r = df.agg(*aggs).first()
+    n = r["_n"] or 0
+    means, stds = [], []
+    for i in range(len(nums)):
+        m, s, k = float(r[f"m{i}"] or 0.0), float(r[f"s{i}"] or 0.0), r[f"k{i}"] or 0
+        means.append(m)
+        stds.append(s * (k / n) ** 0.5 if n else 0.0)
+    fill = ZeroFill(inputCols=list(nums)) if missing == "zero" else FillModel(inputCols=list(nums), values=means)
+    return fill, ScalerModel(inputCols=list(nums), means=means, stds=stds)
+
+
 def feature_list(prep) -> list[str]:
     from tabrisk.operators.features import AlignFeatures
     for s in prep.stages:

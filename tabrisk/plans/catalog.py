@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabrisk.operators import query as Q
+from tabrisk.plans.sizing import spread
 from tabrisk.sources.tables import read_table
 from tabrisk.spec import CUSTOMER
 
@@ -1149,15 +1150,19 @@ SMALL_BOOST = dict(rounds=10, max_depth=4, rate=0.3)
 
 def lineitem_labeled(spark, d) -> DataFrame:
     """lineitem with the planted label and a row key (the whole row is the only unique key)."""
-    li = read_table(spark, d, "lineitem")
+    li = spread(read_table(spark, d, "lineitem"))
     key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in li.columns]))
     label = ((F.col("l_extendedprice") * (1 - F.col("l_discount"))) > 40000).cast("int")
     return li.select(key.alias("row_key"), *LINE_NUM, *LINE_CAT, label.alias("label"))
 
 
 def _prepared(spark, d):
+    """Training input persisted for the fitting passes (prep statistics, tree rounds); callers unpersist it
+    once the model is fitted, so the returned scoring plan recomputes it in one pass."""
+    from pyspark import StorageLevel
+
     from tabrisk.operators.models import fit_feature_prep
-    df = lineitem_labeled(spark, d)
+    df = lineitem_labeled(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
     prep = fit_feature_prep(df, LINE_CAT, LINE_NUM, keep=["row_key", "label"])
     return df, prep, prep.transform(df)
 
@@ -1167,6 +1172,7 @@ def q_fit_forest(spark, d):
     from tabrisk.operators.models import forest, score_batch
     df, prep, x = _prepared(spark, d)
     model = forest(**SMALL_FOREST).fit(x)
+    df.unpersist()
     return score_batch(prep, model, df, keep=["row_key", "label"])
 
 
@@ -1175,6 +1181,7 @@ def q_fit_boost(spark, d):
     from tabrisk.operators.models import boost, score_batch
     df, prep, x = _prepared(spark, d)
     model = boost(**SMALL_BOOST).fit(x)
+    df.unpersist()
     return score_batch(prep, model, df, keep=["row_key", "label"])
 
 
@@ -1183,6 +1190,7 @@ def q_fit_stack(spark, d):
     from tabrisk.operators.models import StackingClassifier, boost, forest, score_batch
     df, prep, x = _prepared(spark, d)
     stack = StackingClassifier([forest(**SMALL_FOREST), boost(**SMALL_BOOST)], "row_key", inner_folds=3).fit(x)
+    df.unpersist()
     return score_batch(prep, stack, df, keep=["row_key", "label"])
 
 
@@ -1210,8 +1218,9 @@ def q_score_batch(spark, d):
     df, prep, x = _prepared(spark, d)
     model = boost(**SMALL_BOOST).fit(x)
     path = scratch_path(spark, "models")
-    save_scorer(path, prep, model, spark, check_df=df)  # smoke-scores one row after saving
-    prep2, model2 = load_scorer(path)
+    save_scorer(path, prep, model, spark)
+    prep2, model2 = load_scorer(path, check_df=df)  # the reloaded pair smoke-scores one row
+    df.unpersist()
     return score_batch(prep2, model2, df, keep=["row_key", "label"])
 
 
@@ -1222,6 +1231,7 @@ def q_case_report(spark, d):
     from tabrisk.operators.models import boost
     df, prep, x = _prepared(spark, d)
     model = boost(**SMALL_BOOST).fit(x)
+    df.unpersist()
     return case_report(df, prep, model, "row_key", "label", n=2, seed=42)
 
 

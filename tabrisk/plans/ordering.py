@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,16 +50,19 @@ def _offsets(df: DataFrame, pid: str, value: str, out: str, spark, as_float: boo
 def ranked(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
            partitions: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Add a 1-based consecutive rank along ``order`` (which must be a total order)."""
-    if small_rows and row_count_at_most(df, small_rows):
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the size check, the range sample and the sort
+    if small_rows and row_count_at_most(src, small_rows):
+        src.unpersist()
         return df.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = _target_partitions(df, partitions)
-    base = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    base = (src.repartitionByRange(n, *order).sortWithinPartitions(*order)
             .withColumn("_pid", F.spark_partition_id())
             .withColumn("_mid", F.monotonically_increasing_id()))
     base = base.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
     base = base.checkpoint(eager=True)
+    src.unpersist()
     counts = base.withColumn("_one", F.lit(1).cast("long"))
     offs = _offsets(counts, "_pid", "_one", "_off", spark)
     out = base.join(F.broadcast(offs), "_pid").withColumn(rank_col, F.col("_off") + F.col("_local") + 1)
@@ -72,7 +76,9 @@ def cumulative(df: DataFrame, order: Sequence[Column], sum_cols: Sequence[str],
     The in-partition running sum is a vectorised ``cumsum`` over Arrow batches (``mapInPandas``):
     the window form would need a second shuffle of the whole table to group rows by partition.
     """
-    if small_rows and row_count_at_most(df, small_rows):
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the size check, the range sample and the sort
+    if small_rows and row_count_at_most(src, small_rows):
+        src.unpersist()
         w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = df
         for c in sum_cols:
@@ -81,7 +87,7 @@ def cumulative(df: DataFrame, order: Sequence[Column], sum_cols: Sequence[str],
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = _target_partitions(df, partitions)
-    sorted_df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    sorted_df = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
     out_fields = list(sorted_df.schema.fields) + [T.StructField("_pid", T.IntegerType())] + [
         T.StructField(c + suffix, T.DoubleType()) for c in sum_cols]
     schema = T.StructType(out_fields)
@@ -102,10 +108,18 @@ def cumulative(df: DataFrame, order: Sequence[Column], sum_cols: Sequence[str],
             yield pdf
 
     local = sorted_df.mapInPandas(run, schema).checkpoint(eager=True)
-    result = local
+    src.unpersist()
+    # partition totals of every column from one aggregation (one row per partition)
+    totals = local.groupBy("_pid").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in cols]).collect()
+    acc = {c: 0.0 for c in cols}
+    rows = []
+    for r in sorted(totals, key=lambda r: r["_pid"]):
+        rows.append((r["_pid"], *[acc[c] for c in cols]))
+        for c in cols:
+            acc[c] += r[c] or 0.0
+    offs = spark.createDataFrame(rows, T.StructType([T.StructField("_pid", T.IntegerType())] + [
+        T.StructField("_off_" + c, T.DoubleType()) for c in cols]))
+    result = local.join(F.broadcast(offs), "_pid")  # one row per partition
     for c in cols:
-        offs = _offsets(local.withColumn("_v", F.col(c).cast("double")), "_pid", "_v", "_off_" + c, spark,
-                        as_float=True)
-        result = result.join(F.broadcast(offs), "_pid")
         result = result.withColumn(c + suffix, F.col(c + suffix) + F.col("_off_" + c)).drop("_off_" + c)
     return result.drop("_pid")

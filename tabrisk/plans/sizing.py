@@ -20,3 +20,16 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over at least ``min_partitions`` tasks (default: the session's parallelism) when its
+    plan yields fewer; otherwise return it unchanged.
+
+    A Parquet file is split by row groups, so one large row group is read by one task and everything
+    row-wise after it (hashing, feature maps, model fitting) runs single-threaded. On a cluster reading
+    many files the scan already has more splits than cores and this is a no-op. Filters and column
+    pruning still reach the scan: Catalyst pushes both through a round-robin repartition.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

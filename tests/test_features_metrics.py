@@ -176,3 +176,23 @@ def test_scan_or_empty(spark, tmp_path):
     from tabrisk.sources.tables import scan_or_empty
     df, msg = scan_or_empty(spark, str(tmp_path / "missing"), "a long")
     assert df.count() == 0 and msg.startswith("read failed")
+
+
+@pytest.mark.parametrize("missing", ["mean", "zero"])
+def test_fused_prep_fit_equals_stagewise(spark, missing):
+    """fit_feature_prep computes fill values and post-fill population stds in one aggregation; they must
+    equal fitting the fill stage and then the scaler on the filled column."""
+    from tabrisk.operators.models import fit_feature_prep
+    rows = [(1, 1.0, None, "a"), (2, None, 4.0, "b"), (3, 3.0, 4.0, None), (4, 7.0, None, "a"), (5, None, 10.0, "b")]
+    df = spark.createDataFrame(rows, "id long, x double, y double, c string")
+    prep = fit_feature_prep(df, ["c"], ["x", "y"], keep=["id"], missing=missing)
+    fill = FE.ZeroFill(inputCols=["x", "y"]) if missing == "zero" else FE.MeanFill(inputCols=["x", "y"]).fit(df)
+    filled = fill.transform(df)
+    ref = FE.PopulationScaler(inputCols=["x", "y"]).fit(filled)
+    got = [s for s in prep.stages if isinstance(s, FE.ScalerModel)][0]
+    for a, b in zip(got.getOrDefault(got.means) + got.getOrDefault(got.stds),
+                    ref.getOrDefault(ref.means) + ref.getOrDefault(ref.stds)):
+        assert a == pytest.approx(b, rel=1e-12, abs=1e-12)
+    if missing == "mean":
+        fm = [s for s in prep.stages if isinstance(s, FE.FillModel)][0]
+        assert fm.getOrDefault(fm.values) == pytest.approx(fill.getOrDefault(fill.values))
