@@ -148,6 +148,10 @@ def topk(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+# largest n taken with a plain top-n (TakeOrderedAndProject merges the per-partition top-n in one task)
+TOPK_ROWS = 200_000
+
+
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """O3: exactly n rows without replacement (all rows if n >= count), deterministic by seed.
 
@@ -158,7 +162,7 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     if n <= 0:
         raise ValueError("n must be a positive integer")
     h = stable_hash(id_col, seed)
-    if n <= 200_000:
+    if n <= TOPK_ROWS:
         return df.withColumn("_h", h).orderBy("_h", id_col).limit(n).drop("_h")
     return smallest_by_hash(df.withColumn("_h", h), "_h", id_col, n).drop("_h")
 
@@ -176,7 +180,14 @@ def smallest_by_hash(df: DataFrame, hcol: str, id_col: str, n: int, prefix_len:
     if boundary is None:
         return df
     below = df.filter(pre < F.lit(boundary))
-    inside = df.filter(pre == F.lit(boundary)).orderBy(hcol, id_col).limit(need)
+    bucket = df.filter(pre == F.lit(boundary))
+    if need <= TOPK_ROWS:
+        inside = bucket.orderBy(hcol, id_col).limit(need)
+    else:
+        # a boundary bucket needing many rows (huge table, or one id repeated very often) is ranked with the
+        # distributed two-pass method, so no single task sorts the whole bucket
+        from tabrisk.plans.ordering import ranked
+        inside = ranked(bucket, [F.col(hcol).asc(), F.col(id_col).asc()], "_r").filter(F.col("_r") <= need).drop("_r")
     return below.unionByName(inside)
 
 

@@ -134,3 +134,14 @@ def test_profile_distinct_threshold_path_is_exact(spark):
     plain = {r.column_name: (r.distinct_values, r.more) for r in P.profile_distinct(long, 10).collect()}
     assert fast == plain
     assert fast["x"][0].startswith("1.0, 2.0, 4.0, 5.0, 7.0")
+
+
+def test_sample_n_ranked_boundary_bucket(spark, monkeypatch):
+    """A boundary bucket that needs more than TOPK_ROWS rows is ranked with the distributed method; the
+    result is still exactly the n smallest (hash, id)."""
+    monkeypatch.setattr(Q, "TOPK_ROWS", 5)
+    df = spark.range(0, 3000).withColumnRenamed("id", "k")
+    h = df.withColumn("_h", F.md5(F.concat(F.col("k").cast("string"), F.lit(":42"))))
+    want = {r.k for r in h.orderBy("_h", "k").limit(1000).collect()}
+    got = Q.smallest_by_hash(h, "_h", "k", 1000, prefix_len=1).collect()
+    assert len(got) == 1000 and {r.k for r in got} == want
