@@ -1156,41 +1156,47 @@ def lineitem_labeled(spark, d) -> DataFrame:
     return li.select(key.alias("row_key"), *LINE_NUM, *LINE_CAT, label.alias("label"))
 
 
-def _prepared(spark, d):
-    """Training input persisted for the fitting passes (prep statistics, tree rounds); callers unpersist it
-    once the model is fitted, so the returned scoring plan recomputes it in one pass."""
+def _prepared(spark, d, with_key: bool = False):
+    """(table, training input, fitted prep, prepared training input).
+
+    The training input holds only what fitting reads (features and label; the row key only when fold
+    assignment needs it) and is persisted for the fitting passes (prep statistics, tree rounds). Callers
+    unpersist it once the model is fitted; the scoring plan over the table computes the key in its one pass.
+    """
     from pyspark import StorageLevel
 
     from tabrisk.operators.models import fit_feature_prep
-    df = lineitem_labeled(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
-    prep = fit_feature_prep(df, LINE_CAT, LINE_NUM, keep=["row_key", "label"])
-    return df, prep, prep.transform(df)
+    df = lineitem_labeled(spark, d)
+    train = df.select(*(["row_key"] if with_key else []), *LINE_NUM, *LINE_CAT, "label") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    prep = fit_feature_prep(train, LINE_CAT, LINE_NUM, keep=["row_key", "label"])
+    return df, train, prep, prep.transform(train)
 
 
 @register("fit_forest")
 def q_fit_forest(spark, d):
     from tabrisk.operators.models import forest, score_batch
-    df, prep, x = _prepared(spark, d)
+    df, train, prep, x = _prepared(spark, d)
     model = forest(**SMALL_FOREST).fit(x)
-    df.unpersist()
+    train.unpersist()
     return score_batch(prep, model, df, keep=["row_key", "label"])
 
 
 @register("fit_boost")
 def q_fit_boost(spark, d):
     from tabrisk.operators.models import boost, score_batch
-    df, prep, x = _prepared(spark, d)
+    df, train, prep, x = _prepared(spark, d)
     model = boost(**SMALL_BOOST).fit(x)
-    df.unpersist()
+    train.unpersist()
     return score_batch(prep, model, df, keep=["row_key", "label"])
 
 
 @register("fit_stack")
 def q_fit_stack(spark, d):
     from tabrisk.operators.models import StackingClassifier, boost, forest, score_batch
-    df, prep, x = _prepared(spark, d)
+    df, train, prep, x = _prepared(spark, d, with_key=True)
     stack = StackingClassifier([forest(**SMALL_FOREST), boost(**SMALL_BOOST)], "row_key", inner_folds=3).fit(x)
-    df.unpersist()
+    train.unpersist()
     return score_batch(prep, stack, df, keep=["row_key", "label"])
 
 
@@ -1215,12 +1221,12 @@ def q_score_batch(spark, d):
     from tabrisk.operators.models import boost, score_batch
     from tabrisk.sources.state import load_scorer, save_scorer
     from tabrisk.session import scratch_path
-    df, prep, x = _prepared(spark, d)
+    df, train, prep, x = _prepared(spark, d)
     model = boost(**SMALL_BOOST).fit(x)
     path = scratch_path(spark, "models")
     save_scorer(path, prep, model, spark)
-    prep2, model2 = load_scorer(path, check_df=df)  # the reloaded pair smoke-scores one row
-    df.unpersist()
+    prep2, model2 = load_scorer(path, check_df=train)  # the reloaded pair smoke-scores one row
+    train.unpersist()
     return score_batch(prep2, model2, df, keep=["row_key", "label"])
 
 
@@ -1229,9 +1235,9 @@ def q_case_report(spark, d):
     """2 positive, 2 negative and 2 any-class rows, scored, with the correct flag and group accuracy."""
     from tabrisk.operators.metrics import case_report
     from tabrisk.operators.models import boost
-    df, prep, x = _prepared(spark, d)
+    df, train, prep, x = _prepared(spark, d)
     model = boost(**SMALL_BOOST).fit(x)
-    df.unpersist()
+    train.unpersist()
     return case_report(df, prep, model, "row_key", "label", n=2, seed=42)
 
 
