@@ -178,7 +178,9 @@ def update_fields(base: DataFrame, changes: DataFrame, spec: TableSpec) -> tuple
     wide = (latest.groupBy(idc).pivot("field", fields)
             .agg(F.first(F.struct(F.lit(True).alias("set"), F.col("value").alias("v")))))
     wide = wide.select(idc, *[F.col(f"`{f}`").alias(f"_new_{f}") for f in fields])
-    j = base.join(broadcast_if_small(wide), idc, "left")
+    # the per-id table depends on the validation, the existence check over the base ids and the pivot:
+    # materialise it once for the size check and the join
+    j = base.join(broadcast_if_small(wide, materialize=True), idc, "left")
     cols = [F.col(idc)]
     for f in base.schema.fields:
         if f.name == idc:

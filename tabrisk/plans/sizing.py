@@ -18,7 +18,13 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS, materialize: bool = False) -> DataFrame:
+    """``materialize``: checkpoint ``df`` first (into the shared checkpoint folder), so that the size check
+    and the join read the stored rows instead of computing an expensive upstream plan twice."""
+    if materialize:
+        from tabrisk.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
