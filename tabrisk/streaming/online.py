@@ -155,23 +155,26 @@ def partition_sgd(x: DataFrame, features: Sequence[str], label: str, weights: Se
     return [float(r[f"w{i}"]) for i in range(len(feats))], float(r["b"])
 
 
-def _batch_metrics(x: DataFrame, label: str, score) -> tuple[float | None, float | None]:
+def _batch_metrics(x: DataFrame, label: str, score, with_accuracy: bool = True) -> tuple[float | None, float | None]:
     from tabrisk.operators.metrics import accuracy, auc
     s = x.select(F.col(label).cast("int").alias("label"), score.alias("score")).cache()
     a = auc(s).first()["auc"]
-    acc = accuracy(s).first()["accuracy"]
+    acc = accuracy(s).first()["accuracy"] if with_accuracy else None
     s.unpersist()
     return a, acc
 
 
 def train_batch(spark: SparkSession, batch: DataFrame, cfg: OnlineConfig, store: OnlineStore,
-                mark: int | None, stream_batch: int | None = None) -> DataFrame:
-    """Train on one batch of new rows and append its log row; returns the log row (status row if empty)."""
+                prev, stream_batch: int | None = None) -> DataFrame:
+    """Train on one batch of new rows and append its log row; returns the log row (status row if empty).
+
+    ``prev`` is the latest trained log row (``store.latest()``, read once by the caller) or None.
+    """
     from tabrisk.operators.models import feature_list, fit_feature_prep
     now = _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    mark = int(prev["last_trained_id"]) if prev is not None else None
     batch = batch.cache()
     stats = batch.agg(F.count("*").alias("n"), F.max(cfg.id_col).alias("hi")).first()
-    prev = store.latest()
     if not stats["n"]:
         batch.unpersist()
         return spark.createDataFrame([(None, stream_batch, now, 0, None, mark, None, None, "no_data", None, None, None)],
@@ -186,7 +189,8 @@ def train_batch(spark: SparkSession, batch: DataFrame, cfg: OnlineConfig, store:
         w, b = list(prev["weights"]), float(prev["intercept"])
     else:
         w, b = [0.0] * len(feats), 0.0
-    before = _batch_metrics(x, cfg.label_col, sigmoid(linear_logit(feats, w, b)))[0] if prev is not None else None
+    before = (_batch_metrics(x, cfg.label_col, sigmoid(linear_logit(feats, w, b)), with_accuracy=False)[0]
+              if prev is not None else None)
     if cfg.rule == "gradient":
         w, b = gradient_steps(x, feats, cfg.label_col, w, b, cfg.eta0, cfg.steps)
     else:
@@ -216,7 +220,7 @@ def incremental_batch(spark: SparkSession, table: DataFrame, cfg: OnlineConfig,
     new = watermark_filter(table, cfg.id_col, mark) if mark is not None else table
     if n is not None:
         new = sample_n(new, cfg.id_col, n, seed) if take == "random" else new.orderBy(cfg.id_col).limit(n)
-    return train_batch(spark, new, cfg, store, mark)
+    return train_batch(spark, new, cfg, store, prev)
 
 
 def run_stream(spark: SparkSession, source_path: str, schema: T.StructType, cfg: OnlineConfig, store: OnlineStore,
@@ -235,7 +239,7 @@ def run_stream(spark: SparkSession, source_path: str, schema: T.StructType, cfg:
         prev = store.latest()
         mark = int(prev["last_trained_id"]) if prev is not None else None
         new = watermark_filter(bdf, cfg.id_col, mark) if mark is not None else bdf
-        train_batch(bdf.sparkSession, new, cfg, store, mark, stream_batch)
+        train_batch(bdf.sparkSession, new, cfg, store, prev, stream_batch)
 
     q = (spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files_per_trigger)
          .load(source_path)
