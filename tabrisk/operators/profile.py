@@ -7,8 +7,8 @@ The table is turned into a long form ``(column_name, pos, _id, txt, num)`` with
 * T3: first 10 distinct values in ascending order: ``(column_name, txt)`` de-duplicated with map-side
   partial aggregation, then ``row_number <= 11`` per column (WindowGroupLimit cuts each map partition
   to 11 rows per column before the shuffle); the 11th value only sets the ``more`` flag. For
-  high-cardinality numeric columns only values below a low approximate quantile enter that shuffle
-  (exact; see ``profile_distinct``);
+  high-cardinality columns (numeric and text) only values below a low approximate quantile of an
+  order-preserving key enter that shuffle (exact; see ``profile_distinct``);
 * T4: first 5 values in record (id) order: ``row_number <= 5`` per column, same WindowGroupLimit.
 
 No whole column is ever collected into one array.
@@ -77,32 +77,58 @@ def _top_distinct(long: DataFrame, k: int) -> DataFrame:
         F.max("rn").alias("n_top"))
 
 
-def profile_distinct(long: DataFrame, k: int = 10, numeric: Sequence[str] = (),
+def text_order_key(txt) -> "F.Column":
+    """A long that never decreases along Spark's (binary UTF-8) string order: the first 7 bytes, zero-padded."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(txt, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def profile_distinct(long: DataFrame, k: int = 10, numeric: Sequence[str] = (), text: Sequence[str] = (),
                      quantiles: Sequence[float] = (1e-3, 1e-2, 1e-1), low_cardinality: int = 10_000) -> DataFrame:
     """First k distinct values (numbers in numeric order, then text), plus a ``more`` flag.
 
-    For the ``numeric`` columns only values at or below a low approximate quantile of the column enter the
-    de-duplicating shuffle (one sketch aggregation with map-side partial sketches finds the quantiles).
-    That is exact whenever at least k + 1 distinct values lie below the threshold: every other value sorts
-    after them. Columns that fall short are retried with the next quantile, and finally without threshold.
+    For high-cardinality columns only values at or below a low approximate quantile of an order-preserving
+    key enter the de-duplicating shuffle (one sketch aggregation with map-side partial sketches finds the
+    quantiles). Per column one of two filters is used, each a prefix of the value order:
+
+    * ``num <= t`` when the column has many distinct numbers (``numeric`` columns; ``text`` columns whose
+      values mostly parse as numbers): numbers sort before all text;
+    * ``num IS NOT NULL OR key <= t`` for the other ``text`` columns, with ``key = text_order_key(txt)`` and
+      ``t`` a quantile of the key over the rows that do not parse as numbers.
+
+    Either is exact whenever at least k + 1 distinct values pass: every value left out sorts after them.
+    Columns that fall short are retried with the next quantile, and finally without threshold.
     """
     spark = long.sparkSession
-    pending = list(numeric)
+    pending = list(numeric) + [c for c in text if c not in set(numeric)]
+    is_text = set(text) - set(numeric)
     parts: list[DataFrame] = []
+    key = text_order_key(F.col("txt"))
     for q in quantiles:
         if not pending:
             break
         cur = long.filter(F.col("column_name").isin(pending))
-        stats = cur.groupBy("column_name").agg(F.percentile_approx("num", q, 10000).alias("t"),
-                                                F.approx_count_distinct("num").alias("nd")).collect()  # 1 row/column
-        # few distinct values: map-side de-duplication already makes the plain path cheap
-        low = {r["column_name"] for r in stats if (r["nd"] or 0) <= low_cardinality}
+        aggs = [F.percentile_approx("num", q, 10000).alias("t"), F.approx_count_distinct("num").alias("nd")]
+        if is_text & set(pending):
+            word = F.when(F.col("num").isNull(), F.col("txt"))
+            aggs += [F.percentile_approx(F.when(F.col("num").isNull(), key), q, 10000).alias("tk"),
+                     F.approx_count_distinct(word).alias("ndk")]
+        stats = cur.groupBy("column_name").agg(*aggs).collect()  # 1 row/column
+        th_rows, low = [], set()
+        for r in stats:
+            c = r["column_name"]
+            if (r["nd"] or 0) > low_cardinality and r["t"] is not None:
+                th_rows.append((c, "n", float(r["t"]), None))
+            elif c in is_text and (r["ndk"] or 0) > low_cardinality and r["tk"] is not None:
+                th_rows.append((c, "t", None, int(r["tk"])))
+            else:  # few distinct values: map-side de-duplication already makes the plain path cheap
+                low.add(c)
         pending = [c for c in pending if c not in low]
-        qs = [r for r in stats if r["t"] is not None and r["column_name"] in pending]
-        if not qs:
+        if not th_rows:
             break
-        th = spark.createDataFrame([(r["column_name"], float(r["t"])) for r in qs], "column_name string, _t double")
-        res = _top_distinct(cur.join(F.broadcast(th), "column_name").filter(F.col("num") <= F.col("_t")), k) \
+        th = spark.createDataFrame(th_rows, "column_name string, _m string, _t double, _tk long")
+        keep = (((F.col("_m") == "n") & (F.col("num") <= F.col("_t")))
+                | ((F.col("_m") == "t") & (F.col("num").isNotNull() | (key <= F.col("_tk")))))
+        res = _top_distinct(cur.join(F.broadcast(th), "column_name").filter(keep).drop("_m", "_t", "_tk"), k) \
             .checkpoint(eager=True)
         ok = res.filter(F.col("n_top") > k)
         parts.append(ok)
@@ -133,7 +159,8 @@ def profile_report(df: DataFrame, id_col: str, columns: Sequence[str] | None = N
     long = long_form(df, id_col, cols)
     t = profile_type(long, cols)
     numeric = [c for c in cols if isinstance(df.schema[c].dataType, _NUMERIC)]
-    return (t.join(profile_distinct(long, k_distinct, numeric), "column_name", "left")
+    text = [c for c in cols if c not in numeric]
+    return (t.join(profile_distinct(long, k_distinct, numeric, text), "column_name", "left")
             .join(profile_sample(long, k_sample), "column_name", "left")
             .select("column_name", "pos", "suggested_type", "n_non_null", "min_value", "max_value", "has_decimals",
                     "distinct_values", F.coalesce(F.col("more"), F.lit(0)).alias("more"), "sample_values"))

@@ -267,7 +267,8 @@ def q_profile_distinct10(spark, d):
     from tabrisk.operators import profile as P
     cols = [c for c, _ in PART_PROFILE_COLS]
     numeric = [c for c, is_num in PART_PROFILE_COLS if is_num]
-    return P.profile_distinct(P.long_form(part_for_profile(spark, d), "p_partkey", cols), 10, numeric)
+    text = [c for c, is_num in PART_PROFILE_COLS if not is_num]
+    return P.profile_distinct(P.long_form(part_for_profile(spark, d), "p_partkey", cols), 10, numeric, text)
 
 
 @register("profile_sample5", _profile_sql("column_name, sample_values") + " WHERE sample_values IS NOT NULL")

@@ -136,6 +136,28 @@ def test_profile_distinct_threshold_path_is_exact(spark):
     assert fast["x"][0].startswith("1.0, 2.0, 4.0, 5.0, 7.0")
 
 
+def test_profile_distinct_text_threshold_path_is_exact(spark):
+    # text columns: mostly distinct words (multi-byte, shared 7-byte prefixes, a hot value), mostly numbers
+    # in text form, and a mix of a few numbers with many words
+    rows = [(i, "zz" if i % 3 == 0 else f"wort-\u00e4{i:06d}", str(i * 7 % 5003), str(i % 4) if i % 2 else f"w{i}")
+            for i in range(30000)]
+    df = spark.createDataFrame(rows, "id long, w string, n string, m string")
+    long = P.long_form(df, "id", ["w", "n", "m"])
+    fast = {r.column_name: (r.distinct_values, r.more)
+            for r in P.profile_distinct(long, 10, [], ["w", "n", "m"], low_cardinality=10).collect()}
+    plain = {r.column_name: (r.distinct_values, r.more) for r in P.profile_distinct(long, 10).collect()}
+    assert fast == plain
+    assert fast["m"][0].startswith("1, 3, w0, w10, w100")
+    assert fast["n"][0].startswith("0, 1, 2, 3")
+
+
+def test_text_order_key_is_monotone(spark):
+    words = ["", "a", "a\u0000", "ab", "abcdefg", "abcdefgh", "abcdefgz", "b", "\u00e4", "\u00e4b", "\u4e2d", "\U0001f600"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = [r.k for r in df.orderBy("w").select(P.text_order_key(F.col("w")).alias("k")).collect()]
+    assert got == sorted(got)
+
+
 def test_sample_n_ranked_boundary_bucket(spark, monkeypatch):
     """A boundary bucket that needs more than TOPK_ROWS rows is ranked with the distributed method; the
     result is still exactly the n smallest (hash, id)."""
