@@ -19,11 +19,21 @@ from pyspark.sql import functions as F
 from tabrisk.operators.validate import _check, coerce_update_value, rule_table
 from tabrisk.plans.ordering import cumulative, ranked
 from tabrisk.plans.sizing import broadcast_if_small
+from tabrisk.session import ensure_checkpoint_dir
 from tabrisk.spec import TableSpec
 
 OK, REFUSED = "ok", "refused"
 
 
+def _present(base: DataFrame, req: DataFrame, idc: str) -> DataFrame:
+    """The requested ids (``req``: distinct ids, already size-checked for broadcast) that occur in ``base``.
+
+    The base id column is probed against the request set (map-side when it is broadcast), so only matching
+    ids reach the shuffle of the final distinct -- never every id of the table.
+    """
+    return base.select(idc).join(req, idc, "left_semi").distinct()
+
+
 def next_id(base: DataFrame, spec: TableSpec) -> int:
     """The next free id, max id + 1 (an empty table starts at 1). One aggregate job."""
     top = base.agg(F.max(spec.id_col)).first()[0]
@@ -73,10 +83,11 @@ def insert_with_defaults(base: DataFrame, new: DataFrame, spec: TableSpec, row_c
     """
     idc = spec.id_col
     given = new.filter(F.col(idc).isNotNull())
-    taken = given.join(base.select(idc).distinct(), idc, "left_semi").select(row_col, F.lit("id exists").alias("_why"))
+    present = _present(base, broadcast_if_small(given.select(idc).distinct()), idc)
+    taken = given.join(present, idc, "left_semi").select(row_col, F.lit("id exists").alias("_why"))
     # later requests for one free id: an aggregate (partial per map task), not a window per id, so a
     # much-repeated id never lands in one task
-    free = given.join(base.select(idc).distinct(), idc, "left_anti")
+    free = given.join(present, idc, "left_anti")
     first = free.groupBy(idc).agg(F.min(row_col).alias("_first"))
     dup = (free.join(first, idc).filter(F.col(row_col) != F.col("_first"))
            .select(row_col, F.lit("id repeated in batch").alias("_why")))
@@ -126,10 +137,13 @@ def insert_default_row(base: DataFrame, spec: TableSpec, id_value=None,
 def replace_rows(base: DataFrame, new: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """Whole-record replacement by id; an unknown id is refused."""
     idc = spec.id_col
-    ids = base.select(idc).distinct()
-    found = new.join(ids, idc, "left_semi")
-    kept = base.join(broadcast_if_small(found.select(idc).distinct()), idc, "left_anti")
-    status = (new.select(idc).distinct().join(ids.withColumn("_f", F.lit(1)), idc, "left")
+    ensure_checkpoint_dir(base.sparkSession)
+    req = new.select(idc).distinct()
+    # requested ids found in the table: one probe of the base id column, stored for the three uses below
+    present = _present(base, broadcast_if_small(req), idc).checkpoint(eager=True)
+    found = new.join(present, idc, "left_semi")
+    kept = base.join(broadcast_if_small(present), idc, "left_anti")
+    status = (req.join(present.withColumn("_f", F.lit(1)), idc, "left")
               .select(idc, F.when(F.col("_f").isNotNull(), F.lit(OK)).otherwise(F.lit(REFUSED)).alias("status")))
     return kept.unionByName(_fill_missing(found, base, spec)), status
 
@@ -138,8 +152,9 @@ def delete_rows(base: DataFrame, ids: DataFrame, spec: TableSpec) -> tuple[DataF
     """Remove records by id (anti join); status 'ok' / 'not found' per requested id."""
     idc = spec.id_col
     req = ids.select(idc).distinct()
-    kept = base.join(broadcast_if_small(req), idc, "left_anti")
-    exists = base.select(idc).distinct().withColumn("_f", F.lit(1))
+    req_b = broadcast_if_small(req)
+    kept = base.join(req_b, idc, "left_anti")
+    exists = _present(base, req_b, idc).withColumn("_f", F.lit(1))
     status = req.join(exists, idc, "left").select(
         idc, F.when(F.col("_f").isNotNull(), F.lit(OK)).otherwise(F.lit("not found")).alias("status"))
     return kept, status
@@ -165,7 +180,9 @@ def update_fields(base: DataFrame, changes: DataFrame, spec: TableSpec) -> tuple
     ch = _validated(changes.withColumnRenamed("id", idc) if "id" in changes.columns else changes, spec)
     per_id = ch.groupBy(idc).agg(F.min(F.col("valid").cast("int")).alias("_all_valid"),
                                  F.min_by("message", F.when(~F.col("valid"), F.struct("seq", "field"))).alias("_msg"))
-    exists = base.select(idc).distinct().withColumn("_found", F.lit(1))
+    ensure_checkpoint_dir(base.sparkSession)
+    per_id = per_id.checkpoint(eager=True)  # read by the size check, the existence probe and the status
+    exists = _present(base, broadcast_if_small(per_id.select(idc)), idc).withColumn("_found", F.lit(1))
     st = per_id.join(exists, idc, "left")
     status = st.select(
         idc,
