@@ -70,7 +70,7 @@ def test_update_fields(spark):
     assert (4, 25) in rows and rows[(4, 25)].bmi is None and rows[(4, 25)].gender == "F"
     assert (5, 60) in rows and (5, 61) in rows  # id 5 refused: one bad field of two
     st = {r.patient_id: r.status for r in status.collect()}
-    assert st == {4: "ok", 5: "refused", 9: "not found"}
+    assert st == {4: "ok", 5: "refused", 9: "not found"} and status.count() == 3
 
 
 def test_update_all_rows_with_id(spark):
@@ -83,6 +83,14 @@ def test_delete_rows(spark):
     new, status = C.delete_rows(_base(spark), spark.createDataFrame([(5,), (8,)], "patient_id long"), ICU)
     assert [r.patient_id for r in new.collect()] == [4]
     assert {r.patient_id: r.status for r in status.collect()} == {5: "ok", 8: "not found"}
+    assert status.count() == 2  # one status row per requested id, although id 5 occurs twice in the table
+
+
+def test_replace_rows_status_per_id(spark):
+    new = spark.createDataFrame([(5, 70, 20.0, "F"), (8, 71, 21.0, "M")], "patient_id long, age int, bmi double, gender string")
+    out, status = C.replace_rows(_base(spark), new, ICU)
+    assert sorted((r.patient_id, r.age) for r in out.collect()) == [(4, 50), (5, 70)]
+    assert sorted((r.patient_id, r.status) for r in status.collect()) == [(5, "ok"), (8, "refused")]
 
 
 def test_insert_with_defaults(spark):
