@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabrisk.llm import bpe_tree, mixing, quality_rules, simhash, token_counts
+from tabrisk.llm import bpe_tree, mixing, quality_rules, simhash, token_counts, warc
 from tabrisk.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": lambda spark, d: mixing.op1(read_table(spark, d, "documents")),
+    "op3_warc": lambda spark, d: warc.op3(spark, read_table(spark, d, "pages")),
     "op4_token_counts": lambda spark, d: token_counts.op4(spark, read_table(spark, d, "documents")),
     "op5_quality_rules": lambda spark, d: quality_rules.op5(read_table(spark, d, "documents")),
     "op7_simhash": lambda spark, d: simhash.op7(read_table(spark, d, "documents")),
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
+    "op3_warc": warc.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
 }
