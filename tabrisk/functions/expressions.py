@@ -22,8 +22,13 @@ def parse_number(c) -> Column:
 
 
 def trunc_int(c) -> Column:
-    """Number or numeric text to int, truncating toward zero ('3.7' -> 3, '-3.7' -> -3)."""
-    return _c(c).try_cast("double").try_cast("long").try_cast("int")
+    """Number or numeric text to a 64-bit integer, truncating toward zero ('3.7' -> 3, '-3.7' -> -3).
+
+    Text of an integer is converted exactly; NULL only for what is no number or beyond 64 bits.
+    """
+    text = _c(c).cast("string")
+    exact = F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("long"))
+    return exact.otherwise(_c(c).try_cast("double").try_cast("long"))
 
 
 def is_blank(c) -> Column:

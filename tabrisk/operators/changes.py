@@ -5,8 +5,9 @@ current snapshot and a *batch* of changes (a DataFrame) and returns the new snap
 table with one row per requested change. Writing the new snapshot is the job of
 ``sources.snapshots.SnapshotStore`` (a new version directory; the input is never overwritten).
 
-Join strategy: change batches are usually small next to the table. They are broadcast only behind a
-row-count check (``plans.sizing.broadcast_if_small``); above the limit Spark plans a shuffle join.
+Join strategy: no hints. Change batches are stored once (``plans.stored``) and are the right side of semi, anti and
+left joins, so the planner broadcasts them when their measured size is below the session's threshold and shuffles
+otherwise.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ from pyspark.sql import functions as F
 
 from tabrisk.operators.validate import _check, coerce_update_value, rule_table
 from tabrisk.plans.ordering import cumulative, ranked
-from tabrisk.plans.sizing import broadcast_if_small
+from tabrisk.plans.stored import stored
 from tabrisk.session import ensure_checkpoint_dir
 from tabrisk.spec import TableSpec
 
 OK, REFUSED = "ok", "refused"
+NOT_FOUND = "not found"
+MSG_ID, MSG_UNKNOWN, MSG_RANGE = "the id cannot be changed", "unknown field", "out of range"
 
 
 def _present(base: DataFrame, req: DataFrame, idc: str) -> DataFrame:
-    """The requested ids (``req``: distinct ids, already size-checked for broadcast) that occur in ``base``.
+    """The requested ids (``req``: distinct ids) that occur in ``base``.
 
     The base id column is probed against the request set (map-side when it is broadcast), so only matching
     ids reach the shuffle of the final distinct -- never every id of the table.
@@ -83,7 +86,7 @@ def insert_with_defaults(base: DataFrame, new: DataFrame, spec: TableSpec, row_c
     """
     idc = spec.id_col
     given = new.filter(F.col(idc).isNotNull())
-    present = _present(base, broadcast_if_small(given.select(idc).distinct()), idc)
+    present = stored(_present(base, stored(given.select(idc).distinct(), "ids"), idc), "present")
     taken = given.join(present, idc, "left_semi").select(row_col, F.lit("id exists").alias("_why"))
     # later requests for one free id: an aggregate (partial per map task), not a window per id, so a
     # much-repeated id never lands in one task
@@ -138,11 +141,11 @@ def replace_rows(base: DataFrame, new: DataFrame, spec: TableSpec) -> tuple[Data
     """Whole-record replacement by id; an unknown id is refused."""
     idc = spec.id_col
     ensure_checkpoint_dir(base.sparkSession)
-    req = new.select(idc).distinct()
+    req = stored(new.select(idc).distinct(), "ids")
     # requested ids found in the table: one probe of the base id column, stored for the three uses below
-    present = _present(base, broadcast_if_small(req), idc).checkpoint(eager=True)
+    present = stored(_present(base, req, idc), "present")
     found = new.join(present, idc, "left_semi")
-    kept = base.join(broadcast_if_small(present), idc, "left_anti")
+    kept = base.join(present, idc, "left_anti")
     status = (req.join(present.withColumn("_f", F.lit(1)), idc, "left")
               .select(idc, F.when(F.col("_f").isNotNull(), F.lit(OK)).otherwise(F.lit(REFUSED)).alias("status")))
     return kept.unionByName(_fill_missing(found, base, spec)), status
@@ -151,10 +154,9 @@ def replace_rows(base: DataFrame, new: DataFrame, spec: TableSpec) -> tuple[Data
 def delete_rows(base: DataFrame, ids: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """Remove records by id (anti join); status 'ok' / 'not found' per requested id."""
     idc = spec.id_col
-    req = ids.select(idc).distinct()
-    req_b = broadcast_if_small(req)
-    kept = base.join(req_b, idc, "left_anti")
-    exists = _present(base, req_b, idc).withColumn("_f", F.lit(1))
+    req = stored(ids.select(idc).distinct(), "ids")
+    kept = base.join(req, idc, "left_anti")
+    exists = _present(base, req, idc).withColumn("_f", F.lit(1))
     status = req.join(exists, idc, "left").select(
         idc, F.when(F.col("_f").isNotNull(), F.lit(OK)).otherwise(F.lit("not found")).alias("status"))
     return kept, status
@@ -170,7 +172,8 @@ def _validated(changes: DataFrame, spec: TableSpec) -> DataFrame:
 def update_fields(base: DataFrame, changes: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """Partial update from long-form changes ``(id, field, value[, seq])``.
 
-    All fields of one id are validated first; one bad field refuses every change of that id. An
+    All fields of one id are validated first; one bad field refuses every change of that id: a value that breaks
+    its rule or does not fit the column's type, a column the table lacks, or the id itself. An
     unknown id is refused. Only the given fields change (a flag per field, since the new value may be
     NULL); every record with that id changes. Several changes of one (id, field): the highest ``seq`` wins.
     """
@@ -178,11 +181,21 @@ def update_fields(base: DataFrame, changes: DataFrame, spec: TableSpec) -> tuple
     if "seq" not in changes.columns:
         changes = changes.withColumn("seq", F.lit(0))
     ch = _validated(changes.withColumnRenamed("id", idc) if "id" in changes.columns else changes, spec)
+    # a change that cannot be stored is refused like one that breaks a rule
+    known = F.col("field").isin([f for f in base.columns if f != idc])
+    fits = F.lit(True)
+    for f in base.schema.fields:
+        if f.name != idc:
+            new_v = coerce_update_value(spec.rules.get(f.name), f.name in spec.categories, F.col("value"))
+            fits = F.when(F.col("field") == f.name, F.col("value").isNull() | (F.col("value") == "") | new_v.try_cast(f.dataType).isNotNull()).otherwise(fits)
+    why = F.when(F.col("field") == idc, F.lit(MSG_ID)).when(~known, F.lit(MSG_UNKNOWN)).when(F.col("valid") & ~fits, F.lit(MSG_RANGE))
+    ch = ch.withColumn("_why", why).withColumn("valid", F.col("valid") & F.col("_why").isNull()) \
+        .withColumn("message", F.coalesce("_why", "message")).drop("_why")
     per_id = ch.groupBy(idc).agg(F.min(F.col("valid").cast("int")).alias("_all_valid"),
                                  F.min_by("message", F.when(~F.col("valid"), F.struct("seq", "field"))).alias("_msg"))
     ensure_checkpoint_dir(base.sparkSession)
-    per_id = per_id.checkpoint(eager=True)  # read by the size check, the existence probe and the status
-    exists = _present(base, broadcast_if_small(per_id.select(idc)), idc).withColumn("_found", F.lit(1))
+    per_id = stored(per_id, "changes")  # read by the existence probe and the status
+    exists = _present(base, per_id.select(idc), idc).withColumn("_found", F.lit(1))
     st = per_id.join(exists, idc, "left")
     status = st.select(
         idc,
@@ -196,15 +209,15 @@ def update_fields(base: DataFrame, changes: DataFrame, spec: TableSpec) -> tuple
             .agg(F.first(F.struct(F.lit(True).alias("set"), F.col("value").alias("v")))))
     wide = wide.select(idc, *[F.col(f"`{f}`").alias(f"_new_{f}") for f in fields])
     # the per-id table depends on the validation, the existence check over the base ids and the pivot:
-    # materialise it once for the size check and the join
-    j = base.join(broadcast_if_small(wide, materialize=True), idc, "left")
+    # materialise it once
+    j = base.join(stored(wide, "changes"), idc, "left")
     cols = [F.col(idc)]
     for f in base.schema.fields:
         if f.name == idc:
             continue
         new_v = coerce_update_value(spec.rules.get(f.name), f.name in spec.categories,
                                     F.col(f"_new_{f.name}.v"))
-        cols.append(F.when(F.col(f"_new_{f.name}.set").isNotNull(), new_v.cast(f.dataType))
+        cols.append(F.when(F.col(f"_new_{f.name}.set").isNotNull(), new_v.try_cast(f.dataType))
                     .otherwise(F.col(f.name)).alias(f.name))
     return j.select(*cols), status
 
@@ -258,9 +271,17 @@ def edit_feed_changes(feed: DataFrame, spec: TableSpec) -> tuple[DataFrame, Data
 
 
 def apply_edit_feed(base: DataFrame, feed: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
-    """D7 end to end: feed -> changes -> D5 update."""
+    """D7 end to end: feed -> changes -> D5 update. The status of an event follows the table: any event but a
+    cancel on an id the table lacks is 'not found', and a save carries the update's refusal."""
+    idc = spec.id_col
     changes, status = edit_feed_changes(feed, spec)
-    new, _ = update_fields(base, changes, spec)
+    new, updated = update_fields(base, changes, spec)
+    present = _present(base, feed.select(F.col("id").alias(idc)).distinct(), idc).select(F.col(idc).alias("id"), F.lit(1).alias("_found"))
+    refused = updated.filter(F.col("status") == REFUSED).select(F.col(idc).alias("id"), F.lit("save").alias("action"), F.col("message").alias("_why"))
+    status = status.join(present, "id", "left").join(refused, ["id", "action"], "left").select(
+        "id", "seq", "action", "field",
+        F.when(F.col("_found").isNull() & (F.col("action") != "cancel"), F.lit(NOT_FOUND))
+         .when((F.col("status") == OK) & F.col("_why").isNotNull(), F.col("_why")).otherwise(F.col("status")).alias("status"))
     return new, status
 
 

@@ -54,7 +54,7 @@ class OneHot(Estimator, _ColsParams, DefaultParamsReadable, DefaultParamsWritabl
     """one 0/1 column per (column, value seen in fit), no reference level dropped.
 
     Fit: one job, all columns unpivoted and de-duplicated together (partial aggregation per map task),
-    at most ``maxCategories`` values per column are accepted. Apply: plain CASE expressions; a value
+    ``maxCategories`` (0: no limit) refuses columns with more values where a caller wants that. Apply: plain CASE expressions; a value
     not seen in fit gives zeros in every column of its block. The source column is dropped.
     """
 
@@ -62,9 +62,9 @@ class OneHot(Estimator, _ColsParams, DefaultParamsReadable, DefaultParamsWritabl
                           typeConverter=TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, inputCols: Sequence[str] | None = None, maxCategories: int = 1000):
+    def __init__(self, inputCols: Sequence[str] | None = None, maxCategories: int = 0):
         super().__init__()
-        self._setDefault(inputCols=[], maxCategories=1000)
+        self._setDefault(inputCols=[], maxCategories=0)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "OneHotModel":
@@ -72,16 +72,18 @@ class OneHot(Estimator, _ColsParams, DefaultParamsReadable, DefaultParamsWritabl
         limit = self.getOrDefault(self.maxCategories)
         long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
                                              for c in cols])).alias("e")).select("e.c", "e.v")
-        # distinct (column, value) pairs (partial aggregation per map task), then at most limit + 1 values
-        # per column (a top-k window, planned as WindowGroupLimit): the driver never receives more than
-        # cols x (limit + 1) rows, and a column reaching limit + 1 values is refused
+        # distinct (column, value) pairs (partial aggregation per map task). The fitted encoder is made of
+        # them, one output column each, so it is as large as the model itself; with a limit the driver receives
+        # limit + 1 values per column at most (a top-k window, planned as WindowGroupLimit)
         pairs = long.filter(F.col("v").isNotNull()).distinct()
-        w = Window.partitionBy("c").orderBy("v")
-        rows = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit + 1).drop("_r").collect()
+        if limit:
+            w = Window.partitionBy("c").orderBy("v")
+            pairs = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit + 1).drop("_r")
+        rows = pairs.collect()
         cats: dict[str, list[str]] = {c: [] for c in cols}
         for r in rows:
             cats[r["c"]].append(r["v"])
-        too_big = [c for c in cols if len(cats[c]) > limit]
+        too_big = [c for c in cols if limit and len(cats[c]) > limit]
         if too_big:
             raise ValueError(f"one-hot columns with more than {limit} values: {too_big}")
         flat = []
@@ -165,8 +167,9 @@ class FillModel(Model, _ColsParams, DefaultParamsReadable, DefaultParamsWritable
 
     def _transform(self, df: DataFrame) -> DataFrame:
         fills = dict(zip(self.getInputCols(), self.getOrDefault(self.values)))
-        fills = {c: v for c, v in fills.items() if c in df.columns}
-        return df.fillna(fills) if fills else df
+        # an integer column becomes double first, or the mean would be cut to an integer
+        return df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(fills[c]))).alias(c) if c in fills
+                           else F.col(f"`{c}`") for c in df.columns])
 
 
 class PopulationScaler(Estimator, _ColsParams, DefaultParamsReadable, DefaultParamsWritable):

@@ -17,6 +17,8 @@ from tabrisk.functions import fmt_decimals, stable_hash
 from tabrisk.plans.ordering import ranked
 from tabrisk.spec import TableSpec
 
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
 # the "no restriction" entry of the category picker
 ALL = "ALL"
 
@@ -47,19 +49,29 @@ class Criteria:
     use_labels: bool = True
 
 
-def search_predicate(spec: TableSpec, crit: Criteria) -> Column:
+def id_predicate(id_col: str, text: str, schema: T.StructType) -> Column:
+    """Ids are compared as text: '025312' and '25312.0' do not match 25312. On an integer column the one number
+    whose text it is goes to the scan as ``id = n``; any other text matches nothing."""
+    if isinstance(schema[id_col].dataType, _INTEGRAL):
+        canonical = text.lstrip("-").isdecimal() and text.isascii() and str(int(text)) == text if text else False
+        return F.col(id_col) == F.lit(int(text)) if canonical and abs(int(text)) < 2**63 else F.lit(False)
+    return F.col(id_col).cast("string") == F.lit(text)
+
+
+def search_predicate(spec: TableSpec, crit: Criteria, schema: T.StructType) -> Column:
     idc, rng, cat, _ = spec.list_cols
     parts: list[Column] = []
     if crit.id_text:
-        # ids are compared as text: '025312' and '25312.0' do not match 25312
-        parts.append(F.col(idc).cast("string") == F.lit(crit.id_text.strip()))
+        parts.append(id_predicate(idc, crit.id_text.strip(), schema))
     r = F.col(rng)
+    # NaN, which files not written by us may hold, counts as missing (it compares above every number)
+    nan = F.isnan(r) if isinstance(schema[rng].dataType, (T.DoubleType, T.FloatType)) else F.lit(False)
     if crit.lo is not None:
         p = r >= F.lit(float(crit.lo))
-        parts.append(p if crit.strict else (r.isNull() | (r == 0) | p))
+        parts.append(p & ~nan if crit.strict else (r.isNull() | (r == 0) | p))
     if crit.hi is not None:
         p = r <= F.lit(float(crit.hi))
-        parts.append(p if crit.strict else (r.isNull() | (r == 0) | p))
+        parts.append(p if crit.strict else (r.isNull() | nan | (r == 0) | p))
     if crit.category and crit.category not in (ALL, spec.all_label):
         code = spec.category_labels.get(crit.category, crit.category) if crit.use_labels else crit.category
         parts.append(F.col(cat) == F.lit(code))
@@ -68,7 +80,7 @@ def search_predicate(spec: TableSpec, crit: Criteria) -> Column:
 
 def search_multi(df: DataFrame, spec: TableSpec, crit: Criteria) -> DataFrame:
     """Conjunction of the set criteria, then the list projection."""
-    return list_view(df.filter(search_predicate(spec, crit)), spec)
+    return list_view(df.filter(search_predicate(spec, crit, df.schema)), spec)
 
 
 def sort_keys(df: DataFrame, column: str, ascending: bool, id_col: str) -> list[Column]:
@@ -148,47 +160,35 @@ def topk(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-# largest n taken with a plain top-n (TakeOrderedAndProject merges the per-partition top-n in one task)
-TOPK_ROWS = 200_000
+# hex digits of the hash that the bucket counts of a sample go by: at most 16 ** 3 counts reach the driver
+PREFIX = 3
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """O3: exactly n rows without replacement (all rows if n >= count), deterministic by seed.
 
-    Rows are ordered by ``md5(id:seed)``; the n smallest are kept. For small n this is a
-    TakeOrderedAndProject (per-partition top-n, no shuffle of the table). For large n the n
-    smallest are found with a per-prefix count histogram so no single task or the driver holds n rows.
+    Rows are ordered by ``md5(id:seed)`` and the n smallest are kept. The rows are counted by the first digits
+    of their hash; every bucket below the boundary is kept whole, and the bucket that holds the boundary is
+    ranked with the distributed method. So no task and not the driver holds n rows, whatever n is.
     """
     if n <= 0:
         raise ValueError("n must be a positive integer")
-    h = stable_hash(id_col, seed)
-    if n <= TOPK_ROWS:
-        return df.withColumn("_h", h).orderBy("_h", id_col).limit(n).drop("_h")
-    return smallest_by_hash(df.withColumn("_h", h), "_h", id_col, n).drop("_h")
-
-
-def smallest_by_hash(df: DataFrame, hcol: str, id_col: str, n: int, prefix_len: int = 4) -> DataFrame:
-    """The n rows with the smallest (hash, id): whole prefix buckets below the boundary, top-k inside it."""
-    pre = F.substring(F.col(hcol), 1, prefix_len)
-    counts = df.groupBy(pre.alias("_p")).count().orderBy("_p").collect()  # <= 16**prefix_len rows
-    acc, boundary, need = 0, None, 0
-    for r in counts:
+    return smallest_by_hash(df.withColumn("_h", stable_hash(id_col, seed)), "_h", id_col, n).drop("_h")
+
+
+def smallest_by_hash(df: DataFrame, hcol: str, id_col: str, n: int) -> DataFrame:
+    """The n rows with the smallest (hash, id). A null hash (of a null id) comes first."""
+    pre = F.coalesce(F.substring(F.col(hcol), 1, PREFIX), F.lit(""))
+    acc, boundary = 0, None
+    for r in df.groupBy(pre.alias("_p")).count().orderBy("_p").collect():
         if acc + r["count"] >= n:
-            boundary, need = r["_p"], n - acc
+            boundary = r["_p"]
             break
         acc += r["count"]
     if boundary is None:
         return df
-    below = df.filter(pre < F.lit(boundary))
-    bucket = df.filter(pre == F.lit(boundary))
-    if need <= TOPK_ROWS:
-        inside = bucket.orderBy(hcol, id_col).limit(need)
-    else:
-        # a boundary bucket needing many rows (huge table, or one id repeated very often) is ranked with the
-        # distributed two-pass method, so no single task sorts the whole bucket
-        from tabrisk.plans.ordering import ranked
-        inside = ranked(bucket, [F.col(hcol).asc(), F.col(id_col).asc()], "_r").filter(F.col("_r") <= need).drop("_r")
-    return below.unionByName(inside)
+    inside = ranked(df.filter(pre == F.lit(boundary)), [F.col(hcol).asc_nulls_first(), F.col(id_col).asc_nulls_first()], "_r")
+    return df.filter(pre < F.lit(boundary)).unionByName(inside.filter(F.col("_r") <= n - acc).drop("_r"))
 
 
 def sample_per_class(df: DataFrame, id_col: str, label: str, n: int, seed: int = 42) -> DataFrame:

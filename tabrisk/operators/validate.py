@@ -140,7 +140,8 @@ def parse_edit_rows(long: DataFrame, spec: TableSpec, field_order: Sequence[str]
         .join(F.broadcast(rules), "field", "left").withColumn("v", v)
     d = F.col("v").try_cast("double")
     rtype = F.col("rtype")
-    blank = F.col("v").isNull() | (F.col("v") == "")
+    # only 'N/A' is null in a form; empty text is refused by a typed field
+    blank = F.col("v").isNull()
     typed_bad = (F.when(blank, F.lit(None))
                  .when((rtype == "int") & (d.isNull() | (d != F.floor(d))), F.lit(MSG_INTEGER))
                  .when((rtype == "bool") & ~F.lower(F.col("v")).isin("true", "false"), F.lit(MSG_BOOL))
@@ -148,7 +149,7 @@ def parse_edit_rows(long: DataFrame, spec: TableSpec, field_order: Sequence[str]
                  .when(F.col("rmin").isNotNull() & (d < F.col("rmin")), F.concat(F.lit(MSG_MIN), F.col("min_text")))
                  .when(F.col("rmax").isNotNull() & (d > F.col("rmax")), F.concat(F.lit(MSG_MAX), F.col("max_text"))))
     in_domain = F.coalesce(F.array_contains(F.col("domain"), F.col("v")), F.lit(False))
-    dom_bad = F.when((rtype == "str") & F.col("domain").isNotNull() & ~blank & ~in_domain,
+    dom_bad = F.when((rtype == "str") & F.col("domain").isNotNull() & ~blank & (F.col("v") != "") & ~in_domain,
                      F.concat(F.lit(MSG_DOMAIN), F.array_join(F.col("domain"), ", ")))
     msg = F.coalesce(typed_bad, dom_bad)
     pos = F.coalesce(F.col("fpos"), F.lit(len(field_order)))
@@ -163,7 +164,7 @@ def parse_edit_rows(long: DataFrame, spec: TableSpec, field_order: Sequence[str]
 
 
 def coerce_typed(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """V8 (read side): int-ruled fields truncated to int; float-ruled to double; others as stored."""
+    """V8 (read side): int-ruled fields truncated to 64-bit integers; float-ruled to double; others as stored."""
     cols = []
     for f in df.columns:
         r = spec.rules.get(f)

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabrisk.operators import query as Q
-from tabrisk.plans.sizing import spread
 from tabrisk.sources.tables import read_table
 from tabrisk.spec import CUSTOMER
 
@@ -406,7 +405,7 @@ j AS (
          COALESCE(r.fpos, {len(ORDER_FORM)}) AS fpos,
          CASE WHEN trim(e.value) = 'N/A' THEN NULL ELSE trim(e.value) END AS v
   FROM edits e LEFT JOIN rules r USING (field)),
-k AS (SELECT *, TRY_CAST(v AS DOUBLE) AS d, (v IS NULL OR v = '') AS blank FROM j),
+k AS (SELECT *, TRY_CAST(v AS DOUBLE) AS d, v IS NULL AS blank FROM j),
 m AS (
   SELECT id, field, fpos, COALESCE(
     CASE WHEN blank THEN NULL
@@ -415,7 +414,7 @@ m AS (
          WHEN rtype = 'float' AND d IS NULL THEN 'bad format'
          WHEN rmin IS NOT NULL AND d < rmin THEN 'must be >= ' || min_text
          WHEN rmax IS NOT NULL AND d > rmax THEN 'must be <= ' || max_text END,
-    CASE WHEN rtype = 'str' AND domain IS NOT NULL AND NOT blank AND NOT COALESCE(list_contains(domain, v), false)
+    CASE WHEN rtype = 'str' AND domain IS NOT NULL AND NOT blank AND v <> '' AND NOT COALESCE(list_contains(domain, v), false)
          THEN 'must be one of: ' || array_to_string(domain, ', ') END) AS message
   FROM k)
 SELECT id, CAST(SUM(CAST(message IS NOT NULL AS INTEGER)) = 0 AS INTEGER) AS ok,
@@ -463,7 +462,7 @@ def orders_as_text(spark, d) -> DataFrame:
 
 @register("coerce_typed", f"""
 WITH {ORDER_TEXT_SQL}
-SELECT o_orderkey, CAST(trunc(TRY_CAST(o_custkey AS DOUBLE)) AS INTEGER) AS o_custkey,
+SELECT o_orderkey, CAST(trunc(TRY_CAST(o_custkey AS DOUBLE)) AS BIGINT) AS o_custkey,
        TRY_CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderstatus, o_orderpriority
 FROM ot
 """)
@@ -476,7 +475,7 @@ def q_coerce_typed(spark, d):
 @register("coerce_update", f"""
 WITH {ORDER_TEXT_SQL}
 SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey,
-       CASE WHEN o_custkey = '' THEN NULL ELSE CAST(trunc(TRY_CAST(o_custkey AS DOUBLE)) AS INTEGER) END AS o_custkey,
+       CASE WHEN o_custkey = '' THEN NULL ELSE CAST(trunc(TRY_CAST(o_custkey AS DOUBLE)) AS BIGINT) END AS o_custkey,
        CASE WHEN o_totalprice = '' THEN NULL ELSE TRY_CAST(o_totalprice AS DOUBLE) END AS o_totalprice,
        CASE WHEN o_orderstatus = '' THEN NULL ELSE o_orderstatus END AS o_orderstatus,
        CASE WHEN o_orderpriority = '' THEN NULL ELSE o_orderpriority END AS o_orderpriority
@@ -637,9 +636,12 @@ ch AS (
   UNION ALL SELECT c_custkey, 'c_mktsegment', '' FROM customer WHERE c_custkey % 10 = 3
   UNION ALL SELECT c_custkey, 'c_nationkey', '99' FROM customer WHERE c_custkey % 10 = 7
   UNION ALL SELECT c_custkey, 'c_nationkey', ' 12 ' FROM customer WHERE c_custkey % 10 = 9
+  UNION ALL SELECT c_custkey, 'c_phone', '1' FROM customer WHERE c_custkey % 10 = 1
+  UNION ALL SELECT c_custkey, 'c_custkey', '1' FROM customer WHERE c_custkey % 10 = 2
   UNION ALL SELECT s_suppkey + 100000, 'c_acctbal', '1.00' FROM supplier),
 v AS (
-  SELECT *, CASE WHEN field = 'c_acctbal' THEN value = '' OR COALESCE(TRY_CAST(value AS DOUBLE) BETWEEN -1000 AND 10000, false)
+  SELECT *, CASE WHEN field IN ('c_phone', 'c_custkey') THEN false
+                 WHEN field = 'c_acctbal' THEN value = '' OR COALESCE(TRY_CAST(value AS DOUBLE) BETWEEN -1000 AND 10000, false)
                  WHEN field = 'c_nationkey' THEN value = '' OR (regexp_matches(value, '^\\s*[+-]?[0-9]+\\s*$')
                                                                AND TRY_CAST(value AS DOUBLE) BETWEEN 0 AND 24)
                  ELSE true END AS valid
@@ -677,7 +679,9 @@ def customer_changes(spark, d) -> DataFrame:
         F.when(k % 10 == 5, F.struct(F.lit("c_nationkey").alias("field"), F.lit("3").alias("value"))),
         F.when(k % 10 == 3, F.struct(F.lit("c_mktsegment").alias("field"), F.lit("").alias("value"))),
         F.when(k % 10 == 7, F.struct(F.lit("c_nationkey").alias("field"), F.lit("99").alias("value"))),
-        F.when(k % 10 == 9, F.struct(F.lit("c_nationkey").alias("field"), F.lit(" 12 ").alias("value"))))
+        F.when(k % 10 == 9, F.struct(F.lit("c_nationkey").alias("field"), F.lit(" 12 ").alias("value"))),
+        F.when(k % 10 == 1, F.struct(F.lit("c_phone").alias("field"), F.lit("1").alias("value"))),
+        F.when(k % 10 == 2, F.struct(F.lit("c_custkey").alias("field"), F.lit("1").alias("value"))))
     ch = c.select(k.alias("id"), F.explode(entries).alias("e")).filter(F.col("e").isNotNull()) \
         .select("id", "e.field", "e.value")
     ghost = read_table(spark, d, "supplier").select((F.col("s_suppkey") + 100000).alias("id"),
@@ -699,6 +703,8 @@ SELECT id AS c_custkey,
             WHEN bool_and(valid) THEN 'ok' ELSE 'refused' END AS status,
        CASE WHEN id NOT IN (SELECT c_custkey FROM customer) OR bool_and(valid) THEN NULL
             ELSE MAX(CASE WHEN valid THEN NULL
+                          WHEN field = 'c_phone' THEN 'unknown field'
+                          WHEN field = 'c_custkey' THEN 'the id cannot be changed'
                           WHEN field = 'c_acctbal' AND TRY_CAST(value AS DOUBLE) IS NULL THEN 'bad format'
                           WHEN field = 'c_acctbal' AND TRY_CAST(value AS DOUBLE) < -1000 THEN 'must be >= -1000'
                           WHEN field = 'c_acctbal' THEN 'must be <= 10000'
@@ -732,7 +738,10 @@ feed AS (
   UNION ALL SELECT c_custkey, 1, 'set', 'c_acctbal', '5.00' FROM customer WHERE c_custkey % 6 = 5
   UNION ALL SELECT c_custkey, 2, 'start', 'c_name', NULL FROM customer WHERE c_custkey % 6 = 5
   UNION ALL SELECT c_custkey, 3, 'set', 'c_name', 'renamed' FROM customer WHERE c_custkey % 6 = 5
-  UNION ALL SELECT c_custkey, 4, 'end', 'c_name', NULL FROM customer WHERE c_custkey % 6 = 5),
+  UNION ALL SELECT c_custkey, 4, 'end', 'c_name', NULL FROM customer WHERE c_custkey % 6 = 5
+  UNION ALL SELECT s_suppkey + 100000, 1, 'start', 'c_acctbal', NULL FROM supplier
+  UNION ALL SELECT s_suppkey + 100000, 2, 'set', 'c_acctbal', '7.00' FROM supplier
+  UNION ALL SELECT s_suppkey + 100000, 3, 'save', 'c_acctbal', NULL FROM supplier),
 fv AS (SELECT *, CASE WHEN field = 'c_acctbal' AND action = 'set'
                       THEN value = '' OR COALESCE(TRY_CAST(value AS DOUBLE) BETWEEN -1000 AND 10000, false)
                       ELSE true END AS valid FROM feed),
@@ -769,7 +778,10 @@ def customer_feed(spark, d) -> DataFrame:
         ev(m == 4, 3, "end", "c_mktsegment"), ev(m == 4, 4, "save", "c_mktsegment"),
         ev(m == 5, 1, "set", "c_acctbal", F.lit("5.00")), ev(m == 5, 2, "start", "c_name"),
         ev(m == 5, 3, "set", "c_name", F.lit("renamed")), ev(m == 5, 4, "end", "c_name"))
-    return c.select(k.alias("id"), F.explode(entries).alias("e")).filter(F.col("e").isNotNull()) \
+    g = (read_table(spark, d, "supplier").select((F.col("s_suppkey") + 100000).alias("id"), F.explode(F.array(
+        ev(F.lit(True), 1, "start", "c_acctbal"), ev(F.lit(True), 2, "set", "c_acctbal", F.lit("7.00")),
+        ev(F.lit(True), 3, "save", "c_acctbal"))).alias("e")))
+    return c.select(k.alias("id"), F.explode(entries).alias("e")).filter(F.col("e").isNotNull()).unionByName(g) \
         .select("id", "e.seq", "e.action", "e.field", "e.value")
 
 
@@ -796,7 +808,8 @@ def q_apply_edit_feed(spark, d):
 @register("edit_feed_status", f"""
 WITH {FEED_SQL}
 SELECT id, seq, action, field,
-       CASE WHEN action IN ('cancel', 'start') THEN 'ok' WHEN NOT open THEN 'no open session'
+       CASE WHEN action <> 'cancel' AND id NOT IN (SELECT c_custkey FROM customer) THEN 'not found'
+            WHEN action IN ('cancel', 'start') THEN 'ok' WHEN NOT open THEN 'no open session'
             WHEN action = 'set' AND NOT valid THEN
               CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN 'bad format'
                    WHEN TRY_CAST(value AS DOUBLE) < -1000 THEN 'must be >= -1000'
@@ -805,8 +818,8 @@ SELECT id, seq, action, field,
 FROM fc
 """)
 def q_edit_feed_status(spark, d):
-    from tabrisk.operators.changes import edit_feed_changes
-    _, status = edit_feed_changes(customer_feed(spark, d), CUSTOMER)
+    from tabrisk.operators.changes import apply_edit_feed
+    _, status = apply_edit_feed(read_table(spark, d, "customer"), customer_feed(spark, d), CUSTOMER)
     return status
 
 
@@ -1151,7 +1164,7 @@ SMALL_BOOST = dict(rounds=10, max_depth=4, rate=0.3)
 
 def lineitem_labeled(spark, d) -> DataFrame:
     """lineitem with the planted label and a row key (the whole row is the only unique key)."""
-    li = spread(read_table(spark, d, "lineitem"))
+    li = read_table(spark, d, "lineitem")
     key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in li.columns]))
     label = ((F.col("l_extendedprice") * (1 - F.col("l_discount"))) > 40000).cast("int")
     return li.select(key.alias("row_key"), *LINE_NUM, *LINE_CAT, label.alias("label"))
@@ -1288,13 +1301,16 @@ def q_append_rows(spark, d):
 # Incremental learning on events (label: event_type = 'error')
 # ---------------------------------------------------------------------------------------------
 
-def events_labeled(spark, d) -> DataFrame:
-    e = read_table(spark, d, "events")
+def _events_derived(e: DataFrame) -> DataFrame:
     return e.select("event_id", "value", F.hour("ts").cast("double").alias("hour"),
                     (F.col("event_type") == "error").cast("int").alias("is_error"))
 
 
-def _online_cfg(rule: str = "sgd"):
+def events_labeled(spark, d) -> DataFrame:
+    return _events_derived(read_table(spark, d, "events"))
+
+
+def _online_cfg(rule: str = "gradient"):
     from tabrisk.streaming.online import OnlineConfig
     return OnlineConfig(id_col="event_id", label_col="is_error", numeric=["value", "hour"], rule=rule)
 
@@ -1338,6 +1354,65 @@ def q_incremental_batch(spark, d):
                               "auc_before", "status")
 
 
+_MARKS_SQL = """
+SELECT CAST(b.batch_id AS BIGINT) AS batch_id, COUNT(*) AS samples_trained,
+       CAST(COALESCE((SELECT MAX(event_id) FROM ranked p WHERE p.rn < b.lo), 0) + 1 AS VARCHAR) || '-' || CAST(MAX(event_id) AS VARCHAR) AS id_range,
+       MAX(event_id) AS last_trained_id, 'trained' AS status
+FROM b JOIN ranked r ON r.rn BETWEEN b.lo AND b.hi GROUP BY b.batch_id, b.lo ORDER BY 1
+"""
+
+
+@register("incremental_marks", f"""
+WITH ranked AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events),
+b AS (SELECT * FROM (VALUES (0, 1, 10), (1, 11, 60), (2, 61, 160)) AS t(batch_id, lo, hi))
+{_MARKS_SQL}
+""")
+def q_incremental_marks(spark, d):
+    """What three batches of the oldest new events leave in the log: counts, id ranges and marks."""
+    return _run_batches(spark, d).log().select("batch_id", "samples_trained", "id_range", "last_trained_id", "status")
+
+
+@register("backlog_marks", f"""
+WITH ranked AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events),
+b AS (SELECT 0 AS batch_id, 1 AS lo, COUNT(*) AS hi FROM events)
+{_MARKS_SQL}
+""")
+def q_backlog_marks(spark, d):
+    """The whole backlog as one batch (no sample size), and a second run that finds nothing new."""
+    from tabrisk.session import scratch_path
+    from tabrisk.streaming.online import OnlineStore, incremental_batch
+    store = OnlineStore(spark, scratch_path(spark, "online"))
+    for _ in range(2):
+        incremental_batch(spark, events_labeled(spark, d), _online_cfg(), store)
+    return store.log().select("batch_id", "samples_trained", "id_range", "last_trained_id", "status")
+
+
+@register("stream_totals", """
+SELECT 'trained' AS status, CAST(COUNT(*) AS BIGINT) AS samples_trained, MAX(event_id) AS last_trained_id FROM events
+""")
+def q_stream_totals(spark, d):
+    """Rows trained by the stream and its highest id: every delivered row is trained."""
+    from tabrisk.session import scratch_path
+    from tabrisk.sources.tables import table_path
+    from tabrisk.streaming.online import OnlineStore, run_stream
+    store = OnlineStore(spark, scratch_path(spark, "online"))
+    path = table_path(d, "events")
+    run_stream(spark, path[:-1] + "[" + path[-1] + "]", read_table(spark, d, "events").schema, _online_cfg(), store,
+               scratch_path(spark, "stream-ckpt"), derive=_events_derived)
+    return store.log().groupBy("status").agg(F.sum("samples_trained").alias("samples_trained"), F.max("last_trained_id").alias("last_trained_id"))
+
+
+@register("score_incremental")
+def q_score_incremental(spark, d):
+    """Every event scored with the model that was trained incrementally on the backlog."""
+    from tabrisk.session import scratch_path
+    from tabrisk.streaming.online import OnlineStore, incremental_batch, score_incremental
+    store = OnlineStore(spark, scratch_path(spark, "online"))
+    table = events_labeled(spark, d)
+    incremental_batch(spark, table, _online_cfg(), store)
+    return score_incremental(table, store, keep=["is_error"])
+
+
 @register("training_history")
 def q_training_history(spark, d):
     from tabrisk.streaming.online import history_view
@@ -1358,8 +1433,7 @@ def q_stream_incremental(spark, d):
     path = table_path(d, "events")
     glob = path[:-1] + "[" + path[-1] + "]"
     return run_stream(spark, glob, src, cfg, store, scratch_path(spark, "stream-ckpt"),
-                      derive=lambda b: b.select("event_id", "value", F.hour("ts").cast("double").alias("hour"),
-                                                (F.col("event_type") == "error").cast("int").alias("is_error")))
+                      derive=_events_derived)
 
 
 # ---------------------------------------------------------------------------------------------

@@ -18,18 +18,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabrisk.plans.sizing import row_count_at_most
 from tabrisk.session import ensure_checkpoint_dir
 
-# Inputs proven (by a limited count) to hold at most this many rows are ordered in one task with a
-# plain window; anything larger takes the distributed two-pass path.
-SMALL_ROWS = 100_000
-
-
 def _target_partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return partitions
@@ -48,12 +42,9 @@ def _offsets(df: DataFrame, pid: str, value: str, out: str, spark, as_float: boo
 
 
 def ranked(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
-           partitions: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+           partitions: int | None = None) -> DataFrame:
     """Add a 1-based consecutive rank along ``order`` (which must be a total order)."""
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the size check, the range sample and the sort
-    if small_rows and row_count_at_most(src, small_rows):
-        src.unpersist()
-        return df.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the range sample and the sort
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = _target_partitions(df, partitions)
@@ -70,44 +61,38 @@ def ranked(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
 
 
 def cumulative(df: DataFrame, order: Sequence[Column], sum_cols: Sequence[str], suffix: str = "_cum",
-               partitions: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+               partitions: int | None = None) -> DataFrame:
     """Add running sums (inclusive) of ``sum_cols`` along ``order`` (a total order).
 
-    The in-partition running sum is a vectorised ``cumsum`` over Arrow batches (``mapInPandas``):
-    the window form would need a second shuffle of the whole table to group rows by partition.
+    The in-partition running sum is vectorised over Arrow batches (``mapInArrow``): the window form would
+    need a second shuffle of the whole table to group rows by partition.
     """
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the size check, the range sample and the sort
-    if small_rows and row_count_at_most(src, small_rows):
-        src.unpersist()
-        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df
-        for c in sum_cols:
-            out = out.withColumn(c + suffix, F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(w))
-        return out
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = _target_partitions(df, partitions)
-    sorted_df = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    out_fields = list(sorted_df.schema.fields) + [T.StructField("_pid", T.IntegerType())] + [
-        T.StructField(c + suffix, T.DoubleType()) for c in sum_cols]
-    schema = T.StructType(out_fields)
     cols = list(sum_cols)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the range sample and the sort
+    sorted_df = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    schema = T.StructType(list(sorted_df.schema.fields) + [T.StructField("_pid", T.IntegerType())]
+                          + [T.StructField(c + suffix, T.DoubleType()) for c in cols])
 
     def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        carry = {c: 0.0 for c in cols}
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf["_pid"] = pid
-            for c in cols:
-                cs = pdf[c].astype("float64").fillna(0.0).cumsum() + carry[c]
-                if len(cs):
-                    carry[c] = float(cs.iloc[-1])
-                pdf[c + suffix] = cs
-            yield pdf
-
-    local = sorted_df.mapInPandas(run, schema).checkpoint(eager=True)
+        carry = [0.0] * len(cols)
+        for batch in batches:
+            arrays = [*batch.columns, pa.array([pid] * batch.num_rows, pa.int32())]
+            for i, c in enumerate(cols):
+                values = pc.fill_null(pc.cast(batch.column(c), pa.float64()), 0.0)
+                running = pc.add(pc.cumulative_sum(values), carry[i])
+                if batch.num_rows:
+                    carry[i] = running[-1].as_py()
+                arrays.append(running)
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+
+    local = sorted_df.mapInArrow(run, schema).checkpoint(eager=True)
     src.unpersist()
     # partition totals of every column from one aggregation (one row per partition)
     totals = local.groupBy("_pid").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in cols]).collect()

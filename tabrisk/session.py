@@ -22,8 +22,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # Broadcast only what the planner can size from statistics; our own explicit broadcasts are
-    # guarded by a row-count check (see ``plans.sizing``).
+    # Broadcast only what the planner can size from statistics; our own hints are on tables with a row per
+    # partition, rule or class.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     # checkpoint files of DataFrames that are gone are removed by the context cleaner
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",

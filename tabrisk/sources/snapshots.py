@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabrisk.functions import normalize_nans
+from tabrisk.plans.stored import stored
 
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("version", T.LongType()), T.StructField("parts", T.ArrayType(T.StringType())),
@@ -26,6 +27,10 @@ MANIFEST_SCHEMA = T.StructType([
 ])
 
 
+class VersionConflict(RuntimeError):
+    """Another writer has committed on the version that this one read."""
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -38,10 +43,7 @@ class SnapshotStore:
         from tabrisk.sources.tables import path_exists
         if not path_exists(self.spark, self.manifest_path):
             return None
-        try:
-            return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
-        except Exception:  # noqa: BLE001 - no manifest yet
-            return None
+        return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
 
     def latest(self):
         m = self._manifest()
@@ -69,16 +71,34 @@ class SnapshotStore:
         rows = self.spark.read.parquet(f"{self.root}/{part}").count()  # parquet footer counts, cheap
         return part, rows
 
-    def _commit(self, parts: list[str], rows: int, kind: str) -> int:
-        v = self.version() + 1
+    def _claim(self, version: int) -> None:
+        """Take a version number for this writer: the file system creates the claim file for one caller only."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/v={version}")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p.getParent())
+        try:
+            taken = not fs.createNewFile(p)
+        except Exception as e:  # a file system may report an existing file this way
+            if not fs.exists(p):
+                raise
+            raise VersionConflict(f"version {version} of {self.root} was committed by another writer") from e
+        if taken:
+            raise VersionConflict(f"version {version} of {self.root} was committed by another writer")
+
+    def _commit(self, parts: list[str], rows: int, kind: str, base: int) -> int:
+        """Commit on top of version ``base``, the one the caller read; a second writer on it is refused."""
+        v = base + 1
+        self._claim(v)
         self.spark.createDataFrame([(v, parts, rows, kind)], MANIFEST_SCHEMA).coalesce(1) \
             .write.mode("append").parquet(self.manifest_path)
         return v
 
     def commit(self, df: DataFrame) -> int:
         """The whole table as a new version."""
+        base = self.version()
         part, rows = self._write_part(df)
-        return self._commit([part], rows, "rewrite")
+        return self._commit([part], rows, "rewrite", base)
 
     def append(self, df: DataFrame) -> int:
         """New rows (aligned to the table schema by name) as a new version sharing the old parts."""
@@ -89,16 +109,25 @@ class SnapshotStore:
                              else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
         part, rows = self._write_part(df)
         parts = ([] if prev is None else list(prev["parts"])) + [part]
-        return self._commit(parts, rows + (0 if prev is None else int(prev["rows"])), "append")
+        return self._commit(parts, rows + (0 if prev is None else int(prev["rows"])), "append",
+                            -1 if prev is None else int(prev["version"]))
+
 
+def ingest_csv(spark: SparkSession, csv_path: str, store: SnapshotStore,
+               schema: T.StructType | None = None) -> tuple[int, int]:
+    """Bronze CSV -> typed Parquet snapshot (NaN normalised to NULL once, here).
 
-def ingest_csv(spark: SparkSession, csv_path: str, store: SnapshotStore, schema: T.StructType | None = None) -> int:
-    """Bronze CSV -> typed Parquet snapshot (NaN normalised to NULL once, here)."""
+    Returns (version, malformed lines): a malformed line is stored with NULL for what could not be read.
+    """
     from tabrisk.sources.tables import read_csv_table
     df = read_csv_table(spark, csv_path, schema)
+    bad = 0
     if "_corrupt_record" in df.columns:
+        # Spark does not count the corrupt lines of a raw file alone, so the parsed rows are stored first
+        df = stored(df, "ingest")
+        bad = df.filter(F.col("_corrupt_record").isNotNull()).count()
         df = df.drop("_corrupt_record")
-    return store.commit(normalize_nans(df))
+    return store.commit(normalize_nans(df)), bad
 
 
 def fresh_root(spark: SparkSession, kind: str) -> str:

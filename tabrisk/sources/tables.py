@@ -2,8 +2,8 @@
 
 Input is always read lazily: filters and column selections applied later reach the Parquet scan
 (``PushedFilters`` / ``ReadSchema``). NaN is turned into NULL once, when raw input (CSV) becomes a
-Parquet snapshot, so that search and sort treat a missing number the same way. A Parquet scan is left
-untouched: wrapping every column in a NaN test would hide it from filter pushdown.
+Parquet snapshot. A Parquet scan is left untouched, as wrapping every column in a NaN test would hide it from
+filter pushdown; the search itself takes a NaN for missing.
 """
 
 from __future__ import annotations
@@ -56,17 +56,16 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None =
 def key_lookup(df: DataFrame, keys: DataFrame, spec: TableSpec, key_col: str = "key") -> DataFrame:
     """Batch key lookup (S2): one output row per requested key with a ``found`` flag.
 
-    The record table is the big side; the key batch is joined with a left outer join so that Spark
-    picks a broadcast of the key side when it is small and a shuffle join otherwise. Records with a
-    repeated id yield the first one by id order only (``min_by``), as the original stops at the first hit.
+    The table is probed with the key set (left semi join, so a small key set is broadcast and the table is not
+    shuffled); only the few hits are joined to the keys. Of records that repeat an id the smallest by its other
+    columns counts, as the original stops at its first hit.
     """
     idc = spec.id_col
     k = keys.select(F.col(key_col).cast(df.schema[idc].dataType).alias(idc)).distinct()
     other = [c for c in df.columns if c != idc]
-    rec = df.withColumn("found", F.lit(1))
-    joined = k.join(rec, idc, "left")
-    out = joined.select(idc, F.coalesce(F.col("found"), F.lit(0)).alias("found"), *other)
-    return out
+    hits = df.join(k, idc, "left_semi").groupBy(idc).agg(F.min(F.struct(*other)).alias("_rec"))
+    return k.join(hits, idc, "left").select(idc, F.col("_rec").isNotNull().cast("int").alias("found"),
+                                            *[F.col(f"_rec.`{c}`").alias(c) for c in other])
 
 
 def first_match(df: DataFrame, spec: TableSpec, key) -> DataFrame:

@@ -7,9 +7,9 @@ whose id is already in the log changes nothing (``foreachBatch`` is at-least-onc
 feature preparation is saved once, beside the log, on the first batch and reused afterwards.
 
 Two update rules (M8):
-* ``gradient``: full-batch gradient steps of the log loss, one aggregation job per step
+* ``gradient`` (default): full-batch gradient steps of the log loss, one aggregation job per step
   (deterministic; checked against SQL);
-* ``sgd`` (default, nearest to the original's per-row SGD): every partition makes one sequential pass
+* ``sgd`` (nearest to the original's per-row SGD): every partition makes one sequential pass
   over its rows starting from the stored weights (vectorised per Arrow batch in ``mapInPandas``), and
   the partition results are averaged weighted by row count (Zinkevich et al. 2010). Only one small
   row per partition reaches the driver.
@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from tabrisk.functions import sigmoid
 from tabrisk.operators.query import sample_n, watermark_filter
+from tabrisk.plans.ordering import ranked
 
 LOG_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()), T.StructField("stream_batch", T.LongType()),
@@ -46,7 +47,7 @@ class OnlineConfig:
     label_col: str
     numeric: Sequence[str]
     categorical: Sequence[str] = ()
-    rule: str = "sgd"          # 'sgd' | 'gradient'
+    rule: str = "gradient"     # 'gradient' | 'sgd'
     eta0: float = 0.01
     alpha: float = 1e-4        # L2 penalty of the per-row rule
     steps: int = 1             # gradient steps per batch for rule='gradient'
@@ -62,10 +63,14 @@ class OnlineStore:
         from tabrisk.sources.tables import path_exists
         if not path_exists(self.spark, f"{self.root}/log"):
             return self.spark.createDataFrame([], LOG_SCHEMA)
+        from py4j.protocol import Py4JJavaError
+        from pyspark.errors import PySparkException
+        log = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/log")
         try:
-            return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/log")
-        except Exception:  # noqa: BLE001 - missing or unreadable: start empty
+            log.count()  # the log has one row per batch; the read is lazy, so look at it here
+        except (PySparkException, Py4JJavaError):
             return self.spark.createDataFrame([], LOG_SCHEMA)
+        return log
 
     def latest(self):
         return self.log().filter(F.col("status") == "trained").orderBy(F.col("batch_id").desc()).limit(1).first()
@@ -84,10 +89,7 @@ class OnlineStore:
         from tabrisk.sources.tables import path_exists
         if not path_exists(self.spark, f"{self.root}/prep/metadata"):
             return None
-        try:
-            return PipelineModel.load(f"{self.root}/prep")
-        except Exception:  # noqa: BLE001 - not saved yet
-            return None
+        return PipelineModel.load(f"{self.root}/prep")
 
     def save_prep(self, prep) -> None:
         prep.write().overwrite().save(f"{self.root}/prep")
@@ -174,11 +176,12 @@ def train_batch(spark: SparkSession, batch: DataFrame, cfg: OnlineConfig, store:
     now = _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     mark = int(prev["last_trained_id"]) if prev is not None else None
     batch = batch.cache()
-    stats = batch.agg(F.count("*").alias("n"), F.max(cfg.id_col).alias("hi")).first()
+    stats = batch.agg(F.count("*").alias("n"), F.max(cfg.id_col).alias("hi"), F.min(cfg.id_col).alias("lo")).first()
     if not stats["n"]:
         batch.unpersist()
-        return spark.createDataFrame([(None, stream_batch, now, 0, None, mark, None, None, "no_data", None, None, None)],
-                                     LOG_SCHEMA)
+        empty = (None, stream_batch, now, 0, None, mark, None, None, "no_data", None, None, None)
+        # a micro-batch leaves its row even when it is empty, as its replay is told by that row
+        return store.append(empty) if stream_batch is not None else spark.createDataFrame([empty], LOG_SCHEMA)
     prep = store.prep()
     if prep is None:  # fitted once, on the first batch, then reused (the original refits every call)
         prep = fit_feature_prep(batch, cfg.categorical, cfg.numeric, keep=[cfg.label_col])
@@ -198,10 +201,12 @@ def train_batch(spark: SparkSession, batch: DataFrame, cfg: OnlineConfig, store:
     a, acc = _batch_metrics(x, cfg.label_col, sigmoid(linear_logit(feats, w, b)))
     x.unpersist()
     batch.unpersist()
-    lo = (mark + 1) if mark is not None else None
+    # a streamed batch may hold ids at or below the mark; the mark never goes back
+    hi = int(stats["hi"]) if mark is None else max(mark, int(stats["hi"]))
+    lo = int(stats["lo"]) if stream_batch is not None else (mark or 0) + 1
     bid = (int(prev["batch_id"]) + 1) if prev is not None else 0
-    id_range = f"{lo if lo is not None else 'start'}-{stats['hi']}"
-    row = (bid, stream_batch, now, int(stats["n"]), id_range, int(stats["hi"]), (a, acc), before, "trained",
+    id_range = f"{lo}-{stats['hi']}"
+    row = (bid, stream_batch, now, int(stats["n"]), id_range, hi, (a, acc), before, "trained",
            feats, [float(v) for v in w], float(b))
     return store.append(row)
 
@@ -219,7 +224,10 @@ def incremental_batch(spark: SparkSession, table: DataFrame, cfg: OnlineConfig,
     mark = int(prev["last_trained_id"]) if prev is not None else None
     new = watermark_filter(table, cfg.id_col, mark) if mark is not None else table
     if n is not None:
-        new = sample_n(new, cfg.id_col, n, seed) if take == "random" else new.orderBy(cfg.id_col).limit(n)
+        if take == "random":
+            new = sample_n(new, cfg.id_col, n, seed)
+        else:
+            new = ranked(new, [F.col(cfg.id_col).asc()], "_rank").filter(F.col("_rank") <= n).drop("_rank")
     return train_batch(spark, new, cfg, store, prev)
 
 
@@ -227,8 +235,9 @@ def run_stream(spark: SparkSession, source_path: str, schema: T.StructType, cfg:
                checkpoint: str, max_files_per_trigger: int = 1, fmt: str = "parquet", derive=None) -> DataFrame:
     """M9 stream mode: every micro-batch of new files is one training batch (``availableNow``).
 
-    A streaming source commits every row of a micro-batch, so the stream trains on whole micro-batches
-    (their size is set by ``maxFilesPerTrigger``); rows with an id at or below the mark are ignored.
+    A streaming source delivers every row once and its checkpoint marks the progress, so each micro-batch is
+    trained whole, whatever ids it holds (its size is set by ``maxFilesPerTrigger``). The stored mark is for batch
+    mode: the highest id trained so far.
     """
 
     def step(bdf: DataFrame, stream_batch: int) -> None:
@@ -236,10 +245,7 @@ def run_stream(spark: SparkSession, source_path: str, schema: T.StructType, cfg:
             return  # replay of a batch already recorded
         if derive is not None:
             bdf = derive(bdf)
-        prev = store.latest()
-        mark = int(prev["last_trained_id"]) if prev is not None else None
-        new = watermark_filter(bdf, cfg.id_col, mark) if mark is not None else bdf
-        train_batch(bdf.sparkSession, new, cfg, store, prev, stream_batch)
+        train_batch(bdf.sparkSession, bdf, cfg, store, store.latest(), stream_batch)
 
     q = (spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files_per_trigger)
          .load(source_path)
@@ -247,3 +253,16 @@ def run_stream(spark: SparkSession, source_path: str, schema: T.StructType, cfg:
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return history_view(store.log())
+
+
+def score_incremental(df: DataFrame, store: OnlineStore, keep: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+    """Score rows with the incrementally trained model: stored preparation and the latest stored weights.
+
+    Returns the kept columns, ``score`` (probability of the positive class) and ``pred``. One narrow map per row.
+    """
+    prev, prep = store.latest(), store.prep()
+    if prev is None or prep is None:
+        raise ValueError("nothing has been trained yet")
+    x = prep.transform(df)
+    p = sigmoid(linear_logit(list(prev["features"]), list(prev["weights"]), float(prev["intercept"])))
+    return x.select(*keep, p.alias("score"), (p > F.lit(threshold)).cast("int").alias("pred"))

@@ -128,3 +128,47 @@ def test_stream_trains_each_micro_batch_once(spark, tmp_path):
     assert sum(r.samples_trained for r in rows) == n
     his = [int(r.id_range.split("-")[1]) for r in rows]
     assert his == sorted(his)
+
+
+def test_stream_trains_every_row_of_files_with_mixed_ids(spark, tmp_path):
+    """Four files that each hold ids from the whole range: no row is dropped, a replay adds none."""
+    src = str(tmp_path / "mixed")
+    ev = catalog.events_labeled(spark, SF001)
+    for i in (3, 0, 2, 1):
+        ev.filter(F.col("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(src)
+    store = O.OnlineStore(spark, str(tmp_path / "st"))
+    O.run_stream(spark, src, ev.schema, catalog._online_cfg(), store, str(tmp_path / "ck"))
+    rows = store.log().orderBy("batch_id").collect()
+    assert len(rows) == 4 and all(r.status == "trained" for r in rows)
+    assert sum(r.samples_trained for r in rows) == ev.count()
+    top = ev.agg(F.max("event_id")).first()[0]
+    assert max(r.last_trained_id for r in rows) == rows[-1].last_trained_id == top
+    O.run_stream(spark, src, ev.schema, catalog._online_cfg(), store, str(tmp_path / "ck"))
+    assert store.log().count() == 4
+
+
+def test_empty_micro_batch_leaves_a_row(spark, tmp_path):
+    src = str(tmp_path / "empty")
+    ev = catalog.events_labeled(spark, SF001)
+    ev.limit(0).coalesce(1).write.parquet(src)
+    store = O.OnlineStore(spark, str(tmp_path / "st"))
+    O.run_stream(spark, src, ev.schema, catalog._online_cfg(), store, str(tmp_path / "ck"))
+    assert [r.status for r in store.log().collect()] == ["no_data"]
+
+
+def test_unreadable_log_counts_as_empty(spark, tmp_path):
+    (tmp_path / "st" / "log").mkdir(parents=True)
+    (tmp_path / "st" / "log" / "part-0.parquet").write_bytes(b"no parquet file at all")
+    store = O.OnlineStore(spark, str(tmp_path / "st"))
+    assert store.log().count() == 0 and store.latest() is None
+
+
+def test_score_with_the_incremental_model(spark, tmp_path):
+    store = O.OnlineStore(spark, str(tmp_path / "st"))
+    t = catalog.events_labeled(spark, SF001)
+    with pytest.raises(ValueError):
+        O.score_incremental(t, store)
+    O.incremental_batch(spark, t, catalog._online_cfg(), store)
+    s = O.score_incremental(t, store, keep=["is_error"])
+    assert s.columns == ["is_error", "score", "pred"] and s.count() == t.count()
+    assert s.filter("score < 0 OR score > 1 OR pred <> CAST(score > 0.5 AS INT)").count() == 0

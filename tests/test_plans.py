@@ -26,10 +26,30 @@ def test_column_pruning(spark):
     assert "ReadSchema: struct<l_extendedprice:double,l_discount:double,l_tax:double>" in p
 
 
-def test_topk_and_sample_use_take_ordered(spark):
+def test_topk_uses_take_ordered_and_samples_gather_nothing(spark):
     o = read_table(spark, SF001, "orders")
     assert "TakeOrderedAndProject" in plan(Q.topk(o, [F.col("o_totalprice").desc()], 10))
-    assert "TakeOrderedAndProject" in plan(Q.sample_n(o, "o_orderkey", 50))
+    p = plan(Q.sample_n(o, "o_orderkey", 50))
+    assert "TakeOrderedAndProject" not in p and "SinglePartition" not in p
+
+
+def test_global_order_never_uses_one_task(spark):
+    from tabrisk.plans import catalog
+    for name in ("search_multi", "sort_list", "insert_rows", "apply_edit_feed", "stratified_folds"):
+        p = plan(catalog.QUERIES[name](spark, SF001))
+        assert "SinglePartition" not in p, name
+
+
+def test_id_search_is_pushed_and_lookup_does_not_shuffle_the_table(spark):
+    c = read_table(spark, SF001, "customer")
+    assert "EqualTo(c_custkey,43)" in plan(Q.search_multi(c, CUSTOMER, Q.Criteria(id_text="43")))
+    for text in ("043", "43.0", "x", "", "-", "99999999999999999999"):
+        assert Q.search_multi(c, CUSTOMER, Q.Criteria(id_text=text)).count() in (0, c.count() if not text else 0)
+    from tabrisk.plans.stored import stored
+    from tabrisk.sources.tables import key_lookup
+    keys = stored(spark.range(5).withColumnRenamed("id", "key"))
+    p = plan(key_lookup(c, keys, CUSTOMER))
+    assert "LeftSemi, BuildRight" in p
 
 
 def test_per_class_sample_and_profile_use_window_group_limit(spark):
@@ -45,8 +65,8 @@ def test_small_change_batch_is_broadcast(spark):
     ch = spark.createDataFrame([(1, "c_acctbal", "5.00")], "id long, field string, value string")
     new, _ = C.update_fields(base, ch, CUSTOMER)
     p = plan(new)
-    # the per-id change table is read from its checkpoint; the base table is scanned once, not shuffled
-    assert "BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p and p.count("FileScan") == 1
+    # the stored per-id change table is broadcast; the base table is scanned once, not shuffled
+    assert "BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p and p.count("FileScan") == 2
     kept, status = C.delete_rows(base, spark.createDataFrame([(1,)], "c_custkey long"), CUSTOMER)
     assert "BroadcastHashJoin" in plan(kept)
     # existence check: base ids probed map-side against the broadcast request set, not de-duplicated whole

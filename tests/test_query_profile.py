@@ -41,7 +41,7 @@ def test_search_predicate_is_pushed_to_parquet(spark, tmp_path):
                                "patient_id long, age double, gender string")
     df.write.parquet(str(tmp_path / "t"))
     spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
-    q = Q.search_multi(spark.read.parquet(str(tmp_path / "t")), ICU, Q.Criteria(lo=18, hi=65, category="F"))
+    q = Q.search_multi(spark.read.parquet(str(tmp_path / "t")), ICU, Q.Criteria(lo=18, hi=65, category="F", strict=True))
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(gender,F)" in plan and "GreaterThanOrEqual(age" in plan
 
@@ -58,29 +58,31 @@ def test_sort_nulls_and_ties(spark):
 def test_ranked_is_consecutive_over_many_partitions(spark):
     from tabrisk.plans.ordering import ranked
     df = spark.range(0, 5000).select((F.col("id") % 97).alias("k"), F.col("id"))
-    for small in (0, 100_000):  # distributed two-pass path, then the size-checked single-window path
-        r = ranked(df, [F.col("k").asc(), F.col("id").asc()], "rk", partitions=13, small_rows=small)
+    for n in (1, 13, None):
+        r = ranked(df, [F.col("k").asc(), F.col("id").asc()], "rk", partitions=n)
         got = [x.rk for x in r.orderBy("k", "id").collect()]
         assert got == list(range(1, 5001))
+    assert ranked(df.limit(0), [F.col("id").asc()], "rk").count() == 0
 
 
 def test_cumulative_paths_agree(spark):
     from tabrisk.plans.ordering import cumulative
     df = spark.range(0, 3000).select((F.col("id") % 11).alias("g"), F.col("id"), (F.col("id") % 7).alias("v"))
     order = [F.col("g").asc(), F.col("id").desc()]
-    a = {r.id: r.v_cum for r in cumulative(df, order, ["v"], partitions=9, small_rows=0).collect()}
+    a = {r.id: r.v_cum for r in cumulative(df, order, ["v"], partitions=9).collect()}
     b = {r.id: r.v_cum for r in cumulative(df, order, ["v"]).collect()}
     assert a == b and max(a.values()) == sum(i % 7 for i in range(3000))
 
 
-def test_sample_n_exact_and_large_path(spark):
-    df = spark.range(0, 3000).withColumnRenamed("id", "k")
-    small = {r.k for r in Q.sample_n(df, "k", 40).collect()}
-    assert len(small) == 40
-    big = Q.smallest_by_hash(df.withColumn("_h", F.md5(F.concat(F.col("k").cast("string"), F.lit(":42")))),
-                             "_h", "k", 40, prefix_len=1)
-    assert {r.k for r in big.collect()} == small
-    assert Q.sample_n(df, "k", 5000).count() == 3000
+def test_sample_n_is_exact_for_any_size(spark):
+    """The result is always the n smallest (hash, id), with repeated and null ids too."""
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 50 != 3, F.col("id") - F.col("id") % 4).alias("k"), "id")
+    h = df.withColumn("_h", F.md5(F.concat(F.col("k").cast("string"), F.lit(":42"))))
+    ordered = [r.k for r in h.orderBy(F.col("_h").asc_nulls_first(), F.col("k").asc_nulls_first()).collect()]
+    for n in (1, 40, 61, 1000, 2999, 3000, 5000):
+        got = [r.k for r in Q.sample_n(df, "k", n).collect()]
+        assert sorted(got, key=str) == sorted(ordered[:n], key=str)
+    assert Q.sample_n(df.limit(0), "k", 5).count() == 0
 
 
 def test_sample_per_class(spark):
@@ -156,14 +158,3 @@ def test_text_order_key_is_monotone(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r.k for r in df.orderBy("w").select(P.text_order_key(F.col("w")).alias("k")).collect()]
     assert got == sorted(got)
-
-
-def test_sample_n_ranked_boundary_bucket(spark, monkeypatch):
-    """A boundary bucket that needs more than TOPK_ROWS rows is ranked with the distributed method; the
-    result is still exactly the n smallest (hash, id)."""
-    monkeypatch.setattr(Q, "TOPK_ROWS", 5)
-    df = spark.range(0, 3000).withColumnRenamed("id", "k")
-    h = df.withColumn("_h", F.md5(F.concat(F.col("k").cast("string"), F.lit(":42"))))
-    want = {r.k for r in h.orderBy("_h", "k").limit(1000).collect()}
-    got = Q.smallest_by_hash(h, "_h", "k", 1000, prefix_len=1).collect()
-    assert len(got) == 1000 and {r.k for r in got} == want

@@ -1,10 +1,11 @@
 """Validation, coercion and record changes on hand-made rows (FIXTURES.md section 4)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tabrisk.operators import changes as C
 from tabrisk.operators import validate as V
-from tabrisk.spec import ICU, icu_schema
+from tabrisk.spec import CUSTOMER, ICU, icu_schema
 
 
 def _check(spark, field, values):
@@ -156,3 +157,39 @@ def test_ids_on_empty_table_start_at_one(spark):
     assert C.next_id(empty, ICU) == 1
     out, _ = C.insert_rows(empty, spark.createDataFrame([(30,), (31,)], "age int"), ICU, [F.col("age").asc()])
     assert sorted(r.patient_id for r in out.collect()) == [1, 2]
+
+
+def test_large_integers_survive_and_overflow_is_refused(spark):
+    from tabrisk.functions import trunc_int
+    texts = ["3000000000", "-3000000000.9", "9007199254740993", "9223372036854775807", "9223372036854775808", "x", "", " 12 ", "+7"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.v for r in df.select(trunc_int("t").alias("v")).collect()]
+    assert got == [3000000000, -3000000000, 9007199254740993, 9223372036854775807, None, None, None, 12, 7]
+    base = spark.createDataFrame([(1, "a", 5, 1.0, "x")], "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string")
+    from tabrisk.spec import FieldRule, TableSpec
+    spec = TableSpec(name="t", id_col="c_custkey", rules={"c_nationkey": FieldRule("int")}, list_cols=("c_custkey", "c_acctbal", "c_mktsegment", "c_name"))
+    for value, status, kept in (("3000000000", "ok", 3000000000), ("9223372036854775808", "refused", 5)):
+        new, st = C.update_fields(base, spark.createDataFrame([(1, "c_nationkey", value)], "id long, field string, value string"), spec)
+        assert st.first().status == status and new.first().c_nationkey == kept
+
+
+def test_repeated_ids_give_one_row_in_a_lookup(spark):
+    from tabrisk.sources.tables import key_lookup
+    df = spark.createDataFrame([(1, "b", 2, 1.0, "x"), (1, "a", 9, 2.0, "y"), (2, "c", 1, 0.0, "z")], "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string")
+    got = key_lookup(df, spark.createDataFrame([(1,), (3,), (1,)], "key long"), CUSTOMER).orderBy("c_custkey").collect()
+    assert [(r.c_custkey, r.found, r.c_name) for r in got] == [(1, 1, "a"), (3, 0, None)]
+
+
+def test_search_takes_nan_for_missing(spark):
+    from tabrisk.operators import query as Q
+    df = spark.createDataFrame([(1, "a", 1, float("nan"), "x"), (2, "b", 1, 50.0, "x"), (3, "c", 1, None, "x"), (4, "d", 1, 5.0, "x")], "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string")
+    ids = lambda **k: sorted(r.c_custkey for r in Q.search_multi(df, CUSTOMER, Q.Criteria(**k)).collect())
+    assert ids(lo=10.0, strict=True) == [2] and ids(hi=10.0, strict=True) == [4]
+    assert ids(lo=10.0) == [1, 2, 3] and ids(hi=10.0) == [1, 3, 4] and ids(lo=1.0, hi=10.0) == [1, 3, 4]
+
+
+def test_mean_fill_keeps_fractions_on_integer_columns(spark):
+    from tabrisk.operators.features import MeanFill
+    df = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, None)], "id long, x int")
+    got = {r.id: r.x for r in MeanFill(inputCols=["x"]).fit(df).transform(df).collect()}
+    assert got[4] == pytest.approx(5 / 3) and got[1] == 1.0
