@@ -1,4 +1,4 @@
-"""Exact nearest-neighbour imputation (F3) without comparing every pair.
+"""Exact nearest-neighbour imputation.
 
 Semantics (Troyanskaya et al. 2001, as in common KNN imputers): a missing value of column j in row q
 becomes the mean of column j over the k fit rows ("donors") nearest to q among those where j is
@@ -7,174 +7,214 @@ present. Distance over the coordinates present in both rows, scaled up by the sh
     d(q, p) = sqrt(n_cols / n_both * sum over both-present i of (q_i - p_i)^2)
 
 A pair without any shared coordinate is skipped. Fewer than k donors -> mean of those; none -> the
-column mean of the fit rows. Ties in distance go to the lower donor id.
-
-Plan. ``anchors`` are feature columns with no NULL in the fit rows. For any pair
-d(q, p) >= sqrt(sum over anchors of (q_a - p_a)^2), so all donors within distance r of q lie in the
-grid cells (width r, over the anchors) next to q's cell. Each round joins the unresolved query rows
-to the donors of their neighbour cells (an equi-join on cell numbers: hash-partitioned, never a
-cross join), ranks the candidates per (row, column) with ``row_number <= k`` (WindowGroupLimit), and
-settles every (row, column) that has k donors within r. The others go to the next round with r
-doubled; once r covers the whole anchor range the round is a full comparison for the few rows left,
-and whatever it finds is final. Each round's unresolved set is checkpointed (lineage cut).
+column mean of the fit rows. Ties in distance go to the lower donor id. NaN counts as missing.
+
+Plan. Any column may have gaps, also all of them, so no column can serve as an index and every incomplete row
+is compared with every donor: a stated query set against all rows, in blocks. Incomplete rows are dealt to blocks of
+about ``QUERY_ROWS``; donors stream past each block in id order, and a block keeps a running top k per (row, missing
+column). A task holds one block of queries and one batch of donors, whatever the table holds. When there are fewer
+blocks than tasks the donors are dealt to groups, whose top k per (row, column) meet in a window top k.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabrisk.session import ensure_checkpoint_dir
+from tabrisk.operators.features import _ColsParams
+from tabrisk.plans.stored import stored
+
+QUERY_ROWS = 2048
+DONOR_ROWS = 256  # donors that are compared with a block at a time
+
+
+class _KnnParams(_ColsParams):
+    idCol = Param(Params._dummy(), "idCol", "donor id that breaks ties ('' = a hash of the donor's values)", typeConverter=TypeConverters.toString)
+    k = Param(Params._dummy(), "k", "donors per missing value", typeConverter=TypeConverters.toInt)
+
+
+class _Block:
+    """A block of incomplete rows with the nearest donors seen so far for each missing value."""
+
+    def __init__(self, queries, values, k: int):
+        import numpy as np
+        self.queries, self.values, self.k = queries, values, k
+        self.missing = {j: rows for j in range(values.shape[1]) if len(rows := np.flatnonzero(np.isnan(values[:, j])))}
+        self.dist = {j: np.full((len(rows), k), np.inf) for j, rows in self.missing.items()}
+        self.value = {j: np.full((len(rows), k), np.nan) for j, rows in self.missing.items()}
+        self.donor = {j: np.zeros((len(rows), k), dtype=np.int64) for j, rows in self.missing.items()}
+
+    def meet(self, donors, numbers) -> None:
+        """Donors come in id order, so a stable sort gives ties to the lower id."""
+        import numpy as np
+        both = np.zeros((len(self.values), len(donors)))
+        total = np.zeros_like(both)
+        for i in range(donors.shape[1]):
+            d = self.values[:, i, None] - donors[None, :, i]
+            seen = ~np.isnan(d)
+            both += seen
+            total += np.where(seen, d * d, 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dist = np.where(both > 0, np.sqrt(donors.shape[1] / both * total), np.inf)
+        for j, rows in self.missing.items():
+            at = np.flatnonzero(~np.isnan(donors[:, j]))
+            if not len(at):
+                continue
+            new = dist[np.ix_(rows, at)]
+            better = np.flatnonzero(new.min(axis=1) < self.dist[j][:, -1])
+            if not len(better):
+                continue
+            every = np.concatenate([self.dist[j][better], new[better]], axis=1)
+            order = np.argsort(every, axis=1, kind="stable")[:, : self.k]
+            values = np.concatenate([self.value[j][better], np.broadcast_to(donors[at, j], (len(better), len(at)))], axis=1)
+            whose = np.concatenate([self.donor[j][better], np.broadcast_to(numbers[at], (len(better), len(at)))], axis=1)
+            self.dist[j][better] = np.take_along_axis(every, order, axis=1)
+            self.value[j][better] = np.take_along_axis(values, order, axis=1)
+            self.donor[j][better] = np.take_along_axis(whose, order, axis=1)
+
+    def nearest(self):
+        import numpy as np
+        import pandas as pd
+        parts = []
+        for j, rows in self.missing.items():
+            r, c = np.nonzero(np.isfinite(self.dist[j]))
+            parts.append(pd.DataFrame({"q": self.queries[rows][r], "col": np.int32(j), "d": self.dist[j][r, c], "p": self.donor[j][r, c], "v": self.value[j][r, c]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"q": [], "col": [], "d": [], "p": [], "v": []}).astype({"q": "int64", "col": "int32", "p": "int64"})
+
+
+class KnnImputerModel(Model, _KnnParams, MLReadable, MLWritable):
+    """Fitted state: the donors in id order (number n, values x) and the column means. A stage like any other."""
+
+    def __init__(self, donors: DataFrame | None = None, means: Sequence[float | None] = ()):
+        super().__init__()
+        self.donors, self.means = donors, list(means)
+
+    def write(self) -> MLWriter:
+        return _KnnWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _KnnReader()
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        spark, feats, k = df.sparkSession, self.getInputCols(), self.getOrDefault(self.k)
+        x = _values(feats)
+        gap = F.exists(x, lambda v: F.isnan(v))
+        whole = df.filter(~gap)
+        rows = stored(df.filter(gap).withColumn("_q", F.monotonically_increasing_id()), "knn-rows")
+        n = rows.count()
+        blocks = max(1, -(-n // QUERY_ROWS))
+        groups = max(1, -(-spark.sparkContext.defaultParallelism // blocks))
+        cells = F.sequence(F.lit(0), F.lit(groups - 1))
+        queries = rows.select(F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int").alias("b"), F.explode(cells).alias("g"),
+                              F.lit(0).alias("donor"), F.col("_q").alias("n"), x.alias("x"))
+        donors = self.donors.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("n"), F.lit(groups)).cast("int").alias("g"),
+                                    F.lit(1).alias("donor"), "n", "x")
+        dealt = queries.unionByName(donors).repartition(blocks * groups, "b", "g").sortWithinPartitions("b", "g", "donor", "n")
+
+        def run(frames: Iterator):
+            import numpy as np
+            at, block, held = None, None, []
+            for frame in frames:
+                marks = frame[["b", "g", "donor"]].to_numpy()
+                cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+                for lo, hi in zip([0, *cuts], [*cuts, len(frame)], strict=True):
+                    part, key = frame.iloc[lo:hi], tuple(marks[lo][:2])
+                    if key != at:
+                        if block is not None:
+                            yield block.nearest()
+                        at, block, held = key, None, []
+                    numbers, values = part["n"].to_numpy(), np.stack(part["x"].to_list()).astype(float)
+                    if not marks[lo][2]:
+                        held.append((numbers, values))
+                    elif held or block is not None:
+                        if block is None:
+                            block = _Block(np.concatenate([q for q, _ in held]), np.concatenate([v for _, v in held]), k)
+                            held = []
+                        for i in range(0, len(part), DONOR_ROWS):
+                            block.meet(values[i : i + DONOR_ROWS], numbers[i : i + DONOR_ROWS])
+            if block is not None:
+                yield block.nearest()
+
+        near = dealt.mapInPandas(run, "q long, col int, d double, p long, v double")
+        w = Window.partitionBy("q", "col").orderBy("d", "p")
+        top = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+        found = top.groupBy("q").pivot("col", list(range(len(feats)))).agg(F.avg("v"))
+        filled = rows.join(found, rows["_q"] == found["q"], "left")
+        place = {c: i for i, c in enumerate(feats)}
+
+        def out(frame: DataFrame, impute: bool) -> DataFrame:
+            cols = []
+            for f in df.schema.fields:
+                c = F.col(f"`{f.name}`")
+                if f.name in place:
+                    i = place[f.name]
+                    c = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+                    if impute:
+                        c = F.coalesce(c, F.col(f"`{i}`"), F.lit(self.means[i]).cast("double"))
+                cols.append(c.alias(f.name))
+            return frame.select(*cols)
+
+        return out(whole, False).unionByName(out(filled, True))
+
+    def save(self, path: str) -> None:
+        self.write().overwrite().save(path)
 
 
-class KnnImputerModel:
-    """Fitted state: donor rows (id + features), column means, anchors and the starting radius."""
+class KnnImputer(Estimator, _KnnParams, MLReadable, MLWritable):
+    """F3 estimator: ``inputCols`` are imputed (and become double), ``idCol`` orders the donors."""
 
-    def __init__(self, donors: DataFrame, id_col: str, features: Sequence[str], means: dict[str, float | None],
-                 anchors: Sequence[str], lows: dict[str, float], spans: dict[str, float], radius0: float, k: int):
-        self.donors, self.id_col, self.features = donors, id_col, list(features)
-        self.means, self.anchors, self.lows, self.spans = means, list(anchors), lows, spans
-        self.radius0, self.k = radius0, k
+    @keyword_only
+    def __init__(self, inputCols: Sequence[str] | None = None, idCol: str = "", k: int = 5):
+        super().__init__()
+        self._setDefault(inputCols=[], idCol="", k=5)
+        self._set(**self._input_kwargs)
 
-    def save(self, path: str) -> None:
-        """Donors (the fit rows) as Parquet plus the fitted parameters as one JSON line."""
-        import json
-        self.donors.write.mode("overwrite").parquet(f"{path}/donors")
-        meta = {"id_col": self.id_col, "features": self.features, "means": self.means, "anchors": self.anchors,
-                "lows": self.lows, "spans": self.spans, "radius0": self.radius0, "k": self.k}
-        self.donors.sparkSession.createDataFrame([(json.dumps(meta),)], "m string").coalesce(1) \
-            .write.mode("overwrite").text(f"{path}/params")
-
-    @staticmethod
-    def load(spark, path: str) -> "KnnImputerModel":
-        import json
-        m = json.loads(spark.read.text(f"{path}/params").first()[0])
-        return KnnImputerModel(spark.read.parquet(f"{path}/donors"), m["id_col"], m["features"], m["means"],
-                               m["anchors"], m["lows"], m["spans"], m["radius0"], m["k"])
-
-    def _cell(self, value_col: str, anchor: str, r: float):
-        return F.floor((F.col(value_col) - F.lit(self.lows[anchor])) / F.lit(r)).cast("long")
-
-    def _distance(self):
-        n = len(self.features)
-        both = [F.col(f"q_{c}").isNotNull() & F.col(f"p_{c}").isNotNull() for c in self.features]
-        nb = sum((b.cast("int") for b in both), F.lit(0))
-        ss = sum((F.when(b, (F.col(f"q_{c}") - F.col(f"p_{c}")) * (F.col(f"q_{c}") - F.col(f"p_{c}"))).otherwise(F.lit(0.0))
-                  for b, c in zip(both, self.features)), F.lit(0.0))
-        return nb, F.sqrt(F.lit(float(n)) / nb * ss)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        spark = df.sparkSession
-        ensure_checkpoint_dir(spark)
-        idc, feats, k, anchors = self.id_col, self.features, self.k, self.anchors
-        has_null = F.lit(False)
-        for c in feats:
-            has_null = has_null | F.col(c).isNull()
-        complete = df.filter(~has_null)
-        incomplete = df.filter(has_null)
-        # one query row per (row, missing column); rows missing an anchor get the column mean
-        anchor_ok = F.lit(True)
-        for a in anchors:
-            anchor_ok = anchor_ok & F.col(a).isNotNull()
-        miss = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in feats]))
-        todo = (incomplete.filter(anchor_ok)
-                .select(F.col(idc).alias("qid"), *[F.col(c).cast("double").alias(f"q_{c}") for c in feats],
-                        F.explode(miss).alias("col"))
-                .checkpoint(eager=True))
-        # donors in long form: one row per (donor, present column) so a query only meets donors having its column
-        present = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in feats]))
-        donors = (self.donors.select(F.col(idc).alias("pid"), *[F.col(c).cast("double").alias(f"p_{c}") for c in feats],
-                                     F.explode(present).alias("col"))
-                  .withColumn("v", F.expr("CASE " + " ".join(f"WHEN col = '{c}' THEN p_{c}" for c in feats) + " END")))
-        full_span = math.sqrt(sum(s * s for s in self.spans.values()))
-        offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=len(anchors))]
-        r = self.radius0
-        settled: list[DataFrame] = []
-        # (radius, open (row, column) pairs at the start of the round): how much the grid rounds settle
-        self.rounds: list[tuple[float, int]] = []
-        while True:
-            final = r > full_span
-            self.rounds.append((r if not final else float("inf"), todo.count()))
-            if final:
-                # every donor lies within the radius on the anchors: compare the few rows left with all
-                # donors that have their column (an equi-join on the column name)
-                pairs = todo.join(donors, "col")
-            else:
-                q = todo.withColumn("_off", F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])))
-                for i, a in enumerate(anchors):
-                    q = q.withColumn(f"k_{a}", self._cell(f"q_{a}", a, r) + F.col("_off")[i])
-                p = donors
-                for a in anchors:
-                    p = p.withColumn(f"k_{a}", self._cell(f"p_{a}", a, r))
-                pairs = q.join(p, ["col"] + [f"k_{a}" for a in anchors])
-            nb, dist = self._distance()
-            cand = pairs.withColumn("_nb", nb).filter(F.col("_nb") > 0).withColumn("d", dist)
-            if not final:
-                cand = cand.filter(F.col("d") <= F.lit(r))
-            w = Window.partitionBy("qid", "col").orderBy(F.col("d").asc(), F.col("pid").asc())
-            top = cand.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
-            got = top.groupBy("qid", "col").agg(F.count("*").alias("n"), F.avg("v").alias("value"))
-            if final:
-                settled.append(got.select("qid", "col", "value"))
-                break
-            got = got.checkpoint(eager=True)
-            done = got.filter(F.col("n") >= k)
-            settled.append(done.select("qid", "col", "value"))
-            todo = todo.join(done.select("qid", "col"), ["qid", "col"], "left_anti").checkpoint(eager=True)
-            if todo.isEmpty():
-                break
-            r *= 2.0
-        imputed = settled[0]
-        for part in settled[1:]:
-            imputed = imputed.unionByName(part)
-        wide = imputed.groupBy("qid").pivot("col", feats).agg(F.first("value"))
-        wide = wide.select("qid", *[F.col(f"`{c}`").alias(f"_i_{c}") for c in feats])
-        filled = incomplete.join(wide, incomplete[idc] == wide["qid"], "left")
-        out_cols = []
-        for f in df.schema.fields:
-            if f.name in feats:
-                fill = F.coalesce(F.col(f"_i_{f.name}"), F.lit(self.means.get(f.name)).cast("double"))
-                out_cols.append(F.coalesce(F.col(f.name).cast("double"), fill).cast(f.dataType).alias(f.name))
-            else:
-                out_cols.append(F.col(f"`{f.name}`"))
-        return complete.select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(filled.select(*out_cols))
-
-
-class KnnImputer:
-    """F3 estimator. ``anchors`` default to the feature columns without NULLs in the fit rows (up to 2)."""
-
-    def __init__(self, id_col: str, features: Sequence[str], k: int = 5, anchors: Sequence[str] | None = None,
-                 max_anchors: int = 2, donors_per_cell: int = 20):
-        self.id_col, self.features, self.k = id_col, list(features), k
-        self.anchors, self.max_anchors, self.donors_per_cell = anchors, max_anchors, donors_per_cell
-
-    def fit(self, df: DataFrame) -> KnnImputerModel:
-        feats = self.features
-        aggs = [F.count("*").alias("_n")]
-        for c in feats:
-            x = F.col(c).cast("double")
-            aggs += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"m_{c}"), F.min(x).alias(f"lo_{c}"),
-                     F.max(x).alias(f"hi_{c}"), F.approx_count_distinct(x).alias(f"nd_{c}")]
-        st = df.agg(*aggs).first()
-        n = st["_n"]
-        if self.anchors:
-            anchors = list(self.anchors)
-        else:
-            full = [c for c in feats if st[f"n_{c}"] == n and n > 0]
-            full.sort(key=lambda c: -(st[f"nd_{c}"] or 0))  # most distinct values first: fewest hot cells
-            anchors = full[: self.max_anchors]
-        if not anchors:
-            raise ValueError("KNN imputation needs at least one feature without NULLs as a grid anchor")
-        lows = {a: float(st[f"lo_{a}"]) for a in anchors}
-        spans = {a: float(st[f"hi_{a}"] - st[f"lo_{a}"]) for a in anchors}
-        # start with cells that hold ~donors_per_cell fit rows each
-        cells = max(1.0, n / float(self.donors_per_cell))
-        per_axis = cells ** (1.0 / len(anchors))
-        r0 = max(max(spans.values()) / per_axis, 1e-9)
-        means = {c: (float(st[f"m_{c}"]) if st[f"m_{c}"] is not None else None) for c in feats}
-        donors = df.select(self.id_col, *feats)
-        return KnnImputerModel(donors, self.id_col, feats, means, anchors, lows, spans, r0, self.k)
+    def _fit(self, df: DataFrame) -> KnnImputerModel:
+        from tabrisk.plans.ordering import ranked
+        feats, idc = self.getInputCols(), self.getOrDefault(self.idCol)
+        x = _values(feats)
+        key = F.col(idc) if idc else F.xxhash64(*[F.col(c) for c in feats])
+        rows = df.select(key.alias("id"), x.alias("x"))
+        # donors are numbered in id order, so that a tie goes to the lower id of any type
+        numbered = ranked(rows, [F.col("id").asc_nulls_first(), F.col("x").asc()], "n")
+        donors = stored(numbered.select("n", "x"), "knn-donors")
+        r = donors.agg(*[F.avg(F.when(~F.isnan(F.col("x")[i]), F.col("x")[i])).alias(f"m{i}") for i in range(len(feats))]).first()
+        model = KnnImputerModel(donors, [r[f"m{i}"] for i in range(len(feats))])
+        return model._set(inputCols=feats, idCol=idc, k=self.getOrDefault(self.k))
+
+    def write(self) -> MLWriter:
+        return DefaultParamsWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return DefaultParamsReader(cls)
+
+
+def _values(feats: Sequence[str]):
+    """The features as an array of doubles, NaN where missing."""
+    return F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in feats])
+
+
+class _KnnWriter(MLWriter):
+    def __init__(self, instance: KnnImputerModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, extraMetadata={"means": self.instance.means})
+        self.instance.donors.write.parquet(f"{path}/donors")
+
+
+class _KnnReader(MLReader):
+    def load(self, path: str) -> KnnImputerModel:
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = KnnImputerModel(self.sparkSession.read.parquet(f"{path}/donors"), meta["means"])
+        DefaultParamsReader.getAndSetParams(model, meta)
+        return model

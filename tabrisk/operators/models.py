@@ -58,10 +58,11 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
 # ---------------------------------------------------------------------------------------------
 
 def fit_feature_prep(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
-                     keep: Sequence[str] = (), missing: str = "mean", scale: bool = True):
+                     keep: Sequence[str] = (), missing: str = "mean", scale: bool = True, id_col: str = ""):
     """Fit the preparation chain on ``df`` and return a ``PipelineModel`` producing ``features``.
 
-    Stages: NULL category -> 'Unknown'; one-hot (values seen in fit); NULL numbers -> mean (or 0);
+    Stages: NULL category -> 'Unknown'; one-hot (values seen in fit); NULL numbers -> ``missing``: 'knn'
+    (five nearest rows, donors ordered by ``id_col``), 'mean' or 'zero';
     population z-score of the numeric columns; fixed feature order (missing -> 0); vector assembly.
     The fitted feature order is ``numeric + one-hot columns`` and is stored in the ``AlignFeatures`` stage.
     """
@@ -82,7 +83,14 @@ def fit_feature_prep(df: DataFrame, categorical: Sequence[str], numeric: Sequenc
         dummies = oh.outputCols()
     else:
         dummies = []
-    if scale and nums:
+    if missing == "knn" and nums:
+        from tabrisk.operators.features import PopulationScaler
+        from tabrisk.operators.knn import KnnImputer
+        fill = KnnImputer(inputCols=nums, idCol=id_col).fit(cur)
+        stages.append(fill)
+        if scale:
+            stages.append(PopulationScaler(inputCols=nums).fit(fill.transform(cur)))
+    elif scale and nums:
         # fill values and post-fill population statistics from one aggregation over the raw columns
         fill, sc = _fill_and_scale(cur, nums, missing)
         stages += [fill, sc]

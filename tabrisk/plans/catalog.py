@@ -1100,6 +1100,8 @@ def q_cv_summary(spark, d):
 # ---------------------------------------------------------------------------------------------
 
 KNN_FEATURES = ["p_size", "p_retailprice", "p_wt", "p_len"]
+# a wide table whose every column has gaps: powers and remainders of two keys, null where a remainder says so
+KNN_WIDE = [f"w{i}" for i in range(14)]
 
 
 def part_with_gaps(spark, d) -> DataFrame:
@@ -1113,8 +1115,26 @@ def part_with_gaps(spark, d) -> DataFrame:
         F.length("p_name").cast("double").alias("p_len"))
 
 
-def _knn_sql() -> str:
-    feats = KNN_FEATURES
+def part_wide(spark, d) -> DataFrame:
+    p = read_table(spark, d, "part")
+    k = F.col("p_partkey")
+    cols = [F.when((k + i) % (11 + i) == 0, F.lit(None)).otherwise(((k * (31 + 6 * i) + F.col("p_size") * (i + 1)) % (89 + i)).cast("double")).alias(c)
+            for i, c in enumerate(KNN_WIDE)]
+    return p.select("p_partkey", *cols)
+
+
+PART_GAPS_SQL = """
+  SELECT p_partkey,
+         CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS p_size,
+         CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice,
+         CAST((p_partkey * 37) % 101 AS DOUBLE) AS p_wt, CAST(length(p_name) AS DOUBLE) AS p_len
+  FROM part"""
+PART_WIDE_SQL = "SELECT p_partkey, " + ", ".join(
+    f"CASE WHEN (p_partkey + {i}) % {11 + i} = 0 THEN NULL ELSE CAST((p_partkey * {31 + 6 * i} + p_size * {i + 1}) % {89 + i} AS DOUBLE) END AS {c}"
+    for i, c in enumerate(KNN_WIDE)) + " FROM part"
+
+
+def _knn_sql(feats, source: str) -> str:
     both = lambda c: f"(q.{c} IS NOT NULL AND d.{c} IS NOT NULL)"
     nb = " + ".join(f"CASE WHEN {both(c)} THEN 1 ELSE 0 END" for c in feats)
     ss = "CAST(0 AS DOUBLE) + " + " + ".join(
@@ -1125,12 +1145,7 @@ def _knn_sql() -> str:
         f"ROUND(COALESCE(pp.{c}, i.{c}, (SELECT AVG({c}) FROM pp)), 6) AS {c}" for c in feats)
     piv = ", ".join(f"MAX(CASE WHEN col = '{c}' THEN value END) AS {c}" for c in feats)
     return f"""
-WITH pp AS (
-  SELECT p_partkey,
-         CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS p_size,
-         CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice,
-         CAST((p_partkey * 37) % 101 AS DOUBLE) AS p_wt, CAST(length(p_name) AS DOUBLE) AS p_len
-  FROM part),
+WITH pp AS ({source}),
 q AS (SELECT pp.*, c.col FROM pp, (VALUES {", ".join(f"('{c}')" for c in feats)}) c(col) WHERE {missing}),
 pairs AS (SELECT q.p_partkey AS qid, q.col, d.p_partkey AS pid, {pick} AS v, {nb} AS nb, {ss} AS ss FROM q, pp d),
 cand AS (SELECT *, sqrt(CAST({len(feats)} AS DOUBLE) / nb * ss) AS dist FROM pairs WHERE nb > 0 AND v IS NOT NULL),
@@ -1142,13 +1157,21 @@ SELECT pp.p_partkey, {cols} FROM pp LEFT JOIN i ON pp.p_partkey = i.qid
 """
 
 
-@register("impute_knn", _knn_sql())
-def q_impute_knn(spark, d):
+def _imputed(p: DataFrame, feats) -> DataFrame:
     from tabrisk.operators.knn import KnnImputer
-    p = part_with_gaps(spark, d)
-    model = KnnImputer("p_partkey", KNN_FEATURES, k=5).fit(p)
-    out = model.transform(p)
-    return out.select("p_partkey", *[F.round(c, 6).alias(c) for c in KNN_FEATURES])
+    out = KnnImputer(inputCols=list(feats), idCol="p_partkey", k=5).fit(p).transform(p)
+    return out.select("p_partkey", *[F.round(c, 6).alias(c) for c in feats])
+
+
+@register("impute_knn", _knn_sql(KNN_FEATURES, PART_GAPS_SQL))
+def q_impute_knn(spark, d):
+    return _imputed(part_with_gaps(spark, d), KNN_FEATURES)
+
+
+@register("impute_knn_wide", _knn_sql(KNN_WIDE, PART_WIDE_SQL))
+def q_impute_knn_wide(spark, d):
+    """Fourteen columns, all with gaps."""
+    return _imputed(part_wide(spark, d), KNN_WIDE)
 
 
 # ---------------------------------------------------------------------------------------------

@@ -75,7 +75,7 @@ def test_knn_matches_brute_force(spark):
     rows.append({"id": 999, "a": 1.0, "b": 1.0, "x": None, "y": None})
     df = spark.createDataFrame([tuple(r[c] for c in ["id"] + feats) for r in rows],
                                "id long, a double, b double, x double, y double")
-    model = KnnImputer("id", feats, k=5, donors_per_cell=5).fit(df)
+    model = KnnImputer(idCol="id", inputCols=feats, k=5).fit(df)
     got = {r.id: r for r in model.transform(df).collect()}
     want = _brute_knn(rows, feats, 5)
     for i, w in want.items():
@@ -86,17 +86,50 @@ def test_knn_matches_brute_force(spark):
 def test_knn_few_and_no_donors(spark):
     rows = [(1, 0.0, None), (2, 1.0, 10.0), (3, 2.0, 20.0), (4, 50.0, None)]
     df = spark.createDataFrame(rows, "id long, a double, v double")
-    got = {r.id: r.v for r in KnnImputer("id", ["a", "v"], k=5).fit(df).transform(df).collect()}
+    got = {r.id: r.v for r in KnnImputer(idCol="id", inputCols=["a", "v"], k=5).fit(df).transform(df).collect()}
     assert got[1] == pytest.approx(15.0) and got[4] == pytest.approx(15.0)
     allnull = spark.createDataFrame([(1, 0.0, None), (2, 1.0, None)], "id long, a double, v double")
-    got = {r.id: r.v for r in KnnImputer("id", ["a", "v"], k=5).fit(allnull).transform(allnull).collect()}
+    got = {r.id: r.v for r in KnnImputer(idCol="id", inputCols=["a", "v"], k=5).fit(allnull).transform(allnull).collect()}
     assert got == {1: None, 2: None}
 
 
+def test_knn_all_columns_with_gaps_in_small_blocks(spark, monkeypatch):
+    """No column is complete, rows miss many values, ids repeat; blocks and donor batches are tiny."""
+    from tabrisk.operators import knn
+    monkeypatch.setattr(knn, "QUERY_ROWS", 40)
+    monkeypatch.setattr(knn, "DONOR_ROWS", 7)
+    rnd = random.Random(3)
+    feats = [f"c{i}" for i in range(20)]
+    rows = [{"id": i, **{c: None if rnd.random() < 0.15 else round(rnd.random() * 9, 1) for c in feats}} for i in range(250)]
+    rows.append({"id": 900, **{c: None for c in feats}})
+    df = spark.createDataFrame([tuple(r[c] for c in ["id", *feats]) for r in rows], "id long, " + ", ".join(f"{c} double" for c in feats))
+    got = {r.id: r for r in KnnImputer(idCol="id", inputCols=feats, k=5).fit(df).transform(df).collect()}
+    for i, w in _brute_knn(rows, feats, 5).items():
+        for c in feats:
+            assert got[i][c] == pytest.approx(w[c], rel=1e-9, abs=1e-9), (i, c)
+
+
+def test_knn_in_the_fitted_chain(spark, tmp_path):
+    """KNN fill is a stage of the preparation: fitted, saved in a PipelineModel, loaded and applied to new rows."""
+    from pyspark.ml import PipelineModel
+    from tabrisk.operators.models import fit_feature_prep
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice(["x", "y", None]), *[None if rnd.random() < 0.2 else rnd.random() for _ in range(3)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, cat string, a double, b double, c double")
+    prep = fit_feature_prep(df, ["cat"], ["a", "b", "c"], keep=["id"], missing="knn", id_col="id")
+    prep.save(str(tmp_path / "prep"))
+    again = PipelineModel.load(str(tmp_path / "prep"))
+    a = {r.id: r.features.toArray().tolist() for r in prep.transform(df).collect()}
+    b = {r.id: r.features.toArray().tolist() for r in again.transform(df).collect()}
+    assert a == b and len(a) == 80
+    mean = [sum(v[j] for v in a.values()) / 80 for j in range(3)]
+    assert mean == pytest.approx([0, 0, 0], abs=1e-9)
+
+
 def test_knn_tie_goes_to_lower_id(spark):
     rows = [(1, 0.0, None), (2, 1.0, 10.0), (3, -1.0, 20.0)]
     df = spark.createDataFrame(rows, "id long, a double, v double")
-    got = {r.id: r.v for r in KnnImputer("id", ["a", "v"], k=1).fit(df).transform(df).collect()}
+    got = {r.id: r.v for r in KnnImputer(idCol="id", inputCols=["a", "v"], k=1).fit(df).transform(df).collect()}
     assert got[1] == 10.0
 
 
@@ -156,10 +189,10 @@ def test_one_hot_case_only_values_get_distinct_columns(spark):
 def test_knn_model_save_load(spark, tmp_path):
     rows = [(1, 0.0, None), (2, 1.0, 10.0), (3, 2.0, 20.0), (4, 3.0, 30.0)]
     df = spark.createDataFrame(rows, "id long, a double, v double")
-    m = KnnImputer("id", ["a", "v"], k=2).fit(df)
+    m = KnnImputer(idCol="id", inputCols=["a", "v"], k=2).fit(df)
     m.save(str(tmp_path / "knn"))
     from tabrisk.operators.knn import KnnImputerModel
-    m2 = KnnImputerModel.load(spark, str(tmp_path / "knn"))
+    m2 = KnnImputerModel.load(str(tmp_path / "knn"))
     assert {r.id: r.v for r in m2.transform(df).collect()} == {r.id: r.v for r in m.transform(df).collect()}
 
 
