@@ -104,10 +104,15 @@ def pieces(data: bytes, k: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray
             long = np.diff(np.append(starts, len(least)))
         # places that some window takes its hash from: equal to the largest of their windows' smallest hashes
         padded = np.concatenate([np.zeros(w - 1, dtype=np.uint64), least, np.zeros(w - 1, dtype=np.uint64)])
-        taken = np.concatenate([[0], np.cumsum(_sliding(padded, w, False) == h)])
-        same = taken[np.minimum(starts + long + w - 1, len(h))] - taken[starts]
-        # other hashes may be taken within the piece's span, so this can only say `many` too often
-        found.append((least[starts].view(np.int64), starts + at, long, same > 1))
+        taken = np.flatnonzero(_sliding(padded, w, False) == h)
+        # the first and the last place of the piece's own hash; others may be taken in between
+        mine, first, last = least[starts], np.searchsorted(taken, starts), np.searchsorted(taken, starts + long + w - 1) - 1
+        for at_end, step_by in ((first, 1), (last, -1)):
+            other = np.flatnonzero(h[taken[at_end]] != mine)
+            while len(other):
+                at_end[other] += step_by
+                other = other[h[taken[at_end[other]]] != mine[other]]
+        found.append((mine.view(np.int64), starts + at, long, first != last))
     if not found:
         return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, bool))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
