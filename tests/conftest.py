@@ -23,6 +23,7 @@ def spark():
     b = b.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabrisk-test-ckpt-"))
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.environment["PYTHONPATH"] = ROOT  # the workers' path, wherever pytest was started
     ensure_checkpoint_dir(s)
     yield s
     s.stop()
