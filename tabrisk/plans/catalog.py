@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabrisk.operators import profile as P
 from tabrisk.operators import query as Q
 from tabrisk.sources.tables import read_table
 from tabrisk.spec import CUSTOMER
@@ -255,7 +256,6 @@ def q_profile_report(spark, d):
 @register("profile_type", _profile_sql(
     "column_name, pos, suggested_type, n_non_null, min_value, max_value, has_decimals"))
 def q_profile_type(spark, d):
-    from tabrisk.operators import profile as P
     cols = [c for c, _ in PART_PROFILE_COLS]
     return P.profile_type(P.long_form(part_for_profile(spark, d), "p_partkey", cols), cols)
 
@@ -263,7 +263,6 @@ def q_profile_type(spark, d):
 @register("profile_distinct10", _profile_sql("column_name, distinct_values, more")
           + " WHERE distinct_values IS NOT NULL")
 def q_profile_distinct10(spark, d):
-    from tabrisk.operators import profile as P
     cols = [c for c, _ in PART_PROFILE_COLS]
     numeric = [c for c, is_num in PART_PROFILE_COLS if is_num]
     text = [c for c, is_num in PART_PROFILE_COLS if not is_num]
@@ -272,7 +271,6 @@ def q_profile_distinct10(spark, d):
 
 @register("profile_sample5", _profile_sql("column_name, sample_values") + " WHERE sample_values IS NOT NULL")
 def q_profile_sample5(spark, d):
-    from tabrisk.operators import profile as P
     cols = [c for c, _ in PART_PROFILE_COLS]
     return P.profile_sample(P.long_form(part_for_profile(spark, d), "p_partkey", cols))
 
@@ -280,8 +278,7 @@ def q_profile_sample5(spark, d):
 LABELS_PROFILE_COLS = [("doc_id", True), ("quality", True), ("toxic", True)]
 
 
-@register("profile_labels", "SELECT * FROM (" + __import__("tabrisk.operators.profile", fromlist=["x"])
-          .profile_oracle_sql("labels", "doc_id", LABELS_PROFILE_COLS) + ") r")
+@register("profile_labels", "SELECT * FROM (" + P.profile_oracle_sql("labels", "doc_id", LABELS_PROFILE_COLS) + ") r")
 def q_profile_labels(spark, d):
     from tabrisk.operators.profile import profile_report
     return profile_report(read_table(spark, d, "labels"), "doc_id", ["doc_id", "quality", "toxic"])
@@ -1232,14 +1229,14 @@ def q_fit_boost(spark, d):
 def q_fit_stack(spark, d):
     from tabrisk.operators.models import StackingClassifier, boost, forest, score_batch
     df, train, prep, x = _prepared(spark, d, with_key=True)
-    stack = StackingClassifier([forest(**SMALL_FOREST), boost(**SMALL_BOOST)], "row_key", inner_folds=3).fit(x)
+    stack = StackingClassifier([forest(**SMALL_FOREST), boost(**SMALL_BOOST)], "row_key", inner_folds=5).fit(x)
     train.unpersist()
     return score_batch(prep, stack, df, keep=["row_key", "label"])
 
 
 @register("cross_validate")
 def q_cross_validate(spark, d):
-    """Outer 3-fold CV of prep + forest (prep fitted inside each fold: no leakage)."""
+    """Outer 5-fold CV of prep + forest (prep fitted inside each fold: no leakage)."""
     from tabrisk.operators.models import cross_validate, fit_feature_prep, forest, score_batch
     df = lineitem_labeled(spark, d)
 
@@ -1248,7 +1245,7 @@ def q_cross_validate(spark, d):
         model = forest(**SMALL_FOREST).fit(prep.transform(train))
         return lambda part: score_batch(prep, model, part, keep=["fold", "label"])
 
-    per, summary = cross_validate(df, make, "row_key", k=3)
+    per, summary = cross_validate(df, make, "row_key", k=5)
     return summary
 
 
