@@ -37,7 +37,7 @@ STOP_WORDS = ["a", "and", "be", "for", "in", "is", "it", "of", "on", "that", "th
 
 # name -> (condition to vote bad, condition to vote good) over the measurements
 LABELLERS: dict[str, tuple[str, str]] = {
-    "length": ("n_words < 10", "n_words >= 50"),
+    "length": ("n_words = 0", "n_words >= 50"),
     "symbols": ("10 * n_symbols > n_words", "n_words >= 10 AND 100 * n_symbols <= n_words"),
     "capitals": ("10 * n_upper > 3 * word_chars AND n_words >= 10", "10 * n_upper < word_chars AND n_words >= 10"),
     "lines": ("5 * n_dup_lines > 2 * n_lines AND n_lines >= 3", "n_dup_lines = 0 AND n_lines >= 2"),
@@ -74,7 +74,7 @@ def votes() -> Column:
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of good per pattern, vote probabilities (class, labeller, vote) and share of good documents.
 
-    Starts from the share of good votes, so that class 1 is the one that the labellers call good.
+    A labeller that does not vote says nothing about the document: its silence has probability 1 in both classes. Starts from the share of good votes, so that class 1 is the one that the labellers call good.
     """
     n = len(LABELLERS)
     vote = (patterns[:, None] // 3 ** np.arange(n)[None, :]) % 3
@@ -85,9 +85,11 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tolera
         weight = np.stack([1 - post, post]) * counts
         share = (weight.sum(axis=1) + 1) / (counts.sum() + 2)
         table = np.empty((2, n, 3))
-        for v in range(3):
+        for v in (GOOD, BAD):
             table[:, :, v] = weight @ (vote == v) + 0.5
+        table[:, :, NONE] = 0
         table /= table.sum(axis=2, keepdims=True)
+        table[:, :, NONE] = 1
         log = np.log(share)[:, None] + sum(np.log(table[:, k, :][:, vote[:, k]]) for k in range(n))
         top = log.max(axis=0)
         total = top + np.log(np.exp(log - top).sum(axis=0))
@@ -104,11 +106,11 @@ def shapes(text: Column) -> Column:
     return words(F.regexp_replace(F.regexp_replace(plain, r"[a\x{80}-\x{10FFFF}]+", "a"), "A+", "A"))
 
 
-def features(measured_docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, lower_words: Column, text: Column) -> DataFrame:
     """Adds `features`: hashed counts of words and word shapes, scaled to length one."""
     # a shape can't be mistaken for a word, as it carries a mark
-    terms = F.concat(F.col("__words.w"), F.transform(shapes(F.col("__t")), lambda s: F.concat(F.lit("\x00"), s)))
-    counted = HashingTF(numFeatures=FEATURES, inputCol="__terms", outputCol="__tf").transform(measured_docs.withColumn("__terms", terms))
+    terms = F.concat(lower_words, F.transform(shapes(text), lambda s: F.concat(F.lit("\x00"), s)))
+    counted = HashingTF(numFeatures=FEATURES, inputCol="__terms", outputCol="__tf").transform(docs.withColumn("__terms", terms))
     return Normalizer(inputCol="__tf", outputCol="features").transform(counted)
 
 
@@ -127,7 +129,8 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", train_rows: in
     share = 0.9 * train_rows / counts.sum()
     limit = (1 << 63) - 1 if share >= 0.9 else -(1 << 63) + int(share * (1 << 64))
     sample = docs.filter(ids <= F.lit(limit))
-    rows = features(measured(sample, text, [])).withColumn("p", _posterior(votes(), posterior)).select("features", "p")
+    rows = features(measured(sample, text, []), F.col("__words.w"), F.col("__t"))
+    rows = rows.withColumn("p", _posterior(votes(), posterior)).select("features", "p")
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight"))))
     train = materialize(rows.select("features", both.alias("x")).select("features", "x.label", "x.weight"), "quality-train")
     if train.isEmpty():
@@ -141,17 +144,19 @@ def _posterior(code: Column, posterior: dict[int, float]) -> Column:
     return F.get(F.from_json(F.lit("[" + ",".join(map(repr, table)) + "]"), "array<double>"), code)
 
 
-def score(docs: DataFrame, model: LogisticRegressionModel, posterior: dict[int, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Kept columns with weak_good (posterior of the votes), score (the scorer's probability of good) and kept."""
-    keep = [c for c in (keep or docs.columns) if c not in ("weak_good", "score", "kept")]
-    found = features(measured(docs, text, [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row")])).withColumn("weak_good", _posterior(votes(), posterior))
-    scored = model.setFeaturesCol("features").transform(found.select("__row", "weak_good", "features"))
+def score(docs: DataFrame, model: LogisticRegressionModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Kept columns with score (the scorer's probability of good) and kept. The labellers aren't asked again."""
+    keep = [c for c in (keep or docs.columns) if c not in ("score", "kept")]
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), t.alias("__t"))
+    found = features(rows, words(F.lower(F.col("__t"))), F.col("__t"))
+    scored = model.setFeaturesCol("features").transform(found.select("__row", "features"))
     p = vector_to_array("probability")[1]
-    return scored.select("__row.*", "weak_good", p.alias("score"), (p >= 0.5).alias("kept"))
+    return scored.select("__row.*", p.alias("score"), (p >= 0.5).alias("kept"))
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    model, posterior = fit(docs)
+    model, _ = fit(docs)
     if model is None:
-        return docs.select("doc_id", F.lit(None).cast("double").alias("weak_good"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("kept"))
-    return score(docs, model, posterior, keep=["doc_id"])
+        return docs.select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(False).alias("kept"))
+    return score(docs, model, keep=["doc_id"])

@@ -36,7 +36,7 @@ def test_odd_rows(spark):
     rows = [(1, None, 1.0), (2, "", 1.0), (3, " \n", None), (4, "the end of it is that " * 3000, 2.0), (4, "the end of it is that " * 3000, 2.0), (None, "x", 0.0), (5, "$$$ ### " * 50, 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")
     out = quality_model.op2(df)
-    assert out.columns == ["doc_id", "weak_good", "score", "kept"] and out.count() == len(rows)
+    assert out.columns == ["doc_id", "score", "kept"] and out.count() == len(rows)
     assert all(0 <= r["score"] <= 1 for r in out.collect())
     assert len({r["score"] for r in out.filter("doc_id = 4").collect()}) == 1
     assert quality_model.op2(df.limit(0)).count() == 0
