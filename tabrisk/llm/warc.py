@@ -77,7 +77,7 @@ def record(planned: DataFrame) -> DataFrame:
 def write_monolithic(pages: DataFrame, path: str) -> None:
     """Write the records of `pages`; every file is one gzip stream of whole records."""
     rows = record(plan_records(pages))
-    rows.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.write.option("compression", "gzip").option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def split_stream(gz: bytes) -> Iterator[bytes]:
