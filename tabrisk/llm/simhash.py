@@ -169,8 +169,11 @@ def keep_one_of_each(docs: DataFrame, size: int = 3, distance: int = 3) -> DataF
     Rows that share a doc_id are one document, of which one row stays.
     """
     found = near_duplicates(docs.select("doc_id", "text"), size, distance)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    # one key that is never null: the join and the removal of repeated rows then share one shuffle of the texts
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component"))).select(key.alias("__key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key.alias("__key"))
+    return rows.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select("__row.*")
 
 
 def op7(docs: DataFrame) -> DataFrame:
