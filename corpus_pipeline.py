@@ -24,7 +24,7 @@ def drop_repeated_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints of 3-word shingles are joined by 3 bits or less, the smallest doc_id stays."""
+    """Of documents whose fingerprints of 3-word shingles are joined by 3 bits or less, one row of the smallest doc_id stays."""
     return simhash.keep_one_of_each(docs, size=3, distance=3)
 
 

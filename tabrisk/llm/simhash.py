@@ -164,15 +164,21 @@ def hex_digits(fp: Column) -> Column:
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
-    """`docs` without near-duplicates: the document with the smallest doc_id of each component stays.
+    """`docs` without near-duplicates: of each component the row with the smallest doc_id stays; a null one comes last.
 
-    Rows that share a doc_id are one document, of which one row stays.
+    Rows of one doc_id, or without any, are told apart by hashes of text and row; of truly equal rows one stays.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), size, distance)
-    # one key that is never null: the join and the removal of repeated rows then share one shuffle of the texts
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component"))).select(key.alias("__key")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key.alias("__key"))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.xxhash64(*[F.to_json(c) if "map<" in docs.schema[n].dataType.simpleString() else c for n, c in zip(docs.columns, cols, strict=True)])
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), whole.alias("rh"))
+    found = near_duplicates(docs.select(rank.alias("rank"), "text"), size, distance, key="rank")
+
+    # one key that is never null: the join and the removal of equal rows then share one shuffle of the texts
+    def key(r: Column) -> Column:
+        return F.concat_ws("|", r["none"].cast("int"), r["th"], r["rh"], F.coalesce(r["id"].cast("string"), F.lit("")))
+
+    stay = found.filter(F.col("rank") == F.col("component")).select(key(F.col("rank")).alias("__key")).distinct()
+    rows = docs.select(F.struct(*cols).alias("__row"), key(rank).alias("__key"))
     return rows.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select("__row.*")
 
 
