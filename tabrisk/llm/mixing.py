@@ -11,7 +11,8 @@
 4. Splitting tree: the quotas are split over 2^depth output shards. At each node of the tree the units of all sources
    are drawn to the left child without replacement, so the counts are multivariate hypergeometric and
    add up exactly. A shard then draws its quota from the source's permuted units, which are disjoint.
-5. Every document gets its draws (pass, shard, position key); `mixed` repeats the rows and orders each shard.
+5. Every document gets its draws (pass, shard, position key); `mixed` repeats the rows, brings them to the output ranges
+   of their shards and orders each.
 
 Only built-in column functions are used. Reruns agree: all draws are digests of `seed` and ids.
 
@@ -142,7 +143,9 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     added = ["size", "source_size", "target", "draws"]
     keep = [c for c in (keep if keep is not None else [key]) if c not in added]
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
-    base = docs.select(row, F.col(key).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+    # the position also goes by the text: rows of one id, or of none, don't stand in one place
+    base = docs.select(row, F.col(key).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
+                       F.xxhash64(F.col(text)).alias("text_hash"))
     base = base.withColumn("source_key", _source_key(F.col("source"))).withColumn("cell", _cell(seed, "id"))
     light = docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
     light = light.withColumn("source_key", _source_key(F.col("source"))).withColumn("cell", _cell(seed, "id"))
@@ -162,20 +165,24 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     mine = F.filter(F.coalesce(F.col("placed"), F.array().cast(plan.schema["placed"].dataType)), lambda x: x["pass"] <= times)
     draws = F.transform(mine, lambda x: F.struct(
         x["pass"].alias("pass"), x["shard"].alias("shard"),
-        _unit_hash(seed, x["shard"], x["pass"], F.col("source_key"), F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("position")))
+        _unit_hash(seed, x["shard"], x["pass"], F.col("source_key"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text_hash")).alias("position")))
     return out.select("row.*", "size", "source_size", "target", draws.alias("draws"))
 
 
 def mixed(docs: DataFrame, depth: int = DEPTH, seed: int = 0) -> DataFrame:
     """The rows of the mix with the columns of `docs`, repeated as often as drawn.
 
-    Every shard is one range of the output, shuffled within by its position keys.
+    Every shard is one range of the output, shuffled within by its position keys. The output partitions are equal parts of
+    the order of (shard, position): positions are digests, so the bounds need no sample, and a large shard takes several.
     """
     cols = list(docs.columns)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), "doc_id", "text", "source")
     found = mix(whole, keep=["__row"], depth=depth, seed=seed).filter(F.size("draws") > 0)
     rows = found.select("__row", F.explode("draws").alias("d")).select("__row", "d.shard", "d.position")
-    return rows.sortWithinPartitions("shard", "position").select("__row.*")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = (F.col("shard") + F.col("position").cast("double") / float(1 << 52)) / float(1 << depth)
+    part = F.least(F.floor(place * parts), F.lit(parts - 1)).cast("int")
+    return rows.repartitionById(parts, part).sortWithinPartitions("shard", "position").select("__row.*")
 
 
 def op1(docs: DataFrame) -> DataFrame:
