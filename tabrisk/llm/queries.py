@@ -11,11 +11,13 @@ from tabrisk.llm import (
     lattice,
     line_dedup,
     mixing,
+    periodic_runs,
     quality_model,
     quality_rules,
     simhash,
     suffix_index,
     token_counts,
+    toxicity,
     warc,
 )
 from tabrisk.llm.common import read_table
@@ -31,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": lambda spark, d: line_dedup.op8(read_table(spark, d, "documents")),
     "op9_suffix_index": lambda spark, d: suffix_index.op9(read_table(spark, d, "documents")),
     "op10_bpe_tree": lambda spark, d: bpe_tree.op10(spark, read_table(spark, d, "documents")),
+    "op11_periodic_runs": lambda spark, d: periodic_runs.op11(read_table(spark, d, "documents")),
+    "op13_toxicity": lambda spark, d: toxicity.op13(read_table(spark, d, "documents"), read_table(spark, d, "labels")),
 }
 
 ORACLE: dict[str, str] = {
