@@ -12,6 +12,7 @@ from tabrisk.llm import (
     line_dedup,
     mixing,
     periodic_runs,
+    phrases,
     quality_model,
     quality_rules,
     simhash,
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_index": lambda spark, d: suffix_index.op9(read_table(spark, d, "documents")),
     "op10_bpe_tree": lambda spark, d: bpe_tree.op10(spark, read_table(spark, d, "documents")),
     "op11_periodic_runs": lambda spark, d: periodic_runs.op11(read_table(spark, d, "documents")),
+    "op12_phrases": lambda spark, d: phrases.op12(read_table(spark, d, "documents")),
     "op13_toxicity": lambda spark, d: toxicity.op13(read_table(spark, d, "documents"), read_table(spark, d, "labels")),
 }
 
@@ -41,4 +43,5 @@ ORACLE: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op3_warc": warc.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
+    "op12_phrases": phrases.ORACLE,
 }
