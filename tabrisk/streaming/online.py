@@ -54,7 +54,7 @@ class OnlineConfig:
 
 
 class OnlineStore:
-    """The training log (create if missing, an unreadable log counts as empty) and the saved prep."""
+    """The training log (create if missing; damaged files are set aside, the rows of the others count) and the saved prep."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -69,9 +69,41 @@ class OnlineStore:
         try:
             log.count()  # the log has one row per batch; the read is lazy, so look at it here
         except (PySparkException, Py4JJavaError):
-            return self.spark.createDataFrame([], LOG_SCHEMA)
+            if not self._set_damaged_aside():
+                raise  # every file is sound: the storage failed, and the log is as it was
+            log = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/log")
         return log
 
+    def _set_damaged_aside(self) -> int:
+        """Move files of the log that can't be decoded to ``log_damaged``; the rows of the others stay. Returns their number.
+
+        A file counts as damaged only if all its bytes can be read and Spark still can't make rows of them: where the storage
+        itself fails, the error goes to the caller and nothing is moved.
+        """
+        from py4j.protocol import Py4JJavaError
+        from pyspark.errors import PySparkException
+        jvm = self.spark.sparkContext._jvm
+        folder, aside = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/{x}") for x in ("log", "log_damaged"))
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        moved = 0
+        for status in fs.listStatus(folder):
+            path = status.getPath()
+            if path.getName()[0] in "_.":
+                continue
+            try:
+                self.spark.read.schema(LOG_SCHEMA).parquet(path.toString()).collect()  # one row
+            except (PySparkException, Py4JJavaError):
+                stream = fs.open(path)
+                try:
+                    size = jvm.org.apache.commons.io.IOUtils.consume(stream)
+                finally:
+                    stream.close()
+                if size != status.getLen():
+                    raise
+                fs.mkdirs(aside)
+                moved += fs.rename(path, jvm.org.apache.hadoop.fs.Path(aside, path.getName()))
+        return moved
+
     def latest(self):
         return self.log().filter(F.col("status") == "trained").orderBy(F.col("batch_id").desc()).limit(1).first()
 
