@@ -7,7 +7,8 @@ no shuffle, on batch and streaming DataFrames alike.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,59 @@ from pyspark.sql import functions as F
 from tabrisk.functions import sigmoid, stable_hash
 from tabrisk.plans.ordering import ranked
 
+T = TypeVar("T")
+
+
+def run_all(spark, tasks: Sequence[Callable[[], T]], threads: int = 4) -> list[T]:
+    """Results of independent pieces of driver work, in their order, with at most ``threads`` of them at a time.
+
+    Each runs in a thread that inherits the caller's job properties, so its Spark jobs share the executors with those of the
+    others: one fit's small last tasks don't leave the cluster idle. Each has a scheduler pool of its own, which a session with
+    ``spark.scheduler.mode=FAIR`` serves in turn. The first error is raised, and what has not started doesn't start.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Event
+
+    from pyspark.util import inheritable_thread_target
+
+    errors: list[BaseException] = []
+    failed = Event()
+
+    def pooled(i: int, task: Callable[[], T]) -> T | None:
+        if failed.is_set():
+            return None
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i % max(1, threads)}")
+        try:
+            return task()
+        except BaseException as e:  # noqa: BLE001 - raised again below, in the caller's thread
+            errors.append(e)
+            failed.set()
+            return None
+
+    with ThreadPoolExecutor(max(1, threads)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(pooled), i, t) for i, t in enumerate(tasks)]
+        results = [j.result() for j in jobs]
+    if errors:
+        raise errors[0]
+    return results
+
+
+#: rows that one task of a fit should have: fewer, and starting tasks costs more than their work
+ROWS_PER_TASK = 32_768
+
+
+def spread(df: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """``df`` in partitions of about ``rows`` rows where it has fewer of them than the session has cores.
+
+    A table of few files would be fitted by few tasks, whatever its rows; a small one is not worth many.
+    """
+    now = df.rdd.getNumPartitions()
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if now >= n:
+        return df
+    want = min(n, max(1, -(-df.count() // rows)))
+    return df.repartition(want) if want > now else df.coalesce(want)
+
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = 42,
                      fold_col: str = "fold") -> DataFrame:
@@ -140,6 +194,11 @@ def feature_list(prep) -> list[str]:
 # M1, M2: base learners
 # ---------------------------------------------------------------------------------------------
 
+# node ids stay with the rows, so that grown trees aren't sent with every level's tasks (they are cut with a checkpoint every ten
+# rounds); more memory for histograms means fewer passes per level
+TREE_JOBS = dict(cacheNodeIds=True, maxMemoryInMB=1024)
+
+
 def forest(num_trees: int = 200, max_depth: int = 30, min_leaf: int = 2, seed: int = 42, name: str = "rf",
            label: str = "label"):
     """M1: random forest without bootstrap, sqrt features per split, leaves of >= 2 rows.
@@ -150,7 +209,7 @@ def forest(num_trees: int = 200, max_depth: int = 30, min_leaf: int = 2, seed: i
     return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees, bootstrap=False,
                                   featureSubsetStrategy="sqrt", minInstancesPerNode=min_leaf,
                                   maxDepth=min(max_depth, 30), seed=seed, probabilityCol=f"prob_{name}",
-                                  rawPredictionCol=f"raw_{name}", predictionCol=f"pred_{name}")
+                                  rawPredictionCol=f"raw_{name}", predictionCol=f"pred_{name}", **TREE_JOBS)
 
 
 def boost(rounds: int = 200, rate: float = 0.05, max_depth: int = 5, subsample: float = 0.8, seed: int = 42,
@@ -158,7 +217,7 @@ def boost(rounds: int = 200, rate: float = 0.05, max_depth: int = 5, subsample:
     """M2: gradient-boosted trees (Spark's level-wise GBT; no L1/L2 leaf penalties exist in it)."""
     from pyspark.ml.classification import GBTClassifier
     est = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=max_depth,
-                        subsamplingRate=subsample, seed=seed, predictionCol=f"pred_{name}")
+                        subsamplingRate=subsample, seed=seed, predictionCol=f"pred_{name}", **TREE_JOBS)
     return est.setProbabilityCol(f"prob_{name}").setRawPredictionCol(f"raw_{name}")
 
 
@@ -222,11 +281,13 @@ class StackingModel:
 class StackingClassifier:
     """M3 (Wolpert 1992): out-of-fold base probabilities -> logistic regression; bases refitted on all rows.
 
-    Folds are stratified (M4) on ``id_col``; every base fit is a Spark ML job over the cached feature table.
+    Folds are stratified (M4) on ``id_col`` over one table, fold-tagged, evenly partitioned and kept for all fits. The fits of
+    the folds and those on all rows don't need each other and run ``threads`` at a time.
     """
 
-    def __init__(self, bases: Sequence, id_col: str, label: str = "label", inner_folds: int = 5, seed: int = 42):
+    def __init__(self, bases: Sequence, id_col: str, label: str = "label", inner_folds: int = 5, seed: int = 42, threads: int = 4):
         self.bases, self.id_col, self.label, self.k, self.seed = list(bases), id_col, label, inner_folds, seed
+        self.threads = threads
 
     def fit(self, df: DataFrame) -> StackingModel:
         from pyspark import StorageLevel
@@ -234,14 +295,16 @@ class StackingClassifier:
         from pyspark.ml.feature import VectorAssembler
 
         names = [_prob_col(b).replace("prob_", "") for b in self.bases]
-        folds = stratified_folds(df, self.id_col, self.label, self.k, self.seed, "_ifold") \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+        tagged = stratified_folds(df.select(self.id_col, self.label, "features"), self.id_col, self.label, self.k, self.seed, "_ifold")
+        folds = spread(tagged).persist(StorageLevel.MEMORY_AND_DISK)
+        folds.count()  # once, before the fits ask for it at the same time
+        tasks = [lambda b=b, f=f: b.fit(folds.filter(F.col("_ifold") != f)) for f in range(self.k) for b in self.bases]
+        tasks += [lambda b=b: b.fit(folds) for b in self.bases]
+        models = run_all(df.sparkSession, tasks, self.threads)
         oof = []
         for f in range(self.k):
-            train = folds.filter(F.col("_ifold") != f)
-            part = folds.filter(F.col("_ifold") == f).select(self.id_col, self.label, "features")
-            for b, n in zip(self.bases, names):
-                m = b.fit(train)
+            part = folds.filter(F.col("_ifold") == f)
+            for m, n in zip(models[f * len(names):], names):
                 part = m.transform(part).withColumn(f"p_{n}", _positive(_prob_col(m))) \
                     .drop(_prob_col(m), m.getOrDefault(m.rawPredictionCol), m.getOrDefault(m.predictionCol))
             oof.append(part.select(self.label, *[f"p_{n}" for n in names]))
@@ -249,29 +312,34 @@ class StackingClassifier:
         for o in oof[1:]:
             meta_train = meta_train.unionByName(o)
         meta_train = VectorAssembler(inputCols=[f"p_{n}" for n in names], outputCol="_meta").transform(meta_train)
+        # the fit reads its input many times; without the cut every pass would score the out-of-fold rows again
+        meta_train = meta_train.select(self.label, "_meta").persist(StorageLevel.MEMORY_AND_DISK)
         meta = LogisticRegression(featuresCol="_meta", labelCol=self.label, probabilityCol="_meta_prob",
                                   rawPredictionCol="_meta_raw", predictionCol="_meta_pred").fit(meta_train)
-        full = [b.fit(folds) for b in self.bases]
+        meta_train.unpersist()
         folds.unpersist()
-        return StackingModel(full, names, meta, self.label)
+        return StackingModel(models[self.k * len(names):], names, meta, self.label)
 
 
 # ---------------------------------------------------------------------------------------------
 # M5, M6: cross-validation and batch scoring
 # ---------------------------------------------------------------------------------------------
 
-def cross_validate(df: DataFrame, make_model, id_col: str, label: str = "label", k: int = 5, seed: int = 42):
+def cross_validate(df: DataFrame, make_model, id_col: str, label: str = "label", k: int = 5, seed: int = 42, threads: int = 2):
     """M5: outer stratified folds; per fold fit on the others (``make_model(train) -> scorer``) and score the
-    fold; returns (per-fold metrics, summary). Each fold is its own set of Spark jobs."""
+    fold; returns (per-fold metrics, summary). Folds are independent sets of Spark jobs, ``threads`` at a time."""
     from pyspark import StorageLevel
 
     from tabrisk.operators.metrics import cv_summary, fold_metrics
-    folds = stratified_folds(df, id_col, label, k, seed, "fold").persist(StorageLevel.MEMORY_AND_DISK)
-    scored = []
-    for f in range(k):
+    folds = spread(stratified_folds(df, id_col, label, k, seed, "fold")).persist(StorageLevel.MEMORY_AND_DISK)
+    folds.count()
+
+    def one(f: int) -> DataFrame:
         scorer = make_model(folds.filter(F.col("fold") != f))
         s = scorer(folds.filter(F.col("fold") == f)).select("fold", F.col(label).alias("label"), "score")
-        scored.append(s.checkpoint(eager=True))
+        return s.checkpoint(eager=True)
+
+    scored = run_all(df.sparkSession, [lambda f=f: one(f) for f in range(k)], threads)
     allp = scored[0]
     for s in scored[1:]:
         allp = allp.unionByName(s)
