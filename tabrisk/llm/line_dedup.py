@@ -1,24 +1,27 @@
-"""Line dedup: blocks of lines that an earlier document has too go.
-
-1. Every line with a word becomes a hash.
-2. A window is the shortest run of neighbouring lines with `min_words` words or more, from each line on and up to each
-   line. Each line has a word, so a window has `min_words` lines at most, and a line starts or ends two windows at most.
-   Every run of `min_words` words or more is covered by windows inside it.
-3. A window is compared by the hash of its lines with all documents at once: it goes if an earlier document, one with a
-   smaller doc_id, has it too. So a line is deleted exactly if it is in a run of `min_words` words or more
-   that some earlier document has as neighbouring lines too, in whatever order the two have their common runs. That is
-   what aligning each document with all earlier ones finds, again and again on what is left, but no pair is made
-   and no window is too frequent to count. A line always stays in the first document that holds it.
-
-`common_lines` is the alignment of two documents, by patience diff: common head and tail, then the longest increasing run
-of lines that occur once in both, then the gaps between them again. What it finds for any two documents is deleted.
+"""Line dedup: pairs of documents are aligned, and common blocks go from the later one.
+
+1. Every line with a word becomes a hash. A window is the shortest run of neighbouring lines with `min_words` words or more,
+   from each line on and up to each line. Each line has a word, so a window has `min_words` lines at most, and a line starts
+   or ends two windows at most. Every run of `min_words` words or more is covered by windows inside it.
+2. A window found in several documents pairs each later one with the first one that has it: a document is later if its id is
+   larger. A window shared by very many documents makes one pair for each of them, not one for every two, and no window is
+   too frequent to count; what two later documents share beyond that stands in windows of its own, with a first holder of
+   its own. So each document is paired with earlier ones that have, between them, all it shares with any earlier one.
+3. A pair is aligned by patience diff over the windows they share: common head and tail, then the longest increasing run of
+   windows that occur once in both, then the gaps between them again. Windows that were left over, because two passages
+   stand in another order, are aligned again among themselves, until none is left.
+4. Neighbouring windows that are aligned at the same distance are a block. The blocks of all its pairs are deleted from the
+   later document: a line goes exactly if it is in a run of `min_words` words or more that some earlier document has as
+   neighbouring lines too. A line always stays in the first document that holds it.
 
 Lines are compared without leading and trailing white space. Blank lines are never compared and never deleted; they don't
 part a block.
 
-Defined results: a null or empty text has no lines and stays as it is. Rows that share doc_id and text are one document and
-lose the same lines; rows that share only doc_id are different documents, in the order of a text hash. A null doc_id comes
-before all others. Columns other than the text stay as they are, whatever their names.
+Defined results: a null or empty text has no lines and stays as it is. Rows that share key and text are one document and
+lose the same lines; rows that share only the key are different documents, in the order of a text hash. A null key comes
+before all others; keys of any type that Spark can order will do. An empty table gives an empty result. Of equal runs in two
+orders the alignment that patience diff reaches last wins; what is deleted does not depend on it. Columns other than the
+text stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,21 +80,34 @@ def _matched(a: list[int], b: list[int], lo_a: int, hi_a: int, lo_b: int, hi_b:
     return sorted(found)
 
 
-def common_lines(pos_a: list[int], a: list[int], pos_b: list[int], b: list[int], n_words: list[int], min_words: int) -> list[int]:
-    """Positions of b's lines in common blocks of `min_words` or more. Only shared lines are given; `pos` are their
-    places among the lines with words, so a line that is not given parts a block."""
-    out, block, words, last = [], [], 0, None
-    for i, j in [*_matched(a, b, 0, len(a), 0, len(b)), (None, None)]:
-        here = None if i is None else (pos_a[i], pos_b[j])
-        if block and (here is None or here != (last[0] + 1, last[1] + 1)):
-            if words >= min_words:
-                out += block
-            block, words = [], 0
-        if here is not None:
-            block.append(pos_b[j])
-            words += n_words[j]
-            last = here
-    return out
+def aligned(shared: list[tuple[int, list[int], list[int]]]) -> list[tuple[int, int, int]]:
+    """Blocks (start, stop, start in the earlier document) of a later document, in its order.
+
+    shared: of every window that both have its number of lines, its places in the later and in the earlier document.
+    """
+    size = [n for n, _, _ in shared]
+    early = sorted((i, t) for t, (_, _, places) in enumerate(shared) for i in places)
+    late = sorted((i, t) for t, (_, places, _) in enumerate(shared) for i in places)
+    names = [t for _, t in early]
+    at: dict[int, int] = {}  # place in the later document -> place in the earlier one
+    while late:
+        found = _matched(names, [t for _, t in late], 0, len(names), 0, len(late))
+        for i, j in found:
+            at[late[j][0], late[j][1]] = early[i][0]
+        taken = {j for _, j in found}
+        rest = [x for j, x in enumerate(late) if j not in taken]
+        if len(taken) * 8 < len(late):
+            # hardly any order is left to find (reversed or repeated windows): each goes to its first place, as it would one by one
+            at.update({x: shared[x[1]][2][0] for x in rest})
+            rest = []
+        late = rest
+    blocks: list[list[int]] = []
+    for (j, t), i in sorted(at.items()):
+        if blocks and j <= blocks[-1][1] and i - j == blocks[-1][2] - blocks[-1][0]:
+            blocks[-1][1] = max(blocks[-1][1], j + size[t])
+        else:
+            blocks.append([j, j + size[t], i])
+    return [tuple(x) for x in blocks]
 
 
 def _mixed(acc: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -122,7 +138,7 @@ def windows_of(h: np.ndarray, w: np.ndarray, sizes: np.ndarray, min_words: int)
 
 
 def _windows(rows: DataFrame, min_words: int) -> DataFrame:
-    """rows: id, th, h, w. (id, th, start, stop, wh): places and hash of every window of a document."""
+    """rows: id, th, h, w. (id, th, wh, size, places): of every different window of a document its hash, lines and places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,12 +147,37 @@ def _windows(rows: DataFrame, min_words: int) -> DataFrame:
             h, w = (x.flatten().to_numpy(zero_copy_only=False) for x in (hs, ws))
             start, stop, wh = windows_of(h.astype(np.int64).view(np.uint64), w.astype(np.int64), sizes, min_words)
             of = np.repeat(np.arange(len(sizes)), sizes)[start]
-            first = (np.cumsum(sizes) - sizes)[of]
-            taken = pa.array(of)
-            cols = [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(start - first), pa.array(stop - first), pa.array(wh.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "start", "stop", "wh"])
+            order = np.lexsort((start, wh, of))
+            start, stop, wh, of = start[order], stop[order], wh[order], of[order]
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (wh[1:] != wh[:-1])
+            first = np.flatnonzero(new)
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)).astype(np.int32)), pa.array((start - (np.cumsum(sizes) - sizes)[of]).astype(np.int32)))
+            taken = pa.array(of[first])
+            cols = [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(wh[first].view(np.int64)), pa.array((stop - start)[first].astype(np.int32)), places]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "wh", "size", "places"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, wh long, size int, places array<int>")
+
+
+def _align(pairs: DataFrame) -> DataFrame:
+    """pairs: id, th, shared (array of earlier document, size, places, places there). Adds up the blocks of each document's pairs."""
+    kind = pairs.schema["shared"].dataType.elementType["a"].dataType["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, gone = [], []
+            for row in batch.column(2):
+                by_pair: dict[tuple, set] = {}
+                for x in row.as_py():
+                    by_pair.setdefault((x["a"]["id"], x["a"]["th"]), set()).add((x["size"], tuple(x["places"]), tuple(x["there"])))
+                found = [{"earlier": a, "start": i, "stop": j, "there": k} for (a, _), shared in by_pair.items() for i, j, k in aligned(sorted(shared))]
+                out.append(sorted(found, key=lambda b: (b["start"], b["stop"], str(b["earlier"]), b["there"])))
+                gone.append(sorted({n for b in found for n in range(b["start"], b["stop"])}))
+            blocks = pa.array(out, pa.list_(pa.struct([("earlier", batch.column(0).type), ("start", pa.int64()), ("stop", pa.int64()), ("there", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blocks, pa.array(gone, pa.list_(pa.int64()))], names=["id", "th", "blocks", "gone"])
 
-    return rows.mapInArrow(run, "id long, th long, start long, stop long, wh long")
+    return pairs.mapInArrow(run, f"id {kind}, th long, blocks array<struct<earlier:{kind},start:long,stop:long,there:long>>, gone array<long>")
 
 
 def _lines(text: Column) -> Column:
@@ -144,26 +185,27 @@ def _lines(text: Column) -> Column:
 
 
 def lost_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, gone): per document, given by id and text hash, the places among its lines with words that go."""
+    """(id, th, blocks, gone): per document, given by key and text hash, its blocks (with the earlier document and the place
+    they are aligned with) and the places among its lines with words that go."""
     t = F.coalesce(F.col(text), F.lit(""))
     worded = F.filter(F.transform(_lines(F.col(text)), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
     packed = F.transform(worded, lambda x: F.struct(F.xxhash64(x).alias("h"), word_count(x).alias("w")))
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("th"), packed.alias("ls"))
-    # repeated rows are one document; its windows are told apart by their places
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(t).alias("th"), packed.alias("ls"))
     found = _windows(rows.select("id", "th", F.col("ls.h").alias("h"), F.col("ls.w").alias("w")), min_words)
-    found = materialize(found.select("wh", F.struct("id", "th").alias("d"), "start", "stop"), "line-windows")
-    firsts = found.groupBy("wh").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first <> last")
-    later = found.join(firsts.select("wh", "first"), "wh").filter("d > first")
-    spans = later.groupBy("d").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    gone = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["stop"] - 1))))
-    return materialize(spans.select("d.id", "d.th", F.sort_array(gone).alias("gone")), "line-gone")
+    found = materialize(found.select("wh", F.struct("id", "th").alias("d"), "size", "places"), "line-windows")
+    # the first holder of a window, with its places there; equal rows are one document and agree in them
+    firsts = found.groupBy("wh").agg(F.min(F.struct("d", "places")).alias("f"), F.max("d").alias("last")).filter("f.d <> last")
+    later = found.join(firsts.select("wh", F.col("f.d").alias("a"), F.col("f.places").alias("there")), "wh").filter("d > a")
+    # all pairs of a document, which has no more windows than lines allow
+    pairs = later.groupBy("d").agg(F.collect_set(F.struct("a", "size", "places", "there")).alias("shared"))
+    return materialize(_align(pairs.select("d.id", "d.th", "shared")), "line-gone")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with its columns and the text without deleted lines; adds n_lines and n_removed as `__n_lines`, `__n_removed`."""
     gone = lost_lines(docs, text, key, min_words).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     # the row travels as one column, so that no name of its own can clash
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(key).cast("long").alias("__k"),
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(key).alias("__k"),
                        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"))
     joined = rows.join(gone, F.col("__k").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     old = F.col(f"__row.`{text}`")

@@ -30,16 +30,28 @@ def test_every_common_block_of_any_two_documents(spark):
     texts = ["\n".join(rng.choice([*pool, f"own {k}", ""]) for _ in range(rng.randrange(12))) for k in range(70)]
     lines = [[x for x in t.split("\n") if x] for t in texts]
     for least in (1, 5, 9):
-        want, aligned = [], []
+        want = []
         for k, b in enumerate(lines):
             runs = {tuple(a[i:j]) for a in lines[:k] for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
             gone = {n for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(b[i:j]) in runs and len(" ".join(b[i:j]).split()) >= least for n in range(i, j)}
             want.append(gone)
-            aligned.append({n for a in lines[:k] for n in line_dedup.common_lines(list(range(len(a))), a, list(range(len(b))), b, [len(x.split()) for x in b], least)})
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        found = {r["id"]: r["gone"] for r in line_dedup.lost_lines(df, min_words=least).collect()}
-        assert [found.get(k, []) for k in range(len(texts))] == [sorted(x) for x in want]
-        assert all(a <= g for a, g in zip(aligned, want, strict=True)) and any(a < g for a, g in zip(aligned, want, strict=True))
+        found = {r["id"]: r for r in line_dedup.lost_lines(df, min_words=least).collect()}
+        assert [found[k]["gone"] if k in found else [] for k in range(len(texts))] == [sorted(x) for x in want]
+        for k, row in found.items():
+            # every block is a run of lines of an earlier document, and the blocks are what goes
+            for x in row["blocks"]:
+                run = lines[k][x["start"]:x["stop"]]
+                assert x["earlier"] < k and run == lines[x["earlier"]][x["there"]:x["there"] + len(run)] and len(" ".join(run).split()) >= least
+            assert {n for x in row["blocks"] for n in range(x["start"], x["stop"])} == want[k]
+
+
+def test_copies_pair_with_the_first_one(spark):
+    texts = ["\n".join(f"passage {i} has quite some words" for i in range(6))] * 400 + ["own line of some more words\npassage 3 has quite some words"] * 2
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = line_dedup.lost_lines(df).collect()
+    assert sum(len(r["blocks"]) for r in rows) == 399 + 1 + 2  # a whole copy is one block of one pair
+    assert {x["earlier"] for r in rows for x in r["blocks"]} == {0, 400}
 
 
 def test_empty_table(spark):

@@ -15,64 +15,39 @@ WS = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def patience(a, b):
-    """Plain recursive patience diff."""
-    if not a or not b:
-        return []
-    if a[0][0] == b[0][0]:
-        return [(a[0][1], b[0][1])] + patience(a[1:], b[1:])
-    if a[-1][0] == b[-1][0]:
-        return patience(a[:-1], b[:-1]) + [(a[-1][1], b[-1][1])]
-    ca, cb = Counter(x for x, _ in a), Counter(x for x, _ in b)
-    once = [(i, j) for j, (x, _) in enumerate(b) for i, (y, _) in enumerate(a) if x == y and ca[x] == cb[x] == 1]
-    best = [[] for _ in once]
-    for n, (i, _) in enumerate(once):
-        best[n] = max((best[m] for m in reversed(range(n)) if once[m][0] < i), key=len, default=[]) + [once[n]]
-    run = max(reversed(best), key=len, default=[])  # of equally long runs the one that ends last
-    if not run:
-        return []
-    out, x, y = [], 0, 0
-    for i, j in [*run, (len(a), len(b))]:
-        out += patience(a[x:i], b[y:j])
-        if i < len(a) or j < len(b):
-            out.append((a[i][1], b[j][1]))
-        x, y = i + 1, j + 1
+def runs(ls, least=5):
+    """(first, after last) of the shortest runs of `least` words from each line on and up to each line."""
+    n = [len(WORD.findall(x)) for x in ls]
+    out = set()
+    for i in range(len(ls)):
+        on = next((j for j in range(i + 1, len(ls) + 1) if sum(n[i:j]) >= least), None)
+        back = next((j for j in range(i, -1, -1) if sum(n[j:i + 1]) >= least), None)
+        out |= {(i, on)} if on is not None else set()
+        out |= {(back, i + 1)} if back is not None else set()
     return out
 
 
 def expected(rows, spark):
-    """doc_id and text -> what is left of the text, by the module's definition."""
+    """doc_id and text -> what is left of the text: lines in a run of five words or more that any earlier document has go."""
     from pyspark.sql import functions as F
     df = spark.createDataFrame([(k, t) for k, t in rows], "k long, t string")
     th = {(r["k"], r["t"]): r["h"] for r in df.withColumn("h", F.xxhash64(F.coalesce("t", F.lit("")))).collect()}
     docs = {}
     for k, t in rows:
         docs[(k is not None, k or 0, th[(k, t)])] = (k, t)
-    lines = {d: [x.strip(WS) for x in (t or "").split("\n") if x.strip(WS)] for d, (k, t) in docs.items()}
-    holders = {}
-    for d, ls in lines.items():
-        for x in ls:
-            holders.setdefault(x, set()).add(d)
-    out = {}
-    for d, (k, t) in docs.items():
-        gone = set()
-        shared = lambda ls: [(x, i) for i, x in enumerate(ls) if len(holders[x]) > 1]
-        for f in {min(holders[x]) for x in lines[d]} - {d}:
-            pairs = sorted(patience(shared(lines[f]), shared(lines[d])))
-            block = []
-            for p in [*pairs, None]:
-                if block and (p is None or p != (block[-1][0] + 1, block[-1][1] + 1)):
-                    if sum(len(WORD.findall(lines[d][j])) for _, j in block) >= 5:
-                        gone |= {j for _, j in block}
-                    block = []
-                if p:
-                    block.append(p)
+    seen, out = set(), {}
+    for d in sorted(docs):
+        k, t = docs[d]
+        ls = [x.strip(WS) for x in (t or "").split("\n") if x.strip(WS)]
+        mine = runs(ls)
+        gone = {n for i, j in mine if tuple(ls[i:j]) in seen for n in range(i, j)}
+        seen |= {tuple(ls[i:j]) for i, j in mine}
         at, kept = -1, []
         for x in (t or "").split("\n"):
             at += bool(x.strip(WS))
             if not x.strip(WS) or at not in gone:
                 kept.append(x)
-        out[(k, t)] = (len(lines[d]), len(gone), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+        out[(k, t)] = (len(ls), len(gone), hashlib.sha256("\n".join(kept).encode()).hexdigest())
     return Counter((k, *out[(k, t)]) for k, t in rows)
 
 
@@ -102,6 +77,24 @@ def test_columns_stay(spark, made):
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect())
 
 
+def test_text_keys(spark):
+    df = spark.createDataFrame([("b", "one two three four five\nx"), ("a", "y\none two three four five"), (None, "z")], "doc_id string, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_blocks(df).collect()} == {"a": "y\none two three four five", "b": "x", None: "z"}
+
+
+def test_alignment_reaches_every_shared_window():
+    rng = random.Random(7)
+    for _ in range(500):
+        late, early = rng.sample(range(30), 20), rng.sample(range(30), 20)
+        shared = [(rng.randrange(1, 4), sorted(late.pop() for _ in range(rng.randrange(1, 4))), sorted(early.pop() for _ in range(rng.randrange(1, 4)))) for _ in range(rng.randrange(1, 7))]
+        blocks = line_dedup.aligned(shared)
+        assert {n for i, j, _ in blocks for n in range(i, j)} == {n for size, places, _ in shared for i in places for n in range(i, i + size)}
+    far = 30_000
+    assert line_dedup.aligned([(1, [i], [i]) for i in range(far)]) == [(0, far, 0)]
+    assert len(line_dedup.aligned([(1, [i], [far - i]) for i in range(far)])) == far
+    assert line_dedup.aligned([(1, [0, 1], [5]), (1, [2], [3]), (2, [3], [6])]) == [(0, 1, 5), (1, 2, 5), (2, 3, 3), (3, 5, 6)]
+
+
 def test_alignment_is_a_common_subsequence():
     rng = random.Random(1)
     for _ in range(300):
