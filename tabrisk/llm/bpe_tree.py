@@ -9,7 +9,7 @@ halves of the id list up the same kind of tree.
 
 The tree runs inside the task that holds the row; rows are spread by Spark and never gathered.
 
-Defined results: a null text is the empty text (no ids); repeated rows are encoded row by row.
+Defined results: a null text is the empty text (no ids); repeated rows are encoded row by row; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAF = 8192  # characters
+#: characters of a leaf when encoding, ids of a leaf when decoding
+LEAF = 256
 SYNC = re.compile(r"(?<=\S)[ \n]")
 
 

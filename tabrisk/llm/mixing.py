@@ -1,6 +1,6 @@
 """Mixing sources to target word shares with a multivariate-hypergeometric splitting tree.
 
-1. Sizes: every document falls into one of 2^16 cells of its source by a digest of its id; 2^8 cells are a block.
+1. Sizes: every document falls into one of 2^16 cells of its source by a digest of its id and text; 2^8 cells are a block.
    One aggregation gives the words of each cell. The control tables from here on have as many rows as
    sources times blocks or cells, whatever the corpus holds.
 2. Targets: sources share all words by weight; a target stops at `cap` times its source's words and the excess goes
@@ -17,7 +17,8 @@
 Only built-in column functions are used. Reruns agree: all draws are digests of `seed` and ids.
 
 Defined results: a null text has size 0 and may be drawn without adding words. A source without words has target 0. Null is
-a source of its own, last in the order. Rows that repeat a doc_id share their cell. An empty table gives no rows.
+a source of its own, last in the order. Rows that share a doc_id, or have none, fall into cells of their own by their texts;
+rows that are equal in id and text are in one cell and are drawn alike. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,9 +42,9 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def _cell(seed: int, key: str) -> Column:
-    """The document's cell, 0 to 65535, by a digest of its id; the cell's order is its number."""
-    return _hex(F.md5(F.concat_ws("|", F.lit(f"mix{seed}"), F.col("source_key"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 4)
+def _cell(seed: int, key: str, text: str) -> Column:
+    """The document's cell, 0 to 65535, by a digest of its id and text; the cell's order is its number."""
+    return _hex(F.md5(F.concat_ws("|", F.lit(f"mix{seed}"), F.col("source_key"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text))), 1, 4)
 
 
 def source_targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
@@ -145,10 +146,9 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
     # the position also goes by the text: rows of one id, or of none, don't stand in one place
     base = docs.select(row, F.col(key).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
-                       F.xxhash64(F.col(text)).alias("text_hash"))
-    base = base.withColumn("source_key", _source_key(F.col("source"))).withColumn("cell", _cell(seed, "id"))
-    light = docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    light = light.withColumn("source_key", _source_key(F.col("source"))).withColumn("cell", _cell(seed, "id"))
+                       F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+    base = base.withColumn("source_key", _source_key(F.col("source"))).withColumn("cell", _cell(seed, "id", "text_hash"))
+    light = base.select("source_key", "source", "cell", "size")
     cells = materialize(light.groupBy("source_key", "source", "cell").agg(F.sum("size").alias("words")), "mix-cells")
     targets = source_targets(cells.groupBy("source_key", "source").agg(F.sum("words").alias("source_size")))
     drawn = materialize(cell_draws(cells, targets), "mix-draws")
@@ -194,7 +194,7 @@ ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS source_key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         CAST('0x' || substr(md5('mix0|' || coalesce('s' || source, 'n') || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4) AS BIGINT) AS cell
+         CAST('0x' || substr(md5('mix0|' || coalesce('s' || source, 'n') || '|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 4) AS BIGINT) AS cell
   FROM documents),
 s AS (SELECT source_key, source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY ALL),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS most FROM s),

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabrisk.llm.common import SPACES, let, words
+from tabrisk.llm.common import SPACES, let, materialize, words
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -99,9 +99,11 @@ def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
         "n_upper": _removed(t, UPPER),
         "n_lines": let(worded, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))),
     }
-    out = docs.select(*[F.col(c) for c in keep], *[v.alias(f"__{k}") for k, v in found.items()])
+    # kept columns travel as one, so that no name of theirs can clash
+    row = F.struct(F.lit(0).alias("_0"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep, 1)])
+    out = docs.select(row.alias("__row"), *[v.alias(f"__{k}") for k, v in found.items()])
     out = out.select(
-        *[F.col(c) for c in keep], F.col("__n_words.n").alias("n_words"), F.col("__word_chars").alias("word_chars"),
+        *[F.col(f"__row._{i}").alias(c) for i, c in enumerate(keep, 1)], F.col("__n_words.n").alias("n_words"), F.col("__word_chars").alias("word_chars"),
         F.col("__n_symbols").alias("n_symbols"), F.col("__n_upper").alias("n_upper"), F.col("__n_lines.n").alias("n_lines"),
         F.col("__n_lines.d").alias("n_dup_lines"), F.col("__n_words.r").alias("n_repeat_words"))
     bits = [F.when(F.expr(cond), F.lit(rule_bit(name))).otherwise(F.lit(0)) for name, cond in RULES.items()]
@@ -135,14 +137,23 @@ def keep_good(docs: DataFrame, policy: str | list[str] = "v1", text: str = "text
     return led.filter(~rejects(F.col("failed"), policy)).select("__row.*")
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger of `docs`, written once; policies and ablations read bits and measurements, not texts."""
+    return materialize(ledger(docs, keep=["doc_id"]), "rule-ledger")
+
+
+def op5_ablations(docs: DataFrame) -> DataFrame:
+    return ablations(stored_ledger(docs), "v1")
+
+
 def op5(docs: DataFrame) -> DataFrame:
-    led = ledger(docs, keep=["doc_id"])
+    led = stored_ledger(docs)
     return led.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed",
         rejects(F.col("failed"), "base").alias("base_failed"), (~rejects(F.col("failed"), "v1")).alias("kept"))
 
 
-ORACLE = r"""
+_MEASURED = r"""
 WITH w AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
@@ -158,12 +169,25 @@ m AS (
          length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
          len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words
   FROM w LEFT JOIN cov USING (rid))
+"""
+# the same bits in SQL
+_FAILED = " + ".join(f"CASE WHEN {cond} THEN {rule_bit(name)} ELSE 0 END" for name, cond in RULES.items())
+
+ORACLE = f"""{_MEASURED.rstrip()},
+f AS (SELECT *, {_FAILED} AS failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       CAST(failed AS BIGINT) AS failed, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words
             OR (n_words >= 10 AND 2 * n_upper > word_chars) OR 2 * n_dup_lines > n_lines
             OR word_chars > 20 * n_words) AS kept
-FROM m
+FROM f
+"""
+
+ABLATIONS_ORACLE = f"""{_MEASURED.rstrip()},
+f AS (SELECT {_FAILED} AS failed FROM m),
+r(rule, bit) AS (VALUES {", ".join(f"('{n}', {rule_bit(n)})" for n in POLICIES["v1"])})
+SELECT rule, CAST(coalesce(sum(CASE WHEN failed & bit <> 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_failed,
+       CAST(coalesce(sum(CASE WHEN failed = bit THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_only_this FROM r, f GROUP BY rule
 """

@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": lambda spark, d: warc.op3(spark, read_table(spark, d, "pages")),
     "op4_token_counts": lambda spark, d: token_counts.op4(spark, read_table(spark, d, "documents")),
     "op5_quality_rules": lambda spark, d: quality_rules.op5(read_table(spark, d, "documents")),
+    "quality_ablations": lambda spark, d: quality_rules.op5_ablations(read_table(spark, d, "documents")),
     "op6_lattice": lambda spark, d: lattice.op6(read_table(spark, d, "embeddings")),
     "op7_simhash": lambda spark, d: simhash.op7(read_table(spark, d, "documents")),
     "op8_line_dedup": lambda spark, d: line_dedup.op8(read_table(spark, d, "documents")),
@@ -43,5 +44,6 @@ ORACLE: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op3_warc": warc.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
+    "quality_ablations": quality_rules.ABLATIONS_ORACLE,
     "op12_phrases": phrases.ORACLE,
 }

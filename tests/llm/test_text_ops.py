@@ -104,7 +104,7 @@ def rule_row(k, t):
 def test_quality_rules(odd, docs):
     for df in (odd, docs, odd.limit(0)):
         want = Counter(rule_row(k, t) for k, t in texts(df))
-        assert Counter(tuple(r) for r in quality_rules.op5(df).collect()) == want
+        assert Counter(tuple(r) for r in quality_rules.op5(df).drop("failed").collect()) == want
 
 
 def test_quality_rules_ablation_and_labels(spark, docs):
