@@ -191,6 +191,43 @@ def smallest_by_hash(df: DataFrame, hcol: str, id_col: str, n: int) -> DataFrame
     return df.filter(pre < F.lit(boundary)).unionByName(inside.filter(F.col("_r") <= n - acc).drop("_r"))
 
 
+# ranges of ids that are counted at a time: so many counts reach the driver in a pass, and a pass narrows the ids by that factor
+ID_RANGES = 1024
+
+
+def oldest_n(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """The n rows with the smallest ids (all if there are fewer), by distributed selection on the id column alone.
+
+    The ids' span is cut into equal ranges whose rows are counted; the range that holds the n-th smallest id is cut again,
+    until a range ends at it or is one id. Seven passes are enough for 64 bits, each an aggregation of one column that skips
+    what lies outside its range. The rows themselves are read once, by ``id <= bound``, which goes to the scan; nothing is
+    sorted, ranked or stored. Of rows that repeat the last id as many stay as fit. Rows without an id are not taken.
+    """
+    if n <= 0:
+        raise ValueError("n must be a positive integer")
+    idc = F.col(f"`{id_col}`")
+    if not isinstance(df.schema[id_col].dataType, _INTEGRAL):
+        r = ranked(df.filter(idc.isNotNull()), [idc.asc()], "_rank")
+        return r.filter(F.col("_rank") <= n).drop("_rank")
+    span = df.agg(F.min(idc).alias("lo"), F.max(idc).alias("hi"), F.count(idc).alias("n")).first()
+    if span["n"] <= n:
+        return df.filter(idc.isNotNull())
+    lo, hi, need = int(span["lo"]), int(span["hi"]), n
+    while lo < hi:
+        width = -(-(hi - lo + 1) // ID_RANGES)
+        number = F.expr(f"(CAST(`{id_col}` AS DECIMAL(20, 0)) - CAST('{lo}' AS DECIMAL(20, 0))) DIV {width}").alias("b")
+        counts = df.filter((idc >= F.lit(lo)) & (idc <= F.lit(hi))).groupBy(number).agg(F.count(F.lit(1)).alias("c")).orderBy("b").collect()
+        for r in counts:
+            if r["c"] >= need:
+                break
+            need -= r["c"]
+        lo, hi = lo + r["b"] * width, min(hi, lo + (r["b"] + 1) * width - 1)
+        if r["c"] == need:
+            return df.filter(idc <= F.lit(hi))
+    below = df.filter(idc < F.lit(lo))
+    return below.unionByName(df.filter(idc == F.lit(lo)).limit(need))
+
+
 def sample_per_class(df: DataFrame, id_col: str, label: str, n: int, seed: int = 42) -> DataFrame:
     """N rows per label class by hash order (window top-k per class -> WindowGroupLimit)."""
     w = Window.partitionBy(label).orderBy(stable_hash(id_col, seed), F.col(id_col))

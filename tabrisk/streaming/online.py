@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabrisk.functions import sigmoid
-from tabrisk.operators.query import sample_n, watermark_filter
-from tabrisk.plans.ordering import ranked
+from tabrisk.operators.query import oldest_n, sample_n, watermark_filter
 
 LOG_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()), T.StructField("stream_batch", T.LongType()),
@@ -247,7 +246,7 @@ def incremental_batch(spark: SparkSession, table: DataFrame, cfg: OnlineConfig,
                       n: int | None = None, take: str = "oldest", seed: int = 42) -> DataFrame:
     """M9 batch mode: rows above the stored mark (P5), optionally n of them, trained as one batch.
 
-    ``take='oldest'`` trains the n smallest new ids, so no id is skipped; ``take='random'`` draws n rows
+    ``take='oldest'`` trains the n smallest new ids, found by selection on the id column, so no id is skipped; ``take='random'`` draws n rows
     by seeded hash as the original does (then unsampled smaller ids fall below the new mark).
     """
     if n is not None and (not isinstance(n, int) or n <= 0):
@@ -259,7 +258,7 @@ def incremental_batch(spark: SparkSession, table: DataFrame, cfg: OnlineConfig,
         if take == "random":
             new = sample_n(new, cfg.id_col, n, seed)
         else:
-            new = ranked(new, [F.col(cfg.id_col).asc()], "_rank").filter(F.col("_rank") <= n).drop("_rank")
+            new = oldest_n(new, cfg.id_col, n)
     return train_batch(spark, new, cfg, store, prev)
 
 
