@@ -5,8 +5,8 @@
    documents, and with it the probability that a document is good given all its votes. Documents count by their pattern of
    votes: the table of patterns has at most 3^8 rows, whatever the corpus holds, and is all the driver sees.
 3. The posterior labels train a linear scorer over hashed features: words, and shapes of words. It is fitted on a sample of
-   at most `TRAIN_ROWS` documents (a documented bound; those with the smallest digests of id and text, equal rows once),
-   each in both classes with its posterior as weight. It scores every document whole.
+   at most `TRAIN_ROWS` documents (a documented bound; those with the smallest digests of id and text; equal
+   rows count once where they would exceed it), each in both classes with its posterior as weight. It scores every document whole.
 
 Defined results: a null or blank text casts the vote of a short text and is scored by the intercept and so by its lack of
 features. Repeated rows get equal scores. If all posteriors are on one side the scorer is still fitted, as both classes
@@ -118,7 +118,7 @@ def features(docs: DataFrame, lower_words: Column, text: Column) -> DataFrame:
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", train_rows: int = TRAIN_ROWS) -> tuple[LogisticRegressionModel | None, dict[int, float]]:
     """The scorer and the posterior of each pattern of votes; no scorer for an empty table."""
     ids = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
-    coded = materialize(measured(docs, text, []).select(votes().alias("code")), "quality-votes")
+    coded = materialize(measured(docs, text, [ids.alias("__id")]).select("__id", votes().alias("code")), "quality-votes")
     table = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy("code").collect()  # at most 3^8 rows
     if not table:
         return None, {}
@@ -128,7 +128,9 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", train_rows: in
     # the bound on the sample: the share of all digests that holds about nine tenths of train_rows
     share = 0.9 * train_rows / counts.sum()
     limit = (1 << 63) - 1 if share >= 0.9 else -(1 << 63) + int(share * (1 << 64))
-    sample = docs.select(F.col(text), ids.alias("__id")).filter(F.col("__id") <= F.lit(limit)).dropDuplicates(["__id"])
+    sample = docs.select(F.col(text), ids.alias("__id")).filter(F.col("__id") <= F.lit(limit))
+    if coded.filter(F.col("__id") <= F.lit(limit)).count() > train_rows:
+        sample = sample.dropDuplicates(["__id"])  # a row that repeats very often would break the bound
     rows = features(measured(sample, text, []), F.col("__words.w"), F.col("__t"))
     rows = rows.withColumn("p", _posterior(votes(), posterior)).select("features", "p")
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight"))))
