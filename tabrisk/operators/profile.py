@@ -1,169 +1,220 @@
 """Column profiling and type suggestion.
 
-The table is turned into a long form ``(column_name, pos, _id, txt, num)`` with one generated row per
-(record, column) -- an ``explode`` inside the scan stage, no materialisation. From it:
-
-* T1/T2: ``groupBy(column_name)`` with partial (map-side) aggregation -> one row per column shuffled;
-* T3: first 10 distinct values in ascending order: ``(column_name, txt)`` de-duplicated with map-side
-  partial aggregation, then ``row_number <= 11`` per column (WindowGroupLimit cuts each map partition
-  to 11 rows per column before the shuffle); the 11th value only sets the ``more`` flag. For
-  high-cardinality columns (numeric and text) only values below a low approximate quantile of an
-  order-preserving key enter that shuffle (exact; see ``profile_distinct``);
-* T4: first 5 values in record (id) order: ``row_number <= 5`` per column, same WindowGroupLimit.
-
-No whole column is ever collected into one array.
+One scan, one path for every column. Each task reads its rows once and keeps a state of bounded size for each column:
+
+* T1/T2: counts of values and numbers, smallest and largest number, whether all are 0 or 1, whether any has decimals;
+* T3: the k + 1 smallest distinct values, numbers in numeric order before text in the order of its UTF-8 bytes (the
+  last only sets the ``more`` flag);
+* T4: the k values with the smallest ids. Rows without an id come first; rows that share an id go by their text.
+
+States merge into states of the same size, so they go up a tree: up to ``FAN`` tasks into one, then all of these. What is
+shuffled is a row for each task and column, whatever the number of rows or of distinct values. An empty table and
+a column without values give type ``unknown`` and no values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
+#: tasks whose states are merged in one group of the first level
+FAN = 2048
 
-def long_form(df: DataFrame, id_col: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, pos, _id, txt, num) for every non-null value."""
-    cols = list(columns or df.columns)
-    entries = []
+
+class _ColumnState:
+    """What a task remembers of a column: its numbers' summary, ``k_values`` smallest values, ``k_rows`` first rows."""
+
+    def __init__(self, k_values: int, k_rows: int):
+        self.k_values, self.k_rows = k_values, k_rows
+        self.count = self.numbers = 0
+        self.low = self.high = None
+        self.binary, self.decimals = True, False
+        self.values: list[tuple] = []  # (is a word, number, text), sorted
+        self.rows: list[tuple] = []  # (id, text), sorted
+
+    def add(self, ids, rank, txt, num) -> None:
+        """One batch; ``rank()`` gives the dense ranks of its ids (computed once for all columns, when first needed)."""
+        import numpy as np
+
+        valid = txt.is_valid()
+        n = valid.sum().as_py() or 0
+        if n == 0:
+            return
+        self.count += n
+        numbers = num.drop_null().to_numpy(zero_copy_only=False)
+        if len(numbers):
+            self.numbers += len(numbers)
+            low, high = np.fmin.reduce(numbers), np.max(numbers)  # NaN counts as the largest number, as in Spark
+            self.low = float(low if self.low is None else np.fmin(low, self.low))
+            self.high = float(high if self.high is None else np.maximum(high, self.high))
+            self.binary = self.binary and bool(np.isin(numbers, (0.0, 1.0)).all())
+            self.decimals = self.decimals or bool((numbers != np.floor(numbers)).any())
+        self._add_values(valid, txt, num)
+        self._add_rows(valid, ids, rank, txt)
+
+    def _add_values(self, valid, txt, num) -> None:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        keep = valid
+        if len(self.values) == self.k_values:  # only what sorts before the last one kept can matter
+            word, last, text = self.values[-1]
+            if word:
+                keep = pc.and_(keep, pc.or_(num.is_valid(), pc.fill_null(pc.less_equal(txt, pa.scalar(text, txt.type)), False)))
+            elif last == last:
+                keep = pc.and_(keep, pc.fill_null(pc.less_equal(num, last), False))
+            else:
+                keep = num.is_valid()
+        txt, num = txt.filter(keep), num.filter(keep)
+        if len(txt) == 0:
+            return
+        codes = txt.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        first = np.unique(codes, return_index=True)[1]
+        found = pa.table({"num": num.take(pa.array(first)), "txt": txt.take(pa.array(first))})
+        # nulls last, NaN before them
+        best = found.take(pc.sort_indices(found, sort_keys=[("num", "ascending"), ("txt", "ascending")])[:self.k_values])
+        merged = {t: x for _, x, t in self.values} | dict(zip(best["txt"].to_pylist(), best["num"].to_pylist()))
+        self.values = sorted(((x is None, x, t) for t, x in merged.items()), key=_value_order)[:self.k_values]
+
+    def _add_rows(self, valid, ids, rank, txt) -> None:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        keep = valid
+        if len(self.rows) == self.k_rows:
+            last = self.rows[-1][0]
+            early = ids.is_null() if last is None else pc.fill_null(pc.less_equal(ids, pa.scalar(last, ids.type)), True)
+            keep = pc.and_(keep, early)
+        at = np.flatnonzero(keep.to_numpy(zero_copy_only=False))
+        if len(at) == 0:
+            return
+        ranks = rank()[at]
+        if len(at) > self.k_rows:
+            at = at[ranks <= np.partition(ranks, self.k_rows - 1)[self.k_rows - 1]]
+        rows = list(zip(ids.take(pa.array(at)).to_pylist(), txt.take(pa.array(at)).to_pylist()))
+        self.rows = sorted(self.rows + rows, key=lambda r: (r[0] is not None, r[0], r[1].encode()) if r[0] is not None
+                           else (False, 0, r[1].encode()))[:self.k_rows]
+
+
+def _value_order(v: tuple) -> tuple:
+    word, x, t = v
+    nan = x is not None and x != x
+    return word, nan, 0.0 if word or nan else x, t.encode()
+
+
+def _task_states(df: DataFrame, id_col: str, cols: Sequence[str], k_distinct: int, k_sample: int) -> DataFrame:
+    """One row per (task, column): the state of that column over the task's rows."""
+    inputs = [F.col(f"`{id_col}`").alias("id")]
     for i, c in enumerate(cols):
-        dt = df.schema[c].dataType
-        num = F.col(c).cast("double") if isinstance(dt, _NUMERIC) else F.col(c).cast("string").try_cast("double")
-        entries.append(F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("pos"),
-                                F.col(c).cast("string").alias("txt"), num.alias("num")))
-    return (df.select(F.col(id_col).alias("_id"), F.explode(F.array(*entries)).alias("e"))
-            .select("e.column_name", "e.pos", "_id", "e.txt", "e.num")
-            .filter(F.col("txt").isNotNull()))
+        col = F.col(f"`{c}`")
+        num = col.cast("double") if isinstance(df.schema[c].dataType, _NUMERIC) else col.cast("string").try_cast("double")
+        inputs += [col.cast("string").alias(f"t{i}"), num.alias(f"n{i}")]
+    rows = df.select(*inputs)
+    schema = T.StructType().add("task", "integer").add("pos", "integer").add("n_non_null", "long").add("n_num", "long") \
+        .add("low", "double").add("high", "double").add("binary", "boolean").add("decimals", "boolean") \
+        .add("values", T.ArrayType(T.StructType().add("word", "boolean").add("num", "double").add("txt", "string"))) \
+        .add("rows", T.ArrayType(T.StructType().add("id", rows.schema["id"].dataType).add("txt", "string")))
+    n_cols = len(cols)
+
+    def summarise(batches: Iterator) -> Iterator:
+        import functools
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        states, id_type = [_ColumnState(k_distinct + 1, k_sample) for _ in range(n_cols)], None
+        for batch in batches:
+            ids = batch.column(0)
+            id_type = ids.type
+            rank = functools.cache(lambda ids=ids: pc.rank(ids, "ascending", null_placement="at_start", tiebreaker="dense")
+                                   .to_numpy(zero_copy_only=False))
+            for i, state in enumerate(states):
+                state.add(ids, rank, batch.column(1 + 2 * i), batch.column(2 + 2 * i))
+        if id_type is None:
+            return
+        value = pa.struct([("word", pa.bool_()), ("num", pa.float64()), ("txt", pa.string())])
+        row = pa.struct([("id", id_type), ("txt", pa.string())])
+        arrays = [
+            pa.array([TaskContext.get().partitionId()] * n_cols, pa.int32()), pa.array(range(n_cols), pa.int32()),
+            pa.array([s.count for s in states], pa.int64()), pa.array([s.numbers for s in states], pa.int64()),
+            pa.array([s.low for s in states], pa.float64()), pa.array([s.high for s in states], pa.float64()),
+            pa.array([s.binary for s in states]), pa.array([s.decimals for s in states]),
+            pa.array([[dict(zip(("word", "num", "txt"), v)) for v in s.values] for s in states], pa.list_(value)),
+            pa.array([[dict(zip(("id", "txt"), r)) for r in s.rows] for s in states], pa.list_(row)),
+        ]
+        yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
+    return rows.mapInArrow(summarise, schema)
 
-def profile_type(long: DataFrame, columns: Sequence[str]) -> DataFrame:
+
+def _merged(states: DataFrame, keys: Sequence, k_distinct: int, k_sample: int) -> DataFrame:
+    """States of a group as one state; the struct order of its lists is the order of values and of rows."""
+    return states.groupBy(*keys).agg(
+        F.sum("n_non_null").alias("n_non_null"), F.sum("n_num").alias("n_num"), F.min("low").alias("low"),
+        F.max("high").alias("high"), F.bool_and("binary").alias("binary"), F.bool_or("decimals").alias("decimals"),
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("values")))), 1, k_distinct + 1).alias("values"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("rows"))), 1, k_sample).alias("rows"))
+
+
+def profile_state(df: DataFrame, id_col: str, columns: Sequence[str] | None = None, k_distinct: int = 10,
+                  k_sample: int = 5) -> DataFrame:
+    """One row per column: column_name, pos, the merged state, and ``k`` (values listed at most)."""
+    cols = list(columns or df.columns)
+    states = _task_states(df, id_col, cols, k_distinct, k_sample)
+    groups = _merged(states, ["pos", F.floor(F.col("task") / FAN).alias("task")], k_distinct, k_sample)
+    whole = _merged(groups, ["pos"], k_distinct, k_sample)
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "pos int, column_name string")  # the schema's columns
+    return F.broadcast(names).join(whole, "pos", "left").withColumn("k", F.lit(k_distinct))
+
+
+def _type_columns() -> list:
+    numeric = F.col("n_num") == F.col("n_non_null")
+    some = F.coalesce(F.col("n_non_null"), F.lit(0)) > 0
+    typ = (F.when(~some, "unknown").when(numeric & F.col("binary"), "int (binary)")
+           .when(numeric & F.col("decimals"), "float").when(numeric, "int").otherwise("str"))
+    return [typ.alias("suggested_type"), F.coalesce("n_non_null", F.lit(0)).cast("long").alias("n_non_null"),
+            F.when(numeric, F.col("low")).alias("min_value"), F.when(numeric, F.col("high")).alias("max_value"),
+            F.when(numeric & some, F.col("decimals").cast("int")).otherwise(0).alias("has_decimals")]
+
+
+def _distinct_columns() -> list:
+    texts = F.transform(F.slice("values", 1, F.col("k")), lambda v: v["txt"])
+    return [F.when(F.size("values") > 0, F.array_join(texts, ", ")).alias("distinct_values"),
+            F.coalesce((F.size("values") > F.col("k")).cast("int"), F.lit(0)).alias("more")]
+
+
+def _sample_column():
+    return F.when(F.size("rows") > 0, F.array_join(F.transform("rows", lambda r: r["txt"]), ", ")).alias("sample_values")
+
+
+def profile_type(state: DataFrame) -> DataFrame:
     """T1 + T2: suggested type, non-null count, min, max, has_decimals per column."""
-    agg = long.groupBy("column_name").agg(
-        F.count("*").alias("n_non_null"),
-        F.count("num").alias("_n_num"),
-        F.min("num").alias("_min"),
-        F.max("num").alias("_max"),
-        F.max(F.when(F.col("num").isin(0.0, 1.0), 0).otherwise(1)).alias("_not_binary"),
-        F.max(F.when(F.col("num") != F.floor(F.col("num")), 1).otherwise(0)).alias("_dec"),
-    )
-    names = long.sparkSession.createDataFrame([(c, i) for i, c in enumerate(columns)], "column_name string, pos int")
-    numeric = F.col("_n_num") == F.col("n_non_null")
-    typ = (F.when(F.col("n_non_null").isNull(), F.lit("unknown"))
-           .when(numeric & (F.col("_not_binary") == 0), F.lit("int (binary)"))
-           .when(numeric & (F.col("_dec") == 1), F.lit("float"))
-           .when(numeric, F.lit("int"))
-           .otherwise(F.lit("str")))
-    return F.broadcast(names).join(agg, "column_name", "left").select(
-        "column_name", "pos", typ.alias("suggested_type"),
-        F.coalesce(F.col("n_non_null"), F.lit(0)).cast("long").alias("n_non_null"),
-        F.when(numeric, F.col("_min")).alias("min_value"),
-        F.when(numeric, F.col("_max")).alias("max_value"),
-        F.when(numeric, F.col("_dec")).otherwise(F.lit(0)).cast("int").alias("has_decimals"),
-    )
-
-
-def _top_distinct(long: DataFrame, k: int) -> DataFrame:
-    """(column_name, distinct_values, more, n_top) from the first k + 1 distinct values per column."""
-    d = long.groupBy("column_name", "txt").agg(F.min("num").alias("num"))
-    w = Window.partitionBy("column_name").orderBy(F.col("num").asc_nulls_last(), F.col("txt").asc())
-    top = d.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k + 1)
-    return top.groupBy("column_name").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= k, F.struct("rn", "txt")))),
-                                 lambda s: s["txt"]), ", ").alias("distinct_values"),
-        (F.max("rn") > k).cast("int").alias("more"),
-        F.max("rn").alias("n_top"))
-
-
-def text_order_key(txt) -> "F.Column":
-    """A long that never decreases along Spark's (binary UTF-8) string order: the first 7 bytes, zero-padded."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(txt, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
-
-
-def profile_distinct(long: DataFrame, k: int = 10, numeric: Sequence[str] = (), text: Sequence[str] = (),
-                     quantiles: Sequence[float] = (1e-3, 1e-2, 1e-1), low_cardinality: int = 10_000) -> DataFrame:
-    """First k distinct values (numbers in numeric order, then text), plus a ``more`` flag.
-
-    For high-cardinality columns only values at or below a low approximate quantile of an order-preserving
-    key enter the de-duplicating shuffle (one sketch aggregation with map-side partial sketches finds the
-    quantiles). Per column one of two filters is used, each a prefix of the value order:
-
-    * ``num <= t`` when the column has many distinct numbers (``numeric`` columns; ``text`` columns whose
-      values mostly parse as numbers): numbers sort before all text;
-    * ``num IS NOT NULL OR key <= t`` for the other ``text`` columns, with ``key = text_order_key(txt)`` and
-      ``t`` a quantile of the key over the rows that do not parse as numbers.
-
-    Either is exact whenever at least k + 1 distinct values pass: every value left out sorts after them.
-    Columns that fall short are retried with the next quantile, and finally without threshold.
-    """
-    spark = long.sparkSession
-    pending = list(numeric) + [c for c in text if c not in set(numeric)]
-    is_text = set(text) - set(numeric)
-    parts: list[DataFrame] = []
-    key = text_order_key(F.col("txt"))
-    for q in quantiles:
-        if not pending:
-            break
-        cur = long.filter(F.col("column_name").isin(pending))
-        aggs = [F.percentile_approx("num", q, 10000).alias("t"), F.approx_count_distinct("num").alias("nd")]
-        if is_text & set(pending):
-            word = F.when(F.col("num").isNull(), F.col("txt"))
-            aggs += [F.percentile_approx(F.when(F.col("num").isNull(), key), q, 10000).alias("tk"),
-                     F.approx_count_distinct(word).alias("ndk")]
-        stats = cur.groupBy("column_name").agg(*aggs).collect()  # 1 row/column
-        th_rows, low = [], set()
-        for r in stats:
-            c = r["column_name"]
-            if (r["nd"] or 0) > low_cardinality and r["t"] is not None:
-                th_rows.append((c, "n", float(r["t"]), None))
-            elif c in is_text and (r["ndk"] or 0) > low_cardinality and r["tk"] is not None:
-                th_rows.append((c, "t", None, int(r["tk"])))
-            else:  # few distinct values: map-side de-duplication already makes the plain path cheap
-                low.add(c)
-        pending = [c for c in pending if c not in low]
-        if not th_rows:
-            break
-        th = spark.createDataFrame(th_rows, "column_name string, _m string, _t double, _tk long")
-        keep = (((F.col("_m") == "n") & (F.col("num") <= F.col("_t")))
-                | ((F.col("_m") == "t") & (F.col("num").isNotNull() | (key <= F.col("_tk")))))
-        res = _top_distinct(cur.join(F.broadcast(th), "column_name").filter(keep).drop("_m", "_t", "_tk"), k) \
-            .checkpoint(eager=True)
-        ok = res.filter(F.col("n_top") > k)
-        parts.append(ok)
-        done = {r["column_name"] for r in ok.select("column_name").collect()}
-        pending = [c for c in pending if c not in done]
-    done_all = {c for part in parts for c in [r["column_name"] for r in part.select("column_name").collect()]}
-    rest = long.filter(~F.col("column_name").isin(sorted(done_all)))
-    parts.append(_top_distinct(rest, k))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out.drop("n_top")
-
-
-def profile_sample(long: DataFrame, k: int = 5) -> DataFrame:
-    """T4: first k non-null values in record order (by id)."""
-    w = Window.partitionBy("column_name").orderBy(F.col("_id").asc())
-    top = long.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
-    return top.groupBy("column_name").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "txt"))), lambda s: s["txt"]),
-                     ", ").alias("sample_values"))
+    return state.select("column_name", "pos", *_type_columns())
+
+
+def profile_distinct(state: DataFrame) -> DataFrame:
+    """First k distinct values (numbers in numeric order, then text) of each column with values, ``more`` flag."""
+    return state.select("column_name", *_distinct_columns()).filter(F.col("distinct_values").isNotNull())
+
+
+def profile_sample(state: DataFrame) -> DataFrame:
+    """T4: first k non-null values in record order (by id) of each column with values."""
+    return state.select("column_name", _sample_column()).filter(F.col("sample_values").isNotNull())
 
 
 def profile_report(df: DataFrame, id_col: str, columns: Sequence[str] | None = None, k_distinct: int = 10,
                    k_sample: int = 5) -> DataFrame:
-    """T5: one row per column with T1-T4 (small results joined by column name)."""
-    cols = list(columns or df.columns)
-    long = long_form(df, id_col, cols)
-    t = profile_type(long, cols)
-    numeric = [c for c in cols if isinstance(df.schema[c].dataType, _NUMERIC)]
-    text = [c for c in cols if c not in numeric]
-    return (t.join(profile_distinct(long, k_distinct, numeric, text), "column_name", "left")
-            .join(profile_sample(long, k_sample), "column_name", "left")
-            .select("column_name", "pos", "suggested_type", "n_non_null", "min_value", "max_value", "has_decimals",
-                    "distinct_values", F.coalesce(F.col("more"), F.lit(0)).alias("more"), "sample_values"))
+    """T5: one row per column with T1-T4."""
+    return profile_state(df, id_col, columns, k_distinct, k_sample).select(
+        "column_name", "pos", *_type_columns(), *_distinct_columns(), _sample_column())
 
 
 def profile_oracle_sql(table_sql: str, id_col: str, columns: Sequence[tuple[str, bool]], k_distinct: int = 10,

@@ -253,26 +253,25 @@ def q_profile_report(spark, d):
     return profile_report(part_for_profile(spark, d), "p_partkey", [c for c, _ in PART_PROFILE_COLS])
 
 
+def _part_state(spark, d) -> DataFrame:
+    return P.profile_state(part_for_profile(spark, d), "p_partkey", [c for c, _ in PART_PROFILE_COLS])
+
+
 @register("profile_type", _profile_sql(
     "column_name, pos, suggested_type, n_non_null, min_value, max_value, has_decimals"))
 def q_profile_type(spark, d):
-    cols = [c for c, _ in PART_PROFILE_COLS]
-    return P.profile_type(P.long_form(part_for_profile(spark, d), "p_partkey", cols), cols)
+    return P.profile_type(_part_state(spark, d))
 
 
 @register("profile_distinct10", _profile_sql("column_name, distinct_values, more")
           + " WHERE distinct_values IS NOT NULL")
 def q_profile_distinct10(spark, d):
-    cols = [c for c, _ in PART_PROFILE_COLS]
-    numeric = [c for c, is_num in PART_PROFILE_COLS if is_num]
-    text = [c for c, is_num in PART_PROFILE_COLS if not is_num]
-    return P.profile_distinct(P.long_form(part_for_profile(spark, d), "p_partkey", cols), 10, numeric, text)
+    return P.profile_distinct(_part_state(spark, d))
 
 
 @register("profile_sample5", _profile_sql("column_name, sample_values") + " WHERE sample_values IS NOT NULL")
 def q_profile_sample5(spark, d):
-    cols = [c for c, _ in PART_PROFILE_COLS]
-    return P.profile_sample(P.long_form(part_for_profile(spark, d), "p_partkey", cols))
+    return P.profile_sample(_part_state(spark, d))
 
 
 LABELS_PROFILE_COLS = [("doc_id", True), ("quality", True), ("toxic", True)]

@@ -52,12 +52,15 @@ def test_id_search_is_pushed_and_lookup_does_not_shuffle_the_table(spark):
     assert "LeftSemi, BuildRight" in p
 
 
-def test_per_class_sample_and_profile_use_window_group_limit(spark):
+def test_per_class_sample_uses_window_group_limit(spark):
     o = read_table(spark, SF001, "orders")
     assert "WindowGroupLimit" in plan(Q.sample_per_class(o, "o_orderkey", "o_orderstatus", 3))
-    long = P.long_form(o, "o_orderkey", ["o_custkey", "o_orderstatus"])
-    assert "WindowGroupLimit" in plan(P.profile_distinct(long))
-    assert "WindowGroupLimit" in plan(P.profile_sample(long))
+
+
+def test_profile_is_one_scan_of_bounded_states(spark):
+    p = plan(P.profile_report(read_table(spark, SF001, "orders"), "o_orderkey", ["o_custkey", "o_orderstatus"]))
+    assert p.count("FileScan") == 1 and p.count("MapInArrow") == 1
+    assert "Generate" not in p and "Window" not in p and "o_comment" not in p
 
 
 def test_small_change_batch_is_broadcast(spark):

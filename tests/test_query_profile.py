@@ -1,5 +1,8 @@
 """Edge rows of FIXTURES.md section 4: search, sort, samples, profile."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from tabrisk.operators import profile as P
@@ -126,35 +129,49 @@ def test_display_format(spark):
     assert r.temp_apache in ("36.56", "36.55")
 
 
-def test_profile_distinct_threshold_path_is_exact(spark):
-    # high-cardinality numeric column with a hot minimum value (a third of the rows) and a text column
-    rows = [(i, 5.0 if i % 3 == 0 else float(i), f"t{i % 50}") for i in range(30000)]
-    df = spark.createDataFrame(rows, "id long, x double, s string")
-    long = P.long_form(df, "id", ["x", "s"])
-    fast = {r.column_name: (r.distinct_values, r.more)
-            for r in P.profile_distinct(long, 10, ["x"], low_cardinality=10).collect()}
-    plain = {r.column_name: (r.distinct_values, r.more) for r in P.profile_distinct(long, 10).collect()}
-    assert fast == plain
-    assert fast["x"][0].startswith("1.0, 2.0, 4.0, 5.0, 7.0")
-
-
-def test_profile_distinct_text_threshold_path_is_exact(spark):
-    # text columns: mostly distinct words (multi-byte, shared 7-byte prefixes, a hot value), mostly numbers
-    # in text form, and a mix of a few numbers with many words
-    rows = [(i, "zz" if i % 3 == 0 else f"wort-\u00e4{i:06d}", str(i * 7 % 5003), str(i % 4) if i % 2 else f"w{i}")
-            for i in range(30000)]
-    df = spark.createDataFrame(rows, "id long, w string, n string, m string")
-    long = P.long_form(df, "id", ["w", "n", "m"])
-    fast = {r.column_name: (r.distinct_values, r.more)
-            for r in P.profile_distinct(long, 10, [], ["w", "n", "m"], low_cardinality=10).collect()}
-    plain = {r.column_name: (r.distinct_values, r.more) for r in P.profile_distinct(long, 10).collect()}
-    assert fast == plain
-    assert fast["m"][0].startswith("1, 3, w0, w10, w100")
-    assert fast["n"][0].startswith("0, 1, 2, 3")
-
-
-def test_text_order_key_is_monotone(spark):
-    words = ["", "a", "a\u0000", "ab", "abcdefg", "abcdefgh", "abcdefgz", "b", "\u00e4", "\u00e4b", "\u4e2d", "\U0001f600"]
-    df = spark.createDataFrame([(w,) for w in words], "w string")
-    got = [r.k for r in df.orderBy("w").select(P.text_order_key(F.col("w")).alias("k")).collect()]
-    assert got == sorted(got)
+def brute_profile(rows, k_distinct=10, k_sample=5):
+    """(distinct_values, more, sample_values) of one column from its (id, text, number) rows."""
+    def order(v):
+        word, nan = v[1] is None, v[1] is not None and math.isnan(v[1])
+        return word, nan, 0.0 if word or nan else v[1], v[0].encode()
+    values = [t for t, _ in sorted({t: x for _, t, x in rows if t is not None}.items(), key=order)]
+    firsts = [t for i, t in sorted(((i, t) for i, t, _ in rows if t is not None), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))]
+    return (", ".join(values[:k_distinct]) or None, int(len(values) > k_distinct), ", ".join(firsts[:k_sample]) or None)
+
+
+def number(text):
+    try:
+        return float(text)
+    except (TypeError, ValueError):
+        return None
+
+
+@pytest.mark.parametrize("order", ["up", "down", "mixed"])
+def test_profile_matches_brute_force(spark, order):
+    # many distinct numbers with a hot smallest one, words with shared prefixes and multi-byte letters, numbers as
+    # text, numbers mixed with words, repeated and missing ids, several batches and tasks
+    rows = []
+    for j in range(30000):
+        i = {"up": j, "down": 29999 - j, "mixed": j * 7919 % 30000}[order]
+        rows.append((None if i % 9973 == 5 else i // 3, 5.0 if i % 3 == 0 else float(i), "zz" if i % 3 == 0 else f"wort-\u00e4{i:06d}",
+                     str(i * 7 % 5003), str(i % 4) if i % 2 else f"w{i}", None if i % 2 else "\U0001f600" if i % 5 else "\uffff"))
+    cols = ["x", "w", "n", "m", "h"]
+    df = spark.createDataFrame(rows, "id long, x double, w string, n string, m string, h string").repartition(5)
+    got = {r.column_name: (r.distinct_values, r.more, r.sample_values) for r in P.profile_report(df, "id", cols).collect()}
+    for c, name in enumerate(cols, 1):
+        text = [None if r[c] is None else str(r[c]) for r in rows]
+        assert got[name] == brute_profile([(r[0], t, number(t)) for r, t in zip(rows, text)]), name
+
+
+def test_profile_odd_input(spark):
+    schema = "id long, `a.b` double, s string, k string"
+    cols = ["a.b", "s", "k"]
+    empty = {r.column_name: r for r in P.profile_report(spark.createDataFrame([], schema), "id", cols).collect()}
+    assert [empty[c].suggested_type for c in cols] == ["unknown"] * 3 and empty["s"].distinct_values is None
+    rows = [(1, float("nan"), "", None), (1, 2.0, "x" * 1_000_000, None), (None, float("inf"), "NaN", None), (1, 2.0, "", None)]
+    got = {r.column_name: r for r in P.profile_report(spark.createDataFrame(rows, schema), "id", cols).collect()}
+    assert (got["a.b"].distinct_values, got["a.b"].n_non_null) == ("2.0, Infinity, NaN", 4)
+    assert got["s"].distinct_values == "NaN, , " + "x" * 1_000_000 and got["s"].sample_values.startswith("NaN, , , x")
+    assert got["k"].suggested_type == "unknown" and got["k"].sample_values is None
+    state = P.profile_state(spark.createDataFrame(rows, schema).repartition(4), "id", cols, 2, 2)
+    assert {r.column_name: (r.distinct_values, r.more) for r in P.profile_distinct(state).collect()}["a.b"] == ("2.0, Infinity", 1)
