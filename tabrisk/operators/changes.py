@@ -14,11 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabrisk.operators.validate import _check, coerce_update_value, rule_table
-from tabrisk.plans.ordering import cumulative, ranked
+from tabrisk.plans.ordering import ranked
 from tabrisk.plans.stored import stored
 from tabrisk.session import ensure_checkpoint_dir
 from tabrisk.spec import TableSpec
@@ -225,22 +227,88 @@ def update_fields(base: DataFrame, changes: DataFrame, spec: TableSpec) -> tuple
 def _sessions(feed: DataFrame, spec: TableSpec) -> DataFrame:
     """Tag every feed event with validity, session number and whether its session is open.
 
-    session = cancels of the id before the event; open = a start of the id in that session at or before
-    the event. Both come from running counts over the global (id, seq) order (``plans.ordering.cumulative``:
-    range partitions, so one id with very many events is split over tasks) minus the count at the
-    beginning of the id / session (small per-key aggregates).
+    session = cancels of the id before the event; open = a start of the id in that session at or before the event.
+    Events go to ranges of the global (id, seq) order, so an id with very many events is split over tasks. One pass
+    counts from the beginning of each range; the last event of each range (one row per range) tells where the next range
+    goes on, and only events of the id with which a range begins are corrected. Nothing is joined on the id.
+    Events that share id and seq go by action, field and value. Events without an id belong to no record and are left out.
     """
-    v = _validated(feed.select("id", "seq", "action", "field", "value"), spec)
-    v = v.withColumn("_c", (F.col("action") == "cancel").cast("double")) \
-         .withColumn("_s", (F.col("action") == "start").cast("double"))
-    cum = cumulative(v, [F.col("id").asc(), F.col("seq").asc()], ["_c", "_s"])
-    cum = cum.withColumn("_cx", F.col("_c_cum") - F.col("_c"))
-    id0 = cum.groupBy("id").agg(F.min("_cx").alias("_c0"))
-    cum = cum.join(id0, "id").withColumn("session", (F.col("_cx") - F.col("_c0")).cast("long"))
-    s0 = cum.groupBy("id", "session").agg(F.min(F.col("_s_cum") - F.col("_s")).alias("_s0"))
-    cum = cum.join(s0, ["id", "session"]).withColumn("open", (F.col("_s_cum") - F.col("_s0")) > 0)
-    # several later branches read the tagged feed: materialise it once (lineage cut, survives executor loss)
-    return cum.drop("_c", "_s", "_c_cum", "_s_cum", "_cx", "_c0", "_s0").checkpoint(eager=True)
+    spark = feed.sparkSession
+    ensure_checkpoint_dir(spark)
+    order = ["id", "seq", "action", "field", "value"]
+    v = _validated(feed.select(*order).filter(F.col("id").isNotNull()), spec)
+    src = v.persist(StorageLevel.MEMORY_AND_DISK)  # read by the range sample and the sort
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    schema = T.StructType(list(v.schema.fields)).add("session", "long").add("open", "boolean") \
+        .add("_range", "integer").add("_at", "long").add("_head", "boolean")
+    # bounds of ranges come from samples, so the tags and the carries must read the same ones
+    local = src.repartitionByRange(ranges, *order).sortWithinPartitions(*order) \
+        .mapInArrow(_count_sessions(schema.fieldNames()), schema).checkpoint(eager=True)
+    src.unpersist()
+    carries = spark.createDataFrame(_session_carries(local), "_range int, _s long, _o boolean")  # a row per range at most
+    head = F.col("_head") & F.col("_s").isNotNull()
+    return local.join(F.broadcast(carries), "_range", "left").select(
+        *v.columns, F.when(head, F.col("session") + F.col("_s")).otherwise(F.col("session")).alias("session"),
+        (F.col("open") | (head & (F.col("session") == 0) & F.col("_o"))).alias("open"))
+
+
+def _count_sessions(names: list[str]):
+    """Tags as counted from the beginning of a range: session, open, range, position, of the range's first id or not."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        last, cancels, started, head, done = None, 0, False, True, 0  # as the last batch left them
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            at = np.arange(n)
+
+            def latest(mask):
+                return np.maximum.accumulate(np.where(mask, at, -1))  # -1: before this batch
+
+            ids, action = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "action"))
+            cancel, start = (pc.fill_null(pc.equal(action, a), False).to_numpy(zero_copy_only=False) for a in ("cancel", "start"))
+            other = np.empty(n, bool)
+            other[0] = last is not None and ids[0].as_py() != last
+            other[1:] = pc.not_equal(ids.slice(1), ids.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            begin = latest(other)
+            before = np.cumsum(cancel) - cancel
+            session = before - np.where(begin < 0, -cancels, before[begin])
+            fresh = other.copy()  # a session begins with its id, or behind a cancel
+            fresh[1:] |= cancel[:-1]
+            since = latest(fresh)
+            is_open = (latest(start) >= np.maximum(since, 0)) | ((since < 0) & started)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(session.astype(np.int64)), pa.array(is_open),
+                 pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), pa.array(at + done), pa.array((begin < 0) & head)],
+                names=names)
+            head = head and bool(begin[-1] < 0)
+            last, done = ids[n - 1].as_py(), done + n
+            cancels, started = int(session[-1] + cancel[-1]), bool(is_open[-1] and not cancel[-1])
+
+    return run
+
+
+def _session_carries(local: DataFrame) -> list[tuple]:
+    """(range, cancels, session is open) of the id with which a range begins, if earlier ranges hold events of it."""
+    ends = local.groupBy("_range").agg(F.min("id").alias("first"), F.max_by(F.struct(
+        "id", "session", "open", "_head", F.col("action").eqNullSafe("cancel").alias("cancel")), "_at").alias("end")).collect()
+    out, last, cancels, is_open = [], None, 0, False
+    for r in sorted(ends, key=lambda r: r["_range"]):
+        end = r["end"]
+        goes_on = last is not None and r["first"] == last
+        if goes_on:
+            out.append((r["_range"], cancels, is_open))
+        same = goes_on and end["_head"]  # the whole range is that id's
+        was_open = same and is_open and end["session"] == 0
+        cancels = (cancels if same else 0) + end["session"] + int(end["cancel"])
+        last, is_open = end["id"], (end["open"] or was_open) and not end["cancel"]
+    return out
 
 
 def edit_feed_changes(feed: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:

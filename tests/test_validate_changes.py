@@ -1,5 +1,7 @@
 """Validation, coercion and record changes on hand-made rows (FIXTURES.md section 4)."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +195,26 @@ def test_mean_fill_keeps_fractions_on_integer_columns(spark):
     df = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, None)], "id long, x int")
     got = {r.id: r.x for r in MeanFill(inputCols=["x"]).fit(df).transform(df).collect()}
     assert got[4] == pytest.approx(5 / 3) and got[1] == 1.0
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_sessions_match_a_replay(spark, ranges):
+    # one id with most events, so that it spans ranges and batches; ids that begin and end at the bounds; actions at random
+    rng = random.Random(ranges)
+    ev = [(i, q, rng.choice(["start", "set", "end", "save", "cancel", None]), "age", str(q)) for i, n in
+          ((1, 30), (2, 25_000), (3, 1), (4, 500), (5, 2_000)) for q in range(n)] + [(None, 1, "start", "age", "1")]
+    rng.shuffle(ev)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        got = {(r.id, r.seq): (r.session, r.open) for r in C._sessions(_feed(spark, ev), ICU).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want, state = {}, {}
+    for i, q, action, _, _ in sorted((e for e in ev if e[0] is not None), key=lambda e: e[:2]):
+        session, is_open = state.get(i, (0, False))
+        is_open = is_open or action == "start"
+        want[i, q] = (session, is_open)
+        state[i] = (session + 1, False) if action == "cancel" else (session, is_open)
+    assert got == want
+    assert C._sessions(_feed(spark, ev[:0]), ICU).count() == 0
