@@ -242,8 +242,8 @@ def _sessions(feed: DataFrame, spec: TableSpec) -> DataFrame:
     schema = T.StructType(list(v.schema.fields)).add("session", "long").add("open", "boolean") \
         .add("_range", "integer").add("_at", "long").add("_head", "boolean")
     # bounds of ranges come from samples, so the tags and the carries must read the same ones
-    local = src.repartitionByRange(ranges, *order).sortWithinPartitions(*order) \
-        .mapInArrow(_count_sessions(schema.fieldNames()), schema).checkpoint(eager=True)
+    local = stored(src.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+                   .mapInArrow(_count_sessions(schema.fieldNames()), schema), "sessions")
     src.unpersist()
     carries = spark.createDataFrame(_session_carries(local), "_range int, _s long, _o boolean")  # a row per range at most
     head = F.col("_head") & F.col("_s").isNotNull()
