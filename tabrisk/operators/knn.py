@@ -9,29 +9,37 @@ present. Distance over the coordinates present in both rows, scaled up by the sh
 A pair without any shared coordinate is skipped. Fewer than k donors -> mean of those; none -> the
 column mean of the fit rows. Ties in distance go to the lower donor id. NaN counts as missing.
 
-Plan. Any column may have gaps, also all of them, so no column can serve as an index and every incomplete row
-is compared with every donor: a stated query set against all rows, in blocks. Incomplete rows are dealt to blocks of
-about ``QUERY_ROWS``; donors stream past each block in id order, and a block keeps a running top k per (row, missing
-column). A task holds one block of queries and one batch of donors, whatever the table holds. When there are fewer
-blocks than tasks the donors are dealt to groups, whose top k per (row, column) meet in a window top k.
+Plan. Donors are laid out once, at the fit: by the columns they miss, then along a Z-order curve of quantile codes, in
+ranges of that order, the blocks. A block's box (bounds, counts of present values per column, smallest donor number) gives a
+lower bound of its distance to any row. The boxes are the only data sent to every task; there are at most ``MAX_BLOCKS``, as
+blocks grow with the table. An incomplete row first visits the nearest blocks that hold k donors for each of its missing
+columns, then every other block whose bound does not exceed the k-th distance found. The bound adds up the same terms in
+the same order as the distance, so rounding cannot cut a donor off, and the search is exact whichever columns have gaps; where data don't
+cluster it comes down to visiting every block. A block's visitors are dealt to chunks of about ``QUERY_ROWS``; a task holds
+one chunk and streams the block's donors past it. Only blocks that are visited are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabrisk.operators.features import _ColsParams
 from tabrisk.plans.stored import stored
 
 QUERY_ROWS = 2048
-DONOR_ROWS = 256  # donors that are compared with a block at a time
+DONOR_ROWS = 256  # donors that are compared with a chunk of rows at a time
+BLOCK_ROWS = 1024  # donors in a block, more where MAX_BLOCKS blocks don't hold the table
+MAX_BLOCKS = 16_384  # bounds the boxes that every task gets
+MAX_TASKS = 20_000
+CODE_BITS = 6  # quantile codes of a column along the curve
 
 
 class _KnnParams(_ColsParams):
@@ -39,8 +47,66 @@ class _KnnParams(_ColsParams):
     k = Param(Params._dummy(), "k", "donors per missing value", typeConverter=TypeConverters.toInt)
 
 
+class _Boxes:
+    """The boxes of all blocks, by smallest donor number, so that equal bounds are taken in the order of ties."""
+
+    def __init__(self, rows: Sequence, cols: int):
+        import numpy as np
+        rows = sorted(rows, key=lambda r: r["first"])
+        self.b = np.array([r["b"] for r in rows], dtype=np.int64)
+        self.first = np.array([r["first"] for r in rows], dtype=np.int64)
+        self.has = np.array([r["has"] for r in rows], dtype=np.int64).reshape(-1, cols)
+        self.lo, self.hi = (np.array([r[c] for r in rows], dtype=float).reshape(-1, cols) for c in ("lo", "hi"))
+        self.whole = self.has == np.array([r["rows"] for r in rows], dtype=np.int64)[:, None]
+
+    def bounds(self, x):
+        """(row, block): no donor of the block is nearer. A column counts as shared if any donor has it, its gap if all have it."""
+        import numpy as np
+        total = np.zeros((len(x), len(self.b)))
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            for i in range(x.shape[1]):
+                at = x[:, i, None]
+                gap = np.maximum(self.lo[None, :, i] - at, at - self.hi[None, :, i])
+                total += np.where(self.whole[None, :, i] & (gap > 0), gap * gap, 0.0)
+            both = (~np.isnan(x)).astype(float) @ (self.has > 0).T.astype(float)
+            return np.where(both > 0, np.sqrt(x.shape[1] / both * total), np.inf)
+
+    def parts(self, n: int) -> Iterator[slice]:
+        step = max(1, (1 << 20) // max(1, len(self.b)))
+        return (slice(i, min(n, i + step)) for i in range(0, n, step))
+
+    def nearest(self, x, k: int) -> list[list[int]]:
+        """Per row the nearest blocks that hold k donors for each missing column."""
+        import numpy as np
+        out = []
+        for part in self.parts(len(x)):
+            bound = self.bounds(x[part])
+            order = np.argsort(bound, axis=1, kind="stable")
+            for row, line, by in zip(x[part], bound, order, strict=True):
+                by = by[: np.count_nonzero(np.isfinite(line))]
+                take = [by[:0]]
+                for j in np.flatnonzero(np.isnan(row)):
+                    mine = by[self.has[by, j] > 0]
+                    take.append(mine[: np.searchsorted(np.cumsum(self.has[mine, j]), k) + 1])
+                out.append(self.b[np.unique(np.concatenate(take))].tolist())
+        return out
+
+    def others(self, x, seen, dist, donor) -> list[list[int]]:
+        """Per row the blocks that may still hold a nearer donor, or as near a one with a smaller number, for a missing column."""
+        import numpy as np
+        out = []
+        for part in self.parts(len(x)):
+            bound = self.bounds(x[part])
+            for row, line, held, d, p in zip(x[part], bound, seen[part], dist[part], donor[part], strict=True):
+                open_ = np.zeros(len(self.b), dtype=bool)
+                for j in np.flatnonzero(np.isnan(row)):
+                    open_ |= (self.has[:, j] > 0) & ((line < d[j]) | ((line == d[j]) & np.isfinite(line) & (self.first < p[j])))
+                out.append(np.setdiff1d(self.b[open_], held).tolist())
+        return out
+
+
 class _Block:
-    """A block of incomplete rows with the nearest donors seen so far for each missing value."""
+    """A chunk of incomplete rows with the nearest donors seen so far for each missing value."""
 
     def __init__(self, queries, values, k: int):
         import numpy as np
@@ -89,11 +155,11 @@ class _Block:
 
 
 class KnnImputerModel(Model, _KnnParams, MLReadable, MLWritable):
-    """Fitted state: the donors in id order (number n, values x) and the column means. A stage like any other."""
+    """Fitted state: the donors (number n in id order, values x, block b), the boxes and the column means. A stage like any other."""
 
-    def __init__(self, donors: DataFrame | None = None, means: Sequence[float | None] = ()):
+    def __init__(self, donors: DataFrame | None = None, boxes: DataFrame | None = None, means: Sequence[float | None] = ()):
         super().__init__()
-        self.donors, self.means = donors, list(means)
+        self.donors, self.boxes, self.means = donors, boxes, list(means)
 
     def write(self) -> MLWriter:
         return _KnnWriter(self)
@@ -108,42 +174,14 @@ class KnnImputerModel(Model, _KnnParams, MLReadable, MLWritable):
         gap = F.exists(x, lambda v: F.isnan(v))
         whole = df.filter(~gap)
         rows = stored(df.filter(gap).withColumn("_q", F.monotonically_increasing_id()), "knn-rows")
-        n = rows.count()
-        blocks = max(1, -(-n // QUERY_ROWS))
-        groups = max(1, -(-spark.sparkContext.defaultParallelism // blocks))
-        cells = F.sequence(F.lit(0), F.lit(groups - 1))
-        queries = rows.select(F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int").alias("b"), F.explode(cells).alias("g"),
-                              F.lit(0).alias("donor"), F.col("_q").alias("n"), x.alias("x"))
-        donors = self.donors.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("n"), F.lit(groups)).cast("int").alias("g"),
-                                    F.lit(1).alias("donor"), "n", "x")
-        dealt = queries.unionByName(donors).repartition(blocks * groups, "b", "g").sortWithinPartitions("b", "g", "donor", "n")
-
-        def run(frames: Iterator):
-            import numpy as np
-            at, block, held = None, None, []
-            for frame in frames:
-                marks = frame[["b", "g", "donor"]].to_numpy()
-                cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
-                for lo, hi in zip([0, *cuts], [*cuts, len(frame)], strict=True):
-                    part, key = frame.iloc[lo:hi], tuple(marks[lo][:2])
-                    if key != at:
-                        if block is not None:
-                            yield block.nearest()
-                        at, block, held = key, None, []
-                    numbers, values = part["n"].to_numpy(), np.stack(part["x"].to_list()).astype(float)
-                    if not marks[lo][2]:
-                        held.append((numbers, values))
-                    elif held or block is not None:
-                        if block is None:
-                            block = _Block(np.concatenate([q for q, _ in held]), np.concatenate([v for _, v in held]), k)
-                            held = []
-                        for i in range(0, len(part), DONOR_ROWS):
-                            block.meet(values[i : i + DONOR_ROWS], numbers[i : i + DONOR_ROWS])
-            if block is not None:
-                yield block.nearest()
-
-        near = dealt.mapInPandas(run, "q long, col int, d double, p long, v double")
+        x = rows.select(F.col("_q").alias("q"), x.alias("x"))
+        boxes = spark.sparkContext.broadcast(_Boxes(self.boxes.collect(), len(feats)))  # MAX_BLOCKS rows at most
+        homes = stored(x.mapInPandas(_home_blocks(boxes, k), "q long, x array<double>, bs array<long>"), "knn-homes")
         w = Window.partitionBy("q", "col").orderBy("d", "p")
+        near = stored(self._meet(homes).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k), "knn-near")
+        kth = near.filter(F.col("r") == k).groupBy("q").agg(F.collect_list(F.struct("col", "d", "p")).alias("kth"))
+        again = stored(homes.join(kth, "q", "left").mapInPandas(_other_blocks(boxes), "q long, x array<double>, bs array<long>"), "knn-again")
+        near = near.drop("r").unionByName(self._meet(again))
         top = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
         found = top.groupBy("q").pivot("col", list(range(len(feats)))).agg(F.avg("v"))
         filled = rows.join(found, rows["_q"] == found["q"], "left")
@@ -163,6 +201,19 @@ class KnnImputerModel(Model, _KnnParams, MLReadable, MLWritable):
 
         return out(whole, False).unionByName(out(filled, True))
 
+    def _meet(self, visits: DataFrame) -> DataFrame:
+        """(q, col, d, p, v): the k nearest donors for each missing value within each block that the row visits."""
+        k, spark = self.getOrDefault(self.k), visits.sparkSession
+        visits = visits.select("q", "x", F.explode("bs").alias("b"))
+        loads = visits.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("chunks")).collect()  # a row per block
+        groups = sum(r["chunks"] for r in loads)
+        loads = F.broadcast(spark.createDataFrame(loads, "b long, chunks int"))
+        queries = visits.join(loads, "b").select("b", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int").alias("g"), F.lit(0).alias("donor"), F.col("q").alias("n"), "x")
+        donors = self.donors.join(loads, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("g"), F.lit(1).alias("donor"), "n", "x")
+        tasks = max(spark.sparkContext.defaultParallelism, min(groups, MAX_TASKS))
+        dealt = queries.unionByName(donors).repartition(tasks, "b", "g").sortWithinPartitions("b", "g", "donor", "n")
+        return dealt.mapInPandas(_nearest_in_block(k), "q long, col int, d double, p long, v double")
+
     def save(self, path: str) -> None:
         self.write().overwrite().save(path)
 
@@ -184,9 +235,18 @@ class KnnImputer(Estimator, _KnnParams, MLReadable, MLWritable):
         rows = df.select(key.alias("id"), x.alias("x"))
         # donors are numbered in id order, so that a tie goes to the lower id of any type
         numbered = ranked(rows, [F.col("id").asc_nulls_first(), F.col("x").asc()], "n")
-        donors = stored(numbered.select("n", "x"), "knn-donors")
-        r = donors.agg(*[F.avg(F.when(~F.isnan(F.col("x")[i]), F.col("x")[i])).alias(f"m{i}") for i in range(len(feats))]).first()
-        model = KnnImputerModel(donors, [r[f"m{i}"] for i in range(len(feats))])
+        n, curve = _curve(numbered, len(feats))
+        blocks = min(MAX_BLOCKS, max(1, -(-n // BLOCK_ROWS)))
+        rows = numbered.select("n", "x", F.transform("x", lambda v: F.isnan(v)).alias("gaps"), *[c.alias(f"z{i}") for i, c in enumerate(curve)])
+        order = ["gaps", *[f"z{i}" for i in range(len(curve))], "n"]  # equal donors stay in id order
+        laid = rows.repartitionByRange(blocks, *order).sortWithinPartitions("n")
+        donors = stored(laid.select("n", "x", F.spark_partition_id().cast("long").alias("b")), "knn-donors")
+        values = [F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]) for i in range(len(feats))]
+        boxes = stored(donors.groupBy("b").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("n").alias("first"), F.array(*[F.count(v) for v in values]).alias("has"),
+            F.array(*[F.min(v) for v in values]).alias("lo"), F.array(*[F.max(v) for v in values]).alias("hi")), "knn-boxes")
+        r = donors.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]).first()
+        model = KnnImputerModel(donors, boxes, [r[f"m{i}"] for i in range(len(feats))])
         return model._set(inputCols=feats, idCol=idc, k=self.getOrDefault(self.k))
 
     def write(self) -> MLWriter:
@@ -202,6 +262,92 @@ def _values(feats: Sequence[str]):
     return F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in feats])
 
 
+def _curve(rows: DataFrame, cols: int) -> tuple[int, list[Column]]:
+    """Number of rows, and the columns that lay them out: a Z-order number of quantile codes, then the values.
+
+    The next bit always comes from the column with the widest spread left, each bit halving it: distances are in the
+    columns' own units, so a wide column is cut finer. Behind its last bit, the values follow, widest column first.
+    """
+    value = [F.col("x")[i] for i in range(cols)]
+    steps = [i / (1 << CODE_BITS) for i in range(1, 1 << CODE_BITS)]
+    n, *cuts = rows.agg(F.count(F.lit(1)), *[F.percentile_approx(F.when(~F.isnan(v), v), steps) for v in value]).first()
+    spread = [c[-1] - c[0] if c else 0.0 for c in cuts]
+    left, used, places = list(spread), [0] * cols, []
+    while len(places) < 60:
+        i = max(range(cols), key=lambda c: left[c])
+        if used[i] == CODE_BITS or not left[i] > 0:
+            break
+        used[i] += 1
+        left[i] /= 2
+        places.append((i, CODE_BITS - used[i]))
+
+    def code(v: Column, bounds: Sequence[float]) -> Column:
+        return F.size(F.filter(F.lit(list(bounds)), lambda cut: cut < v))
+
+    codes = [code(v, c) if c else F.lit(0) for v, c in zip(value, cuts, strict=True)]
+    bit = [F.shiftleft(F.shiftright(codes[i], t).bitwiseAND(F.lit(1)).cast("long"), len(places) - 1 - at) for at, (i, t) in enumerate(places)]
+    widest = sorted(range(cols), key=lambda c: -spread[c])
+    return n, [reduce(Column.bitwiseOR, bit, F.lit(0).cast("long")), F.array(*[value[c] for c in widest])]
+
+
+def _home_blocks(boxes, k: int):
+    def run(frames: Iterator):
+        import numpy as np
+        for frame in frames:
+            if len(frame):
+                yield frame.assign(bs=boxes.value.nearest(np.stack(frame["x"].to_list()).astype(float), k))
+
+    return run
+
+
+def _other_blocks(boxes):
+    def run(frames: Iterator):
+        import numpy as np
+        for frame in frames:
+            if not len(frame):
+                continue
+            x = np.stack(frame["x"].to_list()).astype(float)
+            dist, donor = np.full(x.shape, np.inf), np.zeros(x.shape, dtype=np.int64)
+            for at, found in enumerate(frame["kth"]):
+                for one in found if found is not None else []:
+                    dist[at, one["col"]], donor[at, one["col"]] = one["d"], one["p"]
+            yield frame[["q", "x"]].assign(bs=boxes.value.others(x, frame["bs"].to_list(), dist, donor))
+
+    return run
+
+
+def _nearest_in_block(k: int):
+    """Rows come by (block, chunk): the incomplete rows first, then the donors by number."""
+
+    def run(frames: Iterator):
+        import numpy as np
+        at, block, held = None, None, []
+        for frame in frames:
+            marks = frame[["b", "g", "donor"]].to_numpy()
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(frame)], strict=True):
+                if lo == hi:
+                    continue
+                part, key = frame.iloc[lo:hi], tuple(marks[lo][:2])
+                if key != at:
+                    if block is not None:
+                        yield block.nearest()
+                    at, block, held = key, None, []
+                numbers, values = part["n"].to_numpy(), np.stack(part["x"].to_list()).astype(float)
+                if not marks[lo][2]:
+                    held.append((numbers, values))
+                elif held or block is not None:
+                    if block is None:
+                        block = _Block(np.concatenate([q for q, _ in held]), np.concatenate([v for _, v in held]), k)
+                        held = []
+                    for i in range(0, len(part), DONOR_ROWS):
+                        block.meet(values[i : i + DONOR_ROWS], numbers[i : i + DONOR_ROWS])
+        if block is not None:
+            yield block.nearest()
+
+    return run
+
+
 class _KnnWriter(MLWriter):
     def __init__(self, instance: KnnImputerModel):
         super().__init__()
@@ -210,11 +356,12 @@ class _KnnWriter(MLWriter):
     def saveImpl(self, path: str) -> None:
         DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, extraMetadata={"means": self.instance.means})
         self.instance.donors.write.parquet(f"{path}/donors")
+        self.instance.boxes.write.parquet(f"{path}/boxes")
 
 
 class _KnnReader(MLReader):
     def load(self, path: str) -> KnnImputerModel:
         meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
-        model = KnnImputerModel(self.sparkSession.read.parquet(f"{path}/donors"), meta["means"])
+        model = KnnImputerModel(self.sparkSession.read.parquet(f"{path}/donors"), self.sparkSession.read.parquet(f"{path}/boxes"), meta["means"])
         DefaultParamsReader.getAndSetParams(model, meta)
         return model

@@ -98,6 +98,7 @@ def test_knn_all_columns_with_gaps_in_small_blocks(spark, monkeypatch):
     from tabrisk.operators import knn
     monkeypatch.setattr(knn, "QUERY_ROWS", 40)
     monkeypatch.setattr(knn, "DONOR_ROWS", 7)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 16)
     rnd = random.Random(3)
     feats = [f"c{i}" for i in range(20)]
     rows = [{"id": i, **{c: None if rnd.random() < 0.15 else round(rnd.random() * 9, 1) for c in feats}} for i in range(250)]
@@ -109,6 +110,70 @@ def test_knn_all_columns_with_gaps_in_small_blocks(spark, monkeypatch):
             assert got[i][c] == pytest.approx(w[c], rel=1e-9, abs=1e-9), (i, c)
 
 
+def _knn_visits(spark, monkeypatch, rows, feats, k=5):
+    """(imputed rows, (row, block) visits, incomplete rows, blocks) with small blocks."""
+    from tabrisk.operators import knn
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(knn, "QUERY_ROWS", 32)
+    seen, meet = [], knn.KnnImputerModel._meet
+    monkeypatch.setattr(knn.KnnImputerModel, "_meet", lambda self, v: (seen.append(v), meet(self, v))[1])
+    df = spark.createDataFrame([tuple(r[c] for c in ["id", *feats]) for r in rows], "id long, " + ", ".join(f"{c} double" for c in feats))
+    model = knn.KnnImputer(idCol="id", inputCols=feats, k=k).fit(df)
+    got = {r.id: r for r in model.transform(df).collect()}
+    visits = sum(v.selectExpr("sum(size(bs)) AS n").first().n or 0 for v in seen)
+    return got, visits, sum(any(r[c] is None for c in feats) for r in rows), model.boxes.count()
+
+
+def test_knn_reads_few_blocks_of_clustered_donors(spark, monkeypatch):
+    rnd = random.Random(12)
+    feats = ["a", "b", "c", "d"]
+    rows = []
+    for i in range(1200):
+        at = rnd.randrange(12) * 100.0
+        rows.append({"id": i, **{c: None if c in "cd" and rnd.random() < 0.1 else at + rnd.random() for c in feats}})
+    got, visits, incomplete, blocks = _knn_visits(spark, monkeypatch, rows, feats)
+    for i, w in _brute_knn(rows, feats, 5).items():
+        for c in feats:
+            assert got[i][c] == pytest.approx(w[c], rel=1e-9, abs=1e-9), (i, c)
+    assert blocks == 60 and visits < 0.3 * incomplete * blocks
+
+
+def test_knn_equal_donors_in_many_blocks(spark, monkeypatch):
+    """A third of the rows are equal: their blocks are as near as the k-th donor, and the smallest ids win."""
+    rnd = random.Random(13)
+    feats = ["a", "b", "v"]
+    rows = [{"id": 1000 - i, "a": 1.0, "b": 2.0, "v": float(rnd.randrange(50))} if i % 3 == 0 else
+            {"id": 1000 - i, "a": float(rnd.randrange(4)), "b": float(rnd.randrange(4)), "v": None if rnd.random() < 0.3 else rnd.random()}
+            for i in range(600)]
+    got, visits, incomplete, blocks = _knn_visits(spark, monkeypatch, rows, feats, 3)
+    for i, w in _brute_knn(rows, feats, 3).items():
+        assert got[i]["v"] == pytest.approx(w["v"], rel=1e-9, abs=1e-9), i
+    assert visits < incomplete * blocks
+
+
+def test_knn_block_bound_is_never_above_a_distance():
+    """Lower bounds hold to the last bit, with gaps, infinities and a block without a shared column."""
+    import numpy as np
+
+    from tabrisk.operators.knn import _Block, _Boxes
+    rnd = np.random.default_rng(5)
+    for _ in range(40):
+        donors = rnd.normal(size=(30, 5)) * rnd.choice([1e-9, 1.0, 1e9], size=5)
+        donors[rnd.random(donors.shape) < rnd.choice([0.0, 0.3, 0.9])] = np.nan
+        if rnd.random() < 0.3:
+            donors[0, 0] = np.inf
+        x = np.concatenate([donors[:10], rnd.normal(size=(10, 5))])
+        x[rnd.random(x.shape) < 0.3] = np.nan
+        x[:, 4] = np.nan
+        seen = ~np.isnan(donors)
+        box = {"b": 0, "first": 1, "rows": 30, "has": seen.sum(axis=0).tolist(),
+               "lo": [np.nanmin(c) if s.any() else None for c, s in zip(donors.T, seen.T)], "hi": [np.nanmax(c) if s.any() else None for c, s in zip(donors.T, seen.T)]}
+        bound = _Boxes([box], 5).bounds(x)[:, 0]
+        block = _Block(np.arange(20), x, 1)
+        block.meet(donors, np.arange(30))
+        assert (bound <= block.dist[4][:, 0]).all()
+
+
 def test_knn_in_the_fitted_chain(spark, tmp_path):
     """KNN fill is a stage of the preparation: fitted, saved in a PipelineModel, loaded and applied to new rows."""
     from pyspark.ml import PipelineModel
