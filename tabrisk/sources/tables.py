@@ -39,6 +39,30 @@ def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str
         return spark.createDataFrame([], schema), f"read failed: {str(e).splitlines()[0][:200]}"
 
 
+def scan_good_files(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """S1 error contract at run time: (rows, messages), both lazy.
+
+    Unreadable files among good ones don't fail the scan: the rows are those of the good files and of the readable part
+    of damaged ones. The messages, ``(file, message)``, name each file that has no readable footer, or that gave fewer rows than its
+    footer counts; no message means that the whole table was read. A sound file without rows can't be told from an unreadable one by its
+    rows and is named ``no readable rows`` too. The messages cost a second scan, if they are asked for.
+    A missing path gives no rows and one message. Faults of the storage (no access, lost blocks) are raised, not taken for damage.
+    """
+    rows, message = scan_or_empty(spark, path, schema, fmt)
+    if message != "ok":
+        return rows, spark.createDataFrame([(path, message)], "file string, message string")
+    good = spark.read.schema(schema).option("ignoreCorruptFiles", True).format(fmt).load(path)
+    name = F.col("_metadata.file_path").alias("file")
+    files = spark.read.format("binaryFile").load(path).select(name)  # names only, no contents
+    stated = good.select(name).groupBy("file").agg(F.count(F.lit(1)).alias("stated"))  # from the footers
+    read = good.select(name, F.xxhash64(*[F.col(f"`{f.name}`") for f in good.schema.fields]).alias("h")).groupBy("file") \
+        .agg(F.when(F.bit_xor("h").isNotNull(), F.count("h")).alias("read"))  # the digest is asked for, so every column is read
+    text = F.when(F.col("stated").isNull(), F.lit("no readable rows")).when(
+        F.coalesce("read", F.lit(0)) < F.col("stated"), F.format_string("damaged: %d of %d rows read", F.coalesce("read", F.lit(0)), F.col("stated")))
+    found = files.join(stated, "file", "left").join(read, "file", "left").withColumn("message", text)
+    return good, found.filter("message IS NOT NULL").select("file", "message")
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Header CSV scan, UTF-8 with or without BOM (Spark strips the BOM).
 

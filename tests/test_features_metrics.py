@@ -270,6 +270,33 @@ def test_roc_thinning(spark):
     assert max(r.fpr for r in thin) == 1.0 and max(r.tpr for r in thin) == 1.0
 
 
+def test_scan_good_files(spark, tmp_path):
+    """Garbage and a damaged file among good ones: the good rows, and a message for each of the two."""
+    from tabrisk.sources.tables import scan_good_files
+    schema = "id long, v string"
+    table = tmp_path / "table with blanks"
+    table.mkdir()
+    for i in range(3):
+        part = spark.range(i * 1000, i * 1000 + 1000).selectExpr("id", "sha2(cast(id AS string), 256) AS v").coalesce(1)
+        part.write.option("compression", "snappy").parquet(str(tmp_path / f"p{i}"))
+        [file] = (tmp_path / f"p{i}").glob("*.parquet")
+        data = bytearray(file.read_bytes())
+        if i == 1:
+            data[4 : len(data) // 2] = b"\xff" * (len(data) // 2 - 4)  # the footer stays as it is
+        (table / f"{i}.parquet").write_bytes(bytes(data))
+    (table / "3.parquet").write_bytes(b"not a table")
+    rows, messages = scan_good_files(spark, str(table), schema)
+    assert {r.id for r in rows.collect()} == {*range(1000), *range(2000, 3000)}
+    got = {r.file.rsplit("/", 1)[1]: r.message for r in messages.collect()}
+    assert got == {"1.parquet": "damaged: 0 of 1000 rows read", "3.parquet": "no readable rows"}
+    (table / "1.parquet").unlink()
+    (table / "3.parquet").unlink()
+    rows, messages = scan_good_files(spark, str(table), schema)
+    assert rows.count() == 2000 and messages.count() == 0
+    rows, messages = scan_good_files(spark, str(tmp_path / "missing"), schema)
+    assert rows.count() == 0 and rows.columns == ["id", "v"] and messages.count() == 1
+
+
 def test_scan_or_empty(spark, tmp_path):
     from tabrisk.sources.tables import scan_or_empty
     df, msg = scan_or_empty(spark, str(tmp_path / "missing"), "a long")
