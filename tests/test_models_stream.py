@@ -29,6 +29,15 @@ def test_forest_learns_planted_label(spark, prepared):
     assert auc(s).first().auc > 0.95
 
 
+def test_boost_keeps_no_node_table_and_grows_the_same_trees(spark, prepared):
+    """Storing every row's node at each level took more than half the time of a round."""
+    prep, train, _ = prepared
+    x = prep.transform(train)
+    assert MD.forest().getCacheNodeIds() and not MD.boost().getCacheNodeIds()
+    plain, cached = (MD.boost(rounds=3).setCacheNodeIds(keep).fit(x) for keep in (False, True))
+    assert plain.toDebugString.split("\n")[1:] == cached.toDebugString.split("\n")[1:]
+
+
 def test_stack_and_persistence(spark, prepared, tmp_path):
     prep, train, test = prepared
     stack = MD.StackingClassifier([MD.forest(num_trees=5, max_depth=5), MD.boost(rounds=5, max_depth=3, rate=0.3)],
