@@ -83,3 +83,16 @@ def test_spread_goes_by_rows(spark):
     assert MD.spread(few).rdd.getNumPartitions() == 1 and MD.spread(few, rows=300).rdd.getNumPartitions() == 4
     many = spark.range(1000).repartition(64)
     assert MD.spread(many).rdd.getNumPartitions() == 64
+
+
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    """Folds of a large table come in parts of bounded size, whatever the session's number of partitions."""
+    from tabrisk.plans import ordering
+    monkeypatch.setattr(ordering, "ROWS_PER_PART", 50)
+    df = spark.range(2000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n < 40
+    assert ordering.dealt(df, 2000, "k").groupBy("k").count().rdd.getNumPartitions() == 40 and ordering.dealt(df, 100, "k") is df
+    tagged = MD.spread(MD.stratified_folds(df, "k", "label", 5, 42))
+    assert tagged.rdd.getNumPartitions() >= 40 and tagged.count() == 2000
+    assert MD.spread(df.coalesce(1)).rdd.getNumPartitions() == 40
