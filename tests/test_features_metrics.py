@@ -151,6 +151,22 @@ def test_knn_equal_donors_in_many_blocks(spark, monkeypatch):
     assert visits < incomplete * blocks
 
 
+def test_knn_rows_travel_in_chunks(spark, monkeypatch):
+    """Where every block is visited, a block travels once per chunk of rows, not once per row, and a span gives k donors for each gap."""
+    from tabrisk.operators import knn
+    monkeypatch.setattr(knn, "CHUNK_ROWS", (64, 64))
+    monkeypatch.setattr(knn, "SPAN_ROWS", 160)
+    rnd = random.Random(14)
+    feats = [f"c{i}" for i in range(8)]
+    rows = [{"id": i, **{c: None if rnd.random() < 0.08 else float(rnd.randrange(30)) for c in feats}} for i in range(500)]
+    got, visits, incomplete, blocks = _knn_visits(spark, monkeypatch, rows, feats)
+    for i, w in _brute_knn(rows, feats, 5).items():
+        for c in feats:
+            assert got[i][c] == pytest.approx(w[c], rel=1e-9, abs=1e-9), (i, c)
+    assert incomplete > 200 and visits <= blocks * len(knn._chunks([(b, 1) for b in range(incomplete)], 32))
+    assert knn._chunks([(5, 10), (0, 3), (2, 4), (7, 1)], 8) == [(0, 0, 1), (2, 0, 1), (5, 1, 2), (7, 3, 1)]
+
+
 def test_knn_block_bound_is_never_above_a_distance():
     """Lower bounds hold to the last bit, with gaps, infinities and a block without a shared column."""
     import numpy as np
