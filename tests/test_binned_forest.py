@@ -21,8 +21,15 @@ def rows(spark):
     return VectorAssembler(inputCols=list("abcde"), outputCol="features").transform(df).select("id", "label", "features").repartition(4).cache()
 
 
+@pytest.fixture(autouse=True)
+def merging(monkeypatch):
+    """The forests here are small."""
+    assert MD.forest().getNumTrees() * MD.forest().getMaxDepth() >= B.MERGE_FROM
+    monkeypatch.setattr(B, "MERGE_FROM", 0)
+
+
 def test_binned_forest_is_the_plain_forest(spark, rows):
-    est = MD.forest(num_trees=12, max_depth=30)
+    est = MD.forest(num_trees=6, max_depth=16)
     plain = est._copyValues(RandomForestClassifier()).fit(rows)
     p = MD.score_batch(_same(), plain, rows, keep=["id", "label"]).withColumnRenamed("score", "p").distinct()
     q = MD.score_batch(_same(), est.fit(rows), rows, keep=["id", "label"]).distinct()
